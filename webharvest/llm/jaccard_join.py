@@ -86,7 +86,7 @@ def _star(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def candidate_edges(reps: DataFrame, sketches: DataFrame, *, threshold: float, slack: float, leaf: int, depth: int, branches: int, runs: int) -> DataFrame:
+def candidate_edges(reps: DataFrame, sketches: DataFrame, *, threshold: float, slack: float, leaf: int, block: int, depth: int, branches: int, runs: int) -> DataFrame:
     """(a, b): edges that span the candidate clusters of `reps`; `sketches`, the table to look tokens up in, holds their rows."""
     tokens = F.size("sketch")
 
@@ -108,7 +108,7 @@ def candidate_edges(reps: DataFrame, sketches: DataFrame, *, threshold: float, s
         if d < depth:
             level = children(sized.where(F.col("size") > leaf).join(sketches, "doc_id").select("node", "doc_id", "sketch"), branches)
     # an unsplittable bucket is dealt into blocks, every pair of blocks is a group of its own
-    blocks = F.ceil(F.col("size") / leaf).cast("int")
+    blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     dealt = leaves.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("group_id"), "doc_id").distinct()
@@ -181,7 +181,7 @@ def verified(clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int,
     return found.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")), found.groupBy("doc_id").agg(F.sum("links").alias("links"))
 
 
-def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, target_recall: float = 0.99, tokens: int = 128, slack: float = 0.1, leaf: int = 256, block: int = 1024, depth: int = 5, branches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, target_recall: float = 0.99, tokens: int = 128, slack: float = 0.1, leaf: int = 256, block: int = 1024, depth: int = 4, branches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, class_id, copy_of, n_links, n_shingles), a row for every row of `docs`.
 
     class_id: the least doc_id of the group linked by pairs of Jaccard similarity `threshold` or more;
@@ -194,7 +194,7 @@ def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, target_
     sets = cut(shingle_sets(docs, n=n, tokens=tokens, id_col=id_col, text_col=text_col))
     owners = cut(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count_distinct("doc_id").alias("copies")))
     reps = sets.join(owners.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi")
-    edges = candidate_edges(reps, sets.select("doc_id", "sketch"), threshold=threshold, slack=slack, leaf=leaf, depth=depth, branches=branches, runs=runs)
+    edges = candidate_edges(reps, sets.select("doc_id", "sketch"), threshold=threshold, slack=slack, leaf=leaf, block=block, depth=depth, branches=branches, runs=runs)
     clusters = components(edges).select(F.col("node").alias("doc_id"), F.col("class_id").alias("cluster"))
     clusters = cut(clusters.join(owners.select(F.col("copy_of").alias("doc_id"), "copies"), "doc_id"))
     found, links = verified(clusters, docs, threshold=threshold, n=n, block=block, id_col=id_col, text_col=text_col)
