@@ -17,6 +17,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = True
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[*range(9, 14), 32]] = False
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 #: Bytes of text that one vectorised step handles; bounds the scratch memory of a Python worker.
@@ -68,13 +70,17 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
 
 
 class Words:
-    """The words of a string array: hash, row, byte range in the lower-cased bytes."""
+    """The words of a string array: hash, row, byte range.
 
-    def __init__(self, texts: pa.Array):
-        raw, offs = text_buffers(pc.utf8_lower(pc.fill_null(texts, "")))
+    By default words of the lower-cased texts; with `spaced`, the tokens between white space as they stand.
+    """
+
+    def __init__(self, texts: pa.Array, spaced: bool = False):
+        texts = pc.fill_null(texts, "")
+        raw, offs = text_buffers(texts if spaced else pc.utf8_lower(texts))
         n = len(raw)
         self.rows = len(offs) - 1
-        w = _WORD[raw]
+        w = _SOLID[raw] if spaced else _WORD[raw]
         first, last = w.copy(), w.copy()
         if n:
             first[1:] &= ~w[:-1]
@@ -83,16 +89,20 @@ class Words:
             first[inner] = w[inner]
             last[inner - 1] = w[inner - 1]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        power, inverse = _powers(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start])
+        power, self._inverse = _powers(n + 1)
+        self._sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:n], out=self._sums[1:])
+        self.hash = self.span(self.start, self.end)
         #: word index at which each row begins; the last entry is the number of words
         self.first = np.searchsorted(self.start, offs)
         self.counts = np.diff(self.first)
         self.row = np.repeat(np.arange(self.rows), self.counts)
         self.raw, self.offsets = raw, offs
 
+    def span(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte ranges."""
+        return mix((self._sums[end] - self._sums[start]) * self._inverse[start])
+
     def shingles(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, row, word position in the row) of every run of n words.
 

@@ -6,19 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ._tables import cut
+from .decontaminate import contaminated
+from .fingerprints import edited_with_next, near_classes
 from .jaccard_join import jaccard_join
+from .quality import fit_classifier
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return fit_classifier(docs, _table(spark, sf_dir, "labels")).score(docs)
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = cut(edited_with_next(_table(spark, sf_dir, "documents")))
+    return prints.drop("next_fingerprint").join(near_classes(prints.select("doc_id", "fingerprint")), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_jaccard_join,)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard_join, op5_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
