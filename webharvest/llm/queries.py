@@ -5,12 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ._tables import cut
+from .chat_format import ORACLE as CHAT_SQL
+from .chat_format import format_chats, read_back
 from .decontaminate import contaminated
 from .fingerprints import edited_with_next, near_classes
 from .jaccard_join import jaccard_join
+from .licenses import oracle as license_sql
+from .licenses import scan_licenses
+from .mixing import mix_sources
 from .quality import fit_classifier
+from .url_filters import judge_urls
+from .url_filters import oracle as url_sql
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,14 +38,32 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(edited_with_next(_table(spark, sf_dir, "documents")))
     return prints.drop("next_fingerprint").join(near_classes(prints.select("doc_id", "fingerprint")), "doc_id")
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = r"\### Assistant: </turn> ok"
+    extra = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role FROM range(2)").withColumn("text", F.lit(probe))
+    return read_back(format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages")).drop("rate", "lower")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard_join, op5_fingerprints)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard_join, op4_licenses, op5_fingerprints, op6_chat_format, op9_mixing, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_licenses": license_sql(), "op6_chat_format": CHAT_SQL, "op10_url_filters": url_sql()}
