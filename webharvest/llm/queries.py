@@ -16,7 +16,9 @@ from .jaccard_join import jaccard_join
 from .licenses import oracle as license_sql
 from .licenses import scan_licenses
 from .mixing import mix_sources
+from .pii import find_pii
 from .quality import fit_classifier
+from .token_counts import token_counts
 from .url_filters import judge_urls
 from .url_filters import oracle as url_sql
 
@@ -53,6 +55,23 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts before and after a deletion at a quarter, a replacement at a half and an insertion at three quarters of each text."""
+    n = F.length("text")
+    quarter, half, late = F.floor(n / 4).cast("int"), F.floor(n / 2).cast("int"), F.floor(3 * n / 4).cast("int")
+    head = F.substring("text", 1, 12)
+    edits = F.array(
+        F.struct(quarter.alias("start"), F.least(quarter + 7, half).alias("stop"), F.lit("").alias("text")),
+        F.struct(half.alias("start"), F.least(half + 10, late).alias("stop"), F.reverse(head).alias("text")),
+        F.struct(late.alias("start"), late.alias("stop"), head.alias("text")),
+    )
+    return token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -62,7 +81,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard_join, op4_licenses, op5_fingerprints, op6_chat_format, op9_mixing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard_join, op4_licenses, op5_fingerprints, op6_chat_format, op7_token_counts, op8_pii, op9_mixing, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
