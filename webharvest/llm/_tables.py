@@ -27,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written as a table in the shared folder and read again: lost executors cost no recomputation behind it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

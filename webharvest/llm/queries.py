@@ -46,7 +46,7 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = cut(edited_with_next(_table(spark, sf_dir, "documents")))
-    return prints.drop("next_fingerprint").join(near_classes(prints.select("doc_id", "fingerprint")), "doc_id")
+    return prints.join(near_classes(prints.select("doc_id", "fingerprint")), "doc_id")
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
