@@ -1,0 +1,65 @@
+"""Text functions as Column expressions."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPACES = " \t\n\r\x0b\x0c"
+# Chinese stopwords, matched as substrings.
+STOPWORDS_ZH = (
+    "的 一 不 在 人 有 是 为 以 于 上 他 而 后 之 来 及 了 因 下 可 到 由 这 与 也 此 但 并 个 其 已 无 小 我 们 起 最 再 今 去 好 只 又 或 很 亦 某 把 那 你 乃 它 吧 被 比 别 趁 当 从 到 得 打 凡 儿 尔 该 各 给 跟 和 何 还 即 几 既 看 据 距 靠 啦 了 "
+    "另 么 每 们 嘛 拿 哪 那 您 凭 且 却 让 仍 啥 如 若 使 谁 虽 随 同 所 她 哇 嗡 往 哪 些 向 沿 哟 用 于 咱 则 怎 曾 至 致 着 诸 自 為 於 後 這 與 並 個 無 們 當 從 兒 爾 該 給 還 幾 麼 憑 卻 讓 誰 雖 喲 則 諸 中共 中央 主席 习近平"
+).split()
+#: Default stopwords of spaced languages, a short list of function words; longer lists are a parameter.
+STOPWORDS = {
+    "en": "a an and are as at be by for from has he in is it of on or that the this to was were which with".split(),
+    "de": "auf das den der des die ein eine er es für im in ist mit nicht sich sie und von zu".split(),
+    "fr": "au avec ce dans de des du elle en est et la le les on par pas pour que qui sur un une".split(),
+    "es": "al con de del el en es la las los no para por que se su un una y".split(),
+}
+
+
+def remove_punctuation(text: Column) -> Column:
+    return F.translate(text, PUNCTUATION, "")
+
+
+def remove_spaces(text: Column) -> Column:
+    """Without any ASCII white space."""
+    return F.translate(text, SPACES, "")
+
+
+def normalise_lines(text: Column) -> Column:
+    """Blank lines to one CRLF, tabs and style blocks dropped, ends trimmed."""
+    out = F.regexp_replace(F.translate(text, "\t", ""), r"(?is)<style[^>]*>.*?</style>", "")
+    return F.regexp_replace(F.regexp_replace(out, r"[\r\n]\s*[\r\n]*", "\r\n"), r"^\s+|\s+$", "")
+
+
+def inner_trim(text: Column) -> Column:
+    """Runs of white space to one space, ends trimmed."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def word_count(text: Column, lang: str = "en") -> Column:
+    """Spaced languages: pieces between single white space characters; zh: characters."""
+    return F.length(text) if lang == "zh" else F.size(F.split(remove_punctuation(text), r"\s", -1))
+
+
+def stopword_count(text: Column, lang: str = "en", words: Sequence[str] | None = None) -> Column:
+    """Spaced languages: words that are stopwords; zh: different stopwords that occur in the text."""
+    if lang == "zh":
+        return F.size(F.filter(F.array(*[F.lit(w) for w in dict.fromkeys(words or STOPWORDS_ZH)]), lambda w: F.contains(text, w)))
+    known = F.array(*[F.lit(w) for w in (words or STOPWORDS.get(lang, STOPWORDS["en"]))])
+    return F.size(F.filter(F.split(F.lower(remove_punctuation(text)), r"\s", -1), lambda w: F.array_contains(known, w)))
+
+
+def stopwords_by_language(text: Column, lang: Column, lists: dict[str, Sequence[str]] | None = None) -> Column:
+    """Stopword count with the list of each row's language; an unknown language takes English."""
+    lists = {**STOPWORDS, "zh": STOPWORDS_ZH, **(lists or {})}
+    out = stopword_count(text, "en", lists["en"])
+    for name, words in lists.items():
+        out = F.when(F.lower(F.substring(lang, 1, 2)) == name, stopword_count(text, name, words)).otherwise(out)
+    return out
