@@ -209,11 +209,16 @@ def content_scores(pages: DataFrame, page: str = "page_id", nodes: str = "nodes"
     earlier sibling paragraphs has over five stopwords; among over 15 candidates the last quarter is lowered.
     """
     language = F.lit(lang) if isinstance(lang, str) else lang
-    flat = pages.select(page, language.alias("_lang"), F.col(nodes).alias("_nodes"), F.posexplode(_candidates(F.col(nodes))).alias("i", "n"))
-    links = F.filter("_nodes", lambda x: (x["tag"] == "a") & (x["order"] > F.col("n.order")) & (x["order"] <= F.col("n.last")))
-    joined = F.array_join(F.transform(links, lambda x: x["text"]), " ")
-    grand = F.get(F.filter("_nodes", lambda x: x["order"] == F.col("n.parent")), 0)["parent"]
-    rows = flat.select(page, "i", F.col("n.order").alias("order"), F.col("n.tag").alias("tag"), F.col("n.parent").alias("parent"), grand.alias("grand"), T.stopwords_by_language(F.col("n.text"), F.col("_lang"), lists).alias("stops"), F.when(F.col("n.text") == "", 0).otherwise(F.size(F.split("n.text", r"\s"))).alias("words"), F.when(joined == "", 0).otherwise(F.size(F.split(joined, r"\s"))).alias("link_words"), F.size(links).alias("links"))
+
+    def one(ns: Column, n: Column, i: Column) -> Column:
+        links = F.filter(ns, lambda x: (x["tag"] == "a") & (x["order"] > n["order"]) & (x["order"] <= n["last"]))
+        linked = F.transform(links, lambda x: x["text"])
+        grand = F.get(F.filter(ns, lambda x: x["order"] == n["parent"]), 0)["parent"]
+        return F.struct(i.alias("i"), n["order"].alias("order"), n["tag"].alias("tag"), n["parent"].alias("parent"), grand.alias("grand"), n["text"].alias("text"), F.array_join(linked, " ").alias("linked"), F.size(linked).alias("links"))
+
+    found = urls.let(F.col(nodes), lambda ns: F.transform(_candidates(ns), lambda n, i: one(ns, n, i)))
+    flat = pages.select(page, language.alias("_lang"), F.explode(found).alias("c")).select(page, "_lang", "c.*")
+    rows = flat.select(page, "i", "order", "tag", "parent", "grand", "links", T.stopwords_by_language(F.col("text"), F.col("_lang"), lists).alias("stops"), *[F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, r"\s"))).alias(n) for c, n in (("text", "words"), ("linked", "link_words"))])
     siblings = Window.partitionBy(page, "parent", F.col("tag") == "p").orderBy("order").rowsBetween(-3, -1)
     near = F.coalesce(F.max(F.when(F.col("tag") == "p", F.col("stops"))).over(siblings), F.lit(0))
     good = rows.withColumn("near", near).where((F.col("stops") > 2) & ~link_density(F.col("words"), F.col("link_words"), F.col("links")))
@@ -254,27 +259,36 @@ def inside(nodes: Column, top: Column) -> Column:
 
 def article_text(nodes: Column, top: Column, lang: str = "en") -> Column:
     """Paragraphs and list items of the content node joined by blank lines; link-dense and empty ones dropped, list items with a bullet."""
-    below = inside(nodes, top)
-    blocks = F.filter(below, lambda n: n["tag"].isin("p", "pre", "li", "h2", "h3", "h4", "blockquote") & (n["text"] != ""))
 
-    def dense(n: Column) -> Column:
+    def dense(below: Column, n: Column) -> Column:
         links = F.filter(below, lambda a: (a["tag"] == "a") & (a["order"] > n["order"]) & (a["order"] <= n["last"]))
-        words = F.size(F.split(n["text"], r"\s"))
-        link_words = F.aggregate(links, F.lit(0), lambda s, a: s + F.when(a["text"] == "", 0).otherwise(F.size(F.split(a["text"], r"\s"))))
-        return link_density(words, link_words, F.size(links))
+        linked = F.array_join(F.transform(links, lambda a: a["text"]), " ")
+        return urls.let(F.struct(linked.alias("t"), F.size(links).alias("n")), lambda x: link_density(F.size(F.split(n["text"], r"\s")), F.when(x["t"] == "", 0).otherwise(F.size(F.split(x["t"], r"\s"))), x["n"]))
+
+    def written(kept: Column) -> Column:
+        outer = F.filter(kept, lambda n: ~F.exists(kept, lambda m: (m["order"] < n["order"]) & (m["last"] >= n["order"])))
+        return F.array_join(F.transform(outer, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])), "\n\n")
+
+    def kept(below: Column) -> Column:
+        return F.filter(below, lambda n: n["tag"].isin("p", "pre", "li", "h2", "h3", "h4", "blockquote") & (n["text"] != "") & ~dense(below, n))
 
-    kept = F.filter(blocks, lambda n: ~dense(n))
-    outer = F.filter(kept, lambda n: ~F.exists(kept, lambda m: (m["order"] < n["order"]) & (m["last"] >= n["order"])))
-    return F.array_join(F.transform(outer, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])), "\n\n")
+    return urls.let(urls.let(inside(nodes, top), kept), written)
 
 
 def sibling_text(nodes: Column, top: Column, lang: str = "en", share: float = 0.30) -> Column:
     """Paragraphs beside the content node whose stopwords exceed `share` of the mean of its own paragraphs, array of texts in order."""
-    node = F.get(F.filter(nodes, lambda n: n["order"] == top), 0)
-    own = F.transform(tags(inside(nodes, top), "p"), lambda n: T.stopword_count(n["text"], lang))
-    mean = F.when(F.size(own) > 0, F.aggregate(own, F.lit(0), lambda s, x: s + x) / F.size(own)).otherwise(F.lit(0.0))
-    beside = F.filter(tags(clean_nodes(nodes), "p"), lambda n: (n["parent"] == node["parent"]) & (n["order"] < top))
-    return F.transform(F.filter(beside, lambda n: T.stopword_count(n["text"], lang) > mean * share), lambda n: n["text"])
+
+    def recovered(x: Column) -> Column:
+        mean = F.when(F.size(x["own"]) > 0, F.aggregate(x["own"], F.lit(0), lambda s, v: s + v) / F.size(x["own"])).otherwise(F.lit(0.0))
+        return urls.let(mean, lambda m: F.transform(F.filter(x["beside"], lambda n: T.stopword_count(n["text"], lang) > m * share), lambda n: n["text"]))
+
+    def parts(ns: Column) -> Column:
+        own = F.transform(tags(inside(ns, top), "p"), lambda n: T.stopword_count(n["text"], lang))
+        parent = F.get(F.filter(ns, lambda n: n["order"] == top), 0)["parent"]
+        beside = urls.let(parent, lambda p: F.filter(tags(clean_nodes(ns), "p"), lambda n: (n["parent"] == p) & (n["order"] < top)))
+        return F.struct(own.alias("own"), beside.alias("beside"))
+
+    return urls.let(urls.let(nodes, parts), recovered)
 
 
 def tag_texts(nodes: Column) -> Column:

@@ -97,7 +97,7 @@ def h13_link_density(spark, d):
 
 @query()
 def h14_best_node(spark, d):
-    return H.best_nodes(nodes(spark, d), lang=H.metas(F.col("nodes"), F.col("url"))["lang"])
+    return H.best_nodes(nodes(spark, d).withColumn("m", H.metas(F.col("nodes"), F.col("url"))), lang=F.col("m.lang"))
 
 
 @query("SELECT page_id, contains(html, '<article') AS has_article FROM pages")
@@ -107,14 +107,14 @@ def h15_known_container(spark, d):
 
 @query()
 def h16_siblings(spark, d):
-    first = F.get(tags(H.clean_nodes(F.col("nodes")), "p"), 2)["order"]
-    return nodes(spark, d).select("page_id", F.size(H.sibling_text(F.col("nodes"), first)).alias("recovered"))
+    third = nodes(spark, d).withColumn("third", F.get(tags(H.clean_nodes(F.col("nodes")), "p"), 2)["order"])
+    return third.select("page_id", F.size(H.sibling_text(F.col("nodes"), F.col("third"))).alias("recovered"))
 
 
 @query()
 def h17_article_text(spark, d):
-    top = H.known_container(F.col("nodes"), F.col("url"))
-    return nodes(spark, d).select("page_id", H.article_text(F.col("nodes"), top).alias("content"))
+    rows = nodes(spark, d).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
+    return rows.select("page_id", H.article_text(F.col("nodes"), F.col("top")).alias("content"))
 
 
 @query("SELECT page_id, 2 AS n_tags FROM pages")
@@ -125,7 +125,8 @@ def h18_tags(spark, d):
 
 @query()
 def h19_content_links(spark, d):
-    return nodes(spark, d).select("page_id", F.size(H.content_links(F.col("nodes"), H.known_container(F.col("nodes"), F.col("url")))).alias("links"))
+    rows = nodes(spark, d).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
+    return rows.select("page_id", F.size(H.content_links(F.col("nodes"), F.col("top"))).alias("links"))
 
 
 @query("SELECT page_id, 1 AS tweets, 'youtube' AS provider, 640 AS width FROM pages")
