@@ -164,7 +164,7 @@ def j1_json_rule(spark, d):
     return J.json_rule(wrapped, "body", {"filter": "$.data", "item": {"k": "$.k"}}).select("event_id", "k")
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs FROM pages")
+@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs FROM pages")
 def j2_regex_rule(spark, d):
     h = F.col("html")
     return table(spark, d, "pages").select("page_id", J.regex_rule(h, "@reg:<title>[t]</title>").alias("title"), F.size(J.regex_rule(h, "@reg:<p>", many=True)).alias("paragraphs"))
@@ -198,7 +198,7 @@ def j7_columns_to_rows(spark, d):
     return grouped.select("o_custkey", F.explode(rows).alias("r")).select("o_custkey", "r.k", "r.s")
 
 
-@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS raw, 'x' AS kind FROM pages")
+@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS raw, 'x' AS kind FROM pages")
 def j8_custom_rules(spark, d):
     rules = {"raw": {"filter": "@reg:<title>[t]</title>"}, "kind": {"filter": "@value:x"}}
     return J.custom_rules(table(spark, d, "pages"), rules).select("page_id", "raw", "kind")
