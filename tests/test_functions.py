@@ -107,3 +107,15 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [tuple(r) for r in spark.table("history").collect()] == [(1, [1, 2])]
+
+
+def test_partitioned_tables(spark, tmp_path):
+    from webharvest.sources import tables as S
+
+    rows = spark.createDataFrame([("a", NOW), ("b", NOW + 40 * 86400), ("c", NOW + 3)], "acid string, ctime long")
+    S.write_table(S.conform(rows, "articles"), str(tmp_path / "articles"), "articles")
+    assert {p.name for p in (tmp_path / "articles").glob("ym=*")} == {"ym=199601", "ym=199602"}
+    assert {r.acid for r in S.read_months(spark, str(tmp_path / "articles"), "articles", NOW, NOW + 86400).collect()} == {"a", "c"}
+    seen = spark.createDataFrame([("aa", 1), ("b1", 2)], "unid string, ctime long")
+    S.write_table(seen, str(tmp_path / "unique"), "unique")
+    assert [tuple(r) for r in S.seen_of(spark, str(tmp_path / "unique"), seen.where("unid = 'b1'")).collect()] == [("b1", 2)]

@@ -15,6 +15,7 @@ FREQUENCIES = {"0": 0, "1": 300, "2": 600, "3": 1800, "4": 7200, "5": 28800, "6"
 DEFAULT_FREQUENCY = "6"
 SLICE = 100
 RUNS_KEPT = 10
+SPREAD = 32
 
 
 def frequency_seconds(code: Column) -> Column:
@@ -200,17 +201,23 @@ def _with_frequency(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return urls.withColumnRenamed("uuid", "uid").join(rules.select(F.col("uuid").alias("ruleId"), "frequency"), "ruleId", "left")
 
 
+def _with_each(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
+    """Every row with every one of the others, which are repeated for each of SPREAD deals of the rows."""
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int"))
+    repeated = others.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    return dealt.join(repeated, "_deal").drop("_deal")
+
+
 def new_search_tasks_by_url(urls: DataFrame, keywords: DataFrame, tasks: DataFrame, rules: DataFrame, mode: str, now: int) -> DataFrame:
     """url x its keywords (those of its task and the global ones, tid 0 or NULL) for urls without any task in this mode.
 
-    The keywords of a task are an equality join; the global keywords, which every url needs, are repeated by
-    each url as an array, so no join without a key is made.
+    The keywords of a task are an equality join; the global keywords, which every url needs, are repeated for
+    each of SPREAD deals of the urls, so the pairs are made in as many tasks.
     """
     fresh = _with_frequency(urls, rules).join(tasks.where(F.col("mode") == mode).select("uid"), "uid", "left_anti")
     words = keywords.select(F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"), F.col("expire").alias("word_expire"))
     own = fresh.join(words.where(F.coalesce("word_tid", F.lit(0)) != 0), F.col("tid") == F.col("word_tid"))
-    everywhere = words.where(F.coalesce("word_tid", F.lit(0)) == 0).withColumn("_all", F.lit(1))
-    shared = fresh.withColumn("_all", F.lit(1)).join(F.broadcast(everywhere), "_all").drop("_all")  # every url needs every global keyword
+    shared = _with_each(fresh, words.where(F.coalesce("word_tid", F.lit(0)) == 0), "uid")
     return _search_rows(own.unionByName(shared, allowMissingColumns=True), mode, now)
 
 
@@ -219,8 +226,7 @@ def new_search_tasks_by_keyword(keywords: DataFrame, task_types: DataFrame, urls
     words = keywords.select(F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"), F.col("expire").alias("word_expire"))
     known = task_types.select("tid").distinct()
     reached = words.where(F.coalesce("word_tid", F.lit(0)) != 0).withColumn("tid", F.col("word_tid")).join(known, "tid", "left_semi")
-    everywhere = words.where(F.coalesce("word_tid", F.lit(0)) == 0).withColumn("_all", F.lit(1))
-    reached = reached.unionByName(known.withColumn("_all", F.lit(1)).join(everywhere, "_all").drop("_all"))
+    reached = reached.unionByName(_with_each(known, words.where(F.coalesce("word_tid", F.lit(0)) == 0), "tid"))
     pairs = _with_frequency(urls, rules).join(reached, "tid")
     return _search_rows(pairs.join(tasks.where(F.col("mode") == mode).select("uid", "kid"), ["uid", "kid"], "left_anti"), mode, now)
 
