@@ -9,13 +9,13 @@ from ..functions import text as T
 from ..functions.nodes import attr, by_attr, decode_page, html_nodes, tags
 from ..operators import extract as H
 from ..operators import rules as J
-from .registry import NOW, query, table
+from .registry import NOW, query, spread, table
 from .url_queries import DOMAIN, SUB
 
 
 def nodes(spark, d) -> DataFrame:
     """pages with their nodes, parsed once."""
-    return table(spark, d, "pages").withColumn("nodes", html_nodes("html"))
+    return spread(table(spark, d, "pages")).withColumn("nodes", html_nodes("html"))
 
 
 ANCHORS = r"""(SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS title FROM pages)"""

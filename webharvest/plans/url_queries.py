@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text, times, urls
-from .registry import NOW, query, table
+from .registry import NOW, query, spread, table
 
 HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1))"
 DOMAIN = rf"regexp_extract({HOST}, '([^.]+\.[^.]+)$', 1)"
@@ -153,7 +153,7 @@ def _counts(lang: str) -> str:
 
 @query(f"SELECT doc_id, len(string_split_regex(regexp_replace(text, '[[:punct:]]', '', 'g'), '[ \\t\\n\\r\\f\\x0b]'))::INT AS words, (CASE lang WHEN 'de' THEN {_counts('de')} WHEN 'fr' THEN {_counts('fr')} WHEN 'es' THEN {_counts('es')} ELSE {_counts('en')} END)::INT AS stopwords FROM documents")
 def x3_stopwords(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.word_count(F.col("text")).alias("words"), text.stopwords_by_language(F.col("text"), F.col("lang")).alias("stopwords"))
+    return spread(table(spark, d, "documents")).select("doc_id", text.word_count(F.col("text")).alias("words"), text.stopwords_by_language(F.col("text"), F.col("lang")).alias("stopwords"))
 
 
 @query("""WITH o AS (SELECT o_orderkey, o_orderdate::DATE AS day, epoch(o_orderdate::DATE::TIMESTAMP)::BIGINT AS t FROM orders)
@@ -165,7 +165,7 @@ def x4_parse_dates(spark, d):
     def at(form, tail=""):
         return times.parse_date(F.concat(F.date_format(day, form), F.lit(tail)), NOW)
 
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders")).select(
         "o_orderkey", at("yyyy-M-d").alias("dashed"), at("yyyy/MM/dd").alias("slashed"), at("yyyy年M月d日").alias("chinese"), at("yyyy-MM-dd", " 03:04:05").alias("timed"), at("yyyy-MM-dd", "T03:04:05+08:00").alias("zoned"),
         times.parse_date(F.concat(F.date_format(day, "MMM dd"), F.lit(" 03:04 "), F.date_format(day, "yyyy")), NOW).alias("english"),
         times.parse_date(F.concat(n, F.lit("天前")), NOW).alias("days_ago"), times.parse_date(F.concat(n, F.lit("分钟前")), NOW).alias("minutes_ago"), at("yy-M-d").alias("two_digit"),
