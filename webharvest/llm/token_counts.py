@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAF = 32
-#: Pieces whose token counts a worker remembers; beyond it the memory is emptied.
+#: Pieces whose token counts a worker remembers, beyond which the memory is emptied, and the longest such piece.
 MEMORY = 400_000
+LONGEST = 64
 EDITS = "array<struct<start:int,stop:int,text:string>>"
 
 
@@ -46,7 +47,8 @@ class Counter:
             n = known.get(p)
             if n is None:
                 n = len(self.encoding.encode_ordinary(p)) if len(p) > 1 or not p.isascii() else 1
-                known[p] = n
+                if len(p) <= LONGEST:
+                    known[p] = n
             out.append(n)
         return out
 
