@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from webharvest.functions import nodes, patterns, times, urls
 from webharvest.operators import articles as A
 from webharvest.operators import dedupe as D
+from webharvest.operators import extract as H
 from webharvest.operators import frontier as P
 from webharvest.operators import query as Q
 from webharvest.operators import rules as J
@@ -64,6 +65,34 @@ def test_html_repair():
         nodes.compile_xpath("//a[position()<3]")
 
 
+PAGE = """<html><head><title>River rises - Example</title><meta property="og:title" content="River rises - Example">
+<meta property="og:site_name" content="Example"><meta property="og:type" content="article"><meta property="article:section" content="News">
+<script type="application/ld+json">{"@type":"ReportageNewsArticle","headline":"Other"}</script></head>
+<body><a href="/list">All</a><a href="/list">Again</a><a href="http://blog.example.com/">Blog</a><a href="http://other.org/x">Out</a><a href="#top">Top</a>
+<article><p>The river is high and the town is wet.</p><ul><li>one thing</li></ul><p><a href="/a">only</a> <a href="/b">links</a></p></article></body></html>"""
+
+
+def test_page_extraction(spark):
+    url = "http://www.example.com/news/1.html"
+    pages = spark.createDataFrame([(1, url, PAGE), (2, url, None)], "page_id long, url string, html string").withColumn("nodes", nodes.html_nodes("html"))
+    n, at = F.col("nodes"), F.col("url")
+    top = F.get(F.filter(n, lambda x: x["tag"] == "article"), 0)["order"]
+    got, empty = pages.select(
+        H.raw_title(n, at).alias("raw"), H.clean_title(H.raw_title(n, at), n, at).alias("title"), H.open_graph(n).alias("og"), F.get_json_object(H.json_ld(n), "$.headline").alias("ld"),
+        H.article_text(n, top).alias("content"), H.content_links(n, top).alias("links"), "page_id",
+    ).orderBy("page_id").collect()
+    assert (got.raw, got.title, got.ld) == ("River rises - Example", "River rises", "Other")
+    assert got.og == {"title": "River rises - Example", "site_name": "Example", "type": "article", "article:section": "News"}
+    assert got.content == "The river is high and the town is wet.\n\n• one thing" and got.links == ["/a", "/b"]
+    assert (empty.raw, empty.ld) == (None, None)
+    links = H.page_links(pages)
+    same_host, same_domain = H.link_class(F.col("link"), F.col("page_url"))
+    rows = {r.link: (r.title, r.h, r.d) for r in links.select("link", "title", same_host.alias("h"), same_domain.alias("d")).collect()}
+    home = "http://www.example.com"
+    assert rows == {home + "/list": ("All", True, True), home + "/a": ("only", True, True), home + "/b": ("links", True, True), "http://blog.example.com/": ("Blog", False, True), "http://other.org/x": ("Out", False, False)}
+    assert {(r.link, r.title) for r in H.subdomain_sites(links).where("not link like '%www%'").collect()} == {("http://blog.example.com", "Blog")}
+
+
 def test_json_rules(spark):
     text = '{"key1":["value11","value12","value13"],"key2":[{"key21":"value211","key22":"value212"},{"key21":"value221","key22":"value222"}],"key3":[{"key31":[{"key311":"value311","key312":"value312"}]}]}'
     df = spark.createDataFrame([(text,), ("cb(" + text + ")",), (None,)], "t string")
