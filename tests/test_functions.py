@@ -93,6 +93,16 @@ def test_page_extraction(spark):
     assert {(r.link, r.title) for r in H.subdomain_sites(links).where("not link like '%www%'").collect()} == {("http://blog.example.com", "Blog")}
 
 
+def test_authors_and_list_links(spark):
+    marked = '<b itemprop="author">Jo Lindt</b><b itemprop="author">Al</b><a href="javascript:go()">J</a><a href="/x#y">H</a><a href="/plain">P</a>'
+    rows = [(1, marked), (2, "<p> 来源：Daily</p>"), (3, "<p>none</p>"), (4, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("nodes", nodes.html_nodes("html"))
+    n, at = F.col("nodes"), F.lit("http://www.example.com/")
+    got = pages.select("page_id", H.item_author(H.authors(n, F.col("html"), at)).alias("author"), F.transform(H.list_links(n, at), lambda x: x["url"]).alias("links")).orderBy("page_id").collect()
+    assert [r.author for r in got] == ["Al", "Daily", None, None]
+    assert [r.links for r in got] == [["/plain"], [], [], []]
+
+
 def test_json_rules(spark):
     text = '{"key1":["value11","value12","value13"],"key2":[{"key21":"value211","key22":"value212"},{"key21":"value221","key22":"value222"}],"key3":[{"key31":[{"key311":"value311","key312":"value312"}]}]}'
     df = spark.createDataFrame([(text,), ("cb(" + text + ")",), (None,)], "t string")
