@@ -126,6 +126,19 @@ def test_fingerprints(spark):
     assert edited_with_next(documents(spark, [])).count() == 0
 
 
+def test_near_copies_behind_a_shared_header(spark):
+    header = prose(190, 1)[:1100]
+    texts = [header + prose(100, 2)[:550]]
+    for k in range(3, 9):
+        tail = prose(100, k)[:550]
+        texts += [header + tail, header + tail[:480] + "edited" + tail[486:], header + tail[:520] + "other" + tail[525:]]
+    marks = fingerprints(pa.array(texts))
+    assert all(likeness(marks[0], x) < 0.8 for x in marks[1:]) and likeness(marks[1], marks[2]) > 0.9
+    for block in (1024, 4):
+        got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(list(enumerate(marks)), "doc_id long, fingerprint string"), block=block).collect()}
+        assert got == {0: 0} | {k: k - (k - 1) % 3 for k in range(1, len(texts))}
+
+
 def test_chat_round_trip(spark):
     odd = ["", None, "\\### Assistant: </turn> ok", "<turn role=\"user\" esc=\"0\">", "\\l\\b<\\", "a\nb", "</turn", "😀"]
     rows = [(k % 3, n, r, t) for n, t in enumerate(odd) for k, r in enumerate(["user", "assistant", None, 'x">\\q'])] + [(9, 0, "user", "hi"), (9, 0, "user", "hi"), (None, None, "assistant", "z")]

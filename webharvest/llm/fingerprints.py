@@ -138,12 +138,59 @@ def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(make, "doc_id long, fingerprint string")
 
 
-def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 4, width: int = 8) -> DataFrame:
+def _unlike_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between classes, from rows (bucket, i, j, block, class_id, fingerprint) sorted by cell (bucket, i, j).
+
+    A row is compared with the rows of the cell's other block, in a cell of one block with all its rows, unless
+    their classes are linked already; a fingerprint too short or long to be like it by length alone is passed over.
+    """
+
+    def links(block: np.ndarray, classes: np.ndarray, texts: list[str]) -> list[tuple[int, int]]:
+        size = np.array([len(x) for x in texts])
+        order = np.argsort(size, kind="stable")
+        block, classes, size = block[order], classes[order], size[order]
+        digits = np.zeros((len(size), size[-1]), np.uint8)
+        for k, row in enumerate(order):
+            digits[k, : size[k]] = np.frombuffer(texts[row].encode(), np.uint8)
+        weight = _weights(int(size[-1]))
+        steps_of = np.concatenate([[0.0], np.cumsum(weight)])[size]
+        root, out, one = classes.copy(), [], bool((block == block[0]).all())
+        for k in range(1, len(size)):
+            from_row = int(np.searchsorted(steps_of, steps_of[k] * (threshold * (1 - _CHANCE) + _CHANCE) * (1 - 1e-9)))
+            while True:  # until no row of another class is like row k
+                at = from_row + np.flatnonzero((root[from_row:k] != root[k]) & (one | (block[from_row:k] != block[k])))
+                share = ((digits[at, : size[k]] == digits[k, : size[k]]) @ weight[: size[k]]) / steps_of[k]
+                like = at[np.maximum(0.0, (share - _CHANCE) / (1 - _CHANCE)) >= threshold]
+                if not len(like):
+                    break
+                out.append((int(root[k]), int(root[like[0]])))
+                root[root == root[like[0]]] = root[k]
+        return out
+
+    held: list[tuple] = []
+
+    def finish() -> pa.RecordBatch:
+        found = links(np.array([r[1] for r in held]), np.array([r[2] for r in held], np.int64), [r[3] for r in held])
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(zip(*(batch.column(k).to_pylist() for k in range(3))), *(batch.column(k).to_pylist() for k in range(3, 6))):
+            if held and held[0][0] != row[0]:
+                yield finish()
+                held = []
+            held.append(row)
+    if held:
+        yield finish()
+
+
+def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 4, width: int = 8, block: int = 1024) -> DataFrame:
     """(doc_id, class_id) of `prints` (doc_id, fingerprint): groups linked by likeness, class_id the least doc_id.
 
     Each band samples `width` digits of a fingerprint's last two octaves, where most of its steps are.  Rows of
-    equal fingerprints are one from the start; in a bucket every row is verified against the bucket's first
-    row, so a bucket of n rows costs n comparisons and needs no limit.
+    equal fingerprints are one from the start; in a bucket every row is first verified against the bucket's first
+    row.  Rows of a bucket that are in different classes after that are compared in pairs, so that no pair of a
+    bucket is left that could link two classes.  A bucket of n rows costs n comparisons if all are of one class;
+    otherwise its rows outside its largest class are compared with all others, in cells of two blocks of `block` rows.
     """
     keys = [F.xxhash64("fingerprint").alias("k1"), F.xxhash64(F.lit("second"), "fingerprint").alias("k2")]
     owners = cut(prints.groupBy(*keys).agg(F.min("doc_id").alias("doc_id")))
@@ -177,7 +224,20 @@ def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 4, w
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     linked = sides.select(F.col("doc_id").alias("a"), F.col("head").alias("b"), "fingerprint", "other").mapInArrow(verify, "a long, b long")
-    classes = components(linked)
+    first = cut(components(linked))
+    members = cut(spread.join(heads.select("bucket"), "bucket").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    sizes = members.groupBy("bucket", "class_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"), F.expr("bit_xor(xxhash64(7, doc_id))").alias("x"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class_id")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("classes"), F.sum("s").alias("s"), F.expr("bit_xor(x)").alias("x")).where("classes > 1 and n > 2")
+    mixed = mixed.groupBy("n", "s", "x").agg(F.min(F.struct("bucket", "top")).alias("b"))  # buckets of the same rows are one
+    mixed = mixed.select("b.bucket", F.col("b.top.class_id").alias("core"), F.ceil((F.col("n") - F.col("b.top.n")) / block).cast("int").alias("rest_blocks"), F.ceil(F.col("b.top.n") / block).cast("int").alias("core_blocks"))
+    rest = F.col("class_id") != F.col("core")
+    mine = F.when(rest, F.pmod(F.xxhash64("doc_id"), "rest_blocks")).otherwise(F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), "core_blocks")).cast("int")
+    others = F.sequence(F.lit(0), F.when(rest, F.col("rest_blocks") + F.col("core_blocks") - 1).otherwise(F.col("rest_blocks") - 1))
+    cells = members.join(mixed, "bucket").select("bucket", "doc_id", "class_id", mine.alias("block"), F.explode(others).alias("other"))
+    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "doc_id").join(near, "doc_id")
+    cells = cells.select("bucket", "i", "j", "block", "class_id", "fingerprint").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    second = components(cells.mapInArrow(lambda batches: _unlike_links(batches, threshold), "a long, b long"))
+    classes = first.join(second.select(F.col("node").alias("class_id"), F.col("class_id").alias("joined")), "class_id", "full").select(F.coalesce("node", "class_id").alias("node"), F.coalesce("joined", "class_id").alias("class_id"))
     top = owners.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"))
     return prints.select("doc_id", *keys).join(top, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
