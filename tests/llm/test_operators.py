@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from webharvest.llm import pii
 from webharvest.llm.chat_format import format_chats, loss_spans, read_back
 from webharvest.llm.decontaminate import align, contaminated, decontaminate
-from webharvest.llm.fingerprints import edited_with_next, fingerprints, likeness, near_classes
+from webharvest.llm.fingerprints import PER_OCTAVE, edited_with_next, fingerprints, likeness, near_classes
 from webharvest.llm.jaccard_join import jaccard_join, run_recall, runs_for
 from webharvest.llm.licenses import scan_licenses
 from webharvest.llm.mixing import mix_sources
@@ -139,6 +139,30 @@ def test_near_copies_behind_a_shared_header(spark):
         assert got == {0: 0} | {k: k - (k - 1) % 3 for k in range(1, len(texts))}
 
 
+def test_near_classes_recall(spark):
+    """Every pair at or over the threshold is joined: edited copies, and copies on two sides of an octave border."""
+    r, pairs = random.Random(9), []
+    for k in range(400):
+        words = prose(r.randrange(100, 400), 1000 + k).split()
+        edited = list(words)
+        for _ in range(max(1, int(len(words) * r.uniform(0.02, 0.06)))):
+            edited[r.randrange(len(words))] = prose(1, r.random())
+        pairs.append((" ".join(words), " ".join(edited)))
+    for k in range(60):
+        text = prose(200, 2000 + k)
+        at = next(c for c, x in zip(range(900, 1200, 4), fingerprints(pa.array([text[:c] for c in range(900, 1200, 4)]))) if len(x) > (12 - PER_OCTAVE.bit_length() + 1) * PER_OCTAVE)
+        longer, shorter = text[: at + 10], text[: at - 10]
+        spot = r.randrange(600, 800)
+        pairs.append((longer, shorter[:spot] + "edited" + shorter[spot:]))
+    a, b = (fingerprints(pa.array(side)) for side in zip(*pairs))
+    border = sum((len(x) - 1) // PER_OCTAVE != (len(y) - 1) // PER_OCTAVE for x, y in zip(a, b))
+    like = [k for k in range(len(pairs)) if likeness(a[k], b[k]) >= 0.8]
+    assert border > 20 and len(like) > 200
+    rows = [(2 * k, a[k]) for k in range(len(a))] + [(2 * k + 1, b[k]) for k in range(len(b))]
+    got = {x.doc_id: x.class_id for x in near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert [k for k in like if got[2 * k] != got[2 * k + 1]] == []
+
+
 def test_chat_round_trip(spark):
     odd = ["", None, "\\### Assistant: </turn> ok", "<turn role=\"user\" esc=\"0\">", "\\l\\b<\\", "a\nb", "</turn", "😀"]
     rows = [(k % 3, n, r, t) for n, t in enumerate(odd) for k, r in enumerate(["user", "assistant", None, 'x">\\q'])] + [(9, 0, "user", "hi"), (9, 0, "user", "hi"), (None, None, "assistant", "z")]

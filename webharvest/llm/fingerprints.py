@@ -3,7 +3,7 @@
 All texts walk over their characters with the same random bits: at step j the walk writes the character it
 stands on and moves on if bit (j, character) is set.  Texts at a small edit distance fall into step again soon
 after each edit, so their walks agree at most steps: edit distance becomes Hamming distance.  A fingerprint is
-a fixed sample of the steps, 32 positions from each doubling of the step number, one hex digit each, so short
+a fixed sample of the steps, 64 positions from each doubling of the step number, one hex digit each, so short
 and long texts share positions and the sample covers the whole text.
 
 Likeness is the share of agreeing steps, each sample weighted by the steps it stands for, corrected for chance
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from ._tables import components, cut
 from ._words import mix, steps, text_buffers
 
-#: Samples in each interval [2^k, 2^(k+1)) of steps; below 32 steps every step is sampled.
-PER_OCTAVE = 32
+#: Samples in each interval [2^k, 2^(k+1)) of steps; below 64 steps every step is sampled.
+PER_OCTAVE = 64
 _U = np.uint64
 _CHANCE = 1 / 16
 
@@ -183,10 +183,11 @@ def _unlike_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
         yield finish()
 
 
-def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 4, width: int = 8, block: int = 1024) -> DataFrame:
+def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 12, width: int = 8, block: int = 1024) -> DataFrame:
     """(doc_id, class_id) of `prints` (doc_id, fingerprint): groups linked by likeness, class_id the least doc_id.
 
-    Each band samples `width` digits of a fingerprint's last two octaves, where most of its steps are.  Rows of
+    Each band samples `width` digits of each of a fingerprint's last three octaves, where most of its steps are;
+    so texts on two sides of an octave border have two octaves in common.  Rows of
     equal fingerprints are one from the start; in a bucket every row is first verified against the bucket's first
     row.  Rows of a bucket that are in different classes after that are compared in pairs, so that no pair of a
     bucket is left that could link two classes.  A bucket of n rows costs n comparisons if all are of one class;
@@ -202,7 +203,7 @@ def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 4, w
             keys, rows = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
                 last = (len(text) - 1) // PER_OCTAVE
-                for octave in {max(0, last - 1), max(0, last - 2)}:  # the last whole octave; it may be missing in a slightly shorter text
+                for octave in {max(0, last - back) for back in range(3)}:  # the last may be short, or missing in a slightly shorter text
                     if octave not in picks:
                         at = mix(np.arange(bands * width, dtype=_U) + _U(octave * 1000)) % _U(PER_OCTAVE)
                         picks[octave] = (at.astype(np.int64) + octave * PER_OCTAVE).reshape(bands, width).tolist()
@@ -212,9 +213,10 @@ def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 4, w
                         rows.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["bucket", "doc_id"])
 
-    spread = cut(own.where("fingerprint <> ''").mapInArrow(cast, "bucket long, doc_id long"))
+    spread = own.where("fingerprint <> ''").mapInArrow(cast, "bucket long, doc_id long").repartition("bucket")  # dealt once, for the heads and for their join
     heads = spread.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = cut(spread.join(heads, "bucket").where("doc_id <> head").select("doc_id", "head").distinct())
+    shared = cut(spread.join(heads.hint("shuffle_hash"), "bucket").select("bucket", "doc_id", "head"))  # rows of buckets of more than one row
+    pairs = cut(shared.where("doc_id <> head").select("doc_id", "head").distinct())
     near = cut(own.join(pairs.select("doc_id").union(pairs.select("head")).distinct(), "doc_id", "left_semi"))
     sides = pairs.join(near, "doc_id").join(near.select(F.col("doc_id").alias("head"), F.col("fingerprint").alias("other")), "head")
 
@@ -225,7 +227,7 @@ def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 4, w
 
     linked = sides.select(F.col("doc_id").alias("a"), F.col("head").alias("b"), "fingerprint", "other").mapInArrow(verify, "a long, b long")
     first = cut(components(linked))
-    members = cut(spread.join(heads.select("bucket"), "bucket").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    members = cut(shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
     sizes = members.groupBy("bucket", "class_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"), F.expr("bit_xor(xxhash64(7, doc_id))").alias("x"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class_id")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("classes"), F.sum("s").alias("s"), F.expr("bit_xor(x)").alias("x")).where("classes > 1 and n > 2")
     mixed = mixed.groupBy("n", "s", "x").agg(F.min(F.struct("bucket", "top")).alias("b"))  # buckets of the same rows are one
