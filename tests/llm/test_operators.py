@@ -16,7 +16,7 @@ from webharvest.llm.chat_format import format_chats, loss_spans, read_back
 from webharvest.llm.decontaminate import align, contaminated, decontaminate
 from webharvest.llm.fingerprints import PER_OCTAVE, edited_with_next, fingerprints, likeness, near_classes
 from webharvest.llm.jaccard_join import jaccard_join, run_recall, runs_for
-from webharvest.llm.licenses import scan_licenses
+from webharvest.llm.licenses import TEXTS, scan_licenses
 from webharvest.llm.mixing import mix_sources
 from webharvest.llm.quality import fit_classifier, label_model
 from webharvest.llm.token_counts import RANKS, Counter, TokenTree, token_counts
@@ -249,6 +249,13 @@ def test_licenses(spark):
     assert got[20] == ("MIT", "MIT") and got[21] == (None, "MIT") and got[22] == (None, "") and got[1] == (None, "")
 
 
+def test_license_collection(spark):
+    gpl, bsd = ((TEXTS / f"{x}.txt").read_text() for x in ("GPL-3.0", "BSD-3-Clause"))
+    texts = [gpl, "Copyright (c) 2020 A. B.\n\n" + bsd.replace(" HOLDERS", "\nHOLDERS"), "a\nSPDX-License-Identifier: MPL-2.0\nb", "a\nThis software is released under the GNU General Public License v2\nb\nLicensed under CC BY-SA 4.0", "a\nsee the license\nb"]
+    got = {r.doc_id: (r.license, r.notices) for r in scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
+    assert got[0][0] == "GPL-3.0" and got[1][0] == "BSD-3-Clause" and got[2] == (None, "MPL-2.0") and got[3] == (None, "CC-BY-SA-4.0,GPL-2.0") and got[4] == (None, "")
+
+
 def test_url_filters(spark):
     rows = [(1, "http://A.Example.COM/en/7?x", "ok"), (2, "x://net/de/", "ok"), (3, None, None), (4, "nothing", "ok"), (5, "http://b.example.org#f", "ok")] + [(k, "http://bad.zone/p", "!! " * 50) for k in range(10, 40)]
     got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}

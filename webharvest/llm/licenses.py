@@ -6,6 +6,8 @@ text, and of each entire line, is hash-joined to the digests of known licence te
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _0BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
 
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
-#: (licence, text): known whole texts and notices; a parameter, so a larger collection can be given as a table.
+#: (licence, text): the known whole texts and notices of the SQL; scan_licenses takes collection(), which adds to them.
 KNOWN = (
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", _MIT),
@@ -28,12 +30,50 @@ KNOWN = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
+#: Standard licence texts, a file each: <licence>.txt, or <licence>.<variant>.txt.
+TEXTS = Path(__file__).parent / "known_licenses"
+#: Names of licences in notices.
+NAMES = {
+    "MIT": ("MIT License", "MIT"), "0BSD": ("Zero-Clause BSD License", "BSD Zero Clause License"), "ISC": ("ISC License",), "Unlicense": ("Unlicense",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"), "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"),
+    "Artistic-1.0": ("Artistic License 1.0",), "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0"),
+}
+for _id, _name, _versions in (("GPL", "GNU General Public License", "2.0 3.0"), ("LGPL", "GNU Lesser General Public License", "2.1 3.0"), ("AGPL", "GNU Affero General Public License", "3.0"), ("GFDL", "GNU Free Documentation License", "1.3")):
+    for _v in _versions.split():
+        NAMES[f"{_id}-{_v}"] = tuple(x for v in {_v: 0, _v.removesuffix(".0"): 0} for x in (f"{_name}, version {v}", f"{_name} version {v}", f"{_name} v{v}", f"{_id} {v}", f"{_id}v{v}"))
+for _id, _name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    NAMES[f"CC-{_id}-4.0"] = (f"CC {_id} 4.0", f"Creative Commons {_name} 4.0", f"Creative Commons {_name} 4.0 International License", f"Creative Commons {_name} 4.0 International")
+FORMS = ("License: {}", *(f"{subject}{verb} under {the}{{}}{tail}" for subject, verbs in (("", "Licensed Released Distributed"), ("This work is ", "licensed"), ("This software is ", "licensed released distributed"), ("This project is ", "licensed"), ("This file is ", "licensed")) for verb in verbs.split() for the in ("", "the ", "a ") for tail in ("", " license")))
+#: First lines of the standard headers of source files.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
 #: (pattern, replacement), applied in order to lower-cased text; patterns that Java and RE2 read alike.
 SPELLINGS = (("licenc", "licens"), (r"\borganis", "organiz"), (r"\brecognis", "recogniz"), (r"\bfavour", "favor"), (r"\bcopyright holders\b", "copyright owners"), (r"\bnon[ -]infringement\b", "noninfringement"))
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b[ \t]*(?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*$"
 PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}\n]+"
 
 
+def collection() -> list[tuple[str, str]]:
+    """(licence, text) of KNOWN, the standard texts, their headers and the usual wordings of notices."""
+    files = [(f.name.removesuffix(".txt").removesuffix(".Regents"), f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
+    notices = [(name, form.format(x)) for name, names in NAMES.items() for x in names for form in FORMS]
+    return [*KNOWN, *files, *HEADERS, *notices, *((name, f"SPDX-License-Identifier: {x}") for name in NAMES for x in (name, f"{name}-only", f"{name}-or-later"))]
+
+
+def _joined(lines: Column) -> Column:
+    """The canonical text of canonical lines; spellings again, as a line break may have parted their words."""
+    out = F.array_join(lines, " ")
+    for old, new in SPELLINGS:
+        out = F.regexp_replace(out, old, new)
+    return out
+
+
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form, blank ones left out; null counts as empty."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
@@ -43,13 +83,13 @@ def canonical_lines(text: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x != "")
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
+def known_digests(spark: SparkSession, known=None) -> DataFrame:
     """(digest, license) of the known texts; a digest shared by two licences keeps the first name."""
-    rows = spark.createDataFrame(list(known), "license string, text string") if not isinstance(known, DataFrame) else known
-    return rows.select(F.sha2(F.array_join(canonical_lines(F.col("text")), " "), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    rows = spark.createDataFrame(list(collection() if known is None else known), "license string, text string") if not isinstance(known, DataFrame) else known
+    return rows.select(F.sha2(_joined(canonical_lines(F.col("text"))), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
-def scan_licenses(docs: DataFrame, known=KNOWN, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, known=None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_sha256, license, notices), a row for every row of `docs`.
 
     license: the known licence that the entire text is, else null; notices: the licences that entire lines are,
@@ -58,7 +98,7 @@ def scan_licenses(docs: DataFrame, known=KNOWN, *, id_col: str = "doc_id", text_
     """
     digests = known_digests(docs.sparkSession, known)
     lines = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col)).alias("lines"))
-    whole = lines.select("doc_id", F.sha2(F.array_join("lines", " "), 256).alias("text_sha256"), F.array_distinct(F.transform("lines", lambda x: F.sha2(x, 256))).alias("each"))
+    whole = lines.select("doc_id", F.sha2(_joined(F.col("lines")), 256).alias("text_sha256"), F.array_distinct(F.transform("lines", lambda x: F.sha2(x, 256))).alias("each"))
     notices = whole.select("doc_id", F.explode("each").alias("digest")).join(digests, "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     named = whole.select("doc_id", "text_sha256").join(digests.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
     return named.join(notices, named["doc_id"].eqNullSafe(notices["doc_id"]), "left").select(named["doc_id"], "text_sha256", "license", F.coalesce("notices", F.lit("")).alias("notices"))
