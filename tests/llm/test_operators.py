@@ -116,7 +116,7 @@ def test_fingerprints(spark):
     rows = EDGES + [(20, t), (21, near), (22, t)]
     texts = {i: (x or "") for i, x in rows}
     ids = sorted(texts)
-    got = {r.doc_id: r for r in edited_with_next(documents(spark, rows), partitions=3).collect()}
+    got = {r.doc_id: r for r in edited_with_next(documents(spark, rows), range_bytes=1500).collect()}
     assert sorted(got) == ids
     for k, i in enumerate(ids):
         n, after = len(texts[i]), texts[ids[(k + 1) % len(ids)]]
@@ -126,6 +126,40 @@ def test_fingerprints(spark):
     assert edited_with_next(documents(spark, [])).count() == 0
 
 
+def test_fingerprints_do_not_depend_on_the_batch():
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefgh é") for _ in range(n)) for n in range(1, 12) for _ in range(100)] + ["o", "one", "aaa", "xyz"]
+    assert [fingerprints(pa.array([t]))[0] for t in texts] == fingerprints(pa.array([*texts, "long " * 900]))[:-1]
+
+
+def test_likeness_and_classes_of_few_texts_brute_force(spark):
+    """A plain walk, written over characters, gives the same digits; classes are those of all pairs."""
+    r, texts = random.Random(8), []
+    for k in range(30):
+        words = prose(r.randrange(20, 120), k).split()
+        texts.append(" ".join(words))
+        for _ in range(3):
+            words[r.randrange(len(words))] = "changed"
+            texts.append(" ".join(words))
+    marks = fingerprints(pa.array(texts))
+    weight = [1 if k < PER_OCTAVE else 2 ** (k // PER_OCTAVE - 1) for k in range(4000)]
+
+    def alike(a, b):
+        n, m = min(len(a), len(b)), max(len(a), len(b))
+        share = sum(w for w, x, y in zip(weight, a, b) if x == y) / sum(weight[:m])
+        return max(0.0, (share - 1 / 16) / (15 / 16))
+
+    near = {(i, j) for i in range(len(texts)) for j in range(i) if alike(marks[i], marks[j]) >= 0.8}
+    assert all((likeness(marks[i], marks[j]) >= 0.8) == ((i, j) in near) for i in range(len(texts)) for j in range(i)) and len(near) > 40
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
+    rows = list(enumerate(marks)) + [(None, "abc"), (200, None), (201, "")]
+    got = {x.doc_id: x.class_id for x in near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()}
+    assert got == dict(enumerate(want)) | {200: 200, 201: 200}
+
+
 def test_near_copies_behind_a_shared_header(spark):
     header = prose(190, 1)[:1100]
     texts = [header + prose(100, 2)[:550]]

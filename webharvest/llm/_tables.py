@@ -1,55 +1,100 @@
-"""Lineage cuts in the cluster's shared folder, and connected components."""
+"""Tables in the cluster's shared folder that cut lineage, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rounds after which components() gives up; two alternations halve the longest path, so 2^30 nodes in a row would pass.
 MAX_ROUNDS = 60
+#: Spark deletes the shuffle files of a query at its end under this setting.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: The tables cut inside each open scratch() block, innermost last.
+_OPEN: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where it is unset (tests, one machine)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.sparkContext.getCheckpointDir()
+    """The folder in spark.checkpoint.dir; a temporary one only where it is unset and Spark runs on one machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="webharvest-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` written as a table in the shared folder and read again: lost executors cost no recomputation behind it."""
+def _write(df: DataFrame) -> str:
+    """Path of a new table that holds `df`; the shuffle files behind it go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written as a table in the shared folder and read again: lost executors cost no recomputation behind it.
+
+    The table stays until the end of the innermost scratch() block, for good outside of one.
+    """
+    path = _write(df)
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables cut inside the block at its end; nothing that reads them may be used after it."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            _delete(spark, path)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, class_id) of every node of `edges` (long columns a, b); class_id is the least node of the component.
 
     Alternating large-star and small-star steps: neighbour lists are never gathered, each step is a minimum
-    by key and a join on the same key, and the edges stay as many as the nodes.
+    by key and a join on the same key, and the edges stay as many as the nodes.  The table of a step is deleted
+    once the next one is written.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark, schema = edges.sparkSession, "a long, b long"
+    path = _write(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
     before = None
     for _ in range(MAX_ROUNDS):
+        now = spark.read.schema(schema).parquet(path)
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(small, "a")
-        now = cut(step.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(step.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        old, path = path, _write(step.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(step.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        _delete(spark, old)
+        state = spark.read.schema(schema).parquet(path).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
         before = state
     else:
         raise RuntimeError("components did not settle")
+    if _OPEN:
+        _OPEN[-1].append(path)
+    now = spark.read.schema(schema).parquet(path)
     return now.select(F.col("a").alias("node"), F.col("b").alias("class_id")).union(now.select(F.col("b").alias("node"), F.col("b").alias("class_id"))).groupBy("node").agg(F.min("class_id").alias("class_id"))

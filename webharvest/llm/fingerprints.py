@@ -7,17 +7,19 @@ a fixed sample of the steps, 64 positions from each doubling of the step number,
 and long texts share positions and the sample covers the whole text.
 
 Likeness is the share of agreeing steps, each sample weighted by the steps it stands for, corrected for chance
-agreement.  Bit-sampled bands of the fingerprint find like pairs; a verification by likeness follows.
+agreement.  Bit-sampled bands of the fingerprint, drawn over all the steps that two like texts must both have,
+find like pairs; a verification by likeness follows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from ._words import mix, steps, text_buffers
 
 #: Samples in each interval [2^k, 2^(k+1)) of steps; below 64 steps every step is sampled.
 PER_OCTAVE = 64
+#: Digits that a band samples.
+WIDTH = 8
 _U = np.uint64
 _CHANCE = 1 / 16
 
@@ -77,9 +81,13 @@ def fingerprints(texts: pa.Array) -> list[str]:
     at = starts[order].copy()
     active = int((sizes > 0).sum())
     digits = np.full((len(sizes), 64), 255, np.uint8)
-    marks = sample_positions(int(3 * sizes.max(initial=0)) + 1)
+    limit = int(3 * sizes.max(initial=0)) + 1
+    marks = sample_positions(limit)
     column, step, block = 0, 0, 256
     while active:
+        if step + block > limit:  # a walk may need any number of steps, whatever other texts are in the batch
+            limit = 2 * (step + block)
+            marks = sample_positions(limit)
         table = _moves(step, step + block)
         here = set(marks[(marks >= step) & (marks < step + block)].tolist())
         pos = at[:active]
@@ -183,37 +191,67 @@ def _unlike_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
         yield finish()
 
 
-def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 12, width: int = 8, block: int = 1024) -> DataFrame:
+def _scheme_sizes(threshold: float, digits: int) -> np.ndarray:
+    """Digits that each scheme covers: scheme s covers the first ratio^s steps, up to texts of `digits` digits.
+
+    ratio: that of the steps of the longest and the shortest text that can be alike at the threshold, and a
+    fiftieth more for the step from one sample to the next.
+    """
+    ratio = 1.02 / (threshold * (1 - _CHANCE) + _CHANCE)
+    ends = np.cumsum(_weights(digits))
+    schemes = int(np.floor(np.log(ends[-1]) / np.log(ratio) + 1e-9)) + 1
+    return np.searchsorted(ends, ratio ** np.arange(schemes) * (1 + 1e-9), side="right")
+
+
+def band_keys(prints: pa.Array, threshold: float, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of the bit-sampled bands of fingerprints.
+
+    Each band of a scheme samples WIDTH digits, a digit as often as the steps it stands for.  A text takes part in
+    the longest scheme that it covers and in the one before it; two texts that can be alike have one in common.
+    """
+    texts = prints.to_pylist()
+    size = np.array([len(x) for x in texts], np.int64)
+    covers = _scheme_sizes(threshold, max(int(size.max(initial=0)), 1))
+    top = np.searchsorted(covers, size, side="right") - 1
+    keys, rows = [], []
+    for s in np.unique(top[size > 0]):
+        own = np.flatnonzero((top == s) & (size > 0))
+        digits = np.array([np.frombuffer(texts[k][: covers[s]].encode(), np.uint8) for k in own])
+        digits = np.where(digits > 57, digits - 87, digits - 48).astype(_U)
+        for scheme in {int(s), max(int(s) - 1, 0)}:
+            draws = mix(np.arange(bands * WIDTH, dtype=_U) + _U(1 + scheme * 100003)) >> _U(11)
+            ends = np.cumsum(_weights(int(covers[scheme])))
+            at = np.searchsorted(ends, draws / 2.0**53 * ends[-1], side="right").reshape(bands, WIDTH)
+            packed = np.zeros((len(own), bands), _U)
+            for k in range(WIDTH):
+                packed = packed * _U(16) + digits[:, at[:, k]]
+            keys.append(mix(packed + (_U(scheme * bands) + np.arange(bands, dtype=_U) << _U(4 * WIDTH))).ravel())
+            rows.append(np.repeat(own, bands))
+    return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, _U), np.zeros(0, np.int64))
+
+
+def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 24, block: int = 1024) -> DataFrame:
     """(doc_id, class_id) of `prints` (doc_id, fingerprint): groups linked by likeness, class_id the least doc_id.
 
-    Each band samples `width` digits of each of a fingerprint's last three octaves, where most of its steps are;
-    so texts on two sides of an octave border have two octaves in common.  Rows of
-    equal fingerprints are one from the start; in a bucket every row is first verified against the bucket's first
-    row.  Rows of a bucket that are in different classes after that are compared in pairs, so that no pair of a
-    bucket is left that could link two classes.  A bucket of n rows costs n comparisons if all are of one class;
+    Rows of equal fingerprints are one from the start; in a bucket every row is first verified against the bucket's
+    first row.  Rows of a bucket that are in different classes after that are compared in pairs, so that no pair of
+    a bucket is left that could link two classes.  A bucket of n rows costs n comparisons if all are of one class;
     otherwise its rows outside its largest class are compared with all others, in cells of two blocks of `block` rows.
+    Null fingerprints count as empty ones, which are alike; rows without an id are left out.
     """
+    prints = prints.where("doc_id is not null").select("doc_id", F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
     keys = [F.xxhash64("fingerprint").alias("k1"), F.xxhash64(F.lit("second"), "fingerprint").alias("k2")]
     owners = cut(prints.groupBy(*keys).agg(F.min("doc_id").alias("doc_id")))
     own = prints.join(owners.select("doc_id"), "doc_id", "left_semi").select("doc_id", "fingerprint")
 
     def cast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        picks = {}
         for batch in batches:
-            keys, rows = [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                last = (len(text) - 1) // PER_OCTAVE
-                for octave in {max(0, last - back) for back in range(3)}:  # the last may be short, or missing in a slightly shorter text
-                    if octave not in picks:
-                        at = mix(np.arange(bands * width, dtype=_U) + _U(octave * 1000)) % _U(PER_OCTAVE)
-                        picks[octave] = (at.astype(np.int64) + octave * PER_OCTAVE).reshape(bands, width).tolist()
-                    for band, at in enumerate(picks[octave]):
-                        picked = "".join(text[k : k + 1] for k in at)
-                        keys.append(int.from_bytes(hashlib.blake2b(f"{band}.{octave}.{picked}".encode(), digest_size=8).digest(), "little", signed=True))
-                        rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(rows, pa.int64()))], names=["bucket", "doc_id"])
-
-    spread = own.where("fingerprint <> ''").mapInArrow(cast, "bucket long, doc_id long").repartition("bucket")  # dealt once, for the heads and for their join
+            for lo in range(0, batch.num_rows, 2048):
+                part = batch.slice(lo, 2048)
+                key, row = band_keys(part.column(1), threshold, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row))], names=["bucket", "doc_id"])
+
+    spread = own.where("fingerprint <> ''").mapInArrow(cast, "bucket long, doc_id long").distinct().repartition("bucket")  # dealt once, for the heads and for their join
     heads = spread.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")).where("rows > 1")
     shared = cut(spread.join(heads.hint("shuffle_hash"), "bucket").select("bucket", "doc_id", "head"))  # rows of buckets of more than one row
     pairs = cut(shared.where("doc_id <> head").select("doc_id", "head").distinct())
@@ -227,46 +265,85 @@ def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 12,
 
     linked = sides.select(F.col("doc_id").alias("a"), F.col("head").alias("b"), "fingerprint", "other").mapInArrow(verify, "a long, b long")
     first = cut(components(linked))
-    members = cut(shared.join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
-    sizes = members.groupBy("bucket", "class_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"), F.expr("bit_xor(xxhash64(7, doc_id))").alias("x"))
-    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "class_id")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("classes"), F.sum("s").alias("s"), F.expr("bit_xor(x)").alias("x")).where("classes > 1 and n > 2")
-    mixed = mixed.groupBy("n", "s", "x").agg(F.min(F.struct("bucket", "top")).alias("b"))  # buckets of the same rows are one
-    mixed = mixed.select("b.bucket", F.col("b.top.class_id").alias("core"), F.ceil((F.col("n") - F.col("b.top.n")) / block).cast("int").alias("rest_blocks"), F.ceil(F.col("b.top.n") / block).cast("int").alias("core_blocks"))
+    second = components(_links_between_classes(shared, first, near, threshold, block))
+    renamed = second.select(F.col("node").alias("class_id"), F.col("class_id").alias("joined"))
+    classes = first.join(renamed, "class_id", "full").select(F.coalesce("node", "class_id").alias("node"), F.coalesce("joined", "class_id").alias("class_id"))
+    top = owners.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return prints.select("doc_id", *keys).join(top, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+
+
+def _links_between_classes(shared: DataFrame, classes: DataFrame, near: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(a, b): links between the classes of each bucket's rows that the comparison with bucket heads has left apart."""
+    members = cut(shared.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    sizes = members.groupBy("bucket", "class_id").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"), F.expr("bit_xor(xxhash64(7, doc_id))").alias("x")
+    )
+    mixed = sizes.groupBy("bucket").agg(
+        F.max(F.struct("n", "class_id")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("classes"), F.sum("s").alias("s"), F.expr("bit_xor(x)").alias("x")
+    )
+    mixed = mixed.where("classes > 1 and n > 2").groupBy("n", "s", "x").agg(F.min(F.struct("bucket", "top")).alias("b"))  # buckets of the same rows are one
+    core_rows = F.col("b.top.n")
+    mixed = mixed.select(
+        "b.bucket", F.col("b.top.class_id").alias("core"),
+        F.ceil((F.col("n") - core_rows) / block).cast("int").alias("rest_blocks"), F.ceil(core_rows / block).cast("int").alias("core_blocks"),
+    )
     rest = F.col("class_id") != F.col("core")
     mine = F.when(rest, F.pmod(F.xxhash64("doc_id"), "rest_blocks")).otherwise(F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), "core_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.when(rest, F.col("rest_blocks") + F.col("core_blocks") - 1).otherwise(F.col("rest_blocks") - 1))
     cells = members.join(mixed, "bucket").select("bucket", "doc_id", "class_id", mine.alias("block"), F.explode(others).alias("other"))
     cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "doc_id").join(near, "doc_id")
     cells = cells.select("bucket", "i", "j", "block", "class_id", "fingerprint").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    second = components(cells.mapInArrow(lambda batches: _unlike_links(batches, threshold), "a long, b long"))
-    classes = first.join(second.select(F.col("node").alias("class_id"), F.col("class_id").alias("joined")), "class_id", "full").select(F.coalesce("node", "class_id").alias("node"), F.coalesce("joined", "class_id").alias("class_id"))
-    top = owners.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"))
-    return prints.select("doc_id", *keys).join(top, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    return cells.mapInArrow(lambda batches: _unlike_links(batches, threshold), "a long, b long")
+
+
+EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def _ranges(rows: DataFrame, range_bytes: int) -> list[int]:
+    """Inner bounds of doc_id ranges of about `range_bytes` of text: quantiles of the ids, four to a range, joined by their bytes."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cells = 4 * math.ceil(total / range_bytes)
+    if cells <= 4:
+        return []
+    fine = np.unique(np.array(rows.approxQuantile("doc_id", [k / cells for k in range(1, cells)], 0.25 / cells), np.int64))
+    cell = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(fine, ids.to_numpy(), side="right")), "int")
+    weight = dict(rows.groupBy(cell("doc_id").alias("cell")).agg(F.sum(F.octet_length("text")).alias("bytes")).collect())  # a row a cell
+    bounds, held = [], 0
+    for k in range(len(fine)):
+        held += weight.get(k, 0)
+        if held >= range_bytes * 3 // 4:
+            bounds.append(int(fine[k]))
+            held = 0
+    return bounds
 
 
-def edited_with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+def edited_with_next(docs: DataFrame, *, range_bytes: int = 32 << 20) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text is the text with its last floor(n_chars / 2) code points replaced by the first as many of the
-    next text by ascending doc_id (all of it if shorter; after the last, the first).  The texts are ranged by
-    doc_id and sorted; the first text of each range is dealt to the range before it as well.
+    next text by ascending doc_id (all of it if shorter; after the last, the first).  The texts are dealt in ranges
+    of doc_id of about `range_bytes`, a partition each, and sorted; the first text of each range is dealt to the
+    range before it as well.
     Null texts count as empty; rows without an id are left out; of repeated ids the least text stays.
     """
-    spark = docs.sparkSession
     rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    count = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = sorted({int(x) for x in rows.approxQuantile("doc_id", [k / count for k in range(1, count)], 0.1 / count)}) if count > 1 else []
-    edges = F.array(*[F.lit(x) for x in bounds]).cast("array<long>") if bounds else None
-    part = F.size(F.filter(edges, lambda x: x <= F.col("doc_id"))) if bounds else F.lit(0)
-    first = rows.select("doc_id").withColumn("part", part).groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()  # one row a range
-    if not first:
-        return spark.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    before = {r["doc_id"]: first[k - 1]["part"] for k, r in enumerate(first)}  # the range that needs this text as its last "next"
-    heads = F.create_map(*[F.lit(x) for pair in before.items() for x in pair]).cast("map<bigint,int>")
-    single = len(first) == 1
-    dealt = rows.withColumn("own", part).withColumn("lead", F.try_element_at(heads, F.col("doc_id")))
-    both = dealt.withColumn("copy", F.explode(F.when(F.col("lead").isNotNull(), F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("extra")), F.struct(F.col("lead").alias("part"), F.lit(True).alias("extra")))).otherwise(F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("extra"))))))
-    placed = both.select("copy.part", "copy.extra", "doc_id", "text").repartition(count, "part").sortWithinPartitions("part", "extra", "doc_id", "text")
+    bounds = np.array(_ranges(rows, range_bytes), np.int64)
+    range_of = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right")), "int")
+    heads = rows.select("doc_id").withColumn("part", range_of("doc_id")).groupBy("part").agg(F.min("doc_id").alias("doc_id")).toPandas().sort_values("part")  # a row a range
+    if not len(heads):
+        return docs.sparkSession.createDataFrame([], EDITED)
+    ids, before = heads["doc_id"].to_numpy(np.int64), np.roll(heads["part"].to_numpy(np.int64), 1)
+
+    @F.pandas_udf("array<int>")
+    def places(column: pd.Series) -> pd.Series:
+        """The range of an id and, for a range's first id, the range before it, which needs its text as the last "next"."""
+        values = column.to_numpy(np.int64)
+        own = np.searchsorted(bounds, values, side="right")
+        at = np.minimum(np.searchsorted(ids, values), len(ids) - 1)
+        return pd.Series([[a, b] if head else [a] for a, b, head in zip(own.tolist(), before[at].tolist(), (ids[at] == values).tolist())])
+
+    copies = rows.select(F.posexplode(places("doc_id")).alias("extra", "part"), "doc_id", "text")
+    placed = copies.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", "extra", "doc_id", "text").select("part", "extra", "doc_id", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row of the batch before, whose next text is yet to come
@@ -283,10 +360,11 @@ def edited_with_next(docs: DataFrame, partitions: int | None = None) -> DataFram
                 p = fingerprints(pa.array(a, pa.large_string()))
                 q = fingerprints(pa.array(edited, pa.large_string()))
                 r = p[1:] + fingerprints(pa.array(b[-1:], pa.large_string()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(part_ids, pa.int64()), pa.array([len(x) for x in a], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited]), pa.array(p, pa.string()), pa.array(q, pa.string()), pa.array([likeness(x, y) for x, y in zip(p, q)]), pa.array([likeness(x, y) for x, y in zip(p, r)])],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                )
+                columns = [
+                    pa.array(part_ids, pa.int64()), pa.array([len(x) for x in a], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
+                    pa.array(p, pa.string()), pa.array(q, pa.string()), pa.array([likeness(x, y) for x, y in zip(p, q)], pa.float64()), pa.array([likeness(x, y) for x, y in zip(p, r)], pa.float64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
                 lo = hi
 
         for batch in batches:
@@ -301,6 +379,4 @@ def edited_with_next(docs: DataFrame, partitions: int | None = None) -> DataFram
                 held = None if extra else (key, doc, text)
             yield from finish(ids, texts, nexts)
 
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    assert single or len(before) == len(first)
-    return placed.mapInArrow(make, schema)
+    return placed.mapInArrow(make, EDITED)
