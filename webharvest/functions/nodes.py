@@ -1,4 +1,4 @@
-"""HTML pages to flat node arrays, and rule selectors over them (the two vectorised helpers of page extraction).
+"""HTML pages to flat node arrays (one vectorised helper), and rule selectors over them as Column expressions.
 
 Rules of repair: script and style hold raw text; comments are dropped; an open p, li, td, th, tr, option, dt or
 dd is closed by the next one of its kind, and p by any block; end tags without a start are ignored; what is
@@ -12,20 +12,32 @@ from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .urls import let
+
 NODES = T.ArrayType(
     T.StructType(
         [T.StructField(n, T.IntegerType()) for n in ("order", "parent", "last", "depth")]
-        + [T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("junk", T.BooleanType())]
+        + [
+            T.StructField("tag", T.StringType()),
+            T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+            T.StructField("text", T.StringType()),
+            T.StructField("junk", T.BooleanType()),
+        ]
+        + [T.StructField(n, T.IntegerType()) for n in ("links", "link_words", "link_chars")]
+        + [T.StructField("before", T.ArrayType(T.IntegerType()))]
     )
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 STOPS = {"li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead"}, "option": {"select"}, "dt": {"dl"}, "dd": {"dl"}}
+#: Tags whose text can count for a content node.
+CANDIDATES = ("p", "pre", "td")
 # Ids, classes and names of page furniture, and of social and caption boxes.
 JUNK = (
     r"^side$|combx|retweet|mediaarticlerelated|menucontainer|navbar|storytopbar-bucket|utility-bar|inline-share-tools|comment|PopularQuestions|contact|foot|footer|Footer|footnote|cnn_strycaptiontxt|cnn_html_slideshow|cnn_strylftcntnt|^links$|meta$|shoutbox|sponsor"
@@ -96,17 +108,35 @@ def _junk(extra: str) -> re.Pattern:
 
 
 def parse(html: str | None, extra_junk: str = "") -> list[dict]:
-    """Nodes in document order; `last` is the order of the last descendant, `text` the inner text with single spaces."""
+    """Nodes in document order.
+
+    `order` is a node's place in the array, `last` the order of its last descendant, `text` its inner text with
+    single spaces; `links`, `link_words` and `link_chars` count the links below it and their text; `before` holds
+    the orders of the three nearest earlier sibling paragraphs of a p, pre or td, without page furniture.
+    """
     builder = _Builder(_junk(extra_junk))
     builder.feed(html or "")
     builder.close()
     builder._close_to(0)
     out = []
     raw = {n["order"] for n in builder.nodes if n["tag"] in ("script", "style")}
+    paragraphs: dict[int, list[int]] = {}
     for n in builder.nodes:
-        inside = builder.pieces[n["start"] : n["stop"]]
+        inside = builder.pieces[n.pop("start") : n.pop("stop")]
         keep = inside if n["order"] in raw else [p for p in inside if p[0] not in raw]
-        out.append({"order": n["order"], "parent": n["parent"], "last": n["last"], "depth": n["depth"], "tag": n["tag"], "attrs": n["attrs"], "text": " ".join("".join(t for _, t in keep).split()), "junk": n["junk"]})
+        earlier = paragraphs.setdefault(n["parent"], [])
+        before = earlier[-3:] if n["tag"] in CANDIDATES else []
+        if n["tag"] == "p" and not n["junk"]:
+            earlier.append(n["order"])
+        out.append({**n, "text": " ".join("".join(t for _, t in keep).split()), "links": 0, "link_words": 0, "link_chars": 0, "before": before})
+    for link in out:
+        if link["tag"] == "a":
+            words, chars, up = len(link["text"].split()), len(link["text"]), link["parent"]
+            while up >= 0:
+                out[up]["links"] += 1
+                out[up]["link_words"] += words
+                out[up]["link_chars"] += chars
+                up = out[up]["parent"]
     return out
 
 
@@ -114,9 +144,15 @@ def _nodes(html: pd.Series) -> pd.Series:
     return pd.Series([parse(x) for x in html], dtype=object)
 
 
+@lru_cache(maxsize=1)
+def _parser(application: str):
+    """One function object per Spark application, so that Spark sees equal calls on a page as one and parses it once."""
+    return F.pandas_udf(_nodes, NODES)
+
+
 def html_nodes(html: Column | str) -> Column:
     """The nodes of each page; a null page has none."""
-    return F.pandas_udf(_nodes, NODES)(html)
+    return _parser(SparkContext.getOrCreate().applicationId)(html)
 
 
 def tags(nodes: Column, *names: str) -> Column:
@@ -210,45 +246,57 @@ def compile_xpath(path: str) -> tuple[list[tuple[str, list, int | None]], str |
     return steps, final
 
 
-def _passes(node: dict, tests: list) -> bool:
+def _passes(node: Column, tests: list) -> Column:
+    """Whether a node passes all tests (name, operator, value) of a step."""
+    out = F.lit(True)
     for name, op, value in tests:
-        have = node["tag"] if name == "tag" else node["attrs"].get(name)
-        if have is None:
-            return False
-        if not {"=": have == value, "*=": value in have, "^=": have.startswith(value), "$=": have.endswith(value), "~=": value in have.split(), "has": True}[op]:
-            return False
-    return True
-
-
-def select(nodes: list[dict], steps: list, per_parent: bool) -> list[dict]:
-    """Nodes that the steps reach, in document order; per_parent: an index counts among the hits of each start node."""
-    current: list[dict | None] = [None]
-    for axis, tests, index in steps:
-        found, taken = [], set()
-        for start in current:
+        have, want = node["tag"] if name == "tag" else attr(node, name), F.lit(value)
+        hit = {
+            "=": lambda h: h == want,
+            "*=": lambda h: F.contains(h, want),
+            "^=": lambda h: F.startswith(h, want),
+            "$=": lambda h: F.endswith(h, want),
+            "~=": lambda h: F.array_contains(F.split(h, r"\s+"), value),
+            "has": lambda h: h.isNotNull(),
+        }[op](have)
+        out = out & F.coalesce(hit, F.lit(False))
+    return out
+
+
+def select(nodes: Column, steps: list, per_parent: bool) -> Column:
+    """Orders of the nodes that the steps reach, in document order; per_parent: an index counts among the hits of one parent."""
+
+    def reached(start: Column | None, axis: str, tests: list) -> Column:
+        def test(n: Column) -> Column:
+            if start is None:
+                return (n["parent"] == -1 if axis == "child" else F.lit(True)) & _passes(n, tests)
             if axis == "child":
-                pool = [n for n in nodes if n["parent"] == (start["order"] if start else -1)]
-            else:
-                pool = nodes[start["order"] + 1 : start["last"] + 1] if start else nodes
-            hits = [n for n in pool if _passes(n, tests)]
-            if per_parent and index is not None:
-                groups: dict[int, list] = {}
-                for n in hits:
-                    groups.setdefault(n["parent"], []).append(n)
-                hits = [g[index] for g in groups.values() if -len(g) <= index < len(g)]
-            for n in hits:
-                if n["order"] not in taken:
-                    taken.add(n["order"])
-                    found.append(n)
-        found.sort(key=lambda n: n["order"])
-        if not per_parent and index is not None:
-            found = found[index : index + 1 or None] if -len(found) <= index < len(found) else []
-        current = found
-    return current
-
-
-def selector(rule: str, target: str = "text"):
-    """A vectorised function html -> array<string> for a rule `@css:...`, `@xpath:...` or a bare path.
+                return F.exists(start, lambda c: c["order"] == n["parent"]) & _passes(n, tests)
+            return F.exists(start, lambda c: (n["order"] > c["order"]) & (n["order"] <= c["last"])) & _passes(n, tests)
+
+        return F.transform(F.filter(nodes, test), lambda n: F.struct(n["order"].alias("order"), n["last"].alias("last"), n["parent"].alias("parent")))
+
+    def among(hits: Column, index: int) -> Column:
+        if not per_parent:
+            at = F.lit(index) if index >= 0 else F.size(hits) + index
+            return F.filter(hits, lambda _, i: i == at)
+        if index >= 0:
+            return F.filter(hits, lambda h: F.size(F.filter(hits, lambda o: (o["parent"] == h["parent"]) & (o["order"] < h["order"]))) == index)
+        return F.filter(hits, lambda h: F.size(F.filter(hits, lambda o: (o["parent"] == h["parent"]) & (o["order"] > h["order"]))) == -index - 1)
+
+    def follow(start: Column | None, rest: list) -> Column:
+        if not rest:
+            return F.transform(start, lambda c: c["order"])
+        axis, tests, index = rest[0]
+        hits = reached(start, axis, tests)
+        picked = hits if index is None else let(hits, lambda h: among(h, index))
+        return let(picked, lambda now: follow(now, rest[1:]))
+
+    return follow(None, steps)
+
+
+def selector(rule: str, nodes: Column, target: str = "text") -> Column:
+    """Values of a rule `@css:...`, `@xpath:...` or a bare path over parsed nodes, array of strings; a page without nodes has none.
 
     target: `text`, `html` (inner text with tags dropped is the same as text here), or an attribute name.
     """
@@ -259,19 +307,13 @@ def selector(rule: str, target: str = "text"):
         alternatives, xpath = [steps], True
     take = final[1:] if final and final.startswith("@") else "text" if final else target
 
-    def run(html: pd.Series) -> pd.Series:
-        out = []
-        for page in html:
-            if page is None:
-                out.append(None)
-                continue
-            nodes = parse(page)
-            hits = {n["order"]: n for steps in alternatives for n in select(nodes, steps, xpath)}
-            values = [n["text"] if take in ("text", "html") else n["attrs"].get(take) for _, n in sorted(hits.items())]
-            out.append([v for v in values if v is not None])
-        return pd.Series(out, dtype=object)
+    def values(ns: Column) -> Column:
+        found = [select(ns, steps, xpath) for steps in alternatives]
+        orders = found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)))
+        each = F.transform(orders, lambda k: let(F.get(ns, k), lambda n: n["text"] if take in ("text", "html") else attr(n, take)))
+        return F.filter(each, lambda v: v.isNotNull())
 
-    return F.pandas_udf(run, T.ArrayType(T.StringType()))
+    return let(nodes, values)
 
 
 def decode_page(content: Column | str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -52,8 +52,8 @@ def stopword_count(text: Column, lang: str = "en", words: Sequence[str] | None =
     """Spaced languages: words that are stopwords; zh: different stopwords that occur in the text."""
     if lang == "zh":
         return F.size(F.filter(F.array(*[F.lit(w) for w in dict.fromkeys(words or STOPWORDS_ZH)]), lambda w: F.contains(text, w)))
-    known = F.array(*[F.lit(w) for w in (words or STOPWORDS.get(lang, STOPWORDS["en"]))])
-    return F.size(F.filter(F.split(F.lower(remove_punctuation(text)), r"\s", -1), lambda w: F.array_contains(known, w)))
+    known = list(words or STOPWORDS.get(lang, STOPWORDS["en"]))  # isin looks long lists up by hash
+    return F.size(F.filter(F.split(F.lower(remove_punctuation(text)), r"\s", -1), lambda w: w.isin(*known)))
 
 
 def stopwords_by_language(text: Column, lang: Column, lists: dict[str, Sequence[str]] | None = None) -> Column:
@@ -61,5 +61,24 @@ def stopwords_by_language(text: Column, lang: Column, lists: dict[str, Sequence[
     lists = {**STOPWORDS, "zh": STOPWORDS_ZH, **(lists or {})}
     out = stopword_count(text, "en", lists["en"])
     for name, words in lists.items():
-        out = F.when(F.lower(F.substring(lang, 1, 2)) == name, stopword_count(text, name, words)).otherwise(out)
+        if name != "en":
+            out = F.when(F.lower(F.substring(lang, 1, 2)) == name, stopword_count(text, name, words)).otherwise(out)
     return out
+
+
+def stopword_lists(table: DataFrame, most: int = 20_000) -> dict[str, list[str]]:
+    """The lists of a table (lang, word), for the `lists` parameters; a table of more than `most` words is refused, none is cut."""
+    rows = table.where("lang is not null and word <> ''").select(F.lower(F.substring("lang", 1, 2)).alias("lang"), F.lower("word").alias("word")).distinct()
+    found = rows.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    if (size := rows.count()) > most:
+        raise ValueError(f"{size} stopwords are over the limit of {most}")
+    return {r["lang"]: r["words"] for r in found.collect()}
+
+
+def frequent_words(texts: DataFrame, share: float = 0.25, text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, word): the words that stand in at least `share` of a language's texts, a stopword table made from a corpus."""
+    words = F.array_distinct(F.filter(F.split(F.lower(remove_punctuation(F.col(text))), r"\s+"), lambda w: w != ""))
+    rows = texts.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    totals = rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("texts"))
+    counts = rows.select(F.col(lang).alias("lang"), F.explode(words).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    return counts.join(totals, "lang").where(F.col("n") >= share * F.col("texts")).select("lang", "word")

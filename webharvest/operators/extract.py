@@ -6,12 +6,12 @@ it, or a DataFrame function where the result is rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times, urls
-from ..functions.nodes import attr, by_attr, tags
+from ..functions.nodes import CANDIDATES, attr, by_attr, tags
 from ..functions.patterns import preg
 
 # Title splitters, meta author marks, publish date marks, article containers, by-domain rules, tag links, bad image names.
@@ -24,6 +24,9 @@ CONTAINERS_BY_DOMAIN = {"qq.com": ("class", "content-article"), "sina.com.cn": (
 TITLE_SCRIPTS = {"mp.weixin.qq.com": r'var\s+msg_title\s*=\s*"([^"]+)";', "toutiao.com": r"title:\s+(?:'|\")([^'\"]+)(?:'|\").*"}
 AUTHOR_SCRIPTS = {"qq.com": r'"media"\s*:\s*"([^"]+)"', "mp.weixin.qq.com": r'var\s+nickname\s*=\s*"([^"]+)";', "toutiao.com": r"source:\s+(?:'|\")([^'\"]+)(?:'|\").*"}
 TAG_LINKS = r"/tag/|/tags/|/topic/|\?keyword="
+#: Children of a content node that are never chaff.
+KEPT_CHILDREN = ("p", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6")
+ATTACHMENT = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|zip|rar|7z)(?:$|[?#])"
 VIDEO_HOSTS = ("youtube", "vimeo", "dailymotion", "kewego")
 BAD_IMAGES = r"\.html|\.gif|\.ico|button|twitter\.jpg|facebook\.jpg|ap_buy_photo|digg\.jpg|digg\.png|delicious\.png|facebook\.png|reddit\.jpg|doubleclick|diggthis|diggThis|adserver|/ads/|ec\.atdmt\.com|mediaplex\.com|adsatt|view\.atdmt"
 
@@ -87,14 +90,20 @@ def first_text(nodes: Column, *names: str) -> Column:
     return F.nullif(F.get(tags(nodes, *names), 0)["text"], F.lit(""))
 
 
+def page_language(nodes: Column) -> Column:
+    """Two letters of the language that a page names, lower case; NULL if it names none."""
+    header = F.filter(tags(nodes, "meta"), lambda n: F.lower(attr(n, "http-equiv")) == "content-language")
+    named = F.coalesce(F.nullif(attr(F.get(tags(nodes, "html"), 0), "lang"), F.lit("")), attr(F.get(header, 0), "content"), meta_content(nodes, "lang"))
+    return F.lower(F.substring(named, 1, 2))
+
+
 def metas(nodes: Column, url: Column) -> Column:
     """struct(description, keywords, lang, favicon, canonical, domain, encoding)."""
-    lang = F.coalesce(F.nullif(attr(F.get(tags(nodes, "html"), 0), "lang"), F.lit("")), attr(F.get(F.filter(tags(nodes, "meta"), lambda n: F.lower(attr(n, "http-equiv")) == "content-language"), 0), "content"), meta_content(nodes, "lang"))
     favicon = attr(F.get(F.filter(tags(nodes, "link"), lambda n: F.regexp_like(attr(n, "rel"), F.lit("(?i)icon"))), 0), "href")
     canonical = attr(F.get(F.filter(tags(nodes, "link"), lambda n: F.lower(attr(n, "rel")) == "canonical"), 0), "href")
     charset = F.coalesce(attr(F.get(F.filter(tags(nodes, "meta"), lambda n: attr(n, "charset").isNotNull()), 0), "charset"), F.nullif(F.regexp_extract(attr(F.get(F.filter(tags(nodes, "meta"), lambda n: F.regexp_like(attr(n, "content"), F.lit("(?i)charset="))), 0), "content"), r"(?i)charset=([\w-]+)", 1), F.lit("")))
     return F.struct(
-        meta_content(nodes, "description").alias("description"), meta_content(nodes, "keywords").alias("keywords"), F.lower(F.substring(lang, 1, 2)).alias("lang"), favicon.alias("favicon"),
+        meta_content(nodes, "description").alias("description"), meta_content(nodes, "keywords").alias("keywords"), page_language(nodes).alias("lang"), favicon.alias("favicon"),
         F.coalesce(urls.urljoin(url, canonical), url).alias("canonical"), urls.host(url).alias("domain"), F.lower(charset).alias("encoding"),
     )
 
@@ -195,52 +204,94 @@ def link_density(words: Column, link_words: Column, links: Column) -> Column:
     return F.when(links == 0, False).when(words == 0, True).otherwise(link_words / words * links >= 1.0)
 
 
-def _candidates(nodes: Column) -> Column:
-    clean = clean_nodes(nodes)
-    paragraphs, pre, cells = tags(clean, "p"), tags(clean, "pre"), tags(clean, "td")
-    return F.concat(paragraphs, pre, cells)
+def dense(node: Column, lang: Column) -> Column:
+    """Whether a node's text is mostly links; words of zh are characters."""
+    words = F.when(node["text"] == "", 0).otherwise(F.size(F.split(node["text"], " ")))
+    return F.when(lang == "zh", link_density(F.length(node["text"]), node["link_chars"], node["links"])).otherwise(
+        link_density(words, node["link_words"], node["links"])
+    )
+
+
+def _language(lang: Column | str) -> Column:
+    return F.lower(F.substring(F.coalesce(F.lit(lang) if isinstance(lang, str) else lang, F.lit("en")), 1, 2))
+
+
+def _stopwords(nodes: Column, lang: Column, lists) -> Column:
+    """Stopwords of each node that can count for a content node, by order; 0 for the others."""
+    return F.transform(
+        nodes, lambda n: F.when(n["tag"].isin(*CANDIDATES) & ~n["junk"], T.stopwords_by_language(n["text"], lang, lists)).otherwise(0)
+    )
 
 
-def content_scores(pages: DataFrame, page: str = "page_id", nodes: str = "nodes", lang: Column | str = "en", lists=None) -> DataFrame:
-    """(page, order, score) of content nodes.
+def content_scores(nodes: Column, lang: Column | str = "en", lists=None) -> Column:
+    """Scores of content nodes, array of struct(order, score, source); source: the first node that gave to it.
 
-    Candidates (p, pre, td; not link-dense; more than two stopwords) give their stopwords and boost to the
-    parent, half of it to the grandparent.  Boost: 50/k for the k-th candidate one of whose three nearest
-    earlier sibling paragraphs has over five stopwords; among over 15 candidates the last quarter is lowered.
+    Candidates (p, pre, td; not link-dense; more than two stopwords, of zh more than three characters) give their
+    stopwords and boost to the parent, half of it to the grandparent.  Boost: 50/k for the k-th candidate one of
+    whose three nearest earlier sibling paragraphs has over five stopwords; among over 15 candidates the last
+    quarter is lowered.  All of it happens inside the row of a page.
     """
-    language = F.lit(lang) if isinstance(lang, str) else lang
-
-    def one(ns: Column, n: Column, i: Column) -> Column:
-        links = F.filter(ns, lambda x: (x["tag"] == "a") & (x["order"] > n["order"]) & (x["order"] <= n["last"]))
-        linked = F.transform(links, lambda x: x["text"])
-        grand = F.get(F.filter(ns, lambda x: x["order"] == n["parent"]), 0)["parent"]
-        return F.struct(i.alias("i"), n["order"].alias("order"), n["tag"].alias("tag"), n["parent"].alias("parent"), grand.alias("grand"), n["text"].alias("text"), F.array_join(linked, " ").alias("linked"), F.size(linked).alias("links"))
-
-    found = urls.let(F.col(nodes), lambda ns: F.transform(_candidates(ns), lambda n, i: one(ns, n, i)))
-    flat = pages.select(page, language.alias("_lang"), F.explode(found).alias("c")).select(page, "_lang", "c.*")
-    rows = flat.select(page, "i", "order", "tag", "parent", "grand", "links", T.stopwords_by_language(F.col("text"), F.col("_lang"), lists).alias("stops"), *[F.when(F.col(c) == "", 0).otherwise(F.size(F.split(c, r"\s"))).alias(n) for c, n in (("text", "words"), ("linked", "link_words"))])
-    siblings = Window.partitionBy(page, "parent", F.col("tag") == "p").orderBy("order").rowsBetween(-3, -1)
-    near = F.coalesce(F.max(F.when(F.col("tag") == "p", F.col("stops"))).over(siblings), F.lit(0))
-    good = rows.withColumn("near", near).where((F.col("stops") > 2) & ~link_density(F.col("words"), F.col("link_words"), F.col("links")))
-    by_place = Window.partitionBy(page).orderBy("i")
-    ranked = good.withColumn("at", F.row_number().over(by_place) - 1).withColumn("all", F.count("*").over(Window.partitionBy(page)))
-    ranked = ranked.withColumn("k", F.sum((F.col("near") > 5).cast("int")).over(by_place))
-    boost = F.when(F.col("near") > 5, 50.0 / F.col("k")).otherwise(0.0)
-    tail = 0.25 * F.col("all")
-    b = tail - (F.col("all") - F.col("at"))
-    boost = F.when((F.col("all") > 15) & (F.col("all") - F.col("at") <= tail), F.when(b * b > 40, 5.0).otherwise(-b * b)).otherwise(boost)
-    given = ranked.withColumn("up", (F.col("stops") + boost).cast("int"))
-    whole = given.select(page, F.col("parent").alias("to"), F.col("up").alias("score"), "order")
-    half = given.select(page, F.col("grand").alias("to"), (F.col("up") / 2).cast("int").alias("score"), "order")
-    halves = whole.unionByName(half).select(page, F.col("to").alias("order"), "score", F.col("order").alias("source"))
-    return halves.where("order >= 0").groupBy(page, "order").agg(F.sum("score").alias("score"), F.min("source").alias("first_source"))
+    language = _language(lang)
+
+    def candidates(ns: Column, stops: Column) -> Column:
+        def enough(n: Column) -> Column:
+            return F.when(language == "zh", F.length(n["text"]) > 3).otherwise(F.get(stops, n["order"]) > 2)
+
+        clean = clean_nodes(ns)
+        good = F.filter(F.concat(*(tags(clean, t) for t in CANDIDATES)), lambda n: enough(n) & ~dense(n, language))
+        return F.transform(
+            good,
+            lambda n: F.struct(
+                n["order"].alias("order"), n["parent"].alias("parent"), F.get(ns, n["parent"])["parent"].alias("grand"),
+                F.get(stops, n["order"]).alias("stops"), F.exists(n["before"], lambda b: F.get(stops, b) > 5).alias("boosted"),
+            ),
+        )
+
+    def gifts(x: Column) -> Column:
+        total = F.size(x["good"])
+        tail = 0.25 * total
+
+        def given(g: Column, i: Column) -> Column:
+            b = tail - (total - i)
+            early = F.when(g["boosted"], 50.0 / F.array_position(x["boosted"], g["order"])).otherwise(0.0)
+            late = F.when(b * b > 40, 5.0).otherwise(-b * b)
+            up = (g["stops"] + F.when((total > 15) & (total - i <= tail), late).otherwise(early)).cast("int")
+            return F.array(
+                F.struct(g["parent"].alias("to"), up.alias("score"), g["order"].alias("source")),
+                F.struct(g["grand"].alias("to"), (up / 2).cast("int").alias("score"), g["order"].alias("source")),
+            )
+
+        return F.filter(F.flatten(F.transform(x["good"], given)), lambda g: g["to"] >= 0)
+
+    def totals(given: Column) -> Column:
+        def one(to: Column) -> Column:
+            return urls.let(
+                F.filter(given, lambda g: g["to"] == to),
+                lambda own: F.struct(
+                    to.alias("order"), F.aggregate(own, F.lit(0), lambda s, g: s + g["score"]).alias("score"), F.array_min(F.transform(own, lambda g: g["source"])).alias("source")
+                ),
+            )
+
+        return F.transform(F.array_distinct(F.transform(given, lambda g: g["to"])), one)
+
+    def with_boosted(good: Column) -> Column:
+        return F.struct(good.alias("good"), F.transform(F.filter(good, lambda g: g["boosted"]), lambda g: g["order"]).alias("boosted"))
+
+    found = urls.let(nodes, lambda ns: urls.let(_stopwords(ns, language, lists), lambda stops: candidates(ns, stops)))
+    return urls.let(urls.let(urls.let(found, with_boosted), gifts), totals)
+
+
+def best_node(scores: Column) -> Column:
+    """struct(score, order) of the highest score, the one whose first giver comes first among equal ones; NULL without scores."""
+    best = F.array_max(F.transform(scores, lambda x: F.struct(x["score"], (-x["source"]).alias("early"), (-x["order"]).alias("o"))))
+    return urls.let(best, lambda b: F.struct(b["score"].alias("score"), (-b["o"]).alias("order")))
 
 
 def best_nodes(pages: DataFrame, page: str = "page_id", url: str = "url", nodes: str = "nodes", lang: Column | str = "en", lists=None) -> DataFrame:
     """(page, top_order, score): a known article container if there is one, else the node of the highest score, the first of equal ones."""
     known = known_container(F.col(nodes), F.col(url))
-    scored = content_scores(pages, page, nodes, lang, lists).groupBy(page).agg(F.max(F.struct("score", (-F.col("first_source")).alias("early"), (-F.col("order")).alias("o"))).alias("best"))
-    return pages.select(page, known.alias("known")).join(scored, page, "left").select(page, F.coalesce("known", -F.col("best.o")).alias("top_order"), F.col("best.score").alias("score"))
+    best = best_node(content_scores(F.col(nodes), lang, lists))
+    return pages.select(page, known.alias("known"), best.alias("best")).select(page, F.coalesce("known", "best.order").alias("top_order"), F.col("best.score").alias("score"))
 
 
 def known_container(nodes: Column, url: Column) -> Column:
@@ -257,38 +308,84 @@ def inside(nodes: Column, top: Column) -> Column:
     return F.filter(clean_nodes(nodes), lambda n: (n["order"] >= top) & (n["order"] <= last))
 
 
-def article_text(nodes: Column, top: Column, lang: str = "en") -> Column:
-    """Paragraphs and list items of the content node joined by blank lines; link-dense and empty ones dropped, list items with a bullet."""
+def _without_chaff(below: Column, top: Column, scores: Column | None) -> Column:
+    """The nodes below a content node without those of its children that are no content.
+
+    Paragraphs, lists and headings stay; another child goes if it holds a link, or (but for td) if it holds no
+    paragraph with text or scores under 8 % of the content node.
+    """
+
+    def score(order: Column) -> Column:
+        return F.coalesce(F.get(F.filter(scores, lambda x: x["order"] == order), 0)["score"], F.lit(0))
+
+    def chaff(n: Column) -> Column:
+        told = F.exists(below, lambda p: (p["tag"] == "p") & (p["order"] > n["order"]) & (p["order"] <= n["last"]) & (p["text"] != ""))
+        weak = ~told if scores is None else ~told | (score(n["order"]) < 0.08 * score(top))
+        return (n["parent"] == top) & ~n["tag"].isin(*KEPT_CHILDREN) & ((n["links"] > 0) | ((n["tag"] != "td") & weak))
+
+    spans = F.transform(F.filter(below, chaff), lambda n: F.struct(n["order"].alias("a"), n["last"].alias("b")))
+    return urls.let(spans, lambda out: F.filter(below, lambda n: ~F.exists(out, lambda s: (n["order"] >= s["a"]) & (n["order"] <= s["b"]))))
+
 
-    def dense(below: Column, n: Column) -> Column:
-        links = F.filter(below, lambda a: (a["tag"] == "a") & (a["order"] > n["order"]) & (a["order"] <= n["last"]))
-        linked = F.array_join(F.transform(links, lambda a: a["text"]), " ")
-        return urls.let(F.struct(linked.alias("t"), F.size(links).alias("n")), lambda x: link_density(F.size(F.split(n["text"], r"\s")), F.when(x["t"] == "", 0).otherwise(F.size(F.split(x["t"], r"\s"))), x["n"]))
+def article_text(nodes: Column, top: Column, lang: Column | str = "en", scores: Column | None = None) -> Column:
+    """Paragraphs and list items of the content node joined by blank lines; chaff, link-dense and empty ones dropped, list items with a bullet."""
+    language = _language(lang)
 
     def written(kept: Column) -> Column:
         outer = F.filter(kept, lambda n: ~F.exists(kept, lambda m: (m["order"] < n["order"]) & (m["last"] >= n["order"])))
         return F.array_join(F.transform(outer, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])), "\n\n")
 
     def kept(below: Column) -> Column:
-        return F.filter(below, lambda n: n["tag"].isin("p", "pre", "li", "h2", "h3", "h4", "blockquote") & (n["text"] != "") & ~dense(below, n))
+        wanted = F.filter(below, lambda n: n["tag"].isin("p", "pre", "li", "h2", "h3", "h4", "blockquote") & (n["text"] != "") & ~dense(n, language))
+        return F.transform(wanted, lambda n: F.struct(n["order"].alias("order"), n["last"].alias("last"), n["tag"].alias("tag"), n["text"].alias("text")))
 
-    return urls.let(urls.let(inside(nodes, top), kept), written)
+    below = urls.let(inside(nodes, top), lambda b: _without_chaff(b, top, scores))
+    return urls.let(urls.let(below, kept), written)
 
 
-def sibling_text(nodes: Column, top: Column, lang: str = "en", share: float = 0.30) -> Column:
-    """Paragraphs beside the content node whose stopwords exceed `share` of the mean of its own paragraphs, array of texts in order."""
+def sibling_text(nodes: Column, top: Column, lang: Column | str = "en", share: float = 0.30, lists=None) -> Column:
+    """Texts before the content node that belong to it, array in document order.
+
+    Of its earlier siblings, paragraphs with text; and, inside other siblings, paragraphs that are not link-dense
+    and whose stopwords exceed `share` of the mean of the content node's own (of those with over two stopwords).
+    """
+    language = _language(lang)
+
+    def count(n: Column) -> Column:
+        return T.stopwords_by_language(n["text"], language, lists)
+
+    def base(ns: Column) -> Column:
+        plain = F.filter(tags(inside(ns, top), "p"), lambda n: ~dense(n, language))
+        own = F.filter(F.transform(plain, count), lambda k: k > 2)
+        return urls.let(own, lambda k: F.when(F.size(k) > 0, F.floor(F.aggregate(k, F.lit(0), lambda s, v: s + v) / F.size(k))).otherwise(100000))
+
+    def recovered(ns: Column) -> Column:
+        parent = F.get(ns, top)["parent"]
+        earlier = F.filter(tags(clean_nodes(ns), "p"), lambda n: (n["order"] > parent) & (n["order"] < top) & (n["last"] < top) & (n["text"] != ""))
+        good = urls.let(base(ns), lambda m: F.filter(earlier, lambda n: (n["parent"] == parent) | (~dense(n, language) & (count(n) > m * share))))
+        return F.transform(good, lambda n: n["text"])
+
+    return F.coalesce(urls.let(nodes, recovered), F.array().cast("array<string>"))
 
-    def recovered(x: Column) -> Column:
-        mean = F.when(F.size(x["own"]) > 0, F.aggregate(x["own"], F.lit(0), lambda s, v: s + v) / F.size(x["own"])).otherwise(F.lit(0.0))
-        return urls.let(mean, lambda m: F.transform(F.filter(x["beside"], lambda n: T.stopword_count(n["text"], lang) > m * share), lambda n: n["text"]))
 
-    def parts(ns: Column) -> Column:
-        own = F.transform(tags(inside(ns, top), "p"), lambda n: T.stopword_count(n["text"], lang))
-        parent = F.get(F.filter(ns, lambda n: n["order"] == top), 0)["parent"]
-        beside = urls.let(parent, lambda p: F.filter(tags(clean_nodes(ns), "p"), lambda n: (n["parent"] == p) & (n["order"] < top)))
-        return F.struct(own.alias("own"), beside.alias("beside"))
+def content(nodes: Column, url: Column, lang: Column | str = "en", lists=None) -> Column:
+    """struct(top, text): the content node and the article text.
 
-    return urls.let(urls.let(nodes, parts), recovered)
+    A known container is taken as it is, without its chaff; else the node of the highest score, with the texts
+    recovered before it.
+    """
+
+    def found(x: Column) -> Column:
+        top = F.coalesce(x["known"], best_node(x["scores"])["order"])
+        return F.struct(top.alias("top"), x["known"].isNull().alias("scored"), x["scores"].alias("scores"))
+
+    def text(x: Column) -> Column:
+        own = article_text(nodes, x["top"], lang, x["scores"])
+        before = F.when(x["scored"], sibling_text(nodes, x["top"], lang, lists=lists)).otherwise(F.array().cast("array<string>"))
+        return F.struct(x["top"].alias("top"), F.when(x["top"].isNotNull(), F.array_join(F.concat(before, F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))), "\n\n")).alias("text"))
+
+    start = F.struct(known_container(nodes, url).alias("known"), content_scores(nodes, lang, lists).alias("scores"))
+    return urls.let(urls.let(start, found), text)
 
 
 def tag_texts(nodes: Column) -> Column:
@@ -328,9 +425,14 @@ def image(nodes: Column) -> Column:
     return F.coalesce(F.nullif(named, F.lit("")), _og(nodes, "image"), F.get_json_object(json_ld(nodes), "$.image.url"), F.get(pictures, 0))
 
 
-def attachments(links: Column, base: Column, pattern: str = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|zip|rar|7z)(?:$|[?#])") -> Column:
-    """Links to files by pattern, array of addresses as written."""
-    return F.filter(links, lambda h: F.regexp_like(h, F.lit(pattern)))
+def attachments(pages: DataFrame, links: Column, pattern: str | None = ATTACHMENT, page: str = "page_id", url: str = "url") -> DataFrame:
+    """(page, pos, file): the links of a rule (an array column, see rules.custom_match) that fit the pattern, resolved against the page's address.
+
+    Unusable links and what cannot be resolved are left out; without a pattern every link of the rule counts.
+    """
+    each = pages.select(page, F.col(url).alias("_base"), F.posexplode(links).alias("pos", "_link"))
+    kept = each.where(F.regexp_like("_link", F.lit(pattern))) if pattern else each
+    return kept.select(page, "pos", urls.resolve(F.col("_link"), F.col("_base")).alias("file")).where("file is not null")
 
 
 def declared_charset(html: Column) -> Column:

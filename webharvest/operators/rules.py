@@ -72,15 +72,18 @@ def regex_rule(text: Column, rule: str, many: bool = False) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit("(?si)" + pattern), F.lit(group)), lambda x: F.trim(x))
 
 
-def custom_match(rule: str, html: Column, url: Column, target: str = "text") -> Column:
-    """Values of a rule as an array: @value: a constant, @url: from the URL, @reg: from the page, @css: and @xpath: (or bare paths) from its nodes."""
+def custom_match(rule: str, html: Column, url: Column, target: str = "text", nodes: Column | None = None) -> Column:
+    """Values of a rule as an array: @value: a constant, @url: from the URL, @reg: from the page, @css: and @xpath: (or bare paths) from its nodes.
+
+    nodes: the parsed page, if there is one; rules of one projection share the parse in any case.
+    """
     if rule.startswith("@value:"):
         return F.array(F.lit(rule[7:]))
     if rule.startswith("@url:"):
         return F.filter(F.array(preg(url, rule[5:])), lambda x: x.isNotNull())
     if rule.startswith("@reg:"):
         return regex_rule(html, rule, many=True)
-    return selector(rule, target)(html)
+    return selector(rule, html_nodes(html) if nodes is None else nodes, target)
 
 
 def post_process(value: Column, rule: Mapping, callback: Callable[[Column], Column] | None = None) -> Column:
@@ -108,14 +111,12 @@ def columns_to_rows(columns: Mapping[str, Column], extend: bool = False) -> Colu
 
 
 def custom_rules(pages: DataFrame, rules: Mapping[str, Mapping], html: str = "html", url: str = "url", items: bool = False, only_one: bool = False) -> DataFrame:
-    """Free-form rule set {name: {filter, target, extract, patch, ...}}: one record a page, or rows with items=True."""
-    values = {}
-    for name, rule in rules.items():
-        found = custom_match(rule["filter"], F.col(html), F.col(url), rule.get("target", "text"))
-        values[name] = _each(found, rule)
+    """Free-form rule set {name: {filter, target, extract, patch, ...}}: one record a page, or rows with items=True.  A page is parsed once for all rules."""
+    staged = pages.withColumn("_nodes", html_nodes(F.col(html)))
+    values = {name: _each(custom_match(rule["filter"], F.col(html), F.col(url), rule.get("target", "text"), F.col("_nodes")), rule) for name, rule in rules.items()}
     if not items:
-        return pages.withColumns({name: F.get(v, 0) for name, v in values.items()})
-    staged = pages.withColumns({f"_{name}": v for name, v in values.items()})
+        return staged.withColumns({name: F.get(v, 0) for name, v in values.items()}).drop("_nodes")
+    staged = staged.withColumns({f"_{name}": v for name, v in values.items()})
     rows = columns_to_rows({name: F.col(f"_{name}") for name in values})
     rows = F.slice(rows, 1, 1) if only_one else rows
     return staged.withColumn("_row", F.explode(rows)).select(*pages.columns, *[F.col(f"_row.{name}").alias(name) for name in values])
@@ -157,21 +158,33 @@ def media_types(articles: DataFrame, types: DataFrame) -> DataFrame:
     return rows.join(own, "_sub", "left").join(general, "_domain", "left").withColumn("mediaType", F.coalesce("_own", "_general", F.lit(DEFAULT_MEDIA_TYPE))).drop("_sub", "_domain", "_own", "_general")
 
 
-def parse_items(pages: DataFrame, now: int, rules: Mapping[str, Mapping] | None = None, page: str = "page_id", url: str = "url", html: str = "html", lang: str = "en") -> DataFrame:
-    """Item parser: (page, url, title, author, pubtime, content, rule fields); title, author, pubtime and content are always there."""
+def parse_items(pages: DataFrame, now: int, rules: Mapping[str, Mapping] | None = None, page: str = "page_id", url: str = "url", html: str = "html", lang: Column | str | None = None, lists=None) -> DataFrame:
+    """Item parser: (page, url, title, author, pubtime, content, rule fields); title, author, pubtime and content are always there.
+
+    A page is parsed once and all fields are read from its nodes inside its row.  Stopwords are those of the
+    page's own language (`lang` overrides it), of `lists` where given.
+    """
     rules = rules or {}
-    staged = pages.withColumn("_nodes", html_nodes(F.col(html)))
-    values = {name: F.get(_each(custom_match(rule["filter"], F.col(html), F.col(url), rule.get("target", "text")), rule), 0) for name, rule in rules.items()}
-    staged = staged.withColumns({f"_r_{name}": v for name, v in values.items()})
-    given = {name: F.col(f"_r_{name}") for name in values}
-    tops = extract.best_nodes(staged, page, url, "_nodes", lang)
-    joined = staged.join(tops, page, "left")
-    title = extract.clean_title(extract.raw_title(F.col("_nodes"), F.col(url), given.get("title")), F.col("_nodes"), F.col(url))
-    author = extract.item_author(extract.authors(F.col("_nodes"), F.col(html), F.col(url), given.get("author")))
-    pubtime = extract.publish_time(F.col("_nodes"), F.col(html), F.col(url), now, given.get("pubtime"))
-    content = F.coalesce(given.get("content", F.lit(None).cast("string")), extract.article_text(F.col("_nodes"), F.col("top_order"), lang))
-    extra = [given[n].alias(n) for n in given if n not in ("title", "author", "pubtime", "content")]
-    return joined.select(page, url, title.alias("title"), author.alias("author"), pubtime.alias("pubtime"), content.alias("content"), *extra)
+    n, at, source = F.col("_nodes"), F.col(url), F.col(html)
+    staged = pages.select(page, url, html, html_nodes(source).alias("_nodes"))
+    given = {f"_r_{name}": F.get(_each(custom_match(rule["filter"], source, at, rule.get("target", "text"), n), rule), 0) for name, rule in rules.items()}
+    found = extract.content(n, at, F.col("_lang"), lists)
+    staged = staged.withColumns({"_lang": extract.page_language(n) if lang is None else F.lit(lang) if isinstance(lang, str) else lang, **given})
+    staged = staged.withColumn("_content", found)
+
+    def rule(name: str) -> Column | None:
+        return F.col(f"_r_{name}") if name in rules else None
+
+    around = F.get(n, F.get(n, F.col("_content.top"))["parent"])["text"]
+    text = F.col("_content.text") if rule("content") is None else F.coalesce(rule("content"), F.col("_content.text"))
+    return staged.select(
+        page, url,
+        extract.clean_title(extract.raw_title(n, at, rule("title")), n, at).alias("title"),
+        extract.item_author(extract.authors(n, source, at, rule("author"))).alias("author"),
+        extract.publish_time(n, source, at, now, rule("pubtime"), around).alias("pubtime"),
+        text.alias("content"),
+        *[rule(name).alias(name) for name in rules if name not in ("title", "author", "pubtime", "content")],
+    )
 
 
 def parse_lists(pages: DataFrame, rules: Mapping[str, Mapping] | None = None, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

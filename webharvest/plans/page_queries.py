@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.nodes import attr, by_attr, decode_page, html_nodes, tags
+from ..functions.nodes import attr, decode_page, html_nodes, tags
 from ..operators import extract as H
 from ..operators import rules as J
 from .registry import NOW, query, spread, table
-from .url_queries import DOMAIN, SUB
+from .url_queries import DOMAIN, PATH, SUB, _counts
 
 
 def nodes(spark, d) -> DataFrame:
@@ -18,7 +18,45 @@ def nodes(spark, d) -> DataFrame:
     return spread(table(spark, d, "pages")).withColumn("nodes", html_nodes("html"))
 
 
-ANCHORS = r"""(SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) AS title FROM pages)"""
+def marked(spark, d, html: Column) -> DataFrame:
+    """pages with their html changed by an expression, parsed."""
+    return spread(table(spark, d, "pages")).withColumn("html", html).withColumn("nodes", html_nodes("html"))
+
+
+def ident(text: str) -> Column:
+    """A piece of html in which {} stands for the page id."""
+    parts = text.split("{}")
+    out = [F.lit(parts[0])]
+    for part in parts[1:]:
+        out += [F.col("page_id").cast("string"), F.lit(part)]
+    return F.concat(*out)
+
+
+def plain(html: str) -> str:
+    """SQL of the text of a piece of html without scripts."""
+    bare = f"regexp_replace(replace({html}, '<br>', chr(10)), '<[^>]*>', '', 'g')"
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        bare = f"replace({bare}, '&{name};', '{char}')"
+    return f"trim(regexp_replace({bare}, '\\s+', ' ', 'g'))"
+
+
+ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+LINKS = """regexp_extract_all(html, '<a href="([^"]*)">[^<]*</a>', 1)"""
+TITLES = """regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)"""
+ANCHORS = f"""(SELECT page_id, url, unnest({LINKS}) AS href, unnest({TITLES}) AS raw, unnest(range(len({LINKS}))) AS pos FROM pages)"""
+USABLE = "href <> '/' AND href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(lower(href), 'javascript')"
+#: First of equal links of a page, resolved; all links of the pages start with one slash.
+PAGE_LINKS = f"""(SELECT page_id, any_value(url) AS url, {ORIGIN} || href AS link, arg_min({plain("raw")}, pos) AS title FROM {ANCHORS} WHERE {USABLE} GROUP BY page_id, {ORIGIN} || href)"""
+#: The paragraphs of the article: page_id, language, place, text.
+PARAGRAPHS = f"""(SELECT page_id, lang, i, {plain("raw")} AS text FROM (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+unnest(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:]) AS raw, unnest(range(len(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) - 1)) AS i FROM pages))"""
+STOPS = f"(CASE lang WHEN 'de' THEN {_counts('de')} WHEN 'fr' THEN {_counts('fr')} WHEN 'es' THEN {_counts('es')} ELSE {_counts('en')} END)::INT"
+CONTENT = f"(SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS content FROM {PARAGRAPHS} WHERE text <> '' GROUP BY page_id)"
+
+
+def order_of(tag: str) -> str:
+    """SQL of the order of the first node of a tag: the start tags before it."""
+    return f"len(regexp_extract_all(split_part(html, '<{tag}>', 1), '<[a-z][a-z0-9]*[ >]'))::INT"
 
 
 @query(r"""SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href='))::INT AS anchors, len(regexp_extract_all(html, '<li[ >]'))::INT AS items, len(regexp_extract_all(html, '<meta '))::INT AS metas FROM pages""")
@@ -27,25 +65,44 @@ def h1_nodes(spark, d):
     return nodes(spark, d).select("page_id", F.size(F.filter(tags(n, "a"), lambda x: attr(x, "href").isNotNull())).alias("anchors"), F.size(tags(n, "li")).alias("items"), F.size(tags(n, "meta")).alias("metas"))
 
 
-@query(rf"""SELECT page_id, count(DISTINCT href) AS links FROM {ANCHORS} WHERE href <> '/' AND href <> '' AND NOT starts_with(href, '#') AND NOT starts_with(lower(href), 'javascript') GROUP BY page_id""")
+@query(f"""SELECT page_id, count(*) AS links, min(title) AS least_title FROM {PAGE_LINKS} GROUP BY page_id""")
 def h2_page_links(spark, d):
-    return H.page_links(nodes(spark, d)).groupBy("page_id").agg(F.count("*").alias("links"))
+    return H.page_links(nodes(spark, d)).groupBy("page_id").agg(F.count("*").alias("links"), F.min("title").alias("least_title"))
+
+
+def with_far_links(spark, d) -> DataFrame:
+    """Pages with a link to another domain and two to another subdomain of their own domain."""
+    other = F.regexp_extract("url", r"://[^/?#]*?([^./?#]+\.[^./?#]+)(?:[/?#]|$)", 1)
+    shop = F.concat(F.lit('<a href="//shop.'), other)
+    far = F.concat(F.lit('<a href="https://elsewhere.test/x">E</a>'), shop, F.lit('/y">Y</a>'), shop, F.lit('/">Root</a>'))
+    return marked(spark, d, F.concat("html", far))
+
 
+FAR = f"""(SELECT page_id, url, link, title FROM {PAGE_LINKS} UNION ALL SELECT page_id, url, 'https://elsewhere.test/x', 'E' FROM pages
+UNION ALL SELECT page_id, url, regexp_extract(url, '^([a-z]+://)', 1) || 'shop.' || {DOMAIN} || '/y', 'Y' FROM pages UNION ALL SELECT page_id, url, regexp_extract(url, '^([a-z]+://)', 1) || 'shop.' || {DOMAIN} || '/', 'Root' FROM pages)"""
 
-@query()
+
+@query(f"""SELECT page_id, link, NOT contains(link, '//elsewhere.test/') AND ({SUB} = '' OR NOT contains(link, '://shop.')) AS same_subdomain, NOT contains(link, '//elsewhere.test/') AS same_domain FROM {FAR}""")
 def h3_link_class(spark, d):
     same_host, same_domain = H.link_class(F.col("link"), F.col("page_url"))
-    return H.page_links(nodes(spark, d)).select("page_id", "link", same_host.alias("same_subdomain"), same_domain.alias("same_domain"))
+    return H.page_links(with_far_links(spark, d)).select("page_id", "link", same_host.alias("same_subdomain"), same_domain.alias("same_domain"))
 
 
-@query()
+@query(f"""SELECT page_id, link, title FROM {FAR} WHERE NOT contains(link, '//elsewhere.test/') AND ({SUB} = '' OR NOT contains(link, '://shop.'))
+UNION ALL SELECT page_id, regexp_extract(url, '^([a-z]+://)', 1) || 'shop.' || {DOMAIN}, 'Root' FROM pages WHERE {SUB} <> ''""")
 def h4_subdomain_sites(spark, d):
-    return H.subdomain_sites(H.page_links(nodes(spark, d)))
+    return H.subdomain_sites(H.page_links(with_far_links(spark, d)))
+
+
+DATED = ("/2021/0304/12345678.html", "/2021/03/05/x.html")
 
 
-@query()
+@query(f"""SELECT page_id, {plain("raw")} AS title, href AS url FROM {ANCHORS} WHERE page_id % 2 = 1 AND href <> '' AND NOT contains(href, '#')
+UNION ALL SELECT page_id, 'D', unnest(['{DATED[0]}', '{DATED[1]}']) FROM pages WHERE page_id % 2 = 0""")
 def h5_list_links(spark, d):
-    return nodes(spark, d).select("page_id", F.explode(H.list_links(F.col("nodes"), F.col("url"))).alias("l")).select("page_id", "l.title", "l.url")
+    dated = F.when(F.col("page_id") % 2 == 0, "".join(f'<a href="{x}">D</a>' for x in DATED)).otherwise("")
+    rows = marked(spark, d, F.concat("html", dated))
+    return rows.select("page_id", F.explode(H.list_links(F.col("nodes"), F.col("url"))).alias("l")).select("page_id", "l.title", "l.url")
 
 
 @query(r"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, lower(regexp_extract(html, '<meta charset="([^"]*)"', 1)) AS encoding, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS domain FROM pages""")
@@ -53,25 +110,39 @@ def h6_metas(spark, d):
     return nodes(spark, d).select("page_id", H.metas(F.col("nodes"), F.col("url")).alias("m")).select("page_id", "m.lang", "m.encoding", "m.domain")
 
 
-@query()
+@query("""SELECT page_id, unnest(['title', 'type', 'article:tag']) AS key, unnest(['U' || page_id, 'article', 't' || page_id]) AS value FROM pages""")
 def h7_open_graph(spark, d):
-    return nodes(spark, d).select("page_id", F.explode_outer(H.open_graph(F.col("nodes"))).alias("key", "value"))
+    meta = '<meta property="og:title" content="T{}"><meta property="og:type" content="article"><meta property="article:tag" content="t{}"><meta property="video:tag" content="v"><meta property="og:title" content="U{}">'
+    rows = marked(spark, d, F.concat(ident(meta), F.col("html")))
+    return rows.select("page_id", F.explode_outer(H.open_graph(F.col("nodes"))).alias("key", "value"))
 
 
-@query()
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{"@type":"ReportageNewsArticle","headline":"H' || page_id || '"}' END AS json FROM pages""")
 def h8_json_ld(spark, d):
-    return nodes(spark, d).select("page_id", H.json_ld(F.col("nodes")).alias("json"))
+    kind = F.when(F.col("page_id") % 3 == 0, "ReportageNewsArticle").otherwise("WebPage")
+    script = F.concat(F.lit('<script type="application/ld+json">{"@type":"'), kind, ident('","headline":"H{}"}</script>'))
+    return marked(spark, d, F.concat(script, F.col("html"))).select("page_id", H.json_ld(F.col("nodes")).alias("json"))
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, {DOMAIN} AS domain, {plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS h1 FROM pages),
+w AS (SELECT *, list_filter(string_split(h1, ' '), lambda x, i: NOT (i = 1 AND x IN ('|', '-', '»', ':'))) AS words FROM t)
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Story ' || page_id || ' | ' || domain ELSE h1 END AS raw_title,
+CASE WHEN page_id % 3 = 0 THEN 'Story ' || page_id ELSE array_to_string(CASE WHEN words[-1] IN ('|', '-', '»', ':') THEN words[:-2] ELSE words END, ' ') END AS title FROM w""")
 def h9_title(spark, d):
+    other = F.regexp_extract("url", r"://[^/?#]*?([^./?#]+\.[^./?#]+)(?:[/?#]|$)", 1)
+    story = F.concat(ident('<meta property="og:title" content="Story {} | '), other, F.lit('">'))
+    rows = marked(spark, d, F.concat(F.when(F.col("page_id") % 3 == 0, story).otherwise(""), F.col("html")))
     raw = H.raw_title(F.col("nodes"), F.col("url"))
-    return nodes(spark, d).select("page_id", raw.alias("raw_title"), H.clean_title(raw, F.col("nodes"), F.col("url")).alias("title"))
+    return rows.select("page_id", raw.alias("raw_title"), H.clean_title(raw, F.col("nodes"), F.col("url")).alias("title"))
 
 
-@query()
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'A' || page_id % 1000 WHEN 1 THEN 'Src' || page_id ELSE NULL END AS author FROM pages")
 def h10_author(spark, d):
-    return nodes(spark, d).select("page_id", H.item_author(H.authors(F.col("nodes"), F.col("html"), F.col("url"))).alias("author"))
+    small = F.concat(F.lit("A"), (F.col("page_id") % 1000).cast("string"))
+    by_mark = F.concat(F.lit('<b itemprop="author">Jo Lindt</b><b itemprop="author">'), small, F.lit("</b>"))
+    mark = F.when(F.col("page_id") % 3 == 0, F.concat(by_mark, F.lit("<i> 来源：Other</i>"))).when(F.col("page_id") % 3 == 1, ident("<i> 来源：Src{}</i>")).otherwise("")
+    rows = marked(spark, d, F.concat(F.col("html"), mark))
+    return rows.select("page_id", H.item_author(H.authors(F.col("nodes"), F.col("html"), F.col("url"))).alias("author"))
 
 
 @query("SELECT page_id, 978307200 + 86400 * (page_id % 300) AS pubtime FROM pages")
@@ -81,12 +152,12 @@ def h11_publish_time(spark, d):
     return rows.select("page_id", H.publish_time(F.col("nodes"), F.col("html"), F.col("url"), NOW).alias("pubtime"))
 
 
-@query("SELECT page_id, 0 AS scripts, 0 AS navs FROM pages")
+@query("""SELECT page_id, 0 AS scripts, (page_id % 2)::INT AS navs, (page_id % 2 * len(regexp_extract_all(html, '<li>')))::INT AS items FROM pages""")
 def h12_clean(spark, d):
-    marked = F.replace("html", F.lit("<nav>"), F.lit('<nav class="navbar">'))
+    kind = F.when(F.col("page_id") % 2 == 0, '<nav class="navbar">').otherwise('<nav class="main">')
     clean = H.clean_nodes(F.col("nodes"))
-    rows = table(spark, d, "pages").withColumn("html", marked).withColumn("nodes", html_nodes("html"))
-    return rows.select("page_id", F.size(tags(clean, "script", "style")).alias("scripts"), F.size(tags(clean, "nav")).alias("navs"))
+    rows = marked(spark, d, F.replace("html", F.lit("<nav>"), kind))
+    return rows.select("page_id", F.size(tags(clean, "script", "style")).alias("scripts"), F.size(tags(clean, "nav")).alias("navs"), F.size(tags(clean, "li")).alias("items"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN false WHEN l_quantity::INT % 10 = 0 THEN true ELSE (l_quantity::INT % 7)::DOUBLE / (l_quantity::INT % 10) * (l_linenumber - 1) >= 1.0 END AS dense FROM lineitem")
@@ -95,45 +166,75 @@ def h13_link_density(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", H.link_density((q % 10).cast("double"), (q % 7).cast("double"), F.col("l_linenumber") - 1).alias("dense"))
 
 
-@query()
+SCORES = f"""(WITH s AS (SELECT *, {STOPS} AS stops FROM {PARAGRAPHS}),
+n AS (SELECT *, coalesce(max(stops) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) > 5 AS boosted FROM s),
+g AS (SELECT *, row_number() OVER w - 1 AS nth, count(*) OVER (PARTITION BY page_id) AS total, sum(boosted::INT) OVER w AS k FROM n WHERE stops > 2 WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+u AS (SELECT page_id, trunc(stops + CASE WHEN total > 15 AND total - nth <= 0.25 * total THEN CASE WHEN (0.25 * total - (total - nth)) ** 2 > 40 THEN 5.0 ELSE -((0.25 * total - (total - nth)) ** 2) END WHEN boosted THEN 50.0 / k ELSE 0.0 END)::INT AS up FROM g)
+SELECT page_id, sum(up)::INT AS own, sum(trunc(up / 2.0))::INT AS half FROM u GROUP BY page_id)"""
+
+
+@query(f"""SELECT page_id, CASE WHEN page_id % 2 = 1 THEN {order_of("article")} WHEN own > half THEN {order_of("article")} ELSE CASE WHEN half IS NOT NULL THEN {order_of("body")} END END AS top_order, greatest(own, half) AS score
+FROM pages LEFT JOIN {SCORES} USING (page_id)""")
 def h14_best_node(spark, d):
-    return H.best_nodes(nodes(spark, d).withColumn("m", H.metas(F.col("nodes"), F.col("url"))), lang=F.col("m.lang"))
+    """Every other page without its known container, whose node must then be found by its score."""
+    bare = F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>"))
+    rows = marked(spark, d, F.when(F.col("page_id") % 2 == 0, bare).otherwise(F.col("html")))
+    return H.best_nodes(rows, lang=H.page_language(F.col("nodes")))
 
 
-@query("SELECT page_id, contains(html, '<article') AS has_article FROM pages")
+@query(f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {order_of("article")} ELSE {order_of("body")} + 1 END AS container FROM pages""")
 def h15_known_container(spark, d):
-    return nodes(spark, d).select("page_id", H.known_container(F.col("nodes"), F.col("url")).isNotNull().alias("has_article"))
+    body = F.when(F.col("page_id") % 2 == 1, '<body><div itemprop="articleBody">x</div>').otherwise("<body>")
+    rows = marked(spark, d, F.replace("html", F.lit("<body>"), body))
+    return rows.select("page_id", H.known_container(F.col("nodes"), F.col("url")).alias("container"))
+
 
+SAID = "the of and to in"
 
-@query()
+
+@query(f"""WITH s AS (SELECT *, {STOPS} AS stops FROM {PARAGRAPHS}), m AS (SELECT page_id, floor(avg(stops) FILTER (stops > 2)) AS mean FROM s GROUP BY page_id),
+c AS (SELECT page_id, {STOPS} AS stops FROM (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, '{SAID}' AS text FROM pages))
+SELECT page_id, CASE WHEN c.stops > coalesce(mean, 100000) * 0.30 THEN '{SAID}|' ELSE '' END || 'Lead ' || page_id AS recovered FROM c LEFT JOIN m USING (page_id)""")
 def h16_siblings(spark, d):
-    third = nodes(spark, d).withColumn("third", F.get(tags(H.clean_nodes(F.col("nodes")), "p"), 2)["order"])
-    return third.select("page_id", F.size(H.sibling_text(F.col("nodes"), F.col("third"))).alias("recovered"))
+    """A block of a paragraph, one of a link and a paragraph before the article, which is made a plain block."""
+    before = ident(f'<div><p>{SAID}</p></div><div><p><a href="/z">{SAID}</a></p></div><p>Lead {{}}</p><div id="main">')
+    rows = marked(spark, d, F.replace("html", F.lit("<article>"), before))
+    n, lang = F.col("nodes"), H.page_language(F.col("nodes"))
+    top = F.get(F.filter(n, lambda x: attr(x, "id") == "main"), 0)["order"]
+    return rows.select("page_id", F.array_join(H.sibling_text(n, top, lang), "|").alias("recovered"))
 
 
-@query()
+@query(f"SELECT page_id, content FROM pages LEFT JOIN {CONTENT} USING (page_id)")
 def h17_article_text(spark, d):
-    rows = nodes(spark, d).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
-    return rows.select("page_id", H.article_text(F.col("nodes"), F.col("top")).alias("content"))
+    """A block of links and a table without paragraphs inside the article are no content."""
+    chaff = '<article><div><p><a href="/q">more</a></p></div><table><tr><td>1</td></tr></table>'
+    rows = marked(spark, d, F.replace("html", F.lit("<article>"), F.lit(chaff))).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
+    return rows.select("page_id", F.nullif(H.article_text(F.col("nodes"), F.col("top")), F.lit("")).alias("content"))
 
 
-@query("SELECT page_id, 2 AS n_tags FROM pages")
+@query("SELECT page_id, (2 + (page_id % 3 > 0)::INT) AS n_tags FROM pages")
 def h18_tags(spark, d):
-    marked = F.concat("html", F.lit('<a rel="tag" href="/x">one</a><a rel="tag" href="/y">two</a><a rel="tag" href="/z">one</a>'))
-    return table(spark, d, "pages").select("page_id", F.size(H.tag_texts(html_nodes(marked))).alias("n_tags"))
+    more = F.when(F.col("page_id") % 3 == 0, '<a rel="tag" href="/w">two</a>').otherwise(ident('<a rel="tag" href="/w">t{}</a>'))
+    tagged = F.concat(F.col("html"), F.lit('<a rel="tag" href="/x">one</a><a rel="tag" href="/y">two</a><a rel="tag" href="/z">one</a>'), more)
+    return marked(spark, d, tagged).select("page_id", F.size(H.tag_texts(F.col("nodes"))).alias("n_tags"))
 
 
-@query()
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/in/' || page_id ELSE '/in/' || page_id || ',/more' END AS links FROM pages")
 def h19_content_links(spark, d):
-    rows = nodes(spark, d).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
-    return rows.select("page_id", F.size(H.content_links(F.col("nodes"), F.col("top"))).alias("links"))
+    inner = F.concat(ident('<article><a href="/in/{}">x</a>'), F.when(F.col("page_id") % 2 == 1, '<p><a href="/more">y</a></p>').otherwise(""))
+    rows = marked(spark, d, F.replace("html", F.lit("<article>"), inner)).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
+    return rows.select("page_id", F.array_join(H.content_links(F.col("nodes"), F.col("top")), ",").alias("links"))
 
 
-@query("SELECT page_id, 1 AS tweets, 'youtube' AS provider, 640 AS width FROM pages")
+@query("""SELECT page_id, 1 + (page_id % 2)::INT AS tweets, CASE WHEN page_id % 2 = 0 THEN 'youtube' ELSE 'vimeo' END AS provider, (300 + page_id % 500)::INT AS width, '360' AS height,
+'https://www.' || CASE WHEN page_id % 2 = 0 THEN 'youtube' ELSE 'vimeo' END || '.com/e/' || page_id AS src FROM pages""")
 def h20_embeds(spark, d):
-    marked = F.concat("html", F.lit('<blockquote class="twitter-tweet">hi</blockquote><iframe src="https://www.youtube.com/embed/1" width="640" height="360"></iframe>'))
-    rows = table(spark, d, "pages").withColumn("nodes", html_nodes(marked))
-    return rows.select("page_id", F.size(H.tweets(F.col("nodes"))).alias("tweets"), F.get(H.videos(F.col("nodes")), 0).alias("v")).select("page_id", "tweets", "v.provider", "v.width")
+    odd = F.col("page_id") % 2 == 1
+    tweet = F.when(odd, '<blockquote class="twitter-tweet">a</blockquote><blockquote class="twitter-tweet">b</blockquote>').otherwise('<blockquote class="twitter-tweet">hi</blockquote>')
+    frame = F.concat(F.lit('<iframe src="https://www.'), F.when(odd, "vimeo").otherwise("youtube"), ident('.com/e/{}" width="'), (300 + F.col("page_id") % 500).cast("string"), F.lit('" height="360"></iframe>'))
+    rows = marked(spark, d, F.concat(F.col("html"), tweet, F.lit('<iframe src="https://x.test/"></iframe>'), frame))
+    found = rows.select("page_id", F.size(H.tweets(F.col("nodes"))).alias("tweets"), F.get(H.videos(F.col("nodes")), 0).alias("v"))
+    return found.select("page_id", "tweets", "v.provider", "v.width", F.col("v.height").cast("string").alias("height"), "v.src")
 
 
 @query("SELECT page_id, '/i/' || page_id || '.png' AS image FROM pages")
@@ -142,10 +243,13 @@ def h21_image(spark, d):
     return table(spark, d, "pages").select("page_id", H.image(html_nodes(marked)).alias("image"))
 
 
-@query("SELECT page_id, url || '/f.pdf' AS file FROM pages WHERE page_id % 2 = 0")
+@query(f"""SELECT page_id, {ORIGIN} || '/top/' || page_id || '.pdf' AS file FROM pages
+UNION ALL SELECT page_id, regexp_replace({ORIGIN} || {PATH}, '[^/]*$', '') || 'near/' || page_id || '.docx' FROM pages WHERE page_id % 2 = 0""")
 def h22_attachments(spark, d):
-    links = F.array(F.col("url"), F.concat("url", F.when(F.col("page_id") % 2 == 0, F.lit("/f.pdf")).otherwise(F.lit("/f.txt"))))
-    return table(spark, d, "pages").select("page_id", F.explode(H.attachments(links, F.col("url"))).alias("file"))
+    near = F.when(F.col("page_id") % 2 == 0, ident('<a class="att" href="near/{}.docx">n</a>')).otherwise('<a class="att" href="page.html">n</a>')
+    rows = marked(spark, d, F.concat(F.col("html"), ident('<a class="att" href="/top/{}.pdf">t</a><a href="/other.pdf">o</a>'), near))
+    links = J.custom_match("@css:a.att", F.col("html"), F.col("url"), "href", F.col("nodes"))
+    return H.attachments(rows, links).select("page_id", "file")
 
 
 @query("SELECT page_id, lower(regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1)) AS charset, md5(html) AS digest FROM pages")
@@ -170,14 +274,29 @@ def j2_regex_rule(spark, d):
     return table(spark, d, "pages").select("page_id", J.regex_rule(h, "@reg:<title>[t]</title>").alias("title"), F.size(J.regex_rule(h, "@reg:<p>", many=True)).alias("paragraphs"))
 
 
-@query("SELECT page_id, len(list_filter(regexp_extract_all(html, '<li><a href=\"[^\"]*\"'), lambda x: true))::INT AS items FROM pages")
+SECOND = f"{plain(TITLES + '[2]')}"
+
+
+@query(f"""SELECT page_id, len(regexp_extract_all(html, '<li><a href="[^"]*"'))::INT AS items, {SECOND} AS second, {LINKS}[-1] AS last, {plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS heading FROM pages""")
 def j3_xpath_rule(spark, d):
-    return table(spark, d, "pages").select("page_id", F.size(J.custom_match("@xpath://nav/ul/li/a/@href", F.col("html"), F.col("url"))).alias("items"))
+    def rule(path):
+        return J.custom_match(path, F.col("html"), F.col("url"), nodes=F.col("nodes"))
 
+    return nodes(spark, d).select(
+        "page_id", F.size(rule("@xpath://nav/ul/li/a/@href")).alias("items"), F.get(rule("//nav/ul/li[2]/a/text()"), 0).alias("second"),
+        F.get(rule("/html/body/nav//li[last()]/a/@href"), 0).alias("last"), F.get(rule("//article/h1"), 0).alias("heading"),
+    )
 
-@query("SELECT page_id, regexp_extract(html, '<li><a href=\"([^\"]*)\"', 1) AS first FROM pages")
+
+@query(f"""SELECT page_id, {LINKS}[1] AS first, {SECOND} AS second, {LINKS}[-1] AS last, 1 + len({LINKS})::INT AS either FROM pages""")
 def j4_css_rule(spark, d):
-    return table(spark, d, "pages").select("page_id", F.get(J.custom_match("@css:nav > ul > li:eq(0) a", F.col("html"), F.col("url"), "href"), 0).alias("first"))
+    def rule(path, target="text"):
+        return J.custom_match(path, F.col("html"), F.col("url"), target, F.col("nodes"))
+
+    return nodes(spark, d).select(
+        "page_id", F.get(rule("@css:nav > ul > li:eq(0) a", "href"), 0).alias("first"), F.get(rule("@css:nav li:eq(1) > a"), 0).alias("second"),
+        F.get(rule("@css:ul a[href]:last", "href"), 0).alias("last"), F.size(rule("@css:div.ad, nav a")).alias("either"),
+    )
 
 
 @query("SELECT page_id, 'news' AS channel, regexp_extract(url, 'example\\.([a-z]+)/', 1) AS top FROM pages")
@@ -230,11 +349,18 @@ def j11_media_type(spark, d):
     return J.media_types(table(spark, d, "pages").select("page_id", "url"), types).select("page_id", "mediaType")
 
 
-@query()
+@query(f"""WITH t AS (SELECT page_id, url, {plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS h1 FROM pages),
+w AS (SELECT *, list_filter(string_split(h1, ' '), lambda x, i: NOT (i = 1 AND x IN ('|', '-', '»', ':'))) AS words FROM t)
+SELECT page_id, url, array_to_string(CASE WHEN words[-1] IN ('|', '-', '»', ':') THEN words[:-2] ELSE words END, ' ') AS title, 'A' || page_id AS author, 978307200 + 86400 * (page_id % 300) AS pubtime, content FROM w LEFT JOIN {CONTENT} USING (page_id)""")
 def j12_item_parser(spark, d):
-    return J.parse_items(table(spark, d, "pages"), NOW)
+    """The date stands beside the content node, an earlier one elsewhere in the page."""
+    day = F.date_format(F.timestamp_seconds(978307200 + 86400 * (F.col("page_id") % 300)), "yyyy-MM-dd")
+    mark = F.concat(F.lit("<div><i>发布时间："), day, F.lit(" 00:00 </i>"), ident('<b itemprop="author">A{}</b><article>'))
+    page = F.replace(F.replace("html", F.lit("<article>"), mark), F.lit("</article>"), F.lit("</article></div>"))
+    page = F.replace(page, F.lit("<nav>"), F.lit("<nav><i>发布时间：1999-01-02 00:00 </i>"))
+    return J.parse_items(table(spark, d, "pages").withColumn("html", page), NOW)
 
 
-@query()
+@query(f"""SELECT page_id, pos, title, url FROM (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT AS pos, href, {plain("raw")} AS title, {ORIGIN} || href AS url FROM {ANCHORS} WHERE href <> '' AND NOT contains(href, '#')) WHERE href <> '/'""")
 def j13_list_parser(spark, d):
     return J.parse_lists(table(spark, d, "pages"))
