@@ -32,6 +32,21 @@ def remove_spaces(text: Column) -> Column:
     return F.translate(text, SPACES, "")
 
 
+def md5_hex(text: Column) -> Column:
+    """Lower-case hex MD5 of the UTF-8 bytes; NULL for NULL."""
+    return F.md5(F.encode(text, "utf-8"))
+
+
+def base64_encode(text: Column) -> Column:
+    """Base64 of the UTF-8 bytes in one line."""
+    return F.replace(F.replace(F.base64(F.encode(text, "utf-8")), F.lit("\r")), F.lit("\n"))
+
+
+def base64_decode(text: Column) -> Column:
+    """Text of base64; NULL for what is not base64 of UTF-8 text."""
+    return F.try_validate_utf8(F.try_to_binary(text, F.lit("base64")).cast("string"))
+
+
 def normalise_lines(text: Column) -> Column:
     """Blank lines to one CRLF, tabs and style blocks dropped, ends trimmed."""
     out = F.regexp_replace(F.translate(text, "\t", ""), r"(?is)<style[^>]*>.*?</style>", "")

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import articles as A
 from ..operators import dedupe as D
+from ..operators.frontier import bulk_change
+from ..sources.scratch import new_path
 from ..streaming import streams as ST
 from .hooks import Hooks, detail_mode
-from .registry import NOW, query, table
+from .registry import NOW, query, stream, table
 from .url_queries import BASE, DOMAIN, IDENTITY
 
 
@@ -109,55 +111,92 @@ def a8_item_tasks(spark, d):
     return A.item_tasks(rows).select(F.get_json_object("message", "$.rid").cast("long").alias("page_id"), "queue", "message")
 
 
-# ---- streams: the batch forms of the stream operators on the same columns ------------------------------------
+# ---- streams: each runs over the files of a table as a stream, to its end ----------------------------------
 
 
-@query("SELECT event_type AS mode, count(*) AS n FROM events GROUP BY 1")
+def events(spark, d):
+    return stream(spark, d, "events")
+
+
+@query("""SELECT event_type AS mode, count(*) AS n, sum(event_id)::BIGINT AS seqs FROM events GROUP BY 1""")
 def s5_message_stream(spark, d):
-    raw = table(spark, d, "events").select(F.to_json(F.struct(F.col("event_type").alias("mode"), F.col("user_id").alias("uid"), F.col("event_id").alias("seq"))).alias("raw"))
-    return ST.parse_messages(raw).groupBy("mode").agg(F.count("*").alias("n"))
+    """Messages written to the folders of their topics by one stream and read back by another."""
+    folder = new_path(spark)
+    value = F.to_json(F.struct(F.col("event_type").alias("mode"), F.col("user_id").alias("uid"), F.col("event_id").alias("seq")))
+    out = events(spark, d).select(F.col("event_type").alias("topic"), value.alias("value"))
+    ST.write_messages(out, f"{folder}/state", path=f"{folder}/topics", trigger={"availableNow": True}).awaitTermination()
+    read = ST.run_available(ST.read_messages(spark, "json", f"{folder}/topics"))
+    return read.groupBy("mode").agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
 @query("SELECT CASE WHEN event_id % 10 = 0 THEN 'list' WHEN event_type = 'click' THEN 'click' ELSE 'rejected' END AS handler, count(*) AS n FROM events GROUP BY 1")
 def st1_dispatch(spark, d):
-    m = table(spark, d, "events").select(F.when(F.col("event_id") % 10 == 0, None).otherwise(F.col("event_type")).alias("mode"))
+    m = events(spark, d).select(F.when(F.col("event_id") % 10 == 0, None).otherwise(F.col("event_type")).alias("mode"))
     out = None
     for name, df in ST.dispatch(m, ["list", "click"], default="list").items():
         part = df.select(F.lit(name).alias("handler"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("handler").agg(F.count("*").alias("n"))
+    return ST.run_available(out).groupBy("handler").agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(DISTINCT user_id) AS n FROM events")
+@query("SELECT user_id::VARCHAR AS unid, count(*) AS n FROM events GROUP BY ALL")
 def st2_first_seen(spark, d):
-    return ST.first_seen(table(spark, d, "events").select(F.col("user_id").cast("string").alias("unid"))).agg(F.count("*").alias("n"))
+    """Stateful first-seen keys, each joined back to how often it came."""
+    keys = events(spark, d).select(F.col("user_id").cast("string").alias("unid"))
+    first = ST.run_available(ST.first_seen(keys)).select("unid")
+    return table(spark, d, "events").select(F.col("user_id").cast("string").alias("unid")).join(first, "unid").groupBy("unid").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'click' THEN 'ignore' WHEN event_type = 'view' AND k <= 5 THEN 'retry' ELSE 'log' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)")
-def st4_retry(spark, d):
-    from pyspark.sql import Window
+@query("SELECT uuid, array_to_string(list_sort(runs)[-10:], ',') AS runs FROM (SELECT o_custkey AS uuid, list(DISTINCT o_orderkey) AS runs FROM orders GROUP BY ALL)")
+def st3_run_history(spark, d):
+    """The last state of each task, from the updates of the stream."""
+    runs = stream(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("uuid"), F.col("o_orderkey").cast("long").alias("run"))
+    updates = ST.run_available(ST.run_history(runs), "update")
+    return updates.groupBy("uuid").agg(F.max_by("runs", "epoch").alias("runs")).select("uuid", F.array_join(F.col("runs").cast("array<string>"), ",").alias("runs"))
 
-    attempt = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("event_id"))
-    return table(spark, d, "events").withColumn("attempt", attempt).select("event_id", ST.retry_action(F.col("event_type"), F.col("attempt"), retried=("view",), ignored=("click",)).alias("action"))
 
+@query("SELECT event_id, k AS attempt, CASE WHEN event_type = 'click' THEN 'ignore' WHEN event_type = 'view' AND k <= 5 THEN 'retry' ELSE 'log' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS k FROM events)")
+def st4_retry(spark, d):
+    errors = events(spark, d).select(F.col("user_id").cast("string").alias("task"), F.col("event_type").alias("class"), F.col("event_id").alias("seq"))
+    counted = ST.run_available(ST.with_attempts(errors))
+    action = ST.retry_action(F.col("class"), F.col("attempt"), retried=("view",), ignored=("click",))
+    return counted.select(F.col("seq").alias("event_id"), "attempt", action.alias("action"))
 
-@query("SELECT user_id AS tid, arg_max(event_type, event_id) AS last FROM events GROUP BY 1")
+
+@query(f"""SELECT c_custkey AS tid, coalesce(last, '6') AS frequency, CASE WHEN last IS NULL THEN 0 ELSE {NOW} + CASE last WHEN '1' THEN 300 WHEN '2' THEN 600 WHEN '3' THEN 1800 WHEN '4' THEN 7200 WHEN '5' THEN 28800 ELSE 0 END END::BIGINT AS plantime
+FROM customer LEFT JOIN (SELECT user_id, arg_max(event_id % 6, event_id)::VARCHAR AS last FROM events GROUP BY 1) ON c_custkey = user_id""")
 def st5_apply_messages(spark, d):
-    """The latest message for each task, as a batch of the message stream applies it."""
-    m = table(spark, d, "events").select(F.lit("m").alias("mode"), F.col("user_id").alias("tid"), F.col("event_type").alias("frequency"), F.col("event_id").alias("seq"))
-    return m.groupBy("tid").agg(F.max_by("frequency", "seq").alias("last"))
+    """Frequency messages of a stream, batch by batch on a stored table of tasks; each batch writes the next version."""
+    folder = new_path(spark)
+    start = table(spark, d, "customer").select(F.lit("m").alias("mode"), F.col("c_custkey").cast("long").alias("tid"), F.lit("6").alias("frequency"), F.lit(0).cast("long").alias("plantime"), F.lit(0).cast("long").alias("utime"))
+    start.write.parquet(f"{folder}/start")
+    versions = [f"{folder}/start"]
+
+    def change(messages):
+        old = spark.read.parquet(versions[-1])
+        path = f"{folder}/{len(versions)}"
+        bulk_change(old, messages, "frequency", NOW).write.mode("overwrite").parquet(path)
+        versions.append(path)
+
+    sent = F.to_json(F.struct(F.lit("m").alias("mode"), F.col("user_id").alias("tid"), (F.col("event_id") % 6).cast("string").alias("frequency"), F.col("event_id").alias("seq")))
+    messages = ST.parse_messages(events(spark, d).select(sent.alias("raw")))
+    messages.writeStream.foreachBatch(ST.apply_messages(change)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(versions[-1]).select("tid", "frequency", "plantime")
 
 
-@query("SELECT event_id::VARCHAR AS rid, page_id IS NOT NULL AS found FROM events LEFT JOIN pages ON event_id = page_id")
+@query("SELECT event_id::VARCHAR AS rid, page_id IS NOT NULL AS found, url FROM events LEFT JOIN pages ON event_id = page_id")
 def st6_detail_work(spark, d):
     pages = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("rid"), "url")
-    good, bad = ST.detail_work(table(spark, d, "events").select(F.lit("item").alias("mode"), F.col("event_id").cast("string").alias("rid")), pages)
-    return good.select("rid", F.lit(True).alias("found")).unionByName(bad.select("rid", F.lit(False).alias("found")))
+    good, bad = ST.detail_work(events(spark, d).select(F.lit("item").alias("mode"), F.col("event_id").cast("string").alias("rid")), pages)
+    missing = bad.select("rid", F.lit(False).alias("found"), F.lit(None).cast("string").alias("url"))
+    return ST.run_available(good.select("rid", F.lit(True).alias("found"), "url").unionByName(missing)).drop("epoch")
 
 
 @query("SELECT ts::DATE AS day, count(*) AS articles FROM events GROUP BY 1")
 def st7_daily_articles(spark, d):
-    return ST.daily_articles(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+    """Counts as last updated; a day's row comes again with every batch that changes it."""
+    counts = ST.run_available(ST.daily_articles(events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts"), "update")
+    return counts.groupBy("day").agg(F.max_by("articles", "epoch").alias("articles"))
 
 
 @query("SELECT page_id, length(url) * 2 + 1 AS n FROM pages")

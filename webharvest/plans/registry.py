@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream of its files; the pattern fits a single file as well as a folder of parts."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}*.parquet")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` dealt over all cores where its files give fewer tasks than there are cores; large tables stay as they are read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

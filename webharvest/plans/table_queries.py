@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import frontier as P
 from ..operators import query as Q
 from ..sources import tables as S
+from ..sources.scratch import new_path
 from .registry import NOW, query, table
 
 # the task table made from orders, as SQL for DuckDB
@@ -67,23 +68,31 @@ def s1_schema_table(spark, d):
     return S.conform(rows, "sites").select("uuid", "name")
 
 
-@query("SELECT strftime(o_orderdate::DATE, '%Y%m') AS ym, count(*) AS n FROM orders WHERE o_orderdate::DATE >= DATE '1995-01-01' AND o_orderdate::DATE < DATE '1995-03-01' GROUP BY 1")
+@query("SELECT strftime(o_orderdate::DATE, '%Y%m') AS ym, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderdate::DATE >= DATE '1995-01-10' AND o_orderdate::DATE < DATE '1995-03-01' GROUP BY 1")
 def s2_monthly_partition(spark, d):
-    t = F.unix_timestamp(F.col("o_orderdate").cast("date").cast("timestamp"))
-    name, expression = S.PARTITIONS["articles"]
-    rows = table(spark, d, "orders").withColumn("ctime", t).where((F.col("ctime") >= 788918400) & (F.col("ctime") < 794016000))
-    return rows.withColumn(name, F.expr(expression)).groupBy(name).agg(F.count("*").alias("n"))
+    """Written by month; read back from the two months of the time range alone."""
+    path = new_path(spark)
+    articles = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("acid"), F.unix_timestamp(F.col("o_orderdate").cast("date").cast("timestamp")).alias("ctime"))
+    S.write_table(S.conform(articles, "articles"), path, "articles")
+    rows = S.read_months(spark, path, "articles", 789696000, 794016000)
+    return rows.groupBy("ym").agg(F.count("*").alias("n"), F.sum(F.col("acid").cast("long")).alias("keys"))
 
 
-@query(f"SELECT mode, count(*) AS n FROM {TASKS} WHERE mode = 'm1' GROUP BY mode")
+@query(f"SELECT mode, count(*) AS n, sum(uuid)::BIGINT AS keys FROM {TASKS} WHERE mode = 'm1' GROUP BY mode")
 def s3_mode_partition(spark, d):
-    return tasks(spark, d).withColumn(S.PARTITIONS["spider_task"][0], F.expr(S.PARTITIONS["spider_task"][1])).where("mode = 'm1'").groupBy("mode").agg(F.count("*").alias("n"))
+    path = new_path(spark)
+    S.write_table(S.conform(tasks(spark, d).drop("save"), "spider_task"), path, "spider_task")
+    return S.read_modes(spark, path, "m1").groupBy("mode").agg(F.count("*").alias("n"), F.sum("uuid").alias("keys"))
 
 
-@query("SELECT left(md5(url), 1) AS digit, count(DISTINCT md5(url)) AS n FROM pages GROUP BY 1")
+@query("SELECT left(md5(url), 1) AS digit, count(DISTINCT md5(url)) AS n FROM pages WHERE page_id % 3 = 0 AND url IN (SELECT url FROM pages WHERE page_id % 2 = 0) GROUP BY 1")
 def s4_seen_buckets(spark, d):
-    keys = table(spark, d, "pages").select(F.md5("url").alias("unid")).distinct()
-    return keys.withColumn("digit", F.expr(S.PARTITIONS["unique"][1])).groupBy("digit").agg(F.count("*").alias("n"))
+    """The seen set by first digit, asked for the keys of a batch."""
+    path = new_path(spark)
+    keys = table(spark, d, "pages").select("page_id", F.md5("url").alias("unid"))
+    S.write_table(keys.where("page_id % 2 = 0").groupBy("unid").agg(F.min("page_id").alias("ctime")), path, "unique")
+    known = S.seen_of(spark, path, keys.where("page_id % 3 = 0"))
+    return known.groupBy(F.substring("unid", 1, 1).alias("digit")).agg(F.count("*").alias("n"))
 
 
 @query("""SELECT q AS topic, '{"mode":"list","rid":"' || page_id || '"}' AS value FROM pages, (VALUES ('search'), ('archive'), ('export')) t(q)""")

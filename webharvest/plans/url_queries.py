@@ -13,6 +13,7 @@ SUB = rf"regexp_replace(left({HOST}, length({HOST}) - length({DOMAIN})), '\.$',
 BASE = "regexp_extract(url, '^([^?#]*)', 1)"
 QUERY = r"regexp_extract(url, '^[^?#]*\?([^#]*)', 1)"
 FRAGMENT = "regexp_extract(url, '(#.*)$', 1)"
+PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
 
 
 def _filtered(test: str) -> str:
@@ -53,12 +54,18 @@ def u6_clean_url(spark, d):
     return table(spark, d, "pages").select("page_id", urls.clean_url(F.col("url"), ["utm_source"], ["#top$"]).alias("cleaned"))
 
 
-@query(r"""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages)
-SELECT page_id, link, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || link AS resolved FROM l WHERE starts_with(link, '/') AND NOT starts_with(link, '//') AND link <> '/' AND NOT contains(link, ' ')""")
+#: Kinds of links beside those of the pages: relative, parent, query alone, other host, absolute, script, blank.
+KINDS = ("near/x.html", "../up", "?q=1", "//cdn.test/a b", "https://other.test/p", "javascript:go()", "")
+
+
+@query(rf"""WITH l AS (SELECT page_id, url, unnest(list_concat(regexp_extract_all(html, '<a href="([^"]*)"', 1), [{", ".join(f"'{k}'" for k in KINDS)}])) AS link FROM pages),
+p AS (SELECT *, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS origin, {PATH} AS path FROM l)
+SELECT page_id, link, CASE WHEN link IN ('', '/') OR starts_with(link, 'javascript') THEN NULL WHEN starts_with(link, '//') THEN regexp_extract(url, '^([a-z]+:)', 1) || link WHEN starts_with(link, '/') THEN origin || link WHEN starts_with(link, 'https://') THEN link
+WHEN starts_with(link, '?') THEN origin || path || link WHEN starts_with(link, '../') THEN origin || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') || link[4:] ELSE origin || regexp_replace(path, '[^/]*$', '') || link END AS resolved FROM p""")
 def u7_resolve_urls(spark, d):
-    links = table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("link"))
-    kept = links.where(urls.usable_link(F.col("link")) & F.startswith("link", F.lit("/")) & ~F.startswith("link", F.lit("//")) & ~F.contains("link", F.lit(" ")))
-    return kept.select("page_id", "link", urls.resolve(F.col("link"), F.col("url")).alias("resolved"))
+    found = F.concat(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1)), F.array(*[F.lit(k) for k in KINDS]))
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(found).alias("link"))
+    return links.select("page_id", "link", urls.resolve(F.col("link"), F.col("url")).alias("resolved"))
 
 
 @query("SELECT c_custkey, 'http://x.com/' || c_nationkey || '/{other}?k=' || replace(c_name, '#', '%23') AS by_format, 'http://x.com/n' || c_nationkey || '+' AS by_regex, 'http://x.com/?n=' || c_nationkey || '&z=1' AS by_get FROM customer")
@@ -95,9 +102,6 @@ def u12_detail_and_top(spark, d):
     return table(spark, d, "pages").select("page_id", urls.is_detail(F.col("url")).alias("is_detail"), urls.is_top_link(F.col("url")).alias("is_top"))
 
 
-PATH = "regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)"
-
-
 @query(rf"""SELECT page_id, CASE WHEN {PATH} IN ('', '/') AND {QUERY} = '' AND {SUB} IN ('', 'www') THEN 0.99 WHEN {PATH} IN ('', '/') AND {QUERY} = '' THEN 0.95 WHEN {DETAIL} THEN 0.0 WHEN {TOP} THEN 0.99
 WHEN ends_with({PATH}, '/') THEN round(greatest(0.0, 0.95 - 0.2 * len(list_filter(string_split({PATH}, '/'), lambda p: p <> ''))), 2) WHEN regexp_matches({PATH}, '(?i)/(?:index|list|default)[^/]*\.[a-z]+$') THEN 0.94 END::DOUBLE AS score FROM pages""")
 def u13_top_link_score(spark, d):
@@ -109,9 +113,9 @@ def u14_from_any_domain(spark, d):
     return table(spark, d, "pages").select("page_id", urls.from_any_domain(F.col("url"), ["example.com", "Example.org"]).alias("mine"))
 
 
-@query("SELECT doc_id, array_to_string(list_transform(string_split(left(text, 60), ''), lambda c: CASE WHEN c = '' THEN '' WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '') AS quoted FROM documents")
+@query("SELECT doc_id, md5(array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN c = '' THEN '' WHEN unicode(c) > 127 THEN url_encode(c) ELSE c END), '')) AS quoted FROM documents")
 def u15_quote_non_ascii(spark, d):
-    return table(spark, d, "documents").select("doc_id", urls.quote_non_ascii(F.substring("text", 1, 60)).alias("quoted"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(urls.quote_non_ascii(F.col("text"))).alias("quoted"))
 
 
 @query("SELECT o_orderkey, epoch(o_orderdate::TIMESTAMP)::BIGINT + CASE WHEN year(o_orderdate) < 2000 THEN NULL ELSE 0 END AS dashed, epoch((o_orderdate + INTERVAL 20 YEAR)::TIMESTAMP)::BIGINT AS shifted, epoch((o_orderdate + INTERVAL 20 YEAR)::TIMESTAMP)::BIGINT AS packed FROM orders")
@@ -179,10 +183,10 @@ def x5_find_date(spark, d):
     return table(spark, d, "orders").select("o_orderkey", times.find_date(page).alias("found"))
 
 
-@query("SELECT doc_id, md5(text) AS digest, base64(encode(left(text, 20))) AS encoded, left(text, 20) AS decoded FROM documents")
+@query("SELECT doc_id, md5(text) AS digest, md5(base64(encode(text))) AS encoded, md5(text) AS decoded FROM documents")
 def x6_digests(spark, d):
-    head = F.substring("text", 1, 20)
-    return table(spark, d, "documents").select("doc_id", F.md5("text").alias("digest"), F.base64(F.encode(head, "utf-8")).alias("encoded"), F.decode(F.unbase64(F.base64(F.encode(head, "utf-8"))), "utf-8").alias("decoded"))
+    packed = text.base64_encode(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", text.md5_hex(F.col("text")).alias("digest"), F.md5(packed).alias("encoded"), F.md5(text.base64_decode(packed)).alias("decoded"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)\\bthe\\b'))::INT AS n FROM documents")

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.frontier import RUNS_KEPT
 from ..operators.dedupe import insert_if_absent
+from ..operators.frontier import RUNS_KEPT
 from ..sources.schemas import MESSAGE
+from ..sources.scratch import new_path
 
 # Error classes that are retried, and those that end a task quietly.
 RETRIED = ("ProxyError", "ConnectionError", "Timeout", "NoResponse", "Forbidden")
@@ -30,12 +31,30 @@ def parse_messages(raw: DataFrame, schema: str = MESSAGE) -> DataFrame:
     return raw.withColumn("m", F.from_json("raw", schema)).select("m.*", "raw")
 
 
-def write_messages(df: DataFrame, checkpoint: str, fmt: str = "json", path: str | None = None, **options) -> StreamingQuery:
-    """Write messages (topic, value) to a sink."""
-    writer = df.writeStream.format(fmt).option("checkpointLocation", checkpoint).options(**options).outputMode("append")
+def write_messages(df: DataFrame, checkpoint: str, fmt: str = "json", path: str | None = None, trigger: dict | None = None, **options) -> StreamingQuery:
+    """Write messages (topic, value) to a sink: `kafka`, or files of JSON lines in a folder for each topic, which read_messages reads."""
+    writer = df.select("topic", "value").writeStream.option("checkpointLocation", checkpoint).options(**options).outputMode("append")
+    writer = writer.format("text").partitionBy("topic") if fmt == "json" else writer.format(fmt)
+    writer = writer.trigger(**trigger) if trigger else writer
     return writer.start(path) if path else writer.start()
 
 
+def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that its source holds now; the rows of its batches, with their `epoch`.
+
+    A batch is written to a folder of its own, so one that is repeated after a failure replaces itself.
+    """
+    spark, folder = df.sparkSession, new_path(df.sparkSession)
+
+    def save(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
+
+    query = df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = df.schema.add("epoch", "long")
+    return spark.read.schema(schema).parquet(f"{folder}/rows") if query.lastProgress else spark.createDataFrame([], schema)
+
+
 def dispatch(messages: DataFrame, modes: Sequence[str], default: str | None = None) -> dict[str, DataFrame]:
     """Messages by mode; the default handler takes those without a mode, which are rejected if there is none; unreadable ones are rejected."""
     mode = F.coalesce("mode", F.lit(default)) if default else F.col("mode")
@@ -79,14 +98,13 @@ def retry_action(error_class: Column, attempt: Column, retries: int = RETRIES, r
 
 
 def with_attempts(errors: DataFrame) -> DataFrame:
-    """A stream of errors (task, class) with the attempt number of each, kept as state by task and class."""
+    """A stream of errors (task, class, seq) with the attempt number of each, by seq inside a batch, kept as state by task and class."""
+
     def count(key, batches, state):
         n = state.get[0] if state.exists else 0
-        for pdf in batches:
-            rows = pdf.sort_values("seq")
-            yield pd.DataFrame({"task": rows["task"], "class": rows["class"], "seq": rows["seq"], "attempt": range(n + 1, n + 1 + len(rows))})
-            n += len(rows)
-        state.update((n,))
+        seqs = sorted(x for pdf in batches for x in pdf["seq"].tolist())
+        state.update((n + len(seqs),))
+        yield pd.DataFrame({"task": key[0], "class": key[1], "seq": seqs, "attempt": range(n + 1, n + 1 + len(seqs))})
 
     return errors.select("task", "class", "seq").groupBy("task", "class").applyInPandasWithState(count, "task long, class string, seq long, attempt long", "n long", "append", "NoTimeout")
 
