@@ -281,6 +281,10 @@ def test_licenses(spark):
     rows = EDGES + [(20, "Copyright (c) 2020 A. B.\nreleased UNDER the mit  licence"), (21, "text\nReleased under the MIT License.\nmore"), (22, "Released under the MIT License. Not only")]
     got = {r.doc_id: (r.license, r.notices) for r in scan_licenses(documents(spark, rows)).collect()}
     assert got[20] == ("MIT", "MIT") and got[21] == (None, "MIT") and got[22] == (None, "") and got[1] == (None, "")
+    assert scan_licenses(documents(spark, [])).count() == 0
+    own = spark.createDataFrame([("X-1", "The X licence.\nTwo lines"), ("X-1", None), ("X-2", "")], "license string, text string")
+    mine = {r.doc_id: (r.license, r.notices) for r in scan_licenses(documents(spark, [*rows, (23, "the x LICENSE two: lines")]), own).collect()}
+    assert mine[23] == ("X-1", "X-1") and mine[20] == (None, "") and mine[2] == (None, "")
 
 
 def test_license_collection(spark):
