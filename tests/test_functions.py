@@ -132,6 +132,30 @@ def test_first_seen_and_upsert(spark):
     assert {r.rid: r.content for r in A.join_pages(pages).collect()} == {1: "x\r\n\r\ny", 2: ""}
 
 
+def test_first_seen_of_a_hot_key(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("k"), F.col("id"))).otherwise("hot").alias("unid"), (4000 - F.col("id")).alias("ctime"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    twins = rows.unionByName(rows)
+    out = D.insert_if_absent(twins, None)
+    assert out.columns == [*rows.columns, "inserted", "seen_ctime"] and out.count() == 8000
+    assert out.where("inserted").count() == 1001
+    hot = out.where("unid = 'hot'").agg(F.count_if("inserted").alias("n"), F.min("seen_ctime").alias("a"), F.max("seen_ctime").alias("b")).first()
+    assert tuple(hot) == (1, 1, 1)
+    nulls = D.insert_if_absent(spark.createDataFrame([(None, 1), (None, 2)], "unid string, ctime long"), None)
+    assert sorted((r.ctime, r.inserted) for r in nulls.collect()) == [(1, True), (2, False)]
+
+
+def test_ids_by_a_string_key(spark):
+    rows = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("k"))
+    got = [r.k for r in Q.assign_ids(rows, ["k"], rows=60).orderBy("uuid").collect()]
+    assert got == sorted(got) and Q.assign_ids(rows, ["k"], rows=60).agg(F.min("uuid"), F.max("uuid"), F.count_distinct("uuid")).first()[:] == (1, 500, 500)
+
+
+def test_slices_over_many_ranges(spark):
+    tasks = spark.range(1, 1001).select(F.col("id").alias("uuid"), F.lit("m").alias("mode"), F.lit("6").alias("frequency"), F.lit(1).alias("status"), F.lit(0).cast("long").alias("expire"), F.lit(0).cast("long").alias("plantime"))
+    slices = spark.createDataFrame([("m", "6", 150, 100), ("m", "6", 250, 30)], "mode string, frequency string, offset long, count long")
+    assert sorted(r.uuid for r in P.batch_slices(tasks, slices, NOW, rows=90).collect()) == list(range(151, 281))
+
+
 def test_streams(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()

@@ -4,22 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOOM_BITS = 1 << 30
 BLOOM_SEEDS = 6
 
 
-def insert_if_absent(batch: DataFrame, seen: DataFrame | None, order: tuple[str, ...] = ("ctime",)) -> DataFrame:
+def insert_if_absent(batch: DataFrame, seen: DataFrame | None, order: tuple[str, ...] = ("ctime",), salts: int = 16) -> DataFrame:
     """batch (unid, ctime, ...) with (inserted, seen_ctime): whether a row is the first of its unid, and the stored ctime.
 
-    seen: (unid, ctime), a row for each unid.  Ties go by `order`, which should tell rows apart.
+    seen: (unid, ctime), a row for each unid.  Ties go by `order`, which should tell rows apart.  The rows of a unid
+    are dealt by a hash of their values into `salts` parts, each with its own first row; only those firsts meet
+    each other and the seen set, so neither a hot unid nor the whole batch is sorted by unid in one task.
     """
-    first = Window.partitionBy("unid").orderBy(*order)
-    ranked = batch.withColumn("_k", F.row_number().over(first)).withColumn("_first", F.first("ctime").over(first))
-    if seen is None:
-        return ranked.withColumn("inserted", F.col("_k") == 1).withColumn("seen_ctime", F.col("_first")).drop("_k", "_first")
-    joined = ranked.join(seen.select("unid", F.col("ctime").alias("_stored")), "unid", "left")
-    return joined.withColumn("inserted", (F.col("_k") == 1) & F.col("_stored").isNull()).withColumn("seen_ctime", F.coalesce("_stored", "_first")).drop("_k", "_first", "_stored")
+    plain = [f.name for f in batch.schema if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType))]
+    salted = batch.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(salts)).cast("int"))
+    ranked = salted.withColumn("_k", F.row_number().over(Window.partitionBy("unid", "_salt").orderBy(*order)))
+    by_order = Window.partitionBy("unid").orderBy("_o", "_salt")
+    firsts = salted.groupBy("unid", "_salt").agg(F.min(F.struct(*order)).alias("_o"), F.min_by("ctime", F.struct(*order)).alias("_ctime"))
+    firsts = firsts.withColumn("_win", F.row_number().over(by_order) == 1).withColumn("_first", F.first("_ctime").over(by_order)).drop("_o", "_ctime")
+    stored = F.lit(None).cast(batch.schema["ctime"].dataType)
+    if seen is not None:
+        firsts = firsts.join(seen.select("unid", F.col("ctime").alias("_stored")), "unid", "left")
+        stored = F.col("_stored")
+    firsts = firsts.select("unid", "_salt", (F.col("_win") & stored.isNull()).alias("_win"), F.coalesce(stored, "_first").alias("seen_ctime"))
+    marked = ranked.join(firsts.withColumnRenamed("unid", "_unid"), F.col("unid").eqNullSafe(F.col("_unid")) & (ranked["_salt"] == firsts["_salt"]))
+    return marked.select(*[ranked[f"`{c}`"] for c in batch.columns], (F.col("_win") & (F.col("_k") == 1)).alias("inserted"), "seen_ctime")
 
 
 def bloom_offsets(key: Column, bits: int = BLOOM_BITS, hashes: int = BLOOM_SEEDS) -> Column:

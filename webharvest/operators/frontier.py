@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,13 +10,15 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import build_query, filter_query, quote_plus
 from .query import where
+from .ranges import ROWS, range_bounds, range_of
 
 # Seconds of each frequency code.
 FREQUENCIES = {"0": 0, "1": 300, "2": 600, "3": 1800, "4": 7200, "5": 28800, "6": 86400}
 DEFAULT_FREQUENCY = "6"
 SLICE = 100
 RUNS_KEPT = 10
-SPREAD = 32
+#: Deals of the rows in a product, at least, and the rows of one deal.
+SPREAD, DEAL_ROWS = 32, 50_000
 
 
 def frequency_seconds(code: Column) -> Column:
@@ -64,25 +67,27 @@ def route_batches(counts: DataFrame, state: DataFrame | None, now: int, interval
     return slices, following
 
 
-def batch_slices(tasks: DataFrame, slices: DataFrame, now: int, parts: int = 32) -> DataFrame:
+def batch_slices(tasks: DataFrame, slices: DataFrame, now: int, rows: int = ROWS) -> DataFrame:
     """Tasks of the given slices, in uuid order inside (mode, frequency), with their new plantime.
 
-    The few groups are large, so rows are numbered in ranges of uuid whose counts give offsets; slices join on an
-    equality of (mode, frequency, slice number).
+    The few groups are large, so rows are numbered in ranges of uuid, about `rows` to a range, whose counts give
+    offsets; slices join on an equality of (mode, frequency, slice number).
     """
-    rows = active(tasks, now)
-    bounds = sorted(set(rows.approxQuantile("uuid", [k / parts for k in range(1, parts)], 0.005))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("uuid"))) if bounds else F.lit(0)
-    ranged = rows.withColumn("_part", part)
+    live = active(tasks, now)
+    ranged = live.withColumn("_part", range_of(F.col("uuid"), range_bounds(live, "uuid", rows)))
     keys = ["mode", "frequency"]
     sizes = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    before = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    ranked = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("uuid"))).join(F.broadcast(before), [*keys, "_part"])
+    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(*keys, "_part", F.coalesce(earlier, F.lit(0)).alias("_before"))  # a row for each group and range
+    numbering = Window.partitionBy(*keys, "_part").orderBy("uuid")
+    ranked = ranged.withColumn("_rank", F.row_number().over(numbering)).join(F.broadcast(before), [*keys, "_part"])
     numbered = ranked.withColumn("_at", F.col("_before") + F.col("_rank") - 1)
     first = slices.groupBy(*keys).agg(F.min("offset").alias("_first"))
-    cut = slices.join(first, keys).select(*keys, F.floor((F.col("offset") - F.col("_first")) / SLICE).alias("_slice"), F.col("offset").alias("_offset"), F.col("count").alias("_count"))
+    number = F.floor((F.col("offset") - F.col("_first")) / SLICE)
+    cut = slices.join(first, keys).select(*keys, number.alias("_slice"), F.col("offset").alias("_offset"), F.col("count").alias("_count"))
     placed = numbered.join(F.broadcast(first), keys).withColumn("_slice", F.floor((F.col("_at") - F.col("_first")) / SLICE))
-    chosen = placed.join(cut, [*keys, "_slice"]).where((F.col("_at") >= F.col("_offset")) & (F.col("_at") < F.col("_offset") + F.col("_count")))
+    inside = (F.col("_at") >= F.col("_offset")) & (F.col("_at") < F.col("_offset") + F.col("_count"))
+    chosen = placed.join(cut, [*keys, "_slice"]).where(inside)
     return chosen.withColumn("plantime", now + frequency_seconds(F.col("frequency"))).select(*tasks.columns)
 
 
@@ -202,9 +207,10 @@ def _with_frequency(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def _with_each(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    """Every row with every one of the others, which are repeated for each of SPREAD deals of the rows."""
-    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(SPREAD)).cast("int"))
-    repeated = others.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    """Every row with every one of the others, which are repeated for each deal of the rows; deals follow the number of rows."""
+    deals = max(SPREAD, math.ceil(rows.count() / DEAL_ROWS))
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(deals)).cast("int"))
+    repeated = others.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
     return dealt.join(repeated, "_deal").drop("_deal")
 
 
@@ -212,7 +218,7 @@ def new_search_tasks_by_url(urls: DataFrame, keywords: DataFrame, tasks: DataFra
     """url x its keywords (those of its task and the global ones, tid 0 or NULL) for urls without any task in this mode.
 
     The keywords of a task are an equality join; the global keywords, which every url needs, are repeated for
-    each of SPREAD deals of the urls, so the pairs are made in as many tasks.
+    each deal of the urls, so the pairs are made in as many tasks.
     """
     fresh = _with_frequency(urls, rules).join(tasks.where(F.col("mode") == mode).select("uid"), "uid", "left_anti")
     words = keywords.select(F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"), F.col("expire").alias("word_expire"))

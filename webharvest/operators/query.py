@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import ROWS, range_bounds, range_of
+
 _OPS = {"=": "eq", "<>": "ne", ">": "gt", ">=": "ge", "<": "lt", "<=": "le", "IN": "in", "NOT IN": "nin", "regex": "re"}
 
 
@@ -111,21 +113,21 @@ def max_id(df: DataFrame, column: str = "uuid", spec=None) -> DataFrame:
     return df.where(where(spec)).agg(F.max(column).alias("max_id"))
 
 
-def assign_ids(df: DataFrame, order: Sequence[str], start: int = 0, column: str = "uuid", parts: int = 32) -> DataFrame:
-    """Increasing ids start+1, start+2, ... in the order of columns that tell rows apart.
+def assign_ids(df: DataFrame, order: Sequence[str], start: int = 0, column: str = "uuid", rows: int = ROWS) -> DataFrame:
+    """Increasing ids start+1, start+2, ... in the order of columns that tell rows apart, of any orderable type; NULLs come first.
 
-    Rows are ranged by the first order column; counts of the ranges give offsets, and each range numbers its own
-    rows, so no window spans the table.
+    Rows are ranged by the first order column, about `rows` to a range; counts of the ranges give offsets, and each
+    range numbers its own rows, so no window spans the table.
     """
     lead = F.col(order[0])
-    bounds = [b for b in df.select(lead.cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.005)] if parts > 1 else []
-    bounds = sorted(set(bounds))
-    part = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= lead.cast("double"))) if bounds else F.lit(0)
-    ranged = df.withColumn("_part", F.coalesce(part, F.lit(-1)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row for each range
+    bounds = range_bounds(df, order[0], rows)
+    ranged = df.withColumn("_part", F.when(lead.isNull(), -1).otherwise(range_of(lead, bounds)))
     numbered = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    return numbered.join(F.broadcast(before), "_part").withColumn(column, (F.col("_before") + F.col("_rank") + start).cast("long")).drop("_part", "_before", "_rank")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    before = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    joined = numbered.join(F.broadcast(before), "_part")
+    return joined.withColumn(column, (F.col("_before") + F.col("_rank") + start).cast("long")).drop("_part", "_before", "_rank")
 
 
 def build_month_id(ctime: Column, id_: Column) -> Column:
