@@ -277,6 +277,47 @@ def test_mixing(spark):
     assert mix_sources(documents(spark, [])).count() == 0
 
 
+def test_mixing_against_a_plain_solution(spark):
+    """Targets by plain sharing, tilts by bisection, rounding with a carried error: the same words of every source."""
+    import math
+
+    r = random.Random(5)
+    names = ["a", "b", "z", "\u00e9", None, "c", "d"]
+    rows = [(k, prose(r.randrange(1, 60) if k % 7 else 150, k), "en", names[k if k < 14 and k % 7 == k else r.randrange(2) if k % 3 else 4], None, "x", 7) for k in range(300)]
+    got = {x.doc_id: x for x in mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()}
+    sizes = {}
+    for k, text, _, source, *_ in rows:
+        sizes.setdefault(source, []).append(len(text.split()))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight, total, capped = {s: k % 3 + 1 for k, s in enumerate(order)}, sum(map(sum, sizes.values())), {}
+    while True:
+        level = (total - sum(capped.values())) / sum(w for s, w in weight.items() if s not in capped)
+        over = {s: 3 * sum(sizes[s]) for s in order if s not in capped and level * weight[s] > 3 * sum(sizes[s])}
+        if not over:
+            break
+        capped |= over
+    target = {s: capped.get(s, level * weight[s]) for s in order}
+    assert capped and len(capped) < len(order)
+    for s in order:
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            t = (low + high) / 2
+            low, high = (t, high) if sum(n * min(3, math.exp(min(50, t * n / 30))) for n in sizes[s]) < target[s] else (low, t)
+        rate = {n: min(3, math.exp(min(50, low * n / 30))) for n in sizes[s]}
+        left, copies = 0.0, {}
+        for n in sorted(rate, reverse=True):
+            count = sizes[s].count(n)
+            left += count * rate[n] * n
+            copies[n] = min(3 * count, max(0, math.floor(left / n + 0.5)))
+            left -= copies[n] * n
+        mine = [x for x in rows if x[3] == s]
+        assert all(abs(got[k].target - target[s]) < 1e-3 * target[s] + 1e-6 and got[k].source_size == sum(sizes[s]) for k, *_ in mine)
+        taken = Count()
+        for k, text, *_ in mine:
+            taken[len(text.split())] += got[k].copies
+        assert sum(abs(taken[n] - copies[n]) for n in copies) <= 2 and abs(sum(got[k].taken for k, *_ in mine) - target[s]) <= max(copies)
+
+
 def test_licenses(spark):
     rows = EDGES + [(20, "Copyright (c) 2020 A. B.\nreleased UNDER the mit  licence"), (21, "text\nReleased under the MIT License.\nmore"), (22, "Released under the MIT License. Not only")]
     got = {r.doc_id: (r.license, r.notices) for r in scan_licenses(documents(spark, rows)).collect()}
