@@ -20,7 +20,7 @@ from webharvest.llm.licenses import TEXTS, scan_licenses
 from webharvest.llm.mixing import mix_sources
 from webharvest.llm.quality import fit_classifier, label_model
 from webharvest.llm.token_counts import RANKS, Counter, TokenTree, token_counts
-from webharvest.llm.url_filters import judge_urls
+from webharvest.llm.url_filters import domain_of, host_reputation, judge_urls, noisy_page, suffix_of
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, seed string, size long"
 WORDS = [a + b for a in "ba ce di fo gu ha je ki lo mu".split() for b in "n r s t l m d k".split()]
@@ -342,6 +342,13 @@ def test_url_filters(spark):
     assert got[2].rule == "net/de/" and got[2].verdict == "block" and (got[3].host, got[3].path) == ("", "") and got[5].host == "b.example.org"
     assert got[10].verdict == "block" and got[10].rule is None and got[5].verdict == "allow"
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    marked = [(1, "http://10.0.0.1/a", "!! " * 50), (2, "http://172.16.0.1/a", "ok"), (3, "http://a.gov.uk/", "ok"), (4, "http://b.gov.uk/", '<i class="!! !! !! !! !!">plain text of a page</i>')]
+    hosts = {r.host: r for r in host_reputation(judge_urls(spark.createDataFrame(marked, "page_id long, url string, html string")).select("host", F.lit(1).alias("bad"))).collect()}
+    assert set(hosts) == {"10.0.0.1", "172.16.0.1", "a.gov.uk", "b.gov.uk"}
+    names = spark.createDataFrame([(h,) for h in [*hosts, "x.co.nz", "localhost"]], "h string").select("h", domain_of(F.col("h")).alias("d"), suffix_of(domain_of(F.col("h"))).alias("s"))
+    assert {r.h: (r.d, r.s) for r in names.collect()} == {"10.0.0.1": ("10.0.0.1", ""), "172.16.0.1": ("172.16.0.1", ""), "a.gov.uk": ("a.gov.uk", "gov.uk"), "b.gov.uk": ("b.gov.uk", "gov.uk"), "x.co.nz": ("x.co.nz", "co.nz"), "localhost": ("localhost", "")}
+    noise = spark.createDataFrame(marked, "page_id long, url string, html string").select("page_id", noisy_page(F.col("html")).alias("bad"))
+    assert {r.page_id: r.bad for r in noise.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
 
 
 @pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")

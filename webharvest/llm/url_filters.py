@@ -11,13 +11,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.suffixes import TWO_LABELS
+from ..functions.urls import let
 from ._tables import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (action, host, path prefix)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Suffixes of two labels under which domains are registered; any other suffix is the last label.
-DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "com.cn", "org.cn", "gov.cn", "co.jp", "com.br")
+DOUBLE = "|".join(s.replace(".", r"\.") for s in TWO_LABELS)
+#: Hosts without a registered domain: they are their own, under an empty suffix, so that no host shares their outcomes.
+ADDRESS = r"^(?:[0-9.]+|\[.*)$"
+#: Markup that is no text; and marks of noise in what remains, entities as they are written.
+MARKUP = r"(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>|<[^>]*>"
+NOISE = r"[*#$%]{3}|&amp;&amp;&amp;|!!| \| "
 
 
 def host_of(url: Column) -> Column:
@@ -33,20 +40,26 @@ def path_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """Registered domain: the suffix and one label before it; the host itself if it has no more labels."""
-    double = "|".join(s.replace(".", r"\.") for s in DOUBLE_SUFFIXES)
-    return F.when(F.regexp_like(host, F.lit(rf"[^.]+\.(?:{double})$")), F.regexp_extract(host, rf"[^.]+\.(?:{double})$", 0)).when(F.instr(host, ".") > 0, F.regexp_extract(host, r"[^.]*\.[^.]*$", 0)).otherwise(host)
+    """Registered domain: the suffix and one label before it; the host itself if it has no more labels or is an address."""
+    double = rf"[^.]+\.(?:{DOUBLE})$"
+    return (
+        F.when(F.regexp_like(host, F.lit(ADDRESS)), host)
+        .when(F.regexp_like(host, F.lit(double)), F.regexp_extract(host, double, 0))
+        .when(F.instr(host, ".") > 0, F.regexp_extract(host, r"[^.]*\.[^.]*$", 0))
+        .otherwise(host)
+    )
 
 
 def suffix_of(domain: Column) -> Column:
-    """What follows the first dot of a registered domain; empty if there is none."""
-    return F.when(F.instr(domain, ".") > 0, F.regexp_extract(domain, r"^[^.]*\.(.*)$", 1)).otherwise(F.lit(""))
+    """What follows the first dot of a registered domain; empty if there is none and for addresses."""
+    named = (F.instr(domain, ".") > 0) & ~F.regexp_like(domain, F.lit(ADDRESS))
+    return F.when(named, F.regexp_extract(domain, r"^[^.]*\.(.*)$", 1)).otherwise(F.lit(""))
 
 
 def noisy_page(html: Column, per_char: float = 0.002) -> Column:
-    """The default outcome of a page, 1 bad: symbol runs, doubled marks and table bars per character; null pages have none."""
-    noise = F.regexp_count(html, F.lit(r"[*#$%]{3}|&amp;&amp;&amp;|!!| \| "))
-    return F.when(html.isNotNull(), (noise.cast("double") > F.length(html) * F.lit(per_char)).cast("long"))
+    """The default outcome of a page, 1 bad: symbol runs, doubled marks and table bars per character of its text; null pages have none."""
+    text = F.regexp_replace(html, MARKUP, "")
+    return F.when(html.isNotNull(), let(text, lambda t: (F.regexp_count(t, F.lit(NOISE)).cast("double") > F.length(t) * F.lit(per_char)).cast("long")))
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
@@ -58,34 +71,42 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return choice
 
 
-def _strength(groups: DataFrame, n: str, bad: str) -> tuple[float, float]:
-    """(prior strength, mean) of a level, from the spread of its groups' rates about the common mean; two numbers to the driver."""
-    total = groups.where(F.col(n) > 0).agg(F.sum(n).alias("n"), F.sum(bad).alias("b"), F.count("*").alias("g"), F.sum(F.col(n).cast("double") * F.col(n)).alias("nn"), F.sum(F.col(bad).cast("double") * F.col(bad) / F.col(n)).alias("bb"))
-    mean = F.col("b") / F.col("n")
+def _strength(n: str, bad: str) -> Column:
+    """struct(k, m): prior strength and mean of a level, from the spread of its groups' rates about the common mean."""
+    some = F.col(n) > 0
+
+    def total(x: Column) -> Column:
+        return F.sum(F.when(some, x))
+
+    groups, size, hits = F.count_if(some), total(F.col(n)), total(F.col(bad))
+    squares, spreads = total(F.col(n).cast("double") * F.col(n)), total(F.col(bad).cast("double") * F.col(bad) / F.col(n))
+    mean = F.try_divide(hits, size)
     inner = mean * (1 - mean)
-    spread = F.col("bb") - F.col("n") * mean * mean - (F.col("g") - 1) * inner
-    room = (F.col("n") - F.col("nn") / F.col("n") - (F.col("g") - 1)) * inner
+    spread = spreads - size * mean * mean - (groups - 1) * inner
+    room = (size - F.try_divide(squares, size) - (groups - 1)) * inner
     rho = F.least(F.lit(0.9), F.greatest(F.lit(0.01), F.coalesce(F.try_divide(spread, room), F.lit(0.01))))
-    return tuple(total.where("n > 0").select(1 / rho - 1, mean).first() or (99.0, 0.5))
+    return F.struct((1 / rho - 1).alias("k"), F.coalesce(mean, F.lit(0.5)).alias("m"))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """(host, n, bad, rate, lower): posterior mean and lower bound of the bad rate of every host in `outcomes` (host, bad).
 
-    Rows whose outcome is null are counted for nothing, but their hosts get the rate of their domain.
-    Counting is a plain sum by host, so a host with most of the rows is no burden.
+    lower: the mean less 1.645 standard deviations of the beta posterior, the normal approximation of its 5 %
+    quantile.  Rows whose outcome is null are counted for nothing, but their hosts get the rate of their domain.
+    Counting is a plain sum by host, so a host with most of the rows is no burden; the pages are counted once.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    hosts = hosts.withColumn("domain", domain_of(F.regexp_replace("host", r":[0-9]*$", ""))).withColumn("suffix", suffix_of(F.col("domain")))
-    domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb"))
-    (s_strength, s_mean), (d_strength, _), (h_strength, _) = _strength(suffixes, "sn", "sb"), _strength(domains, "dn", "db"), _strength(hosts, "n", "bad")
+    hosts = hosts.withColumn("domain", domain_of(F.regexp_replace("host", r":[0-9]*$", "")))
+    hosts = cut(hosts.withColumn("suffix", suffix_of(F.col("domain"))))
+    domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db")))
+    suffixes = cut(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb")))
+    # two numbers a level
+    (s_k, s_mean), (d_k, _), (h_k, _) = (df.agg(_strength(n, b).alias("x")).first()["x"] for df, n, b in ((suffixes, "sn", "sb"), (domains, "dn", "db"), (hosts, "n", "bad")))
     chain = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix")
-    s_rate = (F.col("sb") + s_strength * s_mean) / (F.col("sn") + s_strength)
-    d_rate = (F.col("db") + d_strength * F.col("s_rate")) / (F.col("dn") + d_strength)
-    rate = (F.col("bad") + h_strength * F.col("d_rate")) / (F.col("n") + h_strength)
-    chain = chain.withColumn("s_rate", s_rate).withColumn("d_rate", d_rate).withColumn("rate", rate)
-    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + h_strength + 1))
+    chain = chain.withColumn("s_rate", (F.col("sb") + s_k * s_mean) / (F.col("sn") + s_k))
+    chain = chain.withColumn("d_rate", (F.col("db") + d_k * F.col("s_rate")) / (F.col("dn") + d_k))
+    chain = chain.withColumn("rate", (F.col("bad") + h_k * F.col("d_rate")) / (F.col("n") + h_k))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + h_k + 1))
     return chain.select("host", "n", "bad", "rate", (F.col("rate") - 1.645 * deviation).alias("lower"))
 
 
@@ -106,7 +127,7 @@ def judge_urls(pages: DataFrame, *, outcome: Column | None = None, rules=RULES,
 
 def oracle(limit: float = 0.2) -> str:
     """DuckDB SQL of judge_urls(pages) with the default outcome and rules."""
-    double = "|".join(s.replace(".", r"\.") for s in DOUBLE_SUFFIXES)
+    double = DOUBLE
     rules = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{0}}".replace("{0}", f"'{a}|{h}{p}'") for a, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
 
     def level(table: str, n: str, b: str, name: str) -> str:
@@ -115,11 +136,11 @@ def oracle(limit: float = 0.2) -> str:
         return f"""{name} AS (SELECT 1 / least(0.9, greatest(0.01, coalesce((sum({b}::DOUBLE * {b} / {n}) - sum({n}) * {mean} * {mean} - (count(*) - 1) * {inner}) / nullif((sum({n}) - sum({n} * {n}) / sum({n}) - (count(*) - 1)) * {inner}, 0), 0.01))) - 1 AS k, coalesce({mean}, 0.5) AS m FROM {table} WHERE {n} > 0)"""
 
     return rf"""
-WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest, CASE WHEN html IS NOT NULL THEN (len(regexp_extract_all(html, '[*#$%]{{3}}|&amp;&amp;&amp;|!!| \| '))::DOUBLE > length(html) * 0.002::DOUBLE)::BIGINT END AS bad FROM pages),
-u AS (SELECT page_id, bad, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest, CASE WHEN html IS NOT NULL THEN regexp_replace(html, '{MARKUP}', '', 'g') END AS text FROM pages),
+u AS (SELECT page_id, (len(regexp_extract_all(text, '{NOISE}'))::DOUBLE > length(text) * 0.002::DOUBLE)::BIGINT AS bad, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
 h0 AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b, regexp_replace(host, ':[0-9]*$', '') AS bare FROM u GROUP BY host),
-h1 AS (SELECT *, CASE WHEN regexp_matches(bare, '[^.]+\.(?:{double})$') THEN regexp_extract(bare, '[^.]+\.(?:{double})$', 0) WHEN contains(bare, '.') THEN regexp_extract(bare, '[^.]*\.[^.]*$', 0) ELSE bare END AS domain FROM h0),
-h AS (SELECT *, CASE WHEN contains(domain, '.') THEN regexp_extract(domain, '^[^.]*\.(.*)$', 1) ELSE '' END AS suffix FROM h1),
+h1 AS (SELECT *, CASE WHEN regexp_matches(bare, '{ADDRESS}') THEN bare WHEN regexp_matches(bare, '[^.]+\.(?:{double})$') THEN regexp_extract(bare, '[^.]+\.(?:{double})$', 0) WHEN contains(bare, '.') THEN regexp_extract(bare, '[^.]*\.[^.]*$', 0) ELSE bare END AS domain FROM h0),
+h AS (SELECT *, CASE WHEN contains(domain, '.') AND NOT regexp_matches(domain, '{ADDRESS}') THEN regexp_extract(domain, '^[^.]*\.(.*)$', 1) ELSE '' END AS suffix FROM h1),
 d AS (SELECT suffix, domain, sum(n) AS dn, sum(b) AS db FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(dn) AS sn, sum(db) AS sb FROM d GROUP BY ALL),
 {level("s", "sn", "sb", "ks")}, {level("d", "dn", "db", "kd")}, {level("h", "n", "b", "kh")},
