@@ -225,9 +225,16 @@ def test_token_counts(spark):
             at = r.randrange(len(tree.text) + 1)
             tree.edit(at, at + r.choice([0, 1, 3, 30, 200]), "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 4, 30]))))
         assert tree.total == len(counter.encoding.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
+    tree = TokenTree(prose(500, 1), counter)
+    for start, stop, new in ((900, 910, prose(20_000, 2)), (60_000, 60_000, "in the middle"), (1000, 90_000, "short"), (0, 0, prose(3000, 3)), (5, 10**7, "")):
+        before, size = tree.encoded_chars, len(tree.text)
+        tree.edit(start, stop, new)
+        assert tree.total == len(counter.encoding.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
+        assert tree.encoded_chars - before <= len(new) + 3000 and max(tree.chars[tree.leaves :]) < 2000
     docs = documents(spark, EDGES).withColumn("edits", F.array(F.struct(F.lit(1).alias("start"), F.lit(2).alias("stop"), F.lit(None).cast("string").alias("text"))))
     got = token_counts(docs).collect()
     assert len(got) == len(EDGES) and all(x.n_tokens == x.edited_tokens for x in got)
+    assert token_counts(docs.limit(0)).count() == 0
 
 
 PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
@@ -259,6 +266,67 @@ def test_pii(spark):
     assert clean[hit] == "please contact: [ID] today" and clean[1] is None and clean[28].startswith("please contact: [EMAIL]")
 
 
+def test_pii_discovery_brute_force(spark):
+    """The graph of contexts and values, scored in plain Python: the same patterns and the same spans beside the base ones."""
+    r, texts = random.Random(2), []
+    words = ["call", "mail", "id", "code", "my", "the", "is", "at", "no", "x" * 90]
+    for k in range(300):
+        parts = []
+        for _ in range(r.randrange(1, 5)):
+            parts += [r.choice(words) for _ in range(r.randrange(0, 4))]
+            kind = r.randrange(5)
+            parts.append([f"u{k}@host{r.randrange(9)}.test", f"+49 30 12345{r.randrange(100, 999)}", f"AB-{r.randrange(1000, 9999)}", f"{r.randrange(10**6, 10**7)}.", "word"][kind])
+        texts.append(r.choice([" ", "  ", "\n"]).join(parts))
+    got = {x.doc_id: x.spans for x in pii.find_pii(documents(spark, list(enumerate(texts)))).collect()}
+
+    def around(text, a, b):
+        before, after = text[:a].split(), text[b:]
+        left, second = (before[-1].lower() if before else ""), (before[-2].lower() if len(before) > 1 else "")
+        right = (re.match(r"\s*(\S*)", after)[1]).lower()
+        return ([f"{left} _"] + ([f"{second} {left} _"] if second else []) + ([f"{left} _ {right}"] if right else [])) if left else []
+
+    edges, candidates = {}, []
+    for k, text in enumerate(texts):
+        base = plain_spans(text)
+        for n, (kind, p) in enumerate(PATTERNS):
+            for m in re.finditer(p, text):
+                if (m.start(), n, m.end(), kind) in base:
+                    for c in around(text, m.start(), m.end()):
+                        edges[c, m.group().lower()] = 1.0
+        for m in re.finditer(r"\S*[0-9]\S*", text):
+            value = re.sub(r"[.,;:!?)\]}'\"]+$", "", m.group())
+            a, b = m.start(), m.start() + len(value)
+            if len(value) >= 6 and len(re.sub("[^0-9]", "", value)) >= 3 and not any(s < b and a < e for s, _, e, _ in base):
+                mine = around(text, m.start(), m.end())
+                candidates.append((k, a, b, mine))
+                for c in mine:
+                    edges.setdefault((c, value.lower()), 0.0)
+    score = dict(edges)
+    for _ in range(3):
+        by_pattern = {}
+        for (c, v), x in score.items():
+            by_pattern.setdefault(c, []).append((x, edges[c, v]))
+        conf = {c: (sum(x for x, _ in xs) / (len(xs) + 1), sum(s for _, s in xs)) for c, xs in by_pattern.items()}
+        by_value = {}
+        for (c, v), s in edges.items():
+            if s == 0:
+                by_value.setdefault(v, []).append(conf[c][0])
+        score = {(c, v): max(s, sum(by_value[v]) / len(by_value[v]) if v in by_value else 0.0) for (c, v), s in edges.items()}
+    found = {(k, a, b) for k, a, b, mine in candidates if any(conf[c][0] >= 0.6 and conf[c][1] >= 3 for c in mine)}
+    assert len(found) > 10 and len(found) < len(candidates)
+    for k, text in enumerate(texts):
+        want = sorted([(a, n, b, kind) for a, n, b, kind in plain_spans(text)] + [(a, 4, b, "id") for d, a, b in found if d == k])
+        assert got[k] == ",".join(f"{kind}:{a}:{b}" for a, _, b, kind in want), text
+
+
+def test_pii_edges(spark):
+    assert pii.find_pii(documents(spark, [])).count() == 0 and pii.redact(documents(spark, [])).count() == 0
+    docs = spark.createDataFrame([(1, "mail a@b.cc", 5, "x")] * 2 + [(None, None, 5, "y")], "doc_id long, text string, pii_key int, pii_spans string")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(None, None, 5, "y"), (1, "mail [EMAIL]", 5, "x"), (1, "mail [EMAIL]", 5, "x")]
+
+
 def test_mixing(spark):
     rows = EDGES + [(20 + k, prose(10 + k % 40, k)) for k in range(200)]
     got = mix_sources(documents(spark, rows)).collect()
