@@ -60,12 +60,20 @@ class TokenTree:
         self.text, self.counter, self.encoded_chars = text, counter, 0
         pieces = counter.split(text)
         sizes, counts = np.fromiter(map(len, pieces), np.int64, len(pieces)), np.array(counter.counts(pieces), np.int64)
-        at = np.arange(0, len(pieces), LEAF)
-        self.leaves = max(1, 1 << max(0, len(at) - 1).bit_length())
+        self._build(*self._leaves_of(sizes, counts))
+
+    @staticmethod
+    def _leaves_of(sizes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and tokens of the leaves that hold these pre-tokens."""
+        at = np.arange(0, len(sizes), LEAF)
+        return tuple(np.add.reduceat(x, at) if len(at) else np.zeros(0, np.int64) for x in (sizes, counts))
+
+    def _build(self, chars: np.ndarray, tokens: np.ndarray) -> None:
+        """The sums over the given leaves."""
+        self.leaves = max(1, 1 << max(0, len(chars) - 1).bit_length())
         self.chars, self.tokens = np.zeros(2 * self.leaves, np.int64), np.zeros(2 * self.leaves, np.int64)
-        if len(at):
-            self.chars[self.leaves : self.leaves + len(at)] = np.add.reduceat(sizes, at)
-            self.tokens[self.leaves : self.leaves + len(at)] = np.add.reduceat(counts, at)
+        self.chars[self.leaves : self.leaves + len(chars)] = chars
+        self.tokens[self.leaves : self.leaves + len(chars)] = tokens
         level = self.leaves // 2
         while level:
             for sums in (self.chars, self.tokens):
@@ -95,6 +103,23 @@ class TokenTree:
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
 
+    def _replace(self, first: int, last: int, pieces: list[str]) -> None:
+        """Leaves first..last now hold `pieces`; where they are too many for them, leaves are put in and the sums built again without encoding."""
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        chars, tokens = self._leaves_of(sizes, np.array(self.counter.counts(pieces), np.int64))
+        if len(chars) <= last - first + 1:
+            for leaf in range(first, last + 1):
+                k = leaf - first
+                if k < len(chars):
+                    self._put(leaf, int(chars[k]), int(tokens[k]))
+                elif self.chars[self.leaves + leaf]:
+                    self._put(leaf, 0, 0)
+            return
+        old = self.chars[self.leaves :], self.tokens[self.leaves :]
+        whole = [np.concatenate([x[:first], new, x[last + 1 :]]) for x, new in zip(old, (chars, tokens))]
+        filled = whole[0] > 0
+        self._build(whole[0][filled], whole[1][filled])
+
     def edit(self, start: int, stop: int, new: str) -> None:
         """Replace the code points start..stop-1 by `new`."""
         size = len(self.text)
@@ -124,10 +149,7 @@ class TokenTree:
             at = match.end()
         else:
             last, bound = self.leaves - 1, size
-        for leaf in range(first + 1, last + 1):
-            if self.chars[self.leaves + leaf]:
-                self._put(leaf, 0, 0)
-        self._put(first, at - begin, sum(self.counter.counts(pieces)))
+        self._replace(first, last, pieces)
         self.text = text
         self.encoded_chars += at - begin
 
