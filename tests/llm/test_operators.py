@@ -73,6 +73,45 @@ def test_decontamination(spark):
     assert contaminated(documents(spark, rows), items.limit(0)).count() == 0
 
 
+def test_decontamination_brute_force(spark):
+    """Every text with a run of four words of an item, aligned with it whole: the same pairs and scores, with rare and with common seeds."""
+    import numpy as np
+
+    r = random.Random(11)
+    stock = prose(60, 1).split()  # few words, so that runs of them are common
+    items = [" ".join(r.choice(stock[:12] if k % 2 else stock) for _ in range(r.randrange(8, 30))) for k in range(25)]
+    shared = " ".join(items[0].split()[: len(items[0].split()) // 2])
+    texts = []
+    for k in range(120):
+        words = [r.choice(stock) for _ in range(r.randrange(0, 120))]
+        if k % 3:
+            copy = r.choice(items).split()
+            for _ in range(r.randrange(0, len(copy) // 3 + 1)):
+                copy[r.randrange(len(copy))] = r.choice(stock)
+            if k % 5 == 0:
+                del copy[r.randrange(len(copy))]
+            words[len(words) // 2 : len(words) // 2] = copy
+        texts.append(" ".join(words + (shared.split() if k % 4 == 0 else [])))
+    texts += [texts[5]] * 40
+    docs, known = documents(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    code = {w: np.uint64(k) for k, w in enumerate(sorted({w for t in texts + items for w in t.split()}))}
+    want = {}
+    for i, item in enumerate(items):
+        a = item.split()
+        grams = {tuple(a[k : k + 4]) for k in range(len(a) - 3)}
+        for d, text in enumerate(texts):
+            b = text.split()
+            if any(tuple(b[k : k + 4]) in grams for k in range(len(b) - 3)):
+                got = align(np.array([code[w] for w in a]), np.array([code[w] for w in b]))[0] / (2 * len(a))
+                if got >= 0.6:
+                    want[d, i] = round(got, 9)
+    assert len(want) > 60
+    for options in ({}, {"rare_items": 0}):
+        got = {(x.doc_id, x.item_id): round(x.score, 9) for x in contaminated(docs, known, **options).collect()}
+        assert set(want) <= set(got) and all(got[k] == want[k] for k in want), options
+    assert contaminated(documents(spark, []), known).count() == 0
+
+
 def test_alignment_brute_force():
     import numpy as np
 

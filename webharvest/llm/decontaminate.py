@@ -1,10 +1,9 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Word n-grams of the test items are the seeds.  One pass over the training texts keeps the passages around
-seed hits; a join on the seed then pairs passages with items, through rare seeds only: those that few items
-share and that hit few passages.  The measure is the item's own where all its seeds are common, so every item stays
-searchable.  Each pair is scored once by local alignment of words, which tolerates substituted,
-inserted and deleted words.
+seed hits; a join on the seed then pairs the different passages with items.  Pairs of a rare seed, one that few
+items share and few passages hold, are scored by local alignment of words, which tolerates substituted, inserted
+and deleted words; pairs of common seeds alone only where the words that they share could reach the score at all.
 """
 
 from __future__ import annotations
@@ -47,9 +46,8 @@ def item_seeds(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
 def seed_filter(seeds: DataFrame) -> np.ndarray:
     """The bit table of all seeds: a fixed 2^FILTER_BITS bits, filled from at most so many distinct positions."""
     rows = seeds.selectExpr(f"cast(shiftrightunsigned(seed, {64 - FILTER_BITS + 3}) as int) byte", f"shiftleft(1, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 7 as int)) bit").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for part in rows.toLocalIterator(prefetchPartitions=False):
-        table[part["byte"]] = part["bits"]
+    found, table = rows.toPandas(), np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    table[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return table
 
 
@@ -117,14 +115,20 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
+def reachable(item: np.ndarray, passage: np.ndarray) -> float:
+    """The most that a local alignment of an item with a passage can score: a match for each item word that the passage has."""
+    return MATCH * int(np.isin(item, passage).sum())
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 4, min_score: float = 0.6, rare_items: int = 4, rare_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): texts that hold a test item, copied or edited.
 
     score: alignment score over that of a perfect copy of the item, from min_score to 1; the best stretch of the
-    text counts, ties by the earlier one.  A seed is rare if at most `rare_items` items share it and at most a
-    share `rare_share` of the passages (1000 passages at least) hold it; where that leaves an item less than its
-    rarer half, up to twice the median of its seeds' frequencies is rare for it.  Null and wordless texts and items match nothing; repeated rows of an id count once; other
-    columns are ignored.
+    text counts, ties by the earlier one.  Each different passage is scored once, however many texts hold it.  A seed
+    is rare if at most `rare_items` items share it and at most a share `rare_share` of the passages (1000 at least)
+    hold it.  A passage and an item that meet through a rare seed are aligned; a pair that meets through common seeds
+    alone is first held to the most that it can score, which loses nothing.  Null and wordless texts and items match
+    nothing; repeated rows of an id count once; other columns are ignored.
     """
     spark = docs.sparkSession
     known = cut(item_seeds(items, n, item_id_col, item_text_col))
@@ -133,29 +137,38 @@ def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 4, min_score: fl
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
     seeds = known.select("item_id", F.explode("seeds").alias("seed"))
     table = spark.sparkContext.broadcast(seed_filter(seeds))
-    found = cut(passages(docs, table, n, int(longest), id_col, text_col))
-    hits = found.select("doc_id", "first", F.explode("seeds").alias("seed"))
+    keys = [F.xxhash64("words", "seeds").alias("k1"), F.xxhash64(F.lit("second"), "words", "seeds").alias("k2")]
+    found = cut(passages(docs, table, n, int(longest), id_col, text_col).select("*", *keys))
+    places = found.select("k1", "k2", "doc_id", "first")
+    different = cut(found.groupBy("k1", "k2").agg(F.first("seeds").alias("seeds"), F.first("words").alias("passage")))
+    hits = different.select("k1", "k2", F.explode("seeds").alias("seed"))
     spread = seeds.groupBy("seed").agg(F.count_distinct("item_id").alias("items"))
     frequency = hits.join(spread, "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("hits"))
-    limit = F.greatest(F.lit(1000.0), F.lit(rare_share * found.count()))
-    ranked = seeds.join(spread, "seed").join(frequency, "seed")
-    usual = ranked.groupBy("item_id").agg((2 * F.percentile("hits", F.lit(0.5))).alias("usual"), F.percentile("items", F.lit(0.5)).alias("shared"))
-    chosen = ranked.join(usual, "item_id").where((F.col("items") <= F.greatest(F.lit(rare_items), "shared")) & (F.col("hits") <= F.greatest(limit, "usual"))).select("seed", "item_id")
-    pairs = hits.join(chosen, "seed").select("doc_id", "first", "item_id").distinct()
-    sides = pairs.join(found.select("doc_id", "first", F.col("words").alias("passage")), ["doc_id", "first"]).join(known.select("item_id", "words"), "item_id")
+    limit = F.greatest(F.lit(1000.0), F.lit(rare_share * different.count()))
+    rare = (F.col("items") <= rare_items) & (F.col("hits") <= limit)
+    rated = seeds.join(spread, "seed").join(frequency, "seed").select("seed", "item_id", rare.alias("rare"))
+    pairs = hits.join(rated, "seed").groupBy("k1", "k2", "item_id").agg(F.bool_or("rare").alias("rare"))
+    sides = pairs.join(different.drop("seeds"), ["k1", "k2"]).join(known.select("item_id", "words"), "item_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         for batch in batches:
             rows = []
-            for doc, first, item, passage, words in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            for k1, k2, item, sure, passage, words in zip(*(batch.column(k).to_pylist() for k in range(6))):
                 a, b = np.frombuffer(words, np.uint64), np.frombuffer(passage, np.uint64)
-                got, s, e = align(a, b)
-                rows.append((doc, item, got / (MATCH * len(a)), first + s, first + e))
-            columns = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "end_word"])
-
-    scored = sides.select("doc_id", "first", "item_id", "passage", "words").mapInArrow(score, "doc_id long, item_id long, score double, first_word long, end_word long")
-    top = scored.where(F.col("score") >= min_score).groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("score")).alias("cost"), "first_word", "end_word")).alias("best"))
+                least = min_score * MATCH * len(a)
+                if not sure and reachable(a, b) < least:
+                    continue
+                got, start, end = align(a, b)
+                if got >= least:
+                    rows.append((k1, k2, item, got / (MATCH * len(a)), start, end))
+            columns = list(zip(*rows)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k1", "k2", "item_id", "score", "start", "stop"])
+
+    scored = sides.select("k1", "k2", "item_id", "rare", "passage", "words").mapInArrow(score, "k1 long, k2 long, item_id long, score double, start long, stop long")
+    placed = cut(scored).join(places, ["k1", "k2"])
+    best = F.min(F.struct((-F.col("score")).alias("cost"), (F.col("first") + F.col("start")).alias("first_word"), (F.col("first") + F.col("stop")).alias("end_word")))
+    top = placed.groupBy("doc_id", "item_id").agg(best.alias("best"))
     return top.select("doc_id", "item_id", (-F.col("best.cost")).alias("score"), "best.first_word", "best.end_word")
 
 
