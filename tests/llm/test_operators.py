@@ -15,7 +15,7 @@ from webharvest.llm import pii
 from webharvest.llm.chat_format import format_chats, loss_spans, read_back
 from webharvest.llm.decontaminate import align, contaminated, decontaminate
 from webharvest.llm.fingerprints import PER_OCTAVE, edited_with_next, fingerprints, likeness, near_classes
-from webharvest.llm.jaccard_join import jaccard_join, run_recall, runs_for
+from webharvest.llm.jaccard_join import estimate_recall, jaccard_join, run_recall, runs_for
 from webharvest.llm.licenses import TEXTS, scan_licenses
 from webharvest.llm.mixing import mix_sources
 from webharvest.llm.quality import fit_classifier, label_model
@@ -32,7 +32,7 @@ def prose(n, seed):
 
 
 def documents(spark, texts):
-    return spark.createDataFrame([(i, t, "en", f"s{i % 3}" if i % 5 else None, None, "x", 7) for i, t in texts], SCHEMA)
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}" if (i or 0) % 5 else None, None, "x", 7) for i, t in texts], SCHEMA)
 
 
 EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one two three"), (5, "one two three"), (6, "x" * 5000), (7, "é" * 300 + " 😀 ok")]
@@ -58,9 +58,44 @@ def test_jaccard_join_brute_force(spark):
         assert got[a].n_links == links, a
     assert got[1].class_id == got[2].class_id == got[3].class_id == 1
     assert runs_for(0.8, 4, 2, 0.99) == 2 and run_recall(0.8, 4, 2) > 0.9
+    assert runs_for(0.8, 4, 2, 0.99, estimate_recall(0.8, 128, 0.1)) == 2 and 0.99 < estimate_recall(0.8, 128, 0.1) < 1
+    with pytest.raises(ValueError):
+        runs_for(0.8, 4, 2, 0.999, estimate_recall(0.8, 128, 0.1))
     assert jaccard_join(documents(spark, [])).count() == 0
 
 
+def test_jaccard_join_of_repeated_and_missing_ids(spark):
+    text, other = prose(60, 1), prose(60, 2)
+    rows = [(1, text), (2, other), (2, text), (3, other), (4, None), (4, text), (None, text), (5, "")]
+    for _ in range(2):
+        got = {r.doc_id: r.class_id for r in jaccard_join(documents(spark, rows)).collect()}
+        twin = min(text, other)
+        assert got == {1: 1, 2: 1 if twin == text else 2, 3: 3 if twin == text else 2, 4: 4, 5: 4}
+        rows.reverse()
+
+
+def test_jaccard_join_recall(spark):
+    """Pairs of 0.8 to 0.9 among unlike texts, long texts among them: at least 0.99 of those at or over the threshold are linked, no other is."""
+    r, rows, sets = random.Random(4), [], {}
+    for k in range(400):
+        words = prose(r.randrange(60, 400) if k else 9000, 5000 + k).split()
+        copy = list(words)
+        for _ in range(max(1, int(len(words) * r.uniform(0.008, 0.025)))):
+            copy[r.randrange(len(words))] = prose(1, r.random())
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    like = {k: len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(400)}
+    got = {x.doc_id: x.class_id for x in jaccard_join(documents(spark, rows), block_shingles=5000).collect()}
+    linked = {k for k in like if got[2 * k] == got[2 * k + 1]}
+    over, near = {k for k in like if like[k] >= 0.8}, sum(0.8 <= x < 0.85 for x in like.values())
+    assert linked <= over and len(over) > 150 and near > 50
+    assert len(linked) >= 0.99 * len(over)
+
+
+
+
 def test_decontamination(spark):
     item = prose(40, 5)
     edited = item.split()

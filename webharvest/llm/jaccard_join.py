@@ -4,7 +4,8 @@ Every text becomes the set of its word shingles and a row of min-hash tokens.  A
 grown level by level: a bucket samples two token positions from its own key, and its members that share the
 token at a sampled position go on together to a child bucket.  Buckets of one row end, small buckets are
 compared by brute force, large ones split again.  Two texts of the threshold similarity meet with a known
-probability per run; independent runs are repeated until the target recall is reached.
+probability per run; independent runs are repeated until the target recall is reached, the loss of the leaves'
+estimates counted in.
 
 The buckets yield candidate clusters.  Each cluster is then verified once, exactly, on the whole shingle
 sets: pairs are counted where they are found, so no list of all pairs exists anywhere.
@@ -37,9 +38,17 @@ def run_recall(threshold: float, depth: int, branches: int) -> float:
     return p
 
 
-def runs_for(threshold: float, depth: int, branches: int, target: float) -> int:
-    """Runs needed to reach the target recall."""
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - run_recall(threshold, depth, branches)) - 1e-9))
+def estimate_recall(threshold: float, tokens: int, slack: float) -> float:
+    """Probability that at least a share threshold - slack of the tokens of two sets of the threshold similarity agree."""
+    least = math.ceil((threshold - slack) * tokens - 1e-9)
+    return sum(math.comb(tokens, k) * threshold**k * (1 - threshold) ** (tokens - k) for k in range(least, tokens + 1))
+
+
+def runs_for(threshold: float, depth: int, branches: int, target: float, kept: float = 1.0) -> int:
+    """Runs needed to reach the target recall, of which a share `kept` at most passes the estimate in the leaves."""
+    if target >= kept:
+        raise ValueError(f"recall {target} is out of reach: the leaves keep {kept:.4f}; take more tokens or slack")
+    return max(1, math.ceil(math.log(1 - target / kept) / math.log(1 - run_recall(threshold, depth, branches)) - 1e-9))
 
 
 def shingle_sets(docs: DataFrame, *, n: int = 5, tokens: int = 128, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,11 +137,16 @@ def candidate_edges(reps: DataFrame, sketches: DataFrame, *, threshold: float, s
     return groups.join(sketches, "doc_id").groupBy("group_id").applyInPandas(match, "a long, b long").distinct()
 
 
-def verified(clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int, block: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Exact check inside clusters (doc_id, cluster, copies): (edges a, b), (doc_id, links)."""
+def verified(clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int, block: int, block_shingles: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Exact check inside clusters (doc_id, cluster, copies, n_shingles): (edges a, b), (doc_id, links).
+
+    A cluster is dealt into blocks of about `block` rows and `block_shingles` shingles at most; every pair of blocks
+    is a group of its own, so a group holds two blocks whatever the size of the cluster and of its texts.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    members = clusters.groupBy("cluster").agg(F.count("*").alias("size"))
-    chosen = clusters.hint("shuffle_hash").join(texts, "doc_id").select("doc_id", "cluster", "copies", "text")
+    weight = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n_shingles") / block_shingles)).cast("int")
+    members = clusters.groupBy("cluster").agg(weight.alias("blocks"))
+    chosen = clusters.drop("n_shingles").hint("shuffle_hash").join(texts, "doc_id").select("doc_id", "cluster", "copies", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,8 +158,7 @@ def verified(clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int,
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(packed, pa.binary())], names=["doc_id", "cluster", "copies", "packed"])
 
     sized = chosen.mapInArrow(sets, "doc_id long, cluster long, copies long, packed binary").join(members, "cluster")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    dealt = sized.withColumn("own", F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = dealt.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("group_id"), "own", (F.col("own") == F.col("other")).alias("within"), "doc_id", "copies", "packed")
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -181,24 +194,35 @@ def verified(clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int,
     return found.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")), found.groupBy("doc_id").agg(F.sum("links").alias("links"))
 
 
-def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, target_recall: float = 0.99, tokens: int = 128, slack: float = 0.1, leaf: int = 256, block: int = 1024, depth: int = 4, branches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, copy_of, n_links, n_shingles), a row for every row of `docs`.
+def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, target_recall: float = 0.99, tokens: int = 128, slack: float = 0.1, leaf: int = 256, block: int = 1024, block_shingles: int = 1 << 20, depth: int = 4, branches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, copy_of, n_links, n_shingles), a row for every different id of `docs`.
 
     class_id: the least doc_id of the group linked by pairs of Jaccard similarity `threshold` or more;
     copy_of: the least doc_id with the same shingle multiset; n_links: the other rows whose similarity to this
     one reaches the threshold.  Null and wordless texts have empty sets, which equal each other and nothing
-    else.  Repeated rows of one doc_id count as one; other columns of `docs` are ignored.
+    else.  Rows without an id are left out; of rows of one id the one of the least text counts, a null before
+    others; other columns of `docs` are ignored.  A pair at the threshold is found with probability `target_recall`
+    at least: the leaves' estimates and the paths of all runs together; more alike pairs more surely.
     """
-    runs = runs_for(threshold, depth, branches, target_recall)
+    runs = runs_for(threshold, depth, branches, target_recall, estimate_recall(threshold, tokens, slack))
     docs = docs.where(F.col(id_col).isNotNull())
     sets = cut(shingle_sets(docs, n=n, tokens=tokens, id_col=id_col, text_col=text_col))
-    owners = cut(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count_distinct("doc_id").alias("copies")))
+    repeated = sets.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    if repeated.limit(1).count():
+        # one row for each repeated id, by its text; texts of other ids stay where they are
+        chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        least = chosen.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text")).alias("t")).select("doc_id", "t.text")
+        docs = cut(chosen.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(least))
+        id_col, text_col = "doc_id", "text"
+        sets = cut(shingle_sets(docs, n=n, tokens=tokens))
+    owners = cut(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles")))
     reps = sets.join(owners.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi")
     edges = candidate_edges(reps, sets.select("doc_id", "sketch"), threshold=threshold, slack=slack, leaf=leaf, block=block, depth=depth, branches=branches, runs=runs)
     clusters = components(edges).select(F.col("node").alias("doc_id"), F.col("class_id").alias("cluster"))
-    clusters = cut(clusters.join(owners.select(F.col("copy_of").alias("doc_id"), "copies"), "doc_id"))
-    found, links = verified(clusters, docs, threshold=threshold, n=n, block=block, id_col=id_col, text_col=text_col)
+    clusters = cut(clusters.join(owners.select(F.col("copy_of").alias("doc_id"), "copies", "n_shingles"), "doc_id"))
+    found, links = verified(clusters, docs, threshold=threshold, n=n, block=block, block_shingles=block_shingles, id_col=id_col, text_col=text_col)
     classes = components(found)
-    summary = owners.join(links.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left").join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-    summary = summary.select("k1", "k2", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
-    return sets.select("doc_id", "k1", "k2", "n_shingles").dropDuplicates(["doc_id"]).join(summary, ["k1", "k2"]).select("doc_id", "class_id", "copy_of", "n_links", "n_shingles")
+    summary = owners.drop("n_shingles").join(links.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left").join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left")
+    n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
+    summary = summary.select("k1", "k2", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), n_links.alias("n_links"))
+    return sets.select("doc_id", "k1", "k2", "n_shingles").join(summary, ["k1", "k2"]).select("doc_id", "class_id", "copy_of", "n_links", "n_shingles")
