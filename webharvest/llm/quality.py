@@ -4,8 +4,7 @@ Overlapping heuristic labellers vote on every text: on its form (symbols, shouti
 and on abusive words, whose lexicon is mined from labelled rows.  Expectation maximisation over the counted
 vote patterns estimates how often each labeller is right, without any true label, and gives every pattern a
 posterior.  The posteriors of a bounded sample train two hashed linear scorers, one of form over a whole text
-and one of words over segments of it.  Every text is judged by the mean of two log odds, the scorer's and the
-posterior of its own votes, each cut at 10: the scorer decides where labellers are silent or split.
+and one of words over segments of it, and the scorers alone judge every text.
 """
 
 from __future__ import annotations
@@ -29,9 +28,6 @@ SEGMENT = 64
 SHARDS = 2
 _U = np.uint64
 
-#: The label model's one assumption: a labeller condemns at most this share of good texts.
-MOST_FALSE = 0.01
-
 _CLASS = np.zeros((7, 256), np.int32)
 _CLASS[0, [ord(c) for c in "#$%&*^~=<>{}[]\\@_`"]] = 1  # symbols
 _CLASS[1, [ord("!")]] = 1
@@ -112,10 +108,10 @@ def _abuse(w: Words, feats: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray])
     return word | stem, votes.astype(np.int8)
 
 
-def mine_lexicon(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 8000, support: int = 3, purity: float = 0.95, size: int = 20000) -> tuple[np.ndarray, np.ndarray]:
+def mine_lexicon(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 8000, support: int = 3, purity: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and of word stems that tell toxic labelled texts from others.
 
-    From a sample of at most `labelled_rows` labelled rows, near copies counted once; at most `size` entries each.
+    From a sample of at most `labelled_rows` labelled rows, near copies counted once; so the entries are as bounded.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
@@ -151,7 +147,7 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 800
     strong = counted.groupBy("kind", "feature").agg(F.sum("bad").alias("bad"), F.sum("texts").alias("texts")).where((F.col("bad") >= support) & (F.col("bad") >= purity * F.col("texts")))
     out = []
     for kind in (0, 1):
-        found = strong.where(F.col("kind") == kind).orderBy(F.desc("bad"), "feature").limit(size).select("feature").toPandas()["feature"]
+        found = strong.where(F.col("kind") == kind).select("feature").toPandas()["feature"]
         out.append(np.sort(found.to_numpy(np.int64).view(_U)))
     return out[0], out[1]
 
@@ -171,6 +167,10 @@ def votes(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, form long, abuse long")
 
 
+def _logistic(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
+
 def vote_odds(vote: np.ndarray, prior: np.ndarray, table: np.ndarray) -> np.ndarray:
     """Log odds of "bad" for rows of votes 0, 1, 2, under the label model (prior of the classes, table [class, labeller, vote])."""
     each = np.arange(vote.shape[1])
@@ -191,9 +191,8 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds
         weight = np.stack([bad, 1 - bad]) * counts
         for v in range(3):
             table[:, :, v] = (weight @ (vote == v) + 0.5) / (weight.sum(1)[:, None] + 1.5)
-        table[1, :, 0] = np.minimum(table[1, :, 0], MOST_FALSE)
         prior = (weight.sum(1) + 1) / (weight.sum() + 2)
-        new = 1 / (1 + np.exp(-vote_odds(vote, prior, table)))
+        new = _logistic(vote_odds(vote, prior, table))
         settled = np.abs(new - bad).max(initial=0) < 1e-6
         bad = new
         if settled:
@@ -216,7 +215,7 @@ def _fit(rows: list[np.ndarray], target: np.ndarray, dims: int, mean: bool, epoc
             of = np.repeat(np.arange(len(part)), sizes)
             scale = 1 / np.maximum(sizes, 1) if mean else np.ones(len(part))
             score = np.bincount(of, weights[index], len(part)) * scale + weights[-1]
-            error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - target[part]) * importance[part]
+            error = (_logistic(score) - target[part]) * importance[part]
             at, which = np.unique(np.append(index, dims), return_inverse=True)
             g = np.bincount(which, np.append((error * scale)[of], error.sum())) / len(part) + 1e-6 * weights[at]
             seen[at] += g * g
@@ -271,30 +270,24 @@ class Classifier:
         """Labeller -> estimated share of (bad, good) texts that it condemns."""
         return {f"{kind}.{name}": (float(t[0, k, 0]), float(t[1, k, 0])) for kind, names in (("form", FORM), ("abuse", ABUSE)) for k, name in enumerate(names) for t in (self.models[kind][1],)}
 
-    def _joined(self, score: np.ndarray, votes: np.ndarray, kind: str) -> np.ndarray:
-        odds = np.clip(score, -10, 10) + np.clip(vote_odds(votes.astype(np.int64) + 1, *self.models[kind]), -10, 10)
-        return 1 / (1 + np.exp(-odds / 2))
-
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(p_low, p_toxic) of each text; a text without words is of low quality and not toxic."""
-        row, index, form, tokens = _forms(texts)
+        row, index, _, tokens = _forms(texts)
         score = np.bincount(row, self.form[index], len(texts)) / np.maximum(tokens, 1) + self.form[-1]
         score *= tokens / (tokens + 20)  # a few tokens are little evidence
-        low = np.where(tokens > 0, self._joined(score, form, "form"), 1.0)
+        low = np.where(tokens > 0, _logistic(score), 1.0)
         if not self.toxic:
             return low, np.zeros(len(texts))
         w = Words(texts)
-        feats = _word_features(w)
-        _, abuse = _abuse(w, feats, self.lexicon)
         value = np.zeros(len(w.row), np.float32)
-        for f in feats:
+        for f in _word_features(w):
             value += np.where(f != 0, self.word[(f >> _U(64 - WORD_BITS)).astype(np.int64)], 0)
         best = np.full(len(texts), -30.0)
         if len(w.row):
             segment = (np.arange(len(w.row)) - w.first[:-1][w.row]) // SEGMENT
             begin = np.flatnonzero(np.append(True, (w.row[1:] != w.row[:-1]) | (segment[1:] != segment[:-1])))
             np.maximum.at(best, w.row[begin], np.add.reduceat(value, begin) + self.word[-1])
-        return low, self._joined(best, abuse, "abuse")
+        return low, _logistic(best)
 
     def score(self, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         """(doc_id, p_low, p_toxic, keep) of every row of `docs`."""
