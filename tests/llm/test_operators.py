@@ -1,7 +1,6 @@
 """Corpus operators: edge rows, brute force, round trips, held-out accuracy."""
 
 import hashlib
-import importlib.util
 import random
 import re
 from collections import Counter as Count
@@ -526,14 +525,3 @@ def test_url_filters(spark):
     assert {r.h: (r.d, r.s) for r in names.collect()} == {"10.0.0.1": ("10.0.0.1", ""), "172.16.0.1": ("172.16.0.1", ""), "a.gov.uk": ("a.gov.uk", "gov.uk"), "b.gov.uk": ("b.gov.uk", "gov.uk"), "x.co.nz": ("x.co.nz", "co.nz"), "localhost": ("localhost", "")}
     noise = spark.createDataFrame(marked, "page_id long, url string, html string").select("page_id", noisy_page(F.col("html")).alias("bad"))
     assert {r.page_id: r.bad for r in noise.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
-
-
-@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline")
-def test_pipeline(spark):
-    import corpus_pipeline as P
-
-    if not Path("/root/testdata/sf0.001").exists():
-        pytest.skip("no tables")
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = P.run(spark, "/root/testdata/sf0.001")
-    assert 0 < out.count() <= docs.count() and [name for name, _ in P.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "mixing"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,7 +31,8 @@ def _write(df: DataFrame) -> str:
     return path
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing will read again."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -47,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """What `build` returns as a table, and its path; every table cut on the way is deleted."""
+    with scratch(spark):
+        df = build()
+        path = _write(df)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Deletes the tables cut inside the block at its end; nothing that reads them may be used after it."""
@@ -55,7 +64,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _OPEN.pop():
-            _delete(spark, path)
+            delete(spark, path)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -76,7 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(small, "a")
         old, path = path, _write(step.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(step.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        _delete(spark, old)
+        delete(spark, old)
         state = spark.read.schema(schema).parquet(path).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
             break
