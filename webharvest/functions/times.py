@@ -6,6 +6,9 @@ Relative times take the whole number; days, weeks, months (30 d) and years (365
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,14 +29,13 @@ DATE_RULES = (
 )
 
 
-def _stamp(y: Column, m: Column, d: Column, clock: Column, zone: Column) -> Column:
-    """Epoch seconds of year, month, day strings, a clock text h:m[:s] and a zone text +hh:mm; NULL if invalid."""
-    hms = F.when(clock == "", "00:00:00").otherwise(F.array_join(F.transform(F.split(F.concat(clock, F.when(F.length(F.regexp_replace(clock, "[^:]", "")) == 1, ":00").otherwise("")), ":"), lambda p: F.lpad(p, 2, "0")), ":"))
-    year = F.when(F.length(y) == 2, F.concat(F.when(y >= "70", "19").otherwise("20"), y)).otherwise(y)
-    day = F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
-    plain = F.unix_timestamp(F.try_to_timestamp(F.concat_ws(" ", day, hms), F.lit("yyyy-MM-dd HH:mm:ss")))
-    zoned = F.unix_timestamp(F.try_to_timestamp(F.concat(day, F.lit(" "), hms, zone), F.lit("yyyy-MM-dd HH:mm:ssXXX")))
-    return F.when(zone == "", plain).otherwise(zoned)
+def _stamp(x: Column) -> Column:
+    """Epoch seconds of struct(y, m, d, clock, zone): digits, a clock text h:m[:s] or "", a zone text +hh:mm or ""; NULL if invalid."""
+    year = F.when(F.length(x["y"]) == 2, F.concat(F.when(x["y"] >= "70", "19").otherwise("20"), x["y"])).otherwise(x["y"])
+    parts = F.split(x["clock"], ":")
+    time = F.when(x["clock"] == "", "00:00:00").otherwise(F.concat_ws(":", F.lpad(parts[0], 2, "0"), parts[1], F.coalesce(F.lpad(F.get(parts, 2), 2, "0"), F.lit("00"))))
+    text = F.concat(year, F.lit("-"), F.lpad(x["m"], 2, "0"), F.lit("-"), F.lpad(x["d"], 2, "0"), F.lit(" "), time, x["zone"])
+    return let(text, lambda v: F.unix_timestamp(F.try_to_timestamp(v, F.when(F.length(v) == 19, "yyyy-MM-dd HH:mm:ss").otherwise("yyyy-MM-dd HH:mm:ssXXX"))))
 
 
 def _zone(text: Column) -> Column:
@@ -62,37 +64,48 @@ def parse_date(text: Column, now: Column | int) -> Column:
 
 
 def _parse(t: Column, now: Column) -> Column:
-    this_year = F.year(F.timestamp_seconds(now)).cast("string")
-    clock = F.regexp_extract(t, rf"({_TIME})", 1)
-    zone = _zone(t)
-
-    def numbers(pattern: str) -> list[Column]:
-        return [F.regexp_extract(t, pattern, k) for k in (1, 2, 3)]
-
-    cn, cn_short = numbers(r"(\d{4}|\d{2})年\s*(\d{1,2})月\s*(\d{1,2})日?"), [this_year, *[F.regexp_extract(t, r"^(\d{1,2})月(\d{1,2})日", k) for k in (1, 2)]]
-    cn_month = [F.regexp_extract(t, r"(\d{4}|\d{2})年\s*(\d{1,2})月", k) for k in (1, 2)]
-    full = numbers(r"^(\d{4}|\d{2})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)")
-    year_month = [F.regexp_extract(t, r"^(\d{4})[-/.](\d{1,2})$", k) for k in (1, 2)]
-    short = [F.regexp_extract(t, r"^(\d{1,2})[-/.](\d{1,2})(?![-/.\d])", k) for k in (1, 2)]
-    english = [F.regexp_extract(t, r"(?i)\b([A-Za-z]{3,9})\.? (\d{1,2}),? (?:" + _TIME + r" ?)?(?:[+-]\d{4} )?(\d{4})\b", k) for k in (1, 2, 3)]
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(english[0], 1, 3))).cast("string")
-    english_zone = F.regexp_replace(F.regexp_extract(t, r"([+-]\d{4}) \d{4}$", 1), r"^(...)(..)$", "$1:$2")
+    """The date of a text by its family: every family but the relative ones gives year, month, day, clock and zone, which are read once."""
     today = F.date_format(F.timestamp_seconds(now), "yyyy-MM-dd")
-    day = F.split(today, "-")
-    none = F.lit("")
-    return (
-        F.when(t.isNull() | (t == ""), F.lit(None).cast("long"))
-        .when(cn[0] != "", _stamp(*cn, clock, zone))
-        .when(cn_month[0] != "", _stamp(*cn_month, F.lit("1"), none, none))
-        .when(cn_short[1] != "", _stamp(*cn_short, clock, none))
-        .when(F.regexp_like(t, F.lit("刚刚|(?:秒|分钟|小时|天|周|月|年)前|今天|昨天|前天")), _relative(t, now))
-        .when(english[0] != "", _stamp(english[2], month, english[1], clock, english_zone))
-        .when(full[0] != "", _stamp(*full, clock, zone))
-        .when(year_month[0] != "", _stamp(*year_month, F.lit("1"), none, none))
-        .when(short[0] != "", _stamp(this_year, *short, clock, none))
-        .when(F.regexp_like(t, F.lit(rf"^{_TIME}$")), _stamp(day[0], day[1], day[2], clock, none))
-        .when(F.regexp_like(t, F.lit(r"^\d+$")), t.try_cast("long"))
+    this_year = F.substring(today, 1, 4)
+    clock, zone, none, first = F.regexp_extract(t, rf"({_TIME})", 1), _zone(t), F.lit(""), F.lit("1")
+
+    def has(*words: str) -> Column:
+        return reduce(or_, (F.contains(t, F.lit(w)) for w in words))
+
+    def part(k: int, pattern: str) -> Column:
+        return F.regexp_extract(t, pattern, k)
+
+    def date(y: Column, m: Column, d: Column, c: Column, z: Column) -> Column:
+        return F.struct(y.alias("y"), m.alias("m"), d.alias("d"), c.alias("clock"), z.alias("zone"))
+
+    def family(pattern: str, order: str, c: Column, z: Column) -> Column:
+        """The date whose letters of `order` (y, m, d) are the groups of the pattern; a missing year is this one, a missing day the first."""
+        at = {letter: part(k, pattern) for k, letter in enumerate(order, 1)}
+        return date(at.get("y", this_year), at["m"], at.get("d", first), c, z)
+
+    cn, cn_month, cn_short = r"(\d{4}|\d{2})年\s*(\d{1,2})月\s*(\d{1,2})日?", r"(\d{4}|\d{2})年\s*(\d{1,2})月", r"^(\d{1,2})月(\d{1,2})日"
+    full, year_month, short = r"^(\d{4}|\d{2})[-/.](\d{1,2})[-/.](\d{1,2})(?!\d)", r"^(\d{4})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})(?![-/.\d])"
+    english = r"(?i)\b([A-Za-z]{3,9})\.? (\d{1,2}),? (?:" + _TIME + r" ?)?(?:[+-]\d{4} )?(\d{4})\b"
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.substring(part(1, english), 1, 3))).cast("string")
+    english_zone = F.regexp_replace(part(1, r"([+-]\d{4}) \d{4}$"), r"^(...)(..)$", "$1:$2")
+    relative = has("前", "刚刚", "今天", "昨天") & F.regexp_like(t, F.lit("刚刚|(?:秒|分钟|小时|天|周|月|年)前|今天|昨天|前天"))
+
+    def fits(pattern: str) -> Column:
+        return F.regexp_like(t, F.lit(pattern))
+
+    # a search for plain words, or for three letters, spares most texts the patterns of other families
+    found = (
+        F.when(has("年") & fits(cn), family(cn, "ymd", clock, zone))
+        .when(has("年") & fits(cn_month), family(cn_month, "ym", none, none))
+        .when(has("月") & fits(cn_short), family(cn_short, "md", clock, none))
+        .when(relative, F.lit(None))
+        .when(fits("[A-Za-z]{3}") & fits(english), date(part(3, english), month, part(2, english), clock, english_zone))
+        .when(fits(full), family(full, "ymd", clock, zone))
+        .when(fits(year_month), family(year_month, "ym", none, none))
+        .when(fits(short), family(short, "md", clock, none))
+        .when(fits(rf"^{_TIME}$"), date(this_year, F.substring(today, 6, 2), F.substring(today, 9, 2), clock, none))
     )
+    return let(found, lambda x: F.when(x.isNotNull(), _stamp(x)).when(relative, _relative(t, now)).when(fits(r"^\d+$"), t.try_cast("long")))
 
 
 def find_date(page: Column) -> Column:
