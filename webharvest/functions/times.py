@@ -115,5 +115,10 @@ def find_date(page: Column) -> Column:
         timed = F.get(F.filter(hits, lambda h: F.contains(h, F.lit(":"))), 0)
         return F.when(F.size(hits) == 1, hits[0]).otherwise(timed)
 
-    found = let(page, lambda p: F.get(F.filter(F.transform(F.array(*[F.struct(F.regexp_extract_all(p, F.lit(rule), F.lit(1)).alias("hits")) for rule in DATE_RULES]), lambda x: x["hits"]), lambda h: F.size(h) > 0), 0))
-    return let(found, choose)
+    def first_rule(p: Column, rules: tuple[str, ...]) -> Column:
+        """Hits of the first rule with any; a later rule is tried only where the ones before have none."""
+        hits = F.regexp_extract_all(p, F.lit(rules[0]), F.lit(1))
+        return let(hits, lambda h: F.when(F.size(h) > 0, h).otherwise(first_rule(p, rules[1:]))) if len(rules) > 1 else hits
+
+    dated = let(page, lambda p: F.when(F.regexp_like(p, F.lit(r"\d[-/年]\d")), first_rule(p, DATE_RULES)))
+    return let(dated, choose)

@@ -231,8 +231,10 @@ def content_scores(nodes: Column, lang: Column | str = "en", lists=None) -> Colu
     whose three nearest earlier sibling paragraphs has over five stopwords; among over 15 candidates the last
     quarter is lowered.  All of it happens inside the row of a page.
     """
-    language = _language(lang)
+    return urls.let(_language(lang), lambda language: _content_scores(nodes, language, lists))
 
+
+def _content_scores(nodes: Column, language: Column, lists) -> Column:
     def candidates(ns: Column, stops: Column) -> Column:
         def enough(n: Column) -> Column:
             return F.when(language == "zh", F.length(n["text"]) > 3).otherwise(F.get(stops, n["order"]) > 2)
@@ -304,8 +306,10 @@ def known_container(nodes: Column, url: Column) -> Column:
 
 def inside(nodes: Column, top: Column) -> Column:
     """The clean nodes below a node, itself included."""
-    last = F.get(F.filter(nodes, lambda n: n["order"] == top), 0)["last"]
-    return F.filter(clean_nodes(nodes), lambda n: (n["order"] >= top) & (n["order"] <= last))
+    def below(x: Column) -> Column:
+        return F.filter(clean_nodes(nodes), lambda n: (n["order"] >= x["a"]) & (n["order"] <= x["b"]))
+
+    return urls.let(urls.let(top, lambda t: F.struct(t.alias("a"), F.get(nodes, t)["last"].alias("b"))), below)
 
 
 def _without_chaff(below: Column, top: Column, scores: Column | None) -> Column:
@@ -329,8 +333,11 @@ def _without_chaff(below: Column, top: Column, scores: Column | None) -> Column:
 
 def article_text(nodes: Column, top: Column, lang: Column | str = "en", scores: Column | None = None) -> Column:
     """Paragraphs and list items of the content node joined by blank lines; chaff, link-dense and empty ones dropped, list items with a bullet."""
-    language = _language(lang)
+    start = F.struct(_language(lang).alias("lang"), top.alias("top"))
+    return urls.let(start, lambda x: _article_text(nodes, x["top"], x["lang"], scores))
+
 
+def _article_text(nodes: Column, top: Column, language: Column, scores: Column | None) -> Column:
     def written(kept: Column) -> Column:
         outer = F.filter(kept, lambda n: ~F.exists(kept, lambda m: (m["order"] < n["order"]) & (m["last"] >= n["order"])))
         return F.array_join(F.transform(outer, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])), "\n\n")
@@ -349,8 +356,11 @@ def sibling_text(nodes: Column, top: Column, lang: Column | str = "en", share: f
     Of its earlier siblings, paragraphs with text; and, inside other siblings, paragraphs that are not link-dense
     and whose stopwords exceed `share` of the mean of the content node's own (of those with over two stopwords).
     """
-    language = _language(lang)
+    start = F.struct(_language(lang).alias("lang"), top.alias("top"))
+    return urls.let(start, lambda x: _sibling_text(nodes, x["top"], x["lang"], share, lists))
 
+
+def _sibling_text(nodes: Column, top: Column, language: Column, share: float, lists) -> Column:
     def count(n: Column) -> Column:
         return T.stopwords_by_language(n["text"], language, lists)
 
@@ -377,15 +387,17 @@ def content(nodes: Column, url: Column, lang: Column | str = "en", lists=None) -
 
     def found(x: Column) -> Column:
         top = F.coalesce(x["known"], best_node(x["scores"])["order"])
-        return F.struct(top.alias("top"), x["known"].isNull().alias("scored"), x["scores"].alias("scores"))
+        return F.struct(top.alias("top"), x["known"].isNull().alias("scored"), x["scores"].alias("scores"), x["lang"].alias("lang"))
 
     def text(x: Column) -> Column:
-        own = article_text(nodes, x["top"], lang, x["scores"])
-        before = F.when(x["scored"], sibling_text(nodes, x["top"], lang, lists=lists)).otherwise(F.array().cast("array<string>"))
+        own = _article_text(nodes, x["top"], x["lang"], x["scores"])
+        before = F.when(x["scored"], _sibling_text(nodes, x["top"], x["lang"], 0.30, lists)).otherwise(F.array().cast("array<string>"))
         return F.struct(x["top"].alias("top"), F.when(x["top"].isNotNull(), F.array_join(F.concat(before, F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))), "\n\n")).alias("text"))
 
-    start = F.struct(known_container(nodes, url).alias("known"), content_scores(nodes, lang, lists).alias("scores"))
-    return urls.let(urls.let(start, found), text)
+    def scored(language: Column) -> Column:
+        return F.struct(language.alias("lang"), known_container(nodes, url).alias("known"), _content_scores(nodes, language, lists).alias("scores"))
+
+    return urls.let(urls.let(urls.let(_language(lang), scored), found), text)
 
 
 def tag_texts(nodes: Column) -> Column:
