@@ -34,7 +34,9 @@ def documents(spark, texts):
     return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}" if (i or 0) % 5 else None, None, "x", 7) for i, t in texts], SCHEMA)
 
 
-EDGES = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one two three"), (5, "one two three"), (6, "x" * 5000), (7, "é" * 300 + " 😀 ok")]
+EDGES = [
+    (1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one two three"), (5, "one two three"), (6, "x" * 5000), (7, "é" * 300 + " 😀 ok")
+]
 
 
 def test_jaccard_join_brute_force(spark):
@@ -99,7 +101,9 @@ def test_decontamination(spark):
     item = prose(40, 5)
     edited = item.split()
     edited[10], edited[25] = "other", "words"
-    rows = EDGES + [(20, prose(200, 6) + " " + item.upper() + "! " + prose(50, 7)), (21, prose(30, 8) + " " + " ".join(edited)), (22, prose(300, 9))]
+    rows = EDGES + [
+        (20, prose(200, 6) + " " + item.upper() + "! " + prose(50, 7)), (21, prose(30, 8) + " " + " ".join(edited)), (22, prose(300, 9))
+    ]
     items = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, prose(20, 10))], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.score for r in contaminated(documents(spark, rows), items).collect()}
     assert set(got) == {(20, 1), (21, 1)} and got[20, 1] == 1.0 and 0.7 < got[21, 1] < 1
@@ -194,7 +198,9 @@ def test_label_model_against_plain_em():
     rows = [tuple(0 if r.random() < (hit if bad else false) else r.choice((1, 2)) for hit, false in condemns) for bad in truth]
     counted = Count(rows)
     patterns = sorted(counted, key=lambda v: sum(x * 3**k for k, x in enumerate(v)))
-    bad, prior, table = label_model(np.array([sum(x * 3**k for k, x in enumerate(v)) for v in patterns]), np.array([counted[v] for v in patterns]), 4)
+    bad, prior, table = label_model(
+        np.array([sum(x * 3**k for k, x in enumerate(v)) for v in patterns]), np.array([counted[v] for v in patterns]), 4
+    )
     p = [0.9 if 0 in row else 0.05 for row in rows]
     for _ in range(100):
         total = [sum(p), len(p) - sum(p)]
@@ -213,7 +219,9 @@ def test_label_model_against_plain_em():
             p.append(a / (a + b))
     want = dict(zip(rows, p))
     assert max(abs(bad[k] - want[v]) for k, v in enumerate(patterns)) < 1e-3
-    assert abs(prior[0] - 0.3) < 0.05 and all(abs(table[0, k, 0] - hit) < 0.1 and abs(table[1, k, 0] - false) < 0.05 for k, (hit, false) in enumerate(condemns))
+    assert abs(prior[0] - 0.3) < 0.05 and all(
+        abs(table[0, k, 0] - hit) < 0.1 and abs(table[1, k, 0] - false) < 0.05 for k, (hit, false) in enumerate(condemns)
+    )
 
 
 def test_fingerprints(spark):
@@ -229,7 +237,11 @@ def test_fingerprints(spark):
     for k, i in enumerate(ids):
         n, after = len(texts[i]), texts[ids[(k + 1) % len(ids)]]
         assert got[i].n_chars == n and got[i].edited_sha256 == hashlib.sha256((texts[i][: n - n // 2] + after[: n // 2]).encode()).hexdigest()
-    classes = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame([(i, r.fingerprint) for i, r in got.items()], "doc_id long, fingerprint string")).collect()}
+    classes = {
+        r.doc_id: r.class_id for r in near_classes(
+            spark.createDataFrame([(i, r.fingerprint) for i, r in got.items()], "doc_id long, fingerprint string")
+        ).collect()
+    }
     assert classes[20] == classes[22] == classes[21] == 20
     assert edited_with_next(documents(spark, [])).count() == 0
 
@@ -277,7 +289,11 @@ def test_near_copies_behind_a_shared_header(spark):
     marks = fingerprints(pa.array(texts))
     assert all(likeness(marks[0], x) < 0.8 for x in marks[1:]) and likeness(marks[1], marks[2]) > 0.9
     for block in (1024, 4):
-        got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(list(enumerate(marks)), "doc_id long, fingerprint string"), block=block).collect()}
+        got = {
+            r.doc_id: r.class_id for r in near_classes(
+                spark.createDataFrame(list(enumerate(marks)), "doc_id long, fingerprint string"), block=block
+            ).collect()
+        }
         assert got == {0: 0} | {k: k - (k - 1) % 3 for k in range(1, len(texts))}
 
 
@@ -292,7 +308,12 @@ def test_near_classes_recall(spark):
         pairs.append((" ".join(words), " ".join(edited)))
     for k in range(60):
         text = prose(200, 2000 + k)
-        at = next(c for c, x in zip(range(900, 1200, 4), fingerprints(pa.array([text[:c] for c in range(900, 1200, 4)]))) if len(x) > (12 - PER_OCTAVE.bit_length() + 1) * PER_OCTAVE)
+        at = next(
+            c for c,
+            x in zip(
+                range(900, 1200, 4), fingerprints(pa.array([text[:c] for c in range(900, 1200, 4)]))
+            ) if len(x) > (12 - PER_OCTAVE.bit_length() + 1) * PER_OCTAVE
+        )
         longer, shorter = text[: at + 10], text[: at - 10]
         spot = r.randrange(600, 800)
         pairs.append((longer, shorter[:spot] + "edited" + shorter[spot:]))
@@ -307,7 +328,9 @@ def test_near_classes_recall(spark):
 
 def test_chat_round_trip(spark):
     odd = ["", None, "\\### Assistant: </turn> ok", "<turn role=\"user\" esc=\"0\">", "\\l\\b<\\", "a\nb", "</turn", "😀"]
-    rows = [(k % 3, n, r, t) for n, t in enumerate(odd) for k, r in enumerate(["user", "assistant", None, 'x">\\q'])] + [(9, 0, "user", "hi"), (9, 0, "user", "hi"), (None, None, "assistant", "z")]
+    rows = [
+        (k % 3, n, r, t) for n, t in enumerate(odd) for k, r in enumerate(["user", "assistant", None, 'x">\\q'])
+    ] + [(9, 0, "user", "hi"), (9, 0, "user", "hi"), (None, None, "assistant", "z")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     formatted = format_chats(df)
     got = {r.conv_id: r for r in read_back(formatted).collect()}
@@ -334,18 +357,25 @@ def test_token_counts(spark):
             tree.edit(at, at + r.choice([0, 1, 3, 30, 200]), "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 4, 30]))))
         assert tree.total == len(counter.encoding.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
     tree = TokenTree(prose(500, 1), counter)
-    for start, stop, new in ((900, 910, prose(20_000, 2)), (60_000, 60_000, "in the middle"), (1000, 90_000, "short"), (0, 0, prose(3000, 3)), (5, 10**7, "")):
+    for start, stop, new in (
+        (900, 910, prose(20_000, 2)), (60_000, 60_000, "in the middle"), (1000, 90_000, "short"), (0, 0, prose(3000, 3)), (5, 10**7, "")
+    ):
         before, size = tree.encoded_chars, len(tree.text)
         tree.edit(start, stop, new)
         assert tree.total == len(counter.encoding.encode_ordinary(tree.text)) and tree.chars[1] == len(tree.text)
         assert tree.encoded_chars - before <= len(new) + 3000 and max(tree.chars[tree.leaves :]) < 2000
-    docs = documents(spark, EDGES).withColumn("edits", F.array(F.struct(F.lit(1).alias("start"), F.lit(2).alias("stop"), F.lit(None).cast("string").alias("text"))))
+    docs = documents(spark, EDGES).withColumn(
+        "edits", F.array(F.struct(F.lit(1).alias("start"), F.lit(2).alias("stop"), F.lit(None).cast("string").alias("text")))
+    )
     got = token_counts(docs).collect()
     assert len(got) == len(EDGES) and all(x.n_tokens == x.edited_tokens for x in got)
     assert token_counts(docs.limit(0)).count() == 0
 
 
-PATTERNS = (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"))
+PATTERNS = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")
+)
 
 
 def plain_spans(text):
@@ -354,15 +384,22 @@ def plain_spans(text):
         if kind == "ip":
             return all(int(p) <= 255 for p in v.split("."))
         if kind == "card":
-            return 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(d[::-1])) % 10 == 0
+            return 12 <= len(d) <= 19 and sum(
+                int(c) if i % 2 == 0 else (2 * int(c) - 9 if int(c) > 4 else 2 * int(c)) for i, c in enumerate(d[::-1])
+            ) % 10 == 0
         return kind != "phone" or 9 <= len(d) <= 15
 
     return sorted((m.start(), n, m.end(), k) for n, (k, p) in enumerate(PATTERNS) for m in re.finditer(p, text or "") if good(k, m.group()))
 
 
 def test_pii(spark):
-    tricky = ["a@b.c_x@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004", "+1 (555) 555-1234 4111 1111 1111 1111 4111-1111-1111-1111-", "é@x.y +49.30/12", "1 2 3 4 5 6 7 8 9", "9" * 9000, "+" * 50, "a@b a@b.c."]
-    found = [f"please contact: user{k}@mail{k}.example.com now" for k in range(12)] + ["please contact: ZX99-1234-Q today", "the year 12345678 alone"]
+    tricky = [
+        "a@b.c_x@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.004", "+1 (555) 555-1234 4111 1111 1111 1111 4111-1111-1111-1111-",
+        "é@x.y +49.30/12", "1 2 3 4 5 6 7 8 9", "9" * 9000, "+" * 50, "a@b a@b.c."
+    ]
+    found = [f"please contact: user{k}@mail{k}.example.com now" for k in range(12)] + [
+        "please contact: ZX99-1234-Q today", "the year 12345678 alone"
+    ]
     rows = EDGES + [(20 + k, t) for k, t in enumerate(tricky + found)]
     got = {r.doc_id: r for r in pii.find_pii(documents(spark, rows)).collect()}
     for i, t in rows:
@@ -383,7 +420,12 @@ def test_pii_discovery_brute_force(spark):
         for _ in range(r.randrange(1, 5)):
             parts += [r.choice(words) for _ in range(r.randrange(0, 4))]
             kind = r.randrange(5)
-            parts.append([f"u{k}@host{r.randrange(9)}.test", f"+49 30 12345{r.randrange(100, 999)}", f"AB-{r.randrange(1000, 9999)}", f"{r.randrange(10**6, 10**7)}.", "word"][kind])
+            parts.append(
+                [
+                    f"u{k}@host{r.randrange(9)}.test", f"+49 30 12345{r.randrange(100, 999)}", f"AB-{r.randrange(1000, 9999)}",
+                    f"{r.randrange(10**6, 10**7)}.", "word"
+                ][kind]
+            )
         texts.append(r.choice([" ", "  ", "\n"]).join(parts))
     got = {x.doc_id: x.spans for x in pii.find_pii(documents(spark, list(enumerate(texts)))).collect()}
 
@@ -429,10 +471,14 @@ def test_pii_discovery_brute_force(spark):
 
 def test_pii_edges(spark):
     assert pii.find_pii(documents(spark, [])).count() == 0 and pii.redact(documents(spark, [])).count() == 0
-    docs = spark.createDataFrame([(1, "mail a@b.cc", 5, "x")] * 2 + [(None, None, 5, "y")], "doc_id long, text string, pii_key int, pii_spans string")
+    docs = spark.createDataFrame(
+        [(1, "mail a@b.cc", 5, "x")] * 2 + [(None, None, 5, "y")], "doc_id long, text string, pii_key int, pii_spans string"
+    )
     out = pii.redact(docs)
     assert out.columns == docs.columns
-    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [(None, None, 5, "y"), (1, "mail [EMAIL]", 5, "x"), (1, "mail [EMAIL]", 5, "x")]
+    assert [tuple(r) for r in out.orderBy("doc_id").collect()] == [
+        (None, None, 5, "y"), (1, "mail [EMAIL]", 5, "x"), (1, "mail [EMAIL]", 5, "x")
+    ]
 
 
 def test_mixing(spark):
@@ -459,7 +505,12 @@ def test_mixing_against_a_plain_solution(spark):
 
     r = random.Random(5)
     names = ["a", "b", "z", "\u00e9", None, "c", "d"]
-    rows = [(k, prose(r.randrange(1, 60) if k % 7 else 150, k), "en", names[k if k < 14 and k % 7 == k else r.randrange(2) if k % 3 else 4], None, "x", 7) for k in range(300)]
+    rows = [
+        (
+            k, prose(r.randrange(1, 60) if k % 7 else 150, k), "en", names[k if k < 14 and k % 7 == k else r.randrange(2) if k % 3 else 4],
+            None, "x", 7
+        ) for k in range(300)
+    ]
     got = {x.doc_id: x for x in mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()}
     sizes = {}
     for k, text, _, source, *_ in rows:
@@ -495,33 +546,56 @@ def test_mixing_against_a_plain_solution(spark):
 
 
 def test_licenses(spark):
-    rows = EDGES + [(20, "Copyright (c) 2020 A. B.\nreleased UNDER the mit  licence"), (21, "text\nReleased under the MIT License.\nmore"), (22, "Released under the MIT License. Not only")]
+    rows = EDGES + [
+        (20, "Copyright (c) 2020 A. B.\nreleased UNDER the mit  licence"), (21, "text\nReleased under the MIT License.\nmore"),
+        (22, "Released under the MIT License. Not only")
+    ]
     got = {r.doc_id: (r.license, r.notices) for r in scan_licenses(documents(spark, rows)).collect()}
     assert got[20] == ("MIT", "MIT") and got[21] == (None, "MIT") and got[22] == (None, "") and got[1] == (None, "")
     assert scan_licenses(documents(spark, [])).count() == 0
     own = spark.createDataFrame([("X-1", "The X licence.\nTwo lines"), ("X-1", None), ("X-2", "")], "license string, text string")
-    mine = {r.doc_id: (r.license, r.notices) for r in scan_licenses(documents(spark, [*rows, (23, "the x LICENSE two: lines")]), own).collect()}
+    mine = {
+        r.doc_id: (r.license, r.notices) for r in scan_licenses(documents(spark, [*rows, (23, "the x LICENSE two: lines")]), own).collect()
+    }
     assert mine[23] == ("X-1", "X-1") and mine[20] == (None, "") and mine[2] == (None, "")
 
 
 def test_license_collection(spark):
     gpl, bsd = ((TEXTS / f"{x}.txt").read_text() for x in ("GPL-3.0", "BSD-3-Clause"))
-    texts = [gpl, "Copyright (c) 2020 A. B.\n\n" + bsd.replace(" HOLDERS", "\nHOLDERS"), "a\nSPDX-License-Identifier: MPL-2.0\nb", "a\nThis software is released under the GNU General Public License v2\nb\nLicensed under CC BY-SA 4.0", "a\nsee the license\nb"]
+    texts = [
+        gpl, "Copyright (c) 2020 A. B.\n\n" + bsd.replace(" HOLDERS", "\nHOLDERS"), "a\nSPDX-License-Identifier: MPL-2.0\nb",
+        "a\nThis software is released under the GNU General Public License v2\nb\nLicensed under CC BY-SA 4.0", "a\nsee the license\nb"
+    ]
     got = {r.doc_id: (r.license, r.notices) for r in scan_licenses(documents(spark, list(enumerate(texts)))).collect()}
     assert got[0][0] == "GPL-3.0" and got[1][0] == "BSD-3-Clause" and got[2] == (None, "MPL-2.0") and got[3] == (None, "CC-BY-SA-4.0,GPL-2.0") and got[4] == (None, "")
 
 
 def test_url_filters(spark):
-    rows = [(1, "http://A.Example.COM/en/7?x", "ok"), (2, "x://net/de/", "ok"), (3, None, None), (4, "nothing", "ok"), (5, "http://b.example.org#f", "ok")] + [(k, "http://bad.zone/p", "!! " * 50) for k in range(10, 40)]
+    rows = [
+        (1, "http://A.Example.COM/en/7?x", "ok"), (2, "x://net/de/", "ok"), (3, None, None), (4, "nothing", "ok"),
+        (5, "http://b.example.org#f", "ok")
+    ] + [(k, "http://bad.zone/p", "!! " * 50) for k in range(10, 40)]
     got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("a.example.com", "/en/7", "example.com/en/7", "allow")
     assert got[2].rule == "net/de/" and got[2].verdict == "block" and (got[3].host, got[3].path) == ("", "") and got[5].host == "b.example.org"
     assert got[10].verdict == "block" and got[10].rule is None and got[5].verdict == "allow"
     assert judge_urls(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-    marked = [(1, "http://10.0.0.1/a", "!! " * 50), (2, "http://172.16.0.1/a", "ok"), (3, "http://a.gov.uk/", "ok"), (4, "http://b.gov.uk/", '<i class="!! !! !! !! !!">plain text of a page</i>')]
-    hosts = {r.host: r for r in host_reputation(judge_urls(spark.createDataFrame(marked, "page_id long, url string, html string")).select("host", F.lit(1).alias("bad"))).collect()}
+    marked = [
+        (1, "http://10.0.0.1/a", "!! " * 50), (2, "http://172.16.0.1/a", "ok"), (3, "http://a.gov.uk/", "ok"),
+        (4, "http://b.gov.uk/", '<i class="!! !! !! !! !!">plain text of a page</i>')
+    ]
+    hosts = {
+        r.host: r for r in host_reputation(
+            judge_urls(spark.createDataFrame(marked, "page_id long, url string, html string")).select("host", F.lit(1).alias("bad"))
+        ).collect()
+    }
     assert set(hosts) == {"10.0.0.1", "172.16.0.1", "a.gov.uk", "b.gov.uk"}
-    names = spark.createDataFrame([(h,) for h in [*hosts, "x.co.nz", "localhost"]], "h string").select("h", domain_of(F.col("h")).alias("d"), suffix_of(domain_of(F.col("h"))).alias("s"))
-    assert {r.h: (r.d, r.s) for r in names.collect()} == {"10.0.0.1": ("10.0.0.1", ""), "172.16.0.1": ("172.16.0.1", ""), "a.gov.uk": ("a.gov.uk", "gov.uk"), "b.gov.uk": ("b.gov.uk", "gov.uk"), "x.co.nz": ("x.co.nz", "co.nz"), "localhost": ("localhost", "")}
+    names = spark.createDataFrame([(h,) for h in [*hosts, "x.co.nz", "localhost"]], "h string").select(
+        "h", domain_of(F.col("h")).alias("d"), suffix_of(domain_of(F.col("h"))).alias("s")
+    )
+    assert {r.h: (r.d, r.s) for r in names.collect()} == {
+        "10.0.0.1": ("10.0.0.1", ""), "172.16.0.1": ("172.16.0.1", ""), "a.gov.uk": ("a.gov.uk", "gov.uk"),
+        "b.gov.uk": ("b.gov.uk", "gov.uk"), "x.co.nz": ("x.co.nz", "co.nz"), "localhost": ("localhost", "")
+    }
     noise = spark.createDataFrame(marked, "page_id long, url string, html string").select("page_id", noisy_page(F.col("html")).alias("bad"))
     assert {r.page_id: r.bad for r in noise.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}

@@ -51,7 +51,9 @@ def folder(spark, tmp_path_factory):
     where = tmp_path_factory.mktemp("sf")
     spark.createDataFrame(rows(), SCHEMA).write.parquet(str(where / "documents.parquet"))
     spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(str(where / "benchmark.parquet"))
-    spark.createDataFrame([(k, 0 if 76 <= k < 84 else 1, 0) for k in range(10, 84)], "doc_id long, quality int, toxic int").write.parquet(str(where / "labels.parquet"))
+    spark.createDataFrame(
+        [(k, 0 if 76 <= k < 84 else 1, 0) for k in range(10, 84)], "doc_id long, quality int, toxic int"
+    ).write.parquet(str(where / "labels.parquet"))
     return str(where)
 
 

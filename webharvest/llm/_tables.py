@@ -75,7 +75,9 @@ def components(edges: DataFrame) -> DataFrame:
     once the next one is written.
     """
     spark, schema = edges.sparkSession, "a long, b long"
-    path = _write(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
+    path = _write(
+        edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
+    )
     before = None
     for _ in range(MAX_ROUNDS):
         now = spark.read.schema(schema).parquet(path)
@@ -84,7 +86,11 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         step = large.join(small, "a")
-        old, path = path, _write(step.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(step.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        old, path = path, _write(
+            step.where("b <> m").select(
+                F.col("b").alias("a"), F.col("m").alias("b")
+            ).union(step.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+        )
         delete(spark, old)
         state = spark.read.schema(schema).parquet(path).agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if state == before:
@@ -95,4 +101,6 @@ def components(edges: DataFrame) -> DataFrame:
     if _OPEN:
         _OPEN[-1].append(path)
     now = spark.read.schema(schema).parquet(path)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("class_id")).union(now.select(F.col("b").alias("node"), F.col("b").alias("class_id"))).groupBy("node").agg(F.min("class_id").alias("class_id"))
+    return now.select(
+        F.col("a").alias("node"), F.col("b").alias("class_id")
+    ).union(now.select(F.col("b").alias("node"), F.col("b").alias("class_id"))).groupBy("node").agg(F.min("class_id").alias("class_id"))

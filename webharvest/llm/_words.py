@@ -119,7 +119,13 @@ class Words:
         pos = at - self.first[:-1][of]
         short = np.flatnonzero((self.counts > 0) & (self.counts < n))
         if len(short):
-            extra = np.array([mix(np.array([np.sum(h[a:b] * np.arange(3, 3 + 2 * (b - a), 2, dtype=np.uint64)) + np.uint64(n)], np.uint64))[0] for a, b in zip(self.first[short], self.first[short + 1])], np.uint64)
+            extra = np.array(
+                [
+                    mix(np.array([np.sum(h[a:b] * np.arange(3, 3 + 2 * (b - a), 2, dtype=np.uint64)) + np.uint64(n)], np.uint64))[0] for a,
+                    b in zip(self.first[short], self.first[short + 1])
+                ],
+                np.uint64
+            )
             g, of, pos = np.concatenate([g, extra]), np.concatenate([of, short]), np.concatenate([pos, np.zeros(len(short), pos.dtype)])
             order = np.argsort(of, kind="stable")
             g, of, pos = g[order], of[order], pos[order]

@@ -42,7 +42,12 @@ def _unescape_role(role: Column) -> Column:
 def render(turns: Column, level: int) -> Column:
     """turns: array of struct(role, text).  Level 0 writes texts as they are, level 1 escaped."""
     text = (lambda x: escape(x)) if level else (lambda x: x)
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit(f"{MIDDLE}{level}{CLOSE}"), text(t["text"]), F.lit(END))), "")
+    return F.array_join(
+        F.transform(
+            turns, lambda t: F.concat(F.lit(OPEN), _escape_role(t["role"]), F.lit(f"{MIDDLE}{level}{CLOSE}"), text(t["text"]), F.lit(END))
+        ),
+        ""
+    )
 
 
 def parse(formatted: Column) -> Column:
@@ -53,7 +58,10 @@ def parse(formatted: Column) -> Column:
         body = F.regexp_replace(piece, F.lit(head), F.lit(""))
         esc = F.regexp_extract(piece, head, 2)
         good = F.regexp_like(piece, F.lit(head))
-        return F.struct(F.when(good, _unescape_role(F.regexp_extract(piece, head, 1))).alias("role"), F.when(esc == "1", unescape(body)).otherwise(body).alias("text"), esc.alias("esc"))
+        return F.struct(
+            F.when(good, _unescape_role(F.regexp_extract(piece, head, 1))).alias("role"),
+            F.when(esc == "1", unescape(body)).otherwise(body).alias("text"), esc.alias("esc")
+        )
 
     pieces = F.split(formatted, END, -1)
     return F.transform(F.slice(pieces, 1, F.size(pieces) - 1), turn)
@@ -72,11 +80,18 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     """
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     gathered = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
-    turns = gathered.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns"))
+    turns = gathered.select(
+        "conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("turns")
+    )
     plain = turns.withColumn("formatted", render(F.col("turns"), 0))
-    tried = plain.withColumn("plain_ok", _same(parse(F.col("formatted")), F.col("turns")) & ~F.exists("turns", lambda t: F.contains(t["text"], F.lit("<turn "))))
+    tried = plain.withColumn(
+        "plain_ok", _same(parse(F.col("formatted")), F.col("turns")) & ~F.exists("turns", lambda t: F.contains(t["text"], F.lit("<turn ")))
+    )
     done = tried.withColumn("formatted", F.when(F.col("plain_ok"), F.col("formatted")).otherwise(render(F.col("turns"), 1)))
-    return done.select("conv_id", "formatted", F.when(F.col("plain_ok"), 0).otherwise(1).alias("escape_level"), _same(parse(F.col("formatted")), F.col("turns")).alias("round_trip"))
+    return done.select(
+        "conv_id", "formatted", F.when(F.col("plain_ok"), 0).otherwise(1).alias("escape_level"),
+        _same(parse(F.col("formatted")), F.col("turns")).alias("round_trip")
+    )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -85,16 +100,39 @@ def read_back(formatted: DataFrame) -> DataFrame:
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
     out = parsed.withColumn("said", said).withColumn("loss", loss)
-    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "escape_level", "round_trip")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2("said", 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "escape_level", "round_trip"
+    )
 
 
 def loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
     """(conv_id, span_start, span_end) of the texts under the loss mask, in code points of the rendered text, end exclusive."""
     pieces = F.split("formatted", END, -1)
-    each = formatted.select("conv_id", "formatted", F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.struct(F.length(F.regexp_extract(p, r'^<turn role="[^">]*" esc="[01]">', 0)).alias("head"), F.length(p).alias("size"), _unescape_role(F.regexp_extract(p, r'^<turn role="([^">]*)"', 1)).alias("role"))).alias("parts"))
+    each = formatted.select(
+        "conv_id", "formatted",
+        F.transform(
+            F.slice(pieces, 1, F.size(pieces) - 1),
+            lambda p: F.struct(
+                F.length(F.regexp_extract(p, r'^<turn role="[^">]*" esc="[01]">', 0)).alias("head"), F.length(p).alias("size"),
+                _unescape_role(F.regexp_extract(p, r'^<turn role="([^">]*)"', 1)).alias("role")
+            )
+        ).alias("parts")
+    )
     start = {"at": F.lit(0), "spans": F.array().cast("array<struct<a:int,b:int,role:string>>")}
-    placed = F.aggregate("parts", F.struct(*[v.alias(k) for k, v in start.items()]), lambda acc, p: F.struct((acc["at"] + p["size"] + len(END)).alias("at"), F.array_append(acc["spans"], F.struct((acc["at"] + p["head"]).alias("a"), (acc["at"] + p["size"]).alias("b"), p["role"].alias("role"))).alias("spans")))
-    return each.select("conv_id", F.explode(F.filter(placed["spans"], lambda s: s["role"] == role)).alias("s")).select("conv_id", F.col("s.a").alias("span_start"), F.col("s.b").alias("span_end"))
+    placed = F.aggregate(
+        "parts", F.struct(*[v.alias(k) for k, v in start.items()]), lambda acc,
+        p: F.struct(
+            (acc["at"] + p["size"] + len(END)).alias("at"),
+            F.array_append(
+                acc["spans"], F.struct((acc["at"] + p["head"]).alias("a"), (acc["at"] + p["size"]).alias("b"), p["role"].alias("role"))
+            ).alias("spans")
+        )
+    )
+    return each.select(
+        "conv_id", F.explode(F.filter(placed["spans"], lambda s: s["role"] == role)).alias("s")
+    ).select("conv_id", F.col("s.a").alias("span_start"), F.col("s.b").alias("span_end"))
 
 
 ORACLE = r"""

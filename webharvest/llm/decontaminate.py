@@ -35,17 +35,26 @@ def item_seeds(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
                 g, row, _ = w.shingles(n)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([w.hash[a:b].tobytes() for a, b in zip(w.first, w.first[1:])], pa.binary()), pa.array(w.counts.astype(np.int64)), pa.array([np.unique(g[a:b]).view(np.int64) for a, b in zip(ends, ends[1:])], pa.list_(pa.int64()))],
+                    [
+                        part.column(0), pa.array([w.hash[a:b].tobytes() for a, b in zip(w.first, w.first[1:])], pa.binary()),
+                        pa.array(w.counts.astype(np.int64)),
+                        pa.array([np.unique(g[a:b]).view(np.int64) for a, b in zip(ends, ends[1:])], pa.list_(pa.int64()))
+                    ],
                     names=["item_id", "words", "n_words", "seeds"],
                 )
 
-    rows = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text"))
+    rows = items.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")
+    )
     return rows.mapInArrow(make, "item_id long, words binary, n_words long, seeds array<long>").where("n_words > 0")
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
     """The bit table of all seeds: a fixed 2^FILTER_BITS bits, filled from at most so many distinct positions."""
-    rows = seeds.selectExpr(f"cast(shiftrightunsigned(seed, {64 - FILTER_BITS + 3}) as int) byte", f"shiftleft(1, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 7 as int)) bit").groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    rows = seeds.selectExpr(
+        f"cast(shiftrightunsigned(seed, {64 - FILTER_BITS + 3}) as int) byte",
+        f"shiftleft(1, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 7 as int)) bit"
+    ).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
     found, table = rows.toPandas(), np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     table[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return table
@@ -82,9 +91,17 @@ def passages(docs: DataFrame, table, n: int, reach: int, id_col: str, text_col:
                     s, e = max(0, p[a] - reach), min(count, p[b - 1] + n + reach)
                     for column, value in zip(out, (ids[r[a]], int(s), np.unique(seed[a:b]), w.hash[base + s : base + e].tobytes())):
                         column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["doc_id", "first", "seeds", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())),
+                        pa.array(out[3], pa.binary())
+                    ],
+                    names=["doc_id", "first", "seeds", "words"]
+                )
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    )
     return rows.mapInArrow(make, PASSAGES)
 
 
@@ -120,7 +137,10 @@ def reachable(item: np.ndarray, passage: np.ndarray) -> float:
     return MATCH * int(np.isin(item, passage).sum())
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 4, min_score: float = 0.6, rare_items: int = 4, rare_share: float = 0.0005, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def contaminated(
+    docs: DataFrame, items: DataFrame, *, n: int = 4, min_score: float = 0.6, rare_items: int = 4, rare_share: float = 0.0005,
+    id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
+) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): texts that hold a test item, copied or edited.
 
     score: alignment score over that of a perfect copy of the item, from min_score to 1; the best stretch of the
@@ -163,11 +183,20 @@ def contaminated(docs: DataFrame, items: DataFrame, *, n: int = 4, min_score: fl
                 if got >= least:
                     rows.append((k1, k2, item, got / (MATCH * len(a)), start, end))
             columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["k1", "k2", "item_id", "score", "start", "stop"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["k1", "k2", "item_id", "score", "start", "stop"]
+            )
 
-    scored = sides.select("k1", "k2", "item_id", "rare", "passage", "words").mapInArrow(score, "k1 long, k2 long, item_id long, score double, start long, stop long")
+    scored = sides.select("k1", "k2", "item_id", "rare", "passage", "words").mapInArrow(
+        score, "k1 long, k2 long, item_id long, score double, start long, stop long"
+    )
     placed = cut(scored).join(places, ["k1", "k2"])
-    best = F.min(F.struct((-F.col("score")).alias("cost"), (F.col("first") + F.col("start")).alias("first_word"), (F.col("first") + F.col("stop")).alias("end_word")))
+    best = F.min(
+        F.struct(
+            (-F.col("score")).alias("cost"), (F.col("first") + F.col("start")).alias("first_word"),
+            (F.col("first") + F.col("stop")).alias("end_word")
+        )
+    )
     top = placed.groupBy("doc_id", "item_id").agg(best.alias("best"))
     return top.select("doc_id", "item_id", (-F.col("best.cost")).alias("score"), "best.first_word", "best.end_word")
 

@@ -141,9 +141,13 @@ def fingerprint_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for lo, hi in steps(batch.column(1), 8 << 20):
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints(part.column(1)), pa.string())], names=["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(fingerprints(part.column(1)), pa.string())], names=["doc_id", "fingerprint"]
+                )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(make, "doc_id long, fingerprint string")
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
+    ).mapInArrow(make, "doc_id long, fingerprint string")
 
 
 def _unlike_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -179,7 +183,9 @@ def _unlike_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterat
 
     def finish() -> pa.RecordBatch:
         found = links(np.array([r[1] for r in held]), np.array([r[2] for r in held], np.int64), [r[3] for r in held])
-        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"]
+        )
 
     for batch in batches:
         for row in zip(zip(*(batch.column(k).to_pylist() for k in range(3))), *(batch.column(k).to_pylist() for k in range(3, 6))):
@@ -249,7 +255,9 @@ def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 24,
             for lo in range(0, batch.num_rows, 2048):
                 part = batch.slice(lo, 2048)
                 key, row = band_keys(part.column(1), threshold, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(0).take(pa.array(row))], names=["bucket", "doc_id"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), part.column(0).take(pa.array(row))], names=["bucket", "doc_id"]
+                )
 
     spread = own.where("fingerprint <> ''").mapInArrow(cast, "bucket long, doc_id long").distinct().repartition("bucket")  # dealt once, for the heads and for their join
     heads = spread.groupBy("bucket").agg(F.min("doc_id").alias("head"), F.count("*").alias("rows")).where("rows > 1")
@@ -267,14 +275,22 @@ def near_classes(prints: DataFrame, *, threshold: float = 0.8, bands: int = 24,
     first = cut(components(linked))
     second = components(_links_between_classes(shared, first, near, threshold, block))
     renamed = second.select(F.col("node").alias("class_id"), F.col("class_id").alias("joined"))
-    classes = first.join(renamed, "class_id", "full").select(F.coalesce("node", "class_id").alias("node"), F.coalesce("joined", "class_id").alias("class_id"))
-    top = owners.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id"))
+    classes = first.join(renamed, "class_id", "full").select(
+        F.coalesce("node", "class_id").alias("node"), F.coalesce("joined", "class_id").alias("class_id")
+    )
+    top = owners.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "k1", "k2", F.coalesce("class_id", "doc_id").alias("class_id")
+    )
     return prints.select("doc_id", *keys).join(top, ["k1", "k2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
 
 
 def _links_between_classes(shared: DataFrame, classes: DataFrame, near: DataFrame, threshold: float, block: int) -> DataFrame:
     """(a, b): links between the classes of each bucket's rows that the comparison with bucket heads has left apart."""
-    members = cut(shared.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    members = cut(
+        shared.join(classes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+            "bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")
+        )
+    )
     sizes = members.groupBy("bucket", "class_id").agg(
         F.count("*").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("s"), F.expr("bit_xor(xxhash64(7, doc_id))").alias("x")
     )
@@ -288,11 +304,17 @@ def _links_between_classes(shared: DataFrame, classes: DataFrame, near: DataFram
         F.ceil((F.col("n") - core_rows) / block).cast("int").alias("rest_blocks"), F.ceil(core_rows / block).cast("int").alias("core_blocks"),
     )
     rest = F.col("class_id") != F.col("core")
-    mine = F.when(rest, F.pmod(F.xxhash64("doc_id"), "rest_blocks")).otherwise(F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), "core_blocks")).cast("int")
+    mine = F.when(
+        rest, F.pmod(F.xxhash64("doc_id"), "rest_blocks")
+    ).otherwise(F.col("rest_blocks") + F.pmod(F.xxhash64("doc_id"), "core_blocks")).cast("int")
     others = F.sequence(F.lit(0), F.when(rest, F.col("rest_blocks") + F.col("core_blocks") - 1).otherwise(F.col("rest_blocks") - 1))
     cells = members.join(mixed, "bucket").select("bucket", "doc_id", "class_id", mine.alias("block"), F.explode(others).alias("other"))
-    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "doc_id").join(near, "doc_id")
-    cells = cells.select("bucket", "i", "j", "block", "class_id", "fingerprint").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    cells = cells.select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class_id", "doc_id"
+    ).join(near, "doc_id")
+    cells = cells.select(
+        "bucket", "i", "j", "block", "class_id", "fingerprint"
+    ).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     return cells.mapInArrow(lambda batches: _unlike_links(batches, threshold), "a long, b long")
 
 
@@ -326,7 +348,9 @@ def edited_with_next(docs: DataFrame, *, range_bytes: int = 32 << 20) -> DataFra
     range before it as well.
     Null texts count as empty; rows without an id are left out; of repeated ids the least text stays.
     """
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.where("doc_id is not null").select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     bounds = np.array(_ranges(rows, range_bytes), np.int64)
     range_of = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right")), "int")
     heads = rows.select("doc_id").withColumn("part", range_of("doc_id")).groupBy("part").agg(F.min("doc_id").alias("doc_id")).toPandas().sort_values("part")  # a row a range
@@ -361,10 +385,16 @@ def edited_with_next(docs: DataFrame, *, range_bytes: int = 32 << 20) -> DataFra
                 q = fingerprints(pa.array(edited, pa.large_string()))
                 r = p[1:] + fingerprints(pa.array(b[-1:], pa.large_string()))
                 columns = [
-                    pa.array(part_ids, pa.int64()), pa.array([len(x) for x in a], pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-                    pa.array(p, pa.string()), pa.array(q, pa.string()), pa.array([likeness(x, y) for x, y in zip(p, q)], pa.float64()), pa.array([likeness(x, y) for x, y in zip(p, r)], pa.float64()),
+                    pa.array(part_ids, pa.int64()), pa.array([len(x) for x in a], pa.int64()), pa.array(
+                        [hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()
+                    ),
+                    pa.array(p, pa.string()), pa.array(q, pa.string()), pa.array(
+                        [likeness(x, y) for x, y in zip(p, q)], pa.float64()
+                    ), pa.array([likeness(x, y) for x, y in zip(p, r)], pa.float64()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                yield pa.RecordBatch.from_arrays(
+                    columns, names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+                )
                 lo = hi
 
         for batch in batches:

@@ -76,7 +76,10 @@ def shingle_sets(docs: DataFrame, *, n: int = 5, tokens: int = 128, id_col: str
                 sizes = np.zeros(hi - lo + 1, np.int32)
                 sizes[1:] = np.cumsum(np.where(count > 0, tokens, 0))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(sketch.view(np.int32).ravel()))],
+                    [
+                        part.column(0), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)),
+                        pa.array(count.astype(np.int64)), pa.ListArray.from_arrays(pa.array(sizes), pa.array(sketch.view(np.int32).ravel()))
+                    ],
                     names=["doc_id", "k1", "k2", "n_shingles", "sketch"],
                 )
 
@@ -95,17 +98,23 @@ def _star(adjacent: np.ndarray) -> np.ndarray:
         label = new
 
 
-def candidate_edges(reps: DataFrame, sketches: DataFrame, *, threshold: float, slack: float, leaf: int, block: int, depth: int, branches: int, runs: int) -> DataFrame:
+def candidate_edges(
+    reps: DataFrame, sketches: DataFrame, *, threshold: float, slack: float, leaf: int, block: int, depth: int, branches: int, runs: int
+) -> DataFrame:
     """(a, b): edges that span the candidate clusters of `reps`; `sketches`, the table to look tokens up in, holds their rows."""
     tokens = F.size("sketch")
 
     def children(members: DataFrame, width: int) -> DataFrame:
         """members: node, doc_id, sketch -> (node, doc_id) of the next level; branch j of a node reads a position drawn from (node, j)."""
         branch = F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
-        drawn = members.select("node", "doc_id", "sketch", branch.alias("j")).withColumn("at", F.pmod(F.xxhash64("node", "j"), tokens).cast("int"))
+        drawn = members.select("node", "doc_id", "sketch", branch.alias("j")).withColumn(
+            "at", F.pmod(F.xxhash64("node", "j"), tokens).cast("int")
+        )
         return drawn.select(F.xxhash64("node", "j", F.get("sketch", F.col("at"))).alias("node"), "doc_id")
 
-    roots = reps.where(tokens > 0).select(F.explode(F.array(*[F.lit(r).cast("long") for r in range(1, runs + 1)])).alias("node"), "doc_id", "sketch")
+    roots = reps.where(tokens > 0).select(
+        F.explode(F.array(*[F.lit(r).cast("long") for r in range(1, runs + 1)])).alias("node"), "doc_id", "sketch"
+    )
     leaves = None
     level = children(roots, branches)
     for d in range(1, depth + 1):
@@ -119,7 +128,9 @@ def candidate_edges(reps: DataFrame, sketches: DataFrame, *, threshold: float, s
     # an unsplittable bucket is dealt into blocks, every pair of blocks is a group of its own
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    dealt = leaves.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = leaves.withColumn("blocks", blocks).withColumn("own", own).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
     groups = dealt.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("group_id"), "doc_id").distinct()
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -137,7 +148,9 @@ def candidate_edges(reps: DataFrame, sketches: DataFrame, *, threshold: float, s
     return groups.join(sketches, "doc_id").groupBy("group_id").applyInPandas(match, "a long, b long").distinct()
 
 
-def verified(clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int, block: int, block_shingles: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def verified(
+    clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int, block: int, block_shingles: int, id_col: str, text_col: str
+) -> tuple[DataFrame, DataFrame]:
     """Exact check inside clusters (doc_id, cluster, copies, n_shingles): (edges a, b), (doc_id, links).
 
     A cluster is dealt into blocks of about `block` rows and `block_shingles` shingles at most; every pair of blocks
@@ -155,11 +168,18 @@ def verified(clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int,
                 g, row, _ = Words(part.column(3)).shingles(n)
                 ends = np.searchsorted(row, np.arange(hi - lo + 1))
                 packed = [np.unique(g[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(packed, pa.binary())], names=["doc_id", "cluster", "copies", "packed"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:3], pa.array(packed, pa.binary())], names=["doc_id", "cluster", "copies", "packed"]
+                )
 
     sized = chosen.mapInArrow(sets, "doc_id long, cluster long, copies long, packed binary").join(members, "cluster")
-    dealt = sized.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("group_id"), "own", (F.col("own") == F.col("other")).alias("within"), "doc_id", "copies", "packed")
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    )
+    groups = dealt.select(
+        F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("group_id"), "own",
+        (F.col("own") == F.col("other")).alias("within"), "doc_id", "copies", "packed"
+    )
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         # a group of two blocks counts pairs between them; a group of one block, pairs inside
@@ -191,10 +211,16 @@ def verified(clusters: DataFrame, docs: DataFrame, *, threshold: float, n: int,
         return pd.DataFrame({"doc_id": ids, "least": ids[label], "links": links})
 
     found = cut(groups.groupBy("group_id").applyInPandas(verify, "doc_id long, least long, links long"))
-    return found.where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b")), found.groupBy("doc_id").agg(F.sum("links").alias("links"))
+    return found.where("doc_id <> least").select(
+        F.col("doc_id").alias("a"), F.col("least").alias("b")
+    ), found.groupBy("doc_id").agg(F.sum("links").alias("links"))
 
 
-def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, target_recall: float = 0.99, tokens: int = 128, slack: float = 0.1, leaf: int = 256, block: int = 1024, block_shingles: int = 1 << 20, depth: int = 4, branches: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(
+    docs: DataFrame, *, threshold: float = 0.8, n: int = 5, target_recall: float = 0.99, tokens: int = 128, slack: float = 0.1,
+    leaf: int = 256, block: int = 1024, block_shingles: int = 1 << 20, depth: int = 4, branches: int = 2, id_col: str = "doc_id",
+    text_col: str = "text"
+) -> DataFrame:
     """(doc_id, class_id, copy_of, n_links, n_shingles), a row for every different id of `docs`.
 
     class_id: the least doc_id of the group linked by pairs of Jaccard similarity `threshold` or more;
@@ -211,18 +237,33 @@ def jaccard_join(docs: DataFrame, *, threshold: float = 0.8, n: int = 5, target_
     if repeated.limit(1).count():
         # one row for each repeated id, by its text; texts of other ids stay where they are
         chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        least = chosen.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text")).alias("t")).select("doc_id", "t.text")
+        least = chosen.join(
+            repeated.select("doc_id"), "doc_id", "left_semi"
+        ).groupBy("doc_id").agg(F.min(F.struct("text")).alias("t")).select("doc_id", "t.text")
         docs = cut(chosen.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(least))
         id_col, text_col = "doc_id", "text"
         sets = cut(shingle_sets(docs, n=n, tokens=tokens))
-    owners = cut(sets.groupBy("k1", "k2").agg(F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles")))
+    owners = cut(
+        sets.groupBy("k1", "k2").agg(
+            F.min("doc_id").alias("copy_of"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles")
+        )
+    )
     reps = sets.join(owners.select(F.col("copy_of").alias("doc_id")), "doc_id", "left_semi")
-    edges = candidate_edges(reps, sets.select("doc_id", "sketch"), threshold=threshold, slack=slack, leaf=leaf, block=block, depth=depth, branches=branches, runs=runs)
+    edges = candidate_edges(
+        reps, sets.select("doc_id", "sketch"), threshold=threshold, slack=slack, leaf=leaf, block=block, depth=depth, branches=branches,
+        runs=runs
+    )
     clusters = components(edges).select(F.col("node").alias("doc_id"), F.col("class_id").alias("cluster"))
     clusters = cut(clusters.join(owners.select(F.col("copy_of").alias("doc_id"), "copies", "n_shingles"), "doc_id"))
-    found, links = verified(clusters, docs, threshold=threshold, n=n, block=block, block_shingles=block_shingles, id_col=id_col, text_col=text_col)
+    found, links = verified(
+        clusters, docs, threshold=threshold, n=n, block=block, block_shingles=block_shingles, id_col=id_col, text_col=text_col
+    )
     classes = components(found)
-    summary = owners.drop("n_shingles").join(links.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left").join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left")
+    summary = owners.drop("n_shingles").join(
+        links.withColumnRenamed("doc_id", "copy_of"), "copy_of", "left"
+    ).join(classes.withColumnRenamed("node", "copy_of"), "copy_of", "left")
     n_links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long")
     summary = summary.select("k1", "k2", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), n_links.alias("n_links"))
-    return sets.select("doc_id", "k1", "k2", "n_shingles").join(summary, ["k1", "k2"]).select("doc_id", "class_id", "copy_of", "n_links", "n_shingles")
+    return sets.select("doc_id", "k1", "k2", "n_shingles").join(summary, ["k1", "k2"]).select(
+        "doc_id", "class_id", "copy_of", "n_links", "n_shingles"
+    )

@@ -39,27 +39,68 @@ KNOWN = (
 TEXTS = Path(__file__).parent / "known_licenses"
 #: Names of licences in notices.
 NAMES = {
-    "MIT": ("MIT License", "MIT"), "0BSD": ("Zero-Clause BSD License", "BSD Zero Clause License"), "ISC": ("ISC License",), "Unlicense": ("Unlicense",),
-    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License", "Modified BSD License"),
-    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"), "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"),
+    "MIT": ("MIT License", "MIT"), "0BSD": (
+        "Zero-Clause BSD License", "BSD Zero Clause License"
+    ), "ISC": ("ISC License",), "Unlicense": ("Unlicense",),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"), "BSD-3-Clause": (
+        "BSD 3-Clause License", "New BSD License", "Modified BSD License"
+    ),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"), "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1"), "MPL-2.0": (
+        "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0", "Mozilla Public License 2.0"
+    ),
     "Artistic-1.0": ("Artistic License 1.0",), "CC0-1.0": ("CC0 1.0 Universal", "CC0 1.0"),
 }
-for _id, _name, _versions in (("GPL", "GNU General Public License", "2.0 3.0"), ("LGPL", "GNU Lesser General Public License", "2.1 3.0"), ("AGPL", "GNU Affero General Public License", "3.0"), ("GFDL", "GNU Free Documentation License", "1.3")):
+for _id, _name, _versions in (
+    ("GPL", "GNU General Public License", "2.0 3.0"), ("LGPL", "GNU Lesser General Public License", "2.1 3.0"),
+    ("AGPL", "GNU Affero General Public License", "3.0"), ("GFDL", "GNU Free Documentation License", "1.3")
+):
     for _v in _versions.split():
-        NAMES[f"{_id}-{_v}"] = tuple(x for v in {_v: 0, _v.removesuffix(".0"): 0} for x in (f"{_name}, version {v}", f"{_name} version {v}", f"{_name} v{v}", f"{_id} {v}", f"{_id}v{v}"))
-for _id, _name in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
-    NAMES[f"CC-{_id}-4.0"] = (f"CC {_id} 4.0", f"Creative Commons {_name} 4.0", f"Creative Commons {_name} 4.0 International License", f"Creative Commons {_name} 4.0 International")
-FORMS = ("License: {}", *(f"{subject}{verb} under {the}{{}}{tail}" for subject, verbs in (("", "Licensed Released Distributed"), ("This work is ", "licensed"), ("This software is ", "licensed released distributed"), ("This project is ", "licensed"), ("This file is ", "licensed")) for verb in verbs.split() for the in ("", "the ", "a ") for tail in ("", " license")))
+        NAMES[f"{_id}-{_v}"] = tuple(
+            x for v in {_v: 0, _v.removesuffix(".0"): 0} for x in (
+                f"{_name}, version {v}", f"{_name} version {v}", f"{_name} v{v}", f"{_id} {v}", f"{_id}v{v}"
+            )
+        )
+for _id, _name in (
+    ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"),
+    ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")
+):
+    NAMES[f"CC-{_id}-4.0"] = (
+        f"CC {_id} 4.0", f"Creative Commons {_name} 4.0", f"Creative Commons {_name} 4.0 International License",
+        f"Creative Commons {_name} 4.0 International"
+    )
+FORMS = (
+    "License: {}",
+    *(
+        f"{subject}{verb} under {the}{{}}{tail}" for subject,
+        verbs in (
+            ("", "Licensed Released Distributed"), ("This work is ", "licensed"), ("This software is ", "licensed released distributed"),
+            ("This project is ", "licensed"), ("This file is ", "licensed")
+        ) for verb in verbs.split() for the in ("", "the ", "a ") for tail in ("", " license")
+    )
+)
 #: First lines of the standard headers of source files.
 HEADERS = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
-    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    (
+        "Apache-2.0",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    (
+        "MPL-2.0",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
 )
 #: (pattern, replacement), applied in order to lower-cased text; patterns that Java and RE2 read alike.
-SPELLINGS = (("licenc", "licens"), (r"\borganis", "organiz"), (r"\brecognis", "recogniz"), (r"\bfavour", "favor"), (r"\bcopyright holders\b", "copyright owners"), (r"\bnon[ -]infringement\b", "noninfringement"))
+SPELLINGS = (
+    ("licenc", "licens"), (r"\borganis", "organiz"), (r"\brecognis", "recogniz"), (r"\bfavour", "favor"),
+    (r"\bcopyright holders\b", "copyright owners"), (r"\bnon[ -]infringement\b", "noninfringement")
+)
 #: Those of two words, which a line break can part; they are applied to joined lines once more.
 PARTED = SPELLINGS[-2:]
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b[ \t]*(?:\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*$"
@@ -75,7 +116,10 @@ def collection() -> list[tuple[str, str]]:
     """(licence, text) of KNOWN, the standard texts, their headers and the usual wordings of notices."""
     files = [(f.name.removesuffix(".txt").removesuffix(".Regents"), f.read_text(encoding="utf-8")) for f in sorted(TEXTS.glob("*.txt"))]
     notices = [(name, form.format(x)) for name, names in NAMES.items() for x in names for form in FORMS]
-    return [*KNOWN, *files, *HEADERS, *notices, *((name, f"SPDX-License-Identifier: {x}") for name in NAMES for x in (name, f"{name}-only", f"{name}-or-later"))]
+    return [
+        *KNOWN, *files, *HEADERS, *notices,
+        *((name, f"SPDX-License-Identifier: {x}") for name in NAMES for x in (name, f"{name}-only", f"{name}-or-later"))
+    ]
 
 
 def _replaced(text: Column, spellings: tuple, hints: tuple[str, ...], first: tuple = ()) -> Column:
@@ -104,8 +148,12 @@ def canonical_lines(text: Column) -> Column:
 
 def known_texts(spark: SparkSession, known=None) -> DataFrame:
     """(text, license): the known texts in canonical form; one shared by two licences keeps the first name."""
-    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(list(collection() if known is None else known), "license string, text string")
-    return rows.select(_joined(canonical_lines(F.col("text"))).alias("text"), "license").where("text <> ''").groupBy("text").agg(F.min("license").alias("license"))
+    rows = known if isinstance(known, DataFrame) else spark.createDataFrame(
+        list(collection() if known is None else known), "license string, text string"
+    )
+    return rows.select(
+        _joined(canonical_lines(F.col("text"))).alias("text"), "license"
+    ).where("text <> ''").groupBy("text").agg(F.min("license").alias("license"))
 
 
 def scan_licenses(docs: DataFrame, known=None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,9 +171,13 @@ def scan_licenses(docs: DataFrame, known=None, *, id_col: str = "doc_id", text_c
     likely = F.filter("lines", lambda x: F.xxhash64(x).isin(*hashes)) if len(hashes) <= MOST_HASHES else F.col("lines")
     each = F.array_distinct(F.transform(likely, lambda x: F.sha2(x, 256)))
     whole = cut(lines.select("doc_id", F.sha2(_joined(F.col("lines")), 256).alias("text_sha256"), each.alias("each")))
-    notices = whole.select("doc_id", F.explode("each").alias("digest")).join(digests, "digest").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    notices = whole.select("doc_id", F.explode("each").alias("digest")).join(digests, "digest").groupBy("doc_id").agg(
+        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices")
+    )
     named = whole.select("doc_id", "text_sha256").join(digests.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
-    return named.join(notices, named["doc_id"].eqNullSafe(notices["doc_id"]), "left").select(named["doc_id"], "text_sha256", "license", F.coalesce("notices", F.lit("")).alias("notices"))
+    return named.join(notices, named["doc_id"].eqNullSafe(notices["doc_id"]), "left").select(
+        named["doc_id"], "text_sha256", "license", F.coalesce("notices", F.lit("")).alias("notices")
+    )
 
 
 def oracle() -> str:

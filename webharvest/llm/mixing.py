@@ -48,12 +48,19 @@ def source_targets(sources: DataFrame, cap: float = 3.0) -> DataFrame:
     last = named.agg(F.count("*")).first()[0] + 1
     places = named.unionByName(sources.where("source is null").withColumn("place", F.lit(last).cast("long")))
     most = F.col("source_size") * F.lit(float(cap))
-    rows = cut(places.select("source", "source_size", (F.pmod(F.col("place") - 1, F.lit(3)) + 1).cast("double").alias("weight"), most.alias("most")))
+    rows = cut(
+        places.select(
+            "source", "source_size", (F.pmod(F.col("place") - 1, F.lit(3)) + 1).cast("double").alias("weight"), most.alias("most")
+        )
+    )
     total = rows.agg(F.sum("source_size")).first()[0]
     level, full = -1.0, -1
     while True:
         cut_off = F.col("most") <= F.col("weight") * F.lit(level)
-        got = rows.agg(F.sum(F.when(cut_off, F.col("most")).otherwise(0.0)), F.sum(F.when(cut_off, 0.0).otherwise(F.col("weight"))), F.count_if(cut_off)).first()
+        got = rows.agg(
+            F.sum(F.when(cut_off, F.col("most")).otherwise(0.0)), F.sum(F.when(cut_off, 0.0).otherwise(F.col("weight"))),
+            F.count_if(cut_off)
+        ).first()
         if got[2] == full or not got[1]:
             break
         full, level = got[2], (float(total or 0) - got[0]) / got[1]
@@ -71,7 +78,12 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float = 3.0, rounds: in
     base = rows.groupBy("key").agg((F.sum(F.col("size") * F.col("n")) / F.sum("n")).alias("scale"))
     guess = F.log(F.greatest(F.col("target") / F.col("source_size"), F.lit(1e-9)))
     start = targets.withColumn("key", _key()).join(base, "key")
-    state = cut(start.select("key", "source", "target", "scale", guess.alias("tilt"), F.lit(-1e3).alias("low"), F.lit(1e3).alias("high"), F.lit(1.0).alias("error")))
+    state = cut(
+        start.select(
+            "key", "source", "target", "scale", guess.alias("tilt"), F.lit(-1e3).alias("low"), F.lit(1e3).alias("high"),
+            F.lit(1.0).alias("error")
+        )
+    )
     for _ in range(rounds):
         z = F.col("size") / F.col("scale")
         raw = F.exp(F.least(F.lit(50.0), F.col("tilt") * z))
@@ -85,10 +97,16 @@ def tilts(histogram: DataFrame, targets: DataFrame, cap: float = 3.0, rounds: in
         newton = F.col("tilt") + F.try_divide(off, F.col("slope"))
         near_low, near_high = F.greatest("low", F.col("tilt") - 8), F.least("high", F.col("tilt") + 8)
         bisect = F.when(off > 0, (F.col("tilt") + near_high) / 2).otherwise((F.col("tilt") + near_low) / 2)
-        step = sums.withColumn("error", F.abs(off) / F.greatest(F.col("target"), F.lit(1.0))).withColumn("low2", low).withColumn("high2", high)
+        step = sums.withColumn(
+            "error", F.abs(off) / F.greatest(F.col("target"), F.lit(1.0))
+        ).withColumn("low2", low).withColumn("high2", high)
         stepped = F.when((newton > F.col("low2")) & (newton < F.col("high2")), newton).otherwise(bisect)
         tilt = F.when(F.col("error") < 1e-6, F.col("tilt")).otherwise(stepped)
-        state = cut(step.select("key", "source", "target", "scale", tilt.alias("tilt"), F.col("low2").alias("low"), F.col("high2").alias("high"), "error"))
+        state = cut(
+            step.select(
+                "key", "source", "target", "scale", tilt.alias("tilt"), F.col("low2").alias("low"), F.col("high2").alias("high"), "error"
+            )
+        )
         worst = state.agg(F.max("error")).first()[0]
         if worst is None or worst < 1e-6:
             return state.select("source", "tilt", "scale")
@@ -123,7 +141,9 @@ def _copies(histogram: DataFrame, solved: DataFrame, cap: float) -> DataFrame:
     return ordered.mapInArrow(carry, "key string, size long, n long, base long, extra long")
 
 
-def mix_sources(docs: DataFrame, *, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(
+    docs: DataFrame, *, cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies), a row for every row of `docs`.
 
     taken: words the mix takes from the row, copies times its size, at most `cap` sizes.  Rows of equal source
@@ -132,7 +152,12 @@ def mix_sources(docs: DataFrame, *, cap: float = 3.0, id_col: str = "doc_id", te
     """
     text = F.col(text_col)
     draw = F.xxhash64(F.col(id_col), F.coalesce(text, F.lit("")))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_size(text).alias("size"), draw.alias("draw")))
+    rows = cut(
+        docs.select(
+            F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), text_size(text).alias("size"),
+            draw.alias("draw")
+        )
+    )
     histogram = cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     targets = cut(source_targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), cap))
     copies = cut(_copies(histogram, tilts(histogram, targets.where("target > 0"), cap), cap))
@@ -148,4 +173,7 @@ def mix_sources(docs: DataFrame, *, cap: float = 3.0, id_col: str = "doc_id", te
     joined = joined.join(targets.select(_key().alias("key"), "source_size", "target"), "key")
     once_more = F.when(F.col("before") + F.col("rank") <= F.col("extra"), 1).otherwise(0)
     taken = (F.coalesce("base", F.lit(0)) + once_more).cast("long")
-    return joined.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (taken * F.col("size")).alias("taken"), taken.alias("copies"))
+    return joined.select(
+        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (taken * F.col("size")).alias("taken"),
+        taken.alias("copies")
+    )

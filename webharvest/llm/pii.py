@@ -48,7 +48,10 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) < 3) | ((F.length(F.ltrim(p, F.lit("0"))) == 3) & (F.ltrim(p, F.lit("0")) <= "255")))
+        return F.forall(
+            F.split(value, r"\."),
+            lambda p: (F.length(F.ltrim(p, F.lit("0"))) < 3) | ((F.length(F.ltrim(p, F.lit("0"))) == 3) & (F.ltrim(p, F.lit("0")) <= "255"))
+        )
     if kind == "card":
         d = _digits(value)
         return F.when(F.length(d).between(12, 19), _luhn(d)).otherwise(F.lit(False))
@@ -72,7 +75,9 @@ def _last_tokens(piece: Column) -> Column:
 
     def found(x: Column) -> Column:
         near = F.array(F.regexp_extract(x["short"], two, 2), F.regexp_extract(x["short"], two, 1))
-        whole = let(F.reverse(x["piece"]), lambda r: F.array(F.reverse(F.regexp_extract(r, back, 1)), F.reverse(F.regexp_extract(r, back, 2))))
+        whole = let(
+            F.reverse(x["piece"]), lambda r: F.array(F.reverse(F.regexp_extract(r, back, 1)), F.reverse(F.regexp_extract(r, back, 2)))
+        )
         return F.transform(F.when(F.regexp_like(x["short"], F.lit(two)), near).otherwise(whole), lambda t: F.lower(t))
 
     return let(F.struct(piece.alias("piece"), short.alias("short")), found)
@@ -97,7 +102,10 @@ def matches(text: Column, pattern: str, kind: str, rank: int, holds: str | None
         return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
 
     def placed(x: Column) -> Column:
-        return F.transform(x["values"], lambda v, i: F.struct(v.alias("value"), F.get(x["pieces"], i).alias("piece"), F.get(x["pieces"], i + 1).alias("after")))
+        return F.transform(
+            x["values"], lambda v,
+            i: F.struct(v.alias("value"), F.get(x["pieces"], i).alias("piece"), F.get(x["pieces"], i + 1).alias("after"))
+        )
 
     pairs = let(F.struct(values.alias("values"), pieces.alias("pieces")), placed)
     none = F.array().cast(SPAN)
@@ -117,7 +125,10 @@ def candidate_spans(text: Column, base: Column) -> Column:
     """Identifier-like tokens apart from the base spans, trimmed of closing punctuation."""
     def trimmed(s: Column) -> Column:
         value = F.regexp_replace(s["value"], r"[.,;:!?)\]}'\"]+$", "")
-        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), (s["start"] + F.length(value)).alias("end"), s["kind"].alias("kind"), value.alias("value"), s["left"].alias("left"), s["second"].alias("second"), s["right"].alias("right"))
+        return F.struct(
+            s["start"].alias("start"), s["rank"].alias("rank"), (s["start"] + F.length(value)).alias("end"), s["kind"].alias("kind"),
+            value.alias("value"), s["left"].alias("left"), s["second"].alias("second"), s["right"].alias("right")
+        )
 
     tokens = F.transform(matches(text, CANDIDATE, FOUND, len(BASE)), trimmed)
     return F.filter(tokens, lambda s: _plausible(s["value"]) & ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
@@ -127,8 +138,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(row_key, doc_id, base, candidates) of every row; row_key is a hash of id and text, so repeated rows share it."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(row_key(id_col, text_col).alias("row_key"), F.col(id_col).alias("doc_id"), text.alias("text"))
-    with_base = rows.withColumn("base", F.when(F.regexp_like("text", F.lit("[0-9@]")), base_spans(F.col("text"))).otherwise(F.array().cast(SPAN)))
-    candidates = F.when(F.regexp_like("text", F.lit("[0-9]")), candidate_spans(F.col("text"), F.col("base"))).otherwise(F.array().cast(SPAN))
+    with_base = rows.withColumn(
+        "base", F.when(F.regexp_like("text", F.lit("[0-9@]")), base_spans(F.col("text"))).otherwise(F.array().cast(SPAN))
+    )
+    candidates = F.when(
+        F.regexp_like("text", F.lit("[0-9]")), candidate_spans(F.col("text"), F.col("base"))
+    ).otherwise(F.array().cast(SPAN))
     return with_base.select("row_key", "doc_id", "base", candidates.alias("candidates"))
 
 
@@ -143,18 +158,28 @@ def contexts(span: Column) -> Column:
     left, second, right = span["left"], span["second"], span["right"]
     pair = F.when(second != "", F.concat(second, F.lit(" "), left, F.lit(" _")))
     around = F.when(right != "", F.concat(left, F.lit(" _ "), right))
-    return F.when(left == "", F.array().cast("array<string>")).otherwise(F.filter(F.array(F.concat(left, F.lit(" _")), pair, around), lambda p: p.isNotNull()))
+    return F.when(left == "", F.array().cast("array<string>")).otherwise(
+        F.filter(F.array(F.concat(left, F.lit(" _")), pair, around), lambda p: p.isNotNull())
+    )
 
 
 def patterns(scanned: DataFrame, rounds: int = 3, smoothing: float = 1.0) -> DataFrame:
     """(pattern, confidence, instances, seeds) of every lexical pattern, after `rounds` of scoring on the pattern-instance graph."""
     spans = scanned.select(F.explode(F.concat("base", "candidates")).alias("s"))
-    edges = spans.select(F.explode(contexts(F.col("s"))).alias("pattern"), F.lower("s.value").alias("value"), (F.col("s.kind") != FOUND).cast("double").alias("seed"))
+    edges = spans.select(
+        F.explode(contexts(F.col("s"))).alias("pattern"), F.lower("s.value").alias("value"),
+        (F.col("s.kind") != FOUND).cast("double").alias("seed")
+    )
     edges = cut(edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
     scores = edges.withColumn("score", F.col("seed"))
     found = None
     for _ in range(rounds):
-        found = cut(scores.groupBy("pattern").agg((F.sum("score") / (F.count("*") + smoothing)).alias("confidence"), F.count("*").alias("instances"), F.sum("seed").alias("seeds")))
+        found = cut(
+            scores.groupBy("pattern").agg(
+                (F.sum("score") / (F.count("*") + smoothing)).alias("confidence"), F.count("*").alias("instances"),
+                F.sum("seed").alias("seeds")
+            )
+        )
         value = edges.where("seed = 0").join(found, "pattern").groupBy("value").agg(F.avg("confidence").alias("score"))
         scores = edges.join(value, "value", "left").withColumn("score", F.greatest("seed", F.coalesce("score", F.lit(0.0))))
     return found
@@ -180,12 +205,17 @@ def find_pii(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     scanned = cut(scan(docs, id_col, text_col))
     extra = discovered(scanned, confidence=confidence, support=support)
-    both = scanned.select("row_key", "doc_id", "base").join(extra, "row_key", "left").withColumn("extra", F.coalesce("extra", F.array().cast(SPAN)))
+    both = scanned.select("row_key", "doc_id", "base").join(extra, "row_key", "left").withColumn(
+        "extra", F.coalesce("extra", F.array().cast(SPAN))
+    )
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return both.select("doc_id", *map(count, BASE), F.size("extra").cast("long").alias("n_found"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"), _text(F.array_sort(F.concat("base", "extra"))).alias("spans"))
+    return both.select(
+        "doc_id", *map(count, BASE), F.size("extra").cast("long").alias("n_found"), F.sha2(_text(F.col("base")), 256).alias("base_sha256"),
+        _text(F.array_sort(F.concat("base", "extra"))).alias("spans")
+    )
 
 
 def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", confidence: float = 0.6, support: int = 3) -> DataFrame:
@@ -206,7 +236,10 @@ def redact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", c
         out = F.when(fresh, F.concat(acc["out"], kept, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate(F.col(marks), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.aggregate(
+        F.col(marks), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step,
+        lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    )
     joined = docs.withColumn(key, row_key(id_col, text_col)).join(spans, key, "left")
     return joined.withColumn(text_col, F.when(F.col(marks).isNull(), text).otherwise(clean)).select(*docs.columns)
 

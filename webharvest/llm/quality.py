@@ -72,10 +72,16 @@ def _forms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         return np.where(bad, -1, np.where(good, 1, 0) if good is not None else 0)
 
     enough = w.counts >= 5
-    s_sym, s_shout, s_exc, s_pipe, s_same, s_run, s_let, s_len, s_end, s_odd = (share(x) for x in (sym >= 2, shout, exc >= 2, pipe >= 1, same, run, letters, length, ends, odd >= 1))
+    s_sym, s_shout, s_exc, s_pipe, s_same, s_run, s_let, s_len, s_end, s_odd = (
+        share(x) for x in (sym >= 2, shout, exc >= 2, pipe >= 1, same, run, letters, length, ends, odd >= 1)
+    )
     votes = np.stack([
-        vote(s_sym > 0.1, s_sym == 0), vote(enough & (s_shout > 0.3), s_shout < 0.1), vote(s_exc > 0.1), vote(s_pipe > 0.1), vote(enough & (s_same > 0.2), s_same < 0.05),
-        vote(s_run > 0.05), vote((s_let < 0.5) & (w.row.size > 0) | (w.counts == 0), s_let > 0.8), vote(s_len > 40, s_len < 20), vote(np.zeros(w.rows, bool), enough & (s_end > 0.01) & (s_end < 0.6)), vote(s_odd > 0.3, s_odd < 0.01),
+        vote(s_sym > 0.1, s_sym == 0), vote(
+            enough & (s_shout > 0.3), s_shout < 0.1
+        ), vote(s_exc > 0.1), vote(s_pipe > 0.1), vote(enough & (s_same > 0.2), s_same < 0.05),
+        vote(s_run > 0.05), vote(
+            (s_let < 0.5) & (w.row.size > 0) | (w.counts == 0), s_let > 0.8
+        ), vote(s_len > 40, s_len < 20), vote(np.zeros(w.rows, bool), enough & (s_end > 0.01) & (s_end < 0.6)), vote(s_odd > 0.3, s_odd < 0.01),
     ]).T.astype(np.int8)
     return w.row, index, votes, w.counts
 
@@ -104,18 +110,27 @@ def _abuse(w: Words, feats: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray])
     a, b = (np.bincount(w.row, x, w.rows) for x in (word, stem))
     both = np.bincount(w.row, word | stem, w.rows)
     share = both / np.maximum(w.counts, 1)
-    votes = np.stack([np.where(a >= 2, -1, np.where(a == 0, 1, 0)), np.where(b >= 2, -1, np.where(b == 0, 1, 0)), np.where(share > 0.004, np.where(both >= 2, -1, 0), 1)]).T
+    votes = np.stack(
+        [
+            np.where(a >= 2, -1, np.where(a == 0, 1, 0)), np.where(b >= 2, -1, np.where(b == 0, 1, 0)),
+            np.where(share > 0.004, np.where(both >= 2, -1, 0), 1)
+        ]
+    ).T
     return word | stem, votes.astype(np.int8)
 
 
-def mine_lexicon(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 8000, support: int = 3, purity: float = 0.95) -> tuple[np.ndarray, np.ndarray]:
+def mine_lexicon(
+    docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 8000, support: int = 3, purity: float = 0.95
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and of word stems that tell toxic labelled texts from others.
 
     From a sample of at most `labelled_rows` labelled rows, near copies counted once; so the entries are as bounded.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", (F.col("toxic") > 0).alias("toxic"), "text")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).join(F.broadcast(chosen), "doc_id").select("doc_id", (F.col("toxic") > 0).alias("toxic"), "text")
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,7 +139,9 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 800
                 g, row, _ = Words(part.column(2)).shingles(5)
                 least = np.full(hi - lo, np.iinfo(np.uint64).max, _U)
                 np.minimum.at(least, row, g)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(least.view(np.int64))], names=["doc_id", "toxic", "text", "family"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(least.view(np.int64))], names=["doc_id", "toxic", "text", "family"]
+                )
 
     sample = cut(rows.mapInArrow(sketch, "doc_id long, toxic boolean, text string, family long"))
     heads = sample.groupBy("family", "toxic").agg(F.min("doc_id").alias("doc_id"))
@@ -141,10 +158,20 @@ def mine_lexicon(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 800
                     pairs = pairs[:, pairs[0] != 0]
                     keys, at = np.unique(pairs[0], return_inverse=True)
                     bad = np.bincount(at, toxic[pairs[1].astype(np.int64)], len(keys)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(bad), pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64))], names=["kind", "feature", "bad", "texts"])
-
-    counted = sample.join(F.broadcast(heads), ["family", "toxic", "doc_id"]).select("toxic", "text").mapInArrow(count, "kind int, feature long, bad long, texts long")
-    strong = counted.groupBy("kind", "feature").agg(F.sum("bad").alias("bad"), F.sum("texts").alias("texts")).where((F.col("bad") >= support) & (F.col("bad") >= purity * F.col("texts")))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(bad),
+                            pa.array(np.bincount(at, minlength=len(keys)).astype(np.int64))
+                        ],
+                        names=["kind", "feature", "bad", "texts"]
+                    )
+
+    counted = sample.join(F.broadcast(heads), ["family", "toxic", "doc_id"]).select("toxic", "text").mapInArrow(
+        count, "kind int, feature long, bad long, texts long"
+    )
+    strong = counted.groupBy("kind", "feature").agg(
+        F.sum("bad").alias("bad"), F.sum("texts").alias("texts")
+    ).where((F.col("bad") >= support) & (F.col("bad") >= purity * F.col("texts")))
     out = []
     for kind in (0, 1):
         found = strong.where(F.col("kind") == kind).select("feature").toPandas()["feature"]
@@ -162,9 +189,14 @@ def votes(docs: DataFrame, lexicon: tuple[np.ndarray, np.ndarray]) -> DataFrame:
                 _, _, form, _ = _forms(part.column(1))
                 w = Words(part.column(1))
                 _, abuse = _abuse(w, _word_features(w), lexicon)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(((v + 1).astype(np.int64) * 3 ** np.arange(v.shape[1])).sum(1)) for v in (form, abuse))], names=["doc_id", "form", "abuse"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(((v + 1).astype(np.int64) * 3 ** np.arange(v.shape[1])).sum(1)) for v in (form, abuse))],
+                    names=["doc_id", "form", "abuse"]
+                )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(make, "doc_id long, form long, abuse long")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).mapInArrow(make, "doc_id long, form long, abuse long")
 
 
 def _logistic(odds: np.ndarray) -> np.ndarray:
@@ -239,7 +271,9 @@ def train(docs: DataFrame, posteriors: DataFrame, lexicon: tuple[np.ndarray, np.
             feats = _word_features(w)
             hit, _ = _abuse(w, feats, lexicon)
             segment = (np.arange(len(w.row)) - w.first[:-1][w.row]) // SEGMENT
-            begin = np.flatnonzero(np.append(True, (w.row[1:] != w.row[:-1]) | (segment[1:] != segment[:-1]))) if len(w.row) else np.zeros(0, int)
+            begin = np.flatnonzero(
+                np.append(True, (w.row[1:] != w.row[:-1]) | (segment[1:] != segment[:-1]))
+            ) if len(w.row) else np.zeros(0, int)
             p = pdf["p_toxic"].to_numpy()[lo:hi]
             for a, b in zip(begin, np.append(begin[1:], len(w.row))):
                 f = feats[:, a:b].ravel()
@@ -247,10 +281,19 @@ def train(docs: DataFrame, posteriors: DataFrame, lexicon: tuple[np.ndarray, np.
                 word_target.append(p[w.row[a]] if hit[a:b].any() else 0.0)
         form = _fit(form_rows, pdf["p_low"].to_numpy(), FORM_DIMS, True, 4, 0.5)
         word = _fit(word_rows, np.array(word_target), WORD_DIMS, False, 3, 0.3)
-        return pd.DataFrame({"form": [form.astype(np.float32).tobytes()], "at": [np.flatnonzero(word).astype(np.int32).tobytes()], "word": [word[word != 0].astype(np.float32).tobytes()], "rows": [len(pdf)]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(posteriors), "doc_id")
-    fits = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))).groupBy("shard").applyInPandas(fit, "form binary, at binary, word binary, rows long").toPandas()
+        return pd.DataFrame(
+            {
+                "form": [form.astype(np.float32).tobytes()], "at": [np.flatnonzero(word).astype(np.int32).tobytes()],
+                "word": [word[word != 0].astype(np.float32).tobytes()], "rows": [len(pdf)]
+            }
+        )
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    ).where("text is not null").join(F.broadcast(posteriors), "doc_id")
+    fits = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS))).groupBy("shard").applyInPandas(
+        fit, "form binary, at binary, word binary, rows long"
+    ).toPandas()
     form, word = np.zeros(FORM_DIMS + 1, np.float32), np.zeros(WORD_DIMS + 1, np.float32)
     for row in fits.sort_values("rows").itertuples():
         share = row.rows / fits["rows"].sum()
@@ -262,13 +305,18 @@ def train(docs: DataFrame, posteriors: DataFrame, lexicon: tuple[np.ndarray, np.
 class Classifier:
     """A trained classifier; `score` and `keep` apply it to any documents."""
 
-    def __init__(self, form: np.ndarray, word: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], models: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(
+        self, form: np.ndarray, word: np.ndarray, lexicon: tuple[np.ndarray, np.ndarray], models: dict[str, tuple[np.ndarray, np.ndarray]]
+    ):
         self.form, self.word, self.lexicon, self.models = form, word, lexicon, models
         self.toxic = bool(len(lexicon[0]) or len(lexicon[1]))
 
     def accuracies(self) -> dict[str, tuple[float, float]]:
         """Labeller -> estimated share of (bad, good) texts that it condemns."""
-        return {f"{kind}.{name}": (float(t[0, k, 0]), float(t[1, k, 0])) for kind, names in (("form", FORM), ("abuse", ABUSE)) for k, name in enumerate(names) for t in (self.models[kind][1],)}
+        return {
+            f"{kind}.{name}": (float(t[0, k, 0]), float(t[1, k, 0])) for kind, names in (("form", FORM), ("abuse", ABUSE)) for k,
+            name in enumerate(names) for t in (self.models[kind][1],)
+        }
 
     def judge(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(p_low, p_toxic) of each text; a text without words is of low quality and not toxic."""
@@ -298,9 +346,14 @@ class Classifier:
                 for lo, hi in steps(batch.column(1)):
                     part = batch.slice(lo, hi - lo)
                     low, toxic = judge(part.column(1))
-                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(low), pa.array(toxic), pa.array((low <= threshold) & (toxic <= threshold))], names=["doc_id", "p_low", "p_toxic", "keep"])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0), pa.array(low), pa.array(toxic), pa.array((low <= threshold) & (toxic <= threshold))],
+                        names=["doc_id", "p_low", "p_toxic", "keep"]
+                    )
 
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, p_low double, p_toxic double, keep boolean")
+        return docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        ).mapInArrow(run, "doc_id long, p_low double, p_toxic double, keep boolean")
 
     def keep(self, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         """The rows of `docs` that are neither of low quality nor toxic, with all their columns."""
@@ -332,6 +385,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, *, train_rows: int = 8000
         bad, *models[kind] = label_model(seen[kind].to_numpy(), seen["count"].to_numpy(), len(names))
         posterior[kind] = cast.sparkSession.createDataFrame([(int(a), float(b)) for a, b in zip(seen[kind], bad)], f"{kind} long, p double")
     sample = cast.where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).dropDuplicates(["doc_id"])
-    sample = sample.join(F.broadcast(posterior["form"].withColumnRenamed("p", "p_low")), "form").join(F.broadcast(posterior["abuse"].withColumnRenamed("p", "p_toxic")), "abuse").select("doc_id", "p_low", "p_toxic")
+    sample = sample.join(F.broadcast(posterior["form"].withColumnRenamed("p", "p_low")), "form").join(
+        F.broadcast(posterior["abuse"].withColumnRenamed("p", "p_toxic")), "abuse"
+    ).select("doc_id", "p_low", "p_toxic")
     form, word = train(docs, cut(sample), lexicon)
     return Classifier(form, word, lexicon, models)

@@ -51,7 +51,9 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
-    extra = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role FROM range(2)").withColumn("text", F.lit(probe))
+    extra = spark.sql(
+        "SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role FROM range(2)"
+    ).withColumn("text", F.lit(probe))
     return read_back(format_chats(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
 
 
@@ -81,7 +83,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_quality, op3_jaccard_join, op4_licenses, op5_fingerprints, op6_chat_format, op7_token_counts, op8_pii, op9_mixing, op10_url_filters)}
+    return {
+        f.__name__: f for f in (
+            op1_decontaminate, op2_quality, op3_jaccard_join, op4_licenses, op5_fingerprints, op6_chat_format, op7_token_counts, op8_pii,
+            op9_mixing, op10_url_filters
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:

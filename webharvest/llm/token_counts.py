@@ -154,7 +154,9 @@ class TokenTree:
         self.encoded_chars += at - begin
 
 
-def token_counts(docs: DataFrame, *, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits") -> DataFrame:
+def token_counts(
+    docs: DataFrame, *, ranks: str = RANKS, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits"
+) -> DataFrame:
     """(doc_id, n_tokens, edited_tokens, n_chars, edited_chars, encoded_chars) of every row of `docs` (doc_id, text, edits).
 
     edits: array of struct(start, stop, text) in code points of the text, not overlapping, made from the last
@@ -175,7 +177,12 @@ def token_counts(docs: DataFrame, *, ranks: str = RANKS, id_col: str = "doc_id",
                 for e in sorted((e for e in batch.column(2)[k].as_py() or [] if e and None not in e.values()), key=lambda e: -e["start"]):
                     tree.edit(e["start"], e["stop"], e["text"])
                 out.append((before, tree.total, len(text), len(tree.text), tree.encoded_chars))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5))], names=names)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(edits_col).cast(EDITS).alias("edits"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 5))], names=names
+            )
+
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.col(edits_col).cast(EDITS).alias("edits")
+    )
     return rows.mapInArrow(run, "doc_id long, n_tokens long, edited_tokens long, n_chars long, edited_chars long, encoded_chars long")

@@ -17,7 +17,10 @@ from ._tables import cut
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (action, host, path prefix)
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (
+    ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/")
+)
 #: Suffixes of two labels under which domains are registered; any other suffix is the last label.
 DOUBLE = "|".join(s.replace(".", r"\.") for s in TWO_LABELS)
 #: Hosts without a registered domain: they are their own, under an empty suffix, so that no host shares their outcomes.
@@ -59,7 +62,9 @@ def suffix_of(domain: Column) -> Column:
 def noisy_page(html: Column, per_char: float = 0.002) -> Column:
     """The default outcome of a page, 1 bad: symbol runs, doubled marks and table bars per character of its text; null pages have none."""
     text = F.regexp_replace(html, MARKUP, "")
-    return F.when(html.isNotNull(), let(text, lambda t: (F.regexp_count(t, F.lit(NOISE)).cast("double") > F.length(t) * F.lit(per_char)).cast("long")))
+    return F.when(
+        html.isNotNull(), let(text, lambda t: (F.regexp_count(t, F.lit(NOISE)).cast("double") > F.length(t) * F.lit(per_char)).cast("long"))
+    )
 
 
 def rule_for(host: Column, path: Column, rules=RULES) -> Column:
@@ -101,7 +106,9 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("bad").alias("db")))
     suffixes = cut(domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("db").alias("sb")))
     # two numbers a level
-    (s_k, s_mean), (d_k, _), (h_k, _) = (df.agg(_strength(n, b).alias("x")).first()["x"] for df, n, b in ((suffixes, "sn", "sb"), (domains, "dn", "db"), (hosts, "n", "bad")))
+    (s_k, s_mean), (d_k, _), (h_k, _) = (
+        df.agg(_strength(n, b).alias("x")).first()["x"] for df, n, b in ((suffixes, "sn", "sb"), (domains, "dn", "db"), (hosts, "n", "bad"))
+    )
     chain = hosts.join(domains, ["suffix", "domain"]).join(suffixes, "suffix")
     chain = chain.withColumn("s_rate", (F.col("sb") + s_k * s_mean) / (F.col("sn") + s_k))
     chain = chain.withColumn("d_rate", (F.col("db") + d_k * F.col("s_rate")) / (F.col("dn") + d_k))
@@ -110,14 +117,18 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     return chain.select("host", "n", "bad", "rate", (F.col("rate") - 1.645 * deviation).alias("lower"))
 
 
-def judge_urls(pages: DataFrame, *, outcome: Column | None = None, rules=RULES, limit: float = 0.2, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(
+    pages: DataFrame, *, outcome: Column | None = None, rules=RULES, limit: float = 0.2, id_col: str = "page_id", url_col: str = "url"
+) -> DataFrame:
     """(page_id, host, path, rule, verdict, rate, lower): allow or block for every row of `pages`.
 
     A null url, or one without ://, has an empty host and path and is judged by the reputation of the empty
     host.  Repeated rows are judged alike; further columns are ignored.
     """
     outcome = noisy_page(F.col("html")) if outcome is None else outcome
-    rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), outcome.alias("bad"))
+    rows = pages.select(
+        F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"), outcome.alias("bad")
+    )
     rows = cut(rows)
     known = host_reputation(rows.select("host", "bad"))
     judged = rows.drop("bad").join(known, "host").withColumn("choice", rule_for(F.col("host"), F.col("path"), rules))
@@ -128,7 +139,10 @@ def judge_urls(pages: DataFrame, *, outcome: Column | None = None, rules=RULES,
 def oracle(limit: float = 0.2) -> str:
     """DuckDB SQL of judge_urls(pages) with the default outcome and rules."""
     double = DOUBLE
-    rules = " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{0}}".replace("{0}", f"'{a}|{h}{p}'") for a, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+    rules = " ".join(
+        f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{0}}".replace("{0}", f"'{a}|{h}{p}'") for a, h,
+        p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    )
 
     def level(table: str, n: str, b: str, name: str) -> str:
         mean = f"(sum({b}) / sum({n}))"
