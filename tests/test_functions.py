@@ -46,7 +46,11 @@ def test_patterns():
 
 
 def test_dates(spark):
-    cases = {"1996-1-1 00:00": NOW, "刚刚": NOW - 3, "15分钟前": NOW - 900, "昨天 10:00": NOW - 86400 + 36000, "2天前": NOW - 2 * 86400, "": None, "nonsense": None, "1月2日": NOW + 86400, "12-3-4": 1078272000 + 86400 * 0 + 254188800, "820454400": NOW, "Jan 01 1996": NOW, "1996-01-01T08:00:00+08:00": NOW}
+    cases = {
+        "1996-1-1 00:00": NOW, "刚刚": NOW - 3, "15分钟前": NOW - 900, "昨天 10:00": NOW - 86400 + 36000, "2天前": NOW - 2 * 86400, "": None,
+        "nonsense": None, "1月2日": NOW + 86400, "12-3-4": 1078272000 + 86400 * 0 + 254188800, "820454400": NOW, "Jan 01 1996": NOW,
+        "1996-01-01T08:00:00+08:00": NOW
+    }
     for text, want in cases.items():
         got = one(spark, times.parse_date(F.lit(text), NOW))
         if text == "12-3-4":
@@ -74,7 +78,9 @@ PAGE = """<html><head><title>River rises - Example</title><meta property="og:tit
 
 def test_page_extraction(spark):
     url = "http://www.example.com/news/1.html"
-    pages = spark.createDataFrame([(1, url, PAGE), (2, url, None)], "page_id long, url string, html string").withColumn("nodes", nodes.html_nodes("html"))
+    pages = spark.createDataFrame(
+        [(1, url, PAGE), (2, url, None)], "page_id long, url string, html string"
+    ).withColumn("nodes", nodes.html_nodes("html"))
     n, at = F.col("nodes"), F.col("url")
     top = F.get(F.filter(n, lambda x: x["tag"] == "article"), 0)["order"]
     got, empty = pages.select(
@@ -89,8 +95,13 @@ def test_page_extraction(spark):
     same_host, same_domain = H.link_class(F.col("link"), F.col("page_url"))
     rows = {r.link: (r.title, r.h, r.d) for r in links.select("link", "title", same_host.alias("h"), same_domain.alias("d")).collect()}
     home = "http://www.example.com"
-    assert rows == {home + "/list": ("All", True, True), home + "/a": ("only", True, True), home + "/b": ("links", True, True), "http://blog.example.com/": ("Blog", False, True), "http://other.org/x": ("Out", False, False)}
-    assert {(r.link, r.title) for r in H.subdomain_sites(links).where("not link like '%www%'").collect()} == {("http://blog.example.com", "Blog")}
+    assert rows == {
+        home + "/list": ("All", True, True), home + "/a": ("only", True, True), home + "/b": ("links", True, True),
+        "http://blog.example.com/": ("Blog", False, True), "http://other.org/x": ("Out", False, False)
+    }
+    assert {
+        (r.link, r.title) for r in H.subdomain_sites(links).where("not link like '%www%'").collect()
+    } == {("http://blog.example.com", "Blog")}
 
 
 def test_authors_and_list_links(spark):
@@ -98,7 +109,10 @@ def test_authors_and_list_links(spark):
     rows = [(1, marked), (2, "<p> 来源：Daily</p>"), (3, "<p>none</p>"), (4, None)]
     pages = spark.createDataFrame(rows, "page_id long, html string").withColumn("nodes", nodes.html_nodes("html"))
     n, at = F.col("nodes"), F.lit("http://www.example.com/")
-    got = pages.select("page_id", H.item_author(H.authors(n, F.col("html"), at)).alias("author"), F.transform(H.list_links(n, at), lambda x: x["url"]).alias("links")).orderBy("page_id").collect()
+    got = pages.select(
+        "page_id", H.item_author(H.authors(n, F.col("html"), at)).alias("author"),
+        F.transform(H.list_links(n, at), lambda x: x["url"]).alias("links")
+    ).orderBy("page_id").collect()
     assert [r.author for r in got] == ["Al", "Daily", None, None]
     assert [r.links for r in got] == [["/plain"], [], [], []]
 
@@ -106,7 +120,9 @@ def test_authors_and_list_links(spark):
 def test_json_rules(spark):
     text = '{"key1":["value11","value12","value13"],"key2":[{"key21":"value211","key22":"value212"},{"key21":"value221","key22":"value222"}],"key3":[{"key31":[{"key311":"value311","key312":"value312"}]}]}'
     df = spark.createDataFrame([(text,), ("cb(" + text + ")",), (None,)], "t string")
-    assert [tuple(r) for r in J.json_rule(df, "t", {"filter": "$.key2", "item": {"a": "$.key21", "b": "$.key22"}}).select("a", "b").collect()] == [("value211", "value212"), ("value221", "value222")] * 2
+    assert [
+        tuple(r) for r in J.json_rule(df, "t", {"filter": "$.key2", "item": {"a": "$.key21", "b": "$.key22"}}).select("a", "b").collect()
+    ] == [("value211", "value212"), ("value221", "value222")] * 2
     assert [r["value"] for r in J.json_rule(df, "t", {"filter": "key1.-1"}).collect()] == ["value13"] * 2
 
 
@@ -118,27 +134,41 @@ def test_where_keeps_nulls(spark):
 
 
 def test_route_slices_cover_tasks(spark):
-    tasks = spark.range(1, 1001).select(F.col("id").alias("uuid"), F.lit("m").alias("mode"), F.lit("6").alias("frequency"), F.lit(1).alias("status"), F.lit(0).cast("long").alias("expire"), F.lit(0).cast("long").alias("plantime"))
-    slices = spark.createDataFrame([("m", "6", o, 100) for o in range(0, 1000, 100)], "mode string, frequency string, offset long, count long")
+    tasks = spark.range(1, 1001).select(
+        F.col("id").alias("uuid"), F.lit("m").alias("mode"), F.lit("6").alias("frequency"), F.lit(1).alias("status"),
+        F.lit(0).cast("long").alias("expire"), F.lit(0).cast("long").alias("plantime")
+    )
+    slices = spark.createDataFrame(
+        [("m", "6", o, 100) for o in range(0, 1000, 100)], "mode string, frequency string, offset long, count long"
+    )
     got = [r.uuid for r in P.batch_slices(tasks, slices, NOW).collect()]
     assert sorted(got) == list(range(1, 1001))
 
 
 def test_first_seen_and_upsert(spark):
     rows = spark.createDataFrame([("a", 3), ("a", 1), ("b", 2)], "unid string, ctime long")
-    out = {(r.unid, r.ctime): (r.inserted, r.seen_ctime) for r in D.insert_if_absent(rows, spark.createDataFrame([("b", 0)], "unid string, ctime long")).collect()}
+    out = {
+        (r.unid, r.ctime): (r.inserted, r.seen_ctime) for r in D.insert_if_absent(
+            rows, spark.createDataFrame([("b", 0)], "unid string, ctime long")
+        ).collect()
+    }
     assert out == {("a", 1): (True, 1), ("a", 3): (False, 1), ("b", 2): (False, 0)}
     pages = spark.createDataFrame([(1, 2, "y"), (1, 1, "x"), (2, 1, None)], "rid int, page int, content string")
     assert {r.rid: r.content for r in A.join_pages(pages).collect()} == {1: "x\r\n\r\ny", 2: ""}
 
 
 def test_first_seen_of_a_hot_key(spark):
-    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.concat(F.lit("k"), F.col("id"))).otherwise("hot").alias("unid"), (4000 - F.col("id")).alias("ctime"), F.create_map(F.lit("a"), F.lit(1)).alias("m"))
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 0, F.concat(F.lit("k"), F.col("id"))).otherwise("hot").alias("unid"), (4000 - F.col("id")).alias("ctime"),
+        F.create_map(F.lit("a"), F.lit(1)).alias("m")
+    )
     twins = rows.unionByName(rows)
     out = D.insert_if_absent(twins, None)
     assert out.columns == [*rows.columns, "inserted", "seen_ctime"] and out.count() == 8000
     assert out.where("inserted").count() == 1001
-    hot = out.where("unid = 'hot'").agg(F.count_if("inserted").alias("n"), F.min("seen_ctime").alias("a"), F.max("seen_ctime").alias("b")).first()
+    hot = out.where("unid = 'hot'").agg(
+        F.count_if("inserted").alias("n"), F.min("seen_ctime").alias("a"), F.max("seen_ctime").alias("b")
+    ).first()
     assert tuple(hot) == (1, 1, 1)
     nulls = D.insert_if_absent(spark.createDataFrame([(None, 1), (None, 2)], "unid string, ctime long"), None)
     assert sorted((r.ctime, r.inserted) for r in nulls.collect()) == [(1, True), (2, False)]
@@ -147,11 +177,16 @@ def test_first_seen_of_a_hot_key(spark):
 def test_ids_by_a_string_key(spark):
     rows = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("k"))
     got = [r.k for r in Q.assign_ids(rows, ["k"], rows=60).orderBy("uuid").collect()]
-    assert got == sorted(got) and Q.assign_ids(rows, ["k"], rows=60).agg(F.min("uuid"), F.max("uuid"), F.count_distinct("uuid")).first()[:] == (1, 500, 500)
+    assert got == sorted(got) and Q.assign_ids(rows, ["k"], rows=60).agg(
+        F.min("uuid"), F.max("uuid"), F.count_distinct("uuid")
+    ).first()[:] == (1, 500, 500)
 
 
 def test_slices_over_many_ranges(spark):
-    tasks = spark.range(1, 1001).select(F.col("id").alias("uuid"), F.lit("m").alias("mode"), F.lit("6").alias("frequency"), F.lit(1).alias("status"), F.lit(0).cast("long").alias("expire"), F.lit(0).cast("long").alias("plantime"))
+    tasks = spark.range(1, 1001).select(
+        F.col("id").alias("uuid"), F.lit("m").alias("mode"), F.lit("6").alias("frequency"), F.lit(1).alias("status"),
+        F.lit(0).cast("long").alias("expire"), F.lit(0).cast("long").alias("plantime")
+    )
     slices = spark.createDataFrame([("m", "6", 150, 100), ("m", "6", 250, 30)], "mode string, frequency string, offset long, count long")
     assert sorted(r.uuid for r in P.batch_slices(tasks, slices, NOW, rows=90).collect()) == list(range(151, 281))
 

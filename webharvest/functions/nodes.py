@@ -33,9 +33,17 @@ NODES = T.ArrayType(
     )
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCK = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
-STOPS = {"li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead"}, "option": {"select"}, "dt": {"dl"}, "dd": {"dl"}}
+BLOCK = frozenset(
+    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+)
+CLOSES = {
+    "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"},
+    "dd": {"dt", "dd"}
+}
+STOPS = {
+    "li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead"}, "option": {"select"}, "dt": {"dl"},
+    "dd": {"dl"}
+}
 #: Tags whose text can count for a content node.
 CANDIDATES = ("p", "pre", "td")
 # Ids, classes and names of page furniture, and of social and caption boxes.
@@ -79,8 +87,17 @@ class _Builder(HTMLParser):
         values = {k: v if v is not None else "" for k, v in reversed(attrs)}
         parent = self.open[-1] if self.open else -1
         up = self.nodes[parent] if parent >= 0 else None
-        bad = bool(up and up["junk"]) or tag in ("script", "style", "noscript") or (tag not in ("html", "body", "article") and any(self.junk.search(values.get(a, "")) for a in ("id", "class", "name") if values.get(a)))
-        self.nodes.append({"order": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open), "tag": tag, "attrs": values, "junk": bad, "start": len(self.pieces), "stop": len(self.pieces)})
+        bad = bool(up and up["junk"]) or tag in ("script", "style", "noscript") or (
+            tag not in ("html", "body", "article") and any(
+                self.junk.search(values.get(a, "")) for a in ("id", "class", "name") if values.get(a)
+            )
+        )
+        self.nodes.append(
+            {
+                "order": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open), "tag": tag, "attrs": values,
+                "junk": bad, "start": len(self.pieces), "stop": len(self.pieces)
+            }
+        )
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
         elif tag == "br" and self.open:
@@ -128,7 +145,9 @@ def parse(html: str | None, extra_junk: str = "") -> list[dict]:
         before = earlier[-3:] if n["tag"] in CANDIDATES else []
         if n["tag"] == "p" and not n["junk"]:
             earlier.append(n["order"])
-        out.append({**n, "text": " ".join("".join(t for _, t in keep).split()), "links": 0, "link_words": 0, "link_chars": 0, "before": before})
+        out.append(
+            {**n, "text": " ".join("".join(t for _, t in keep).split()), "links": 0, "link_words": 0, "link_chars": 0, "before": before}
+        )
     for link in out:
         if link["tag"] == "a":
             words, chars, up = len(link["text"].split()), len(link["text"]), link["parent"]
@@ -174,7 +193,9 @@ def attr(node: Column, name: str) -> Column:
 
 # ---- selectors ---------------------------------------------------------------------------------------------
 
-_CSS_PART = re.compile(r"(?P<tag>\*|[a-zA-Z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$~]?=)\s*['\"]?(?P<val>[^'\"\]]*)['\"]?)?\]|:eq\((?P<eq>-?\d+)\)|:(?P<first>first|last)")
+_CSS_PART = re.compile(
+    r"(?P<tag>\*|[a-zA-Z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$~]?=)\s*['\"]?(?P<val>[^'\"\]]*)['\"]?)?\]|:eq\((?P<eq>-?\d+)\)|:(?P<first>first|last)"
+)
 
 
 def compile_css(selector: str) -> list[list[tuple[str, list, int | None]]]:
@@ -274,15 +295,21 @@ def select(nodes: Column, steps: list, per_parent: bool) -> Column:
                 return F.exists(start, lambda c: c["order"] == n["parent"]) & _passes(n, tests)
             return F.exists(start, lambda c: (n["order"] > c["order"]) & (n["order"] <= c["last"])) & _passes(n, tests)
 
-        return F.transform(F.filter(nodes, test), lambda n: F.struct(n["order"].alias("order"), n["last"].alias("last"), n["parent"].alias("parent")))
+        return F.transform(
+            F.filter(nodes, test), lambda n: F.struct(n["order"].alias("order"), n["last"].alias("last"), n["parent"].alias("parent"))
+        )
 
     def among(hits: Column, index: int) -> Column:
         if not per_parent:
             at = F.lit(index) if index >= 0 else F.size(hits) + index
             return F.filter(hits, lambda _, i: i == at)
         if index >= 0:
-            return F.filter(hits, lambda h: F.size(F.filter(hits, lambda o: (o["parent"] == h["parent"]) & (o["order"] < h["order"]))) == index)
-        return F.filter(hits, lambda h: F.size(F.filter(hits, lambda o: (o["parent"] == h["parent"]) & (o["order"] > h["order"]))) == -index - 1)
+            return F.filter(
+                hits, lambda h: F.size(F.filter(hits, lambda o: (o["parent"] == h["parent"]) & (o["order"] < h["order"]))) == index
+            )
+        return F.filter(
+            hits, lambda h: F.size(F.filter(hits, lambda o: (o["parent"] == h["parent"]) & (o["order"] > h["order"]))) == -index - 1
+        )
 
     def follow(start: Column | None, rest: list) -> Column:
         if not rest:

@@ -83,7 +83,9 @@ def stopwords_by_language(text: Column, lang: Column, lists: dict[str, Sequence[
 
 def stopword_lists(table: DataFrame, most: int = 20_000) -> dict[str, list[str]]:
     """The lists of a table (lang, word), for the `lists` parameters; a table of more than `most` words is refused, none is cut."""
-    rows = table.where("lang is not null and word <> ''").select(F.lower(F.substring("lang", 1, 2)).alias("lang"), F.lower("word").alias("word")).distinct()
+    rows = table.where("lang is not null and word <> ''").select(
+        F.lower(F.substring("lang", 1, 2)).alias("lang"), F.lower("word").alias("word")
+    ).distinct()
     found = rows.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("words"))
     if (size := rows.count()) > most:
         raise ValueError(f"{size} stopwords are over the limit of {most}")

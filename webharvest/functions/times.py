@@ -33,14 +33,23 @@ def _stamp(x: Column) -> Column:
     """Epoch seconds of struct(y, m, d, clock, zone): digits, a clock text h:m[:s] or "", a zone text +hh:mm or ""; NULL if invalid."""
     year = F.when(F.length(x["y"]) == 2, F.concat(F.when(x["y"] >= "70", "19").otherwise("20"), x["y"])).otherwise(x["y"])
     parts = F.split(x["clock"], ":")
-    time = F.when(x["clock"] == "", "00:00:00").otherwise(F.concat_ws(":", F.lpad(parts[0], 2, "0"), parts[1], F.coalesce(F.lpad(F.get(parts, 2), 2, "0"), F.lit("00"))))
+    time = F.when(x["clock"] == "", "00:00:00").otherwise(
+        F.concat_ws(":", F.lpad(parts[0], 2, "0"), parts[1], F.coalesce(F.lpad(F.get(parts, 2), 2, "0"), F.lit("00")))
+    )
     text = F.concat(year, F.lit("-"), F.lpad(x["m"], 2, "0"), F.lit("-"), F.lpad(x["d"], 2, "0"), F.lit(" "), time, x["zone"])
-    return let(text, lambda v: F.unix_timestamp(F.try_to_timestamp(v, F.when(F.length(v) == 19, "yyyy-MM-dd HH:mm:ss").otherwise("yyyy-MM-dd HH:mm:ssXXX"))))
+    return let(
+        text,
+        lambda v: F.unix_timestamp(
+            F.try_to_timestamp(v, F.when(F.length(v) == 19, "yyyy-MM-dd HH:mm:ss").otherwise("yyyy-MM-dd HH:mm:ssXXX"))
+        )
+    )
 
 
 def _zone(text: Column) -> Column:
     z = F.regexp_extract(text, r":\d{2}\s*(Z|[+-]\d{2}:?\d{2})\b", 1)
-    return F.when((z != "") & (z != "Z") & ~F.contains(z, F.lit(":")), F.concat(F.substring(z, 1, 3), F.lit(":"), F.substring(z, 4, 2))).otherwise(z)
+    return F.when(
+        (z != "") & (z != "Z") & ~F.contains(z, F.lit(":")), F.concat(F.substring(z, 1, 3), F.lit(":"), F.substring(z, 4, 2))
+    ).otherwise(z)
 
 
 def _relative(text: Column, now: Column) -> Column:
@@ -48,9 +57,14 @@ def _relative(text: Column, now: Column) -> Column:
     n = F.regexp_extract(text, r"(\d+)\s*(?:秒|分钟|小时|天|周|个?月|年)前", 1).try_cast("long")
     clock = F.regexp_extract(text, rf"({_TIME})", 1)
     parts = F.split(clock, ":")
-    seconds = F.when(clock == "", 0).otherwise(parts[0].try_cast("long") * 3600 + F.get(parts, 1).try_cast("long") * 60 + F.coalesce(F.get(parts, 2).try_cast("long"), F.lit(0)))
+    seconds = F.when(clock == "", 0).otherwise(
+        parts[0].try_cast("long") * 3600 + F.get(parts, 1).try_cast("long") * 60 + F.coalesce(F.get(parts, 2).try_cast("long"), F.lit(0))
+    )
     out = F.when(F.contains(text, F.lit("刚刚")), now - 3)
-    for word, size, at_midnight in (("秒前", 1, False), ("分钟前", 60, False), ("小时前", 3600, False), ("天前", 86400, True), ("周前", 7 * 86400, True), ("月前", 30 * 86400, True), ("年前", 365 * 86400, True)):
+    for word, size, at_midnight in (
+        ("秒前", 1, False), ("分钟前", 60, False), ("小时前", 3600, False), ("天前", 86400, True), ("周前", 7 * 86400, True), ("月前", 30 * 86400, True),
+        ("年前", 365 * 86400, True)
+    ):
         out = out.when(F.contains(text, F.lit(word)), (midnight if at_midnight else now) - n * size)
     for word, days in (("今天", 0), ("昨天", 1), ("前天", 2)):
         out = out.when(F.contains(text, F.lit(word)), midnight - days * 86400 + seconds)

@@ -55,7 +55,9 @@ def domain(url: Column) -> Column:
     double = "|".join(t.replace(".", r"\.") for t in TWO_LABELS)
     found = F.regexp_extract(h, rf"([^.]+\.(?:{double}))$", 1)
     plain = F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)
-    return F.when(F.regexp_like(h, F.lit(r"^[0-9.]+$")) | F.regexp_like(h, F.lit(rf"^(?:{double})$")), F.lit(None)).when(found != "", found).when(plain != "", plain)
+    return F.when(
+        F.regexp_like(h, F.lit(r"^[0-9.]+$")) | F.regexp_like(h, F.lit(rf"^(?:{double})$")), F.lit(None)
+    ).when(found != "", found).when(plain != "", plain)
 
 
 def subdomain(url: Column) -> Column:
@@ -74,7 +76,10 @@ def typeinfo(url: Column) -> Column:
 def _pairs(query: Column) -> Column:
     """Query parts as struct(k, v, i), blank values and parts without = dropped."""
     parts = F.filter(F.split(query, "&"), lambda p: F.regexp_like(p, F.lit("^[^=]+=.")))
-    return F.transform(parts, lambda p, i: F.struct(F.regexp_extract(p, "^([^=]*)=", 1).alias("k"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("v"), i.alias("i")))
+    return F.transform(
+        parts, lambda p,
+        i: F.struct(F.regexp_extract(p, "^([^=]*)=", 1).alias("k"), F.regexp_extract(p, "^[^=]*=(.*)$", 1).alias("v"), i.alias("i"))
+    )
 
 
 def _decoded(value: Column) -> Column:
@@ -218,14 +223,18 @@ def from_any_domain(url: Column, domains: Sequence[str]) -> Column:
 
 def quote_non_ascii(url: Column) -> Column:
     """Percent-quote the UTF-8 bytes of non-ASCII characters only."""
-    return F.array_join(F.transform(F.split(url, ""), lambda c: F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), F.url_encode(c)).otherwise(c)), "")
+    return F.array_join(
+        F.transform(F.split(url, ""), lambda c: F.when(F.regexp_like(c, F.lit(r"[^\x00-\x7F]")), F.url_encode(c)).otherwise(c)), ""
+    )
 
 
 def date_from_url(url: Column) -> Column:
     """Epoch seconds of the first 20xx-m-d, else of the first 20xxMMDD; NULL if there is no valid one."""
     dashed = F.regexp_extract(url, r"(20[012]\d-\d{1,2}-\d{1,2})", 1)
     packed = F.regexp_extract(url, r"(20[012]\d[01]\d[0123]\d)", 1)
-    return F.coalesce(F.unix_timestamp(F.try_to_timestamp(dashed, F.lit("yyyy-M-d"))), F.unix_timestamp(F.try_to_timestamp(packed, F.lit("yyyyMMdd"))))
+    return F.coalesce(
+        F.unix_timestamp(F.try_to_timestamp(dashed, F.lit("yyyy-M-d"))), F.unix_timestamp(F.try_to_timestamp(packed, F.lit("yyyyMMdd")))
+    )
 
 
 def escaped_fragment(url: Column) -> Column:

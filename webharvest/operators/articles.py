@@ -23,7 +23,9 @@ def article_rows(items: DataFrame, now: int, leftovers: Sequence[str] = ()) -> D
     info = typeinfo(F.col("url"))
     result = F.create_map(*[x for c in leftovers for x in (F.lit(c), F.col(c).cast("string"))]) if leftovers else F.lit(None).cast("map<string,string>")
     return items.select(
-        "acid", "url", "title", F.least(F.col("pubtime"), F.lit(now).cast("long")).alias("pubtime"), info["domain"].alias("domain"), info["subdomain"].alias("subdomain"),
+        "acid", "url", "title", F.least(
+            F.col("pubtime"), F.lit(now).cast("long")
+        ).alias("pubtime"), info["domain"].alias("domain"), info["subdomain"].alias("subdomain"),
         F.lit(INIT).alias("status"), result.alias("result"), crawl_info(items).alias("crawlinfo"), F.lit(now).cast("long").alias("ctime"), F.lit(0).cast("long").alias("utime"),
     )
 
@@ -40,19 +42,34 @@ def merge_detail(articles: DataFrame, details: DataFrame, now: int) -> DataFrame
     """
     names = ("title", "author", "channel", "pubtime", "content")
     joined = articles.join(details.select("rid", F.lit(True).alias("_has"), *[F.col(c).alias(f"_{c}") for c in names]), "rid", "left")
-    title, author, content = F.coalesce(_filled("title"), _filled("_title")), F.coalesce(_filled("_author"), _filled("author")), F.coalesce(_filled("_content"), _filled("content"))
+    title, author, content = F.coalesce(_filled("title"), _filled("_title")), F.coalesce(_filled("_author"), _filled("author")), F.coalesce(
+        _filled("_content"), _filled("content")
+    )
     given = F.coalesce(F.nullif("_pubtime", F.lit(0)), F.nullif("pubtime", F.lit(0)))
     whole = title.isNotNull() & author.isNotNull() & content.isNotNull() & given.isNotNull()
-    new = {"title": title, "author": author, "channel": F.coalesce(_filled("_channel"), _filled("channel")), "content": content, "pubtime": F.coalesce(given, F.lit(now)), "status": F.when(whole, PARSED).otherwise(ACTIVE), "utime": F.lit(now)}
-    return joined.withColumns({c: F.when(F.col("_has"), v).otherwise(F.col(c)).cast(articles.schema[c].dataType) for c, v in new.items()}).select(*articles.columns)
+    new = {
+        "title": title, "author": author, "channel": F.coalesce(_filled("_channel"), _filled("channel")), "content": content,
+        "pubtime": F.coalesce(given, F.lit(now)), "status": F.when(whole, PARSED).otherwise(ACTIVE), "utime": F.lit(now)
+    }
+    return joined.withColumns(
+        {c: F.when(F.col("_has"), v).otherwise(F.col(c)).cast(articles.schema[c].dataType) for c, v in new.items()}
+    ).select(*articles.columns)
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str = "acid", newest: str = "utime") -> DataFrame:
     """stored with incoming rows: of several incoming rows of a key the newest counts; its non-NULL fields replace stored ones, ctime stays."""
     fields = [c for c in stored.columns if c != key]
-    last = incoming.groupBy(key).agg(F.max_by(F.struct(*[(F.col(c) if c in incoming.columns else F.lit(None).cast(stored.schema[c].dataType)).alias(c) for c in fields]), newest).alias("_new"))
+    last = incoming.groupBy(key).agg(
+        F.max_by(
+            F.struct(*[(F.col(c) if c in incoming.columns else F.lit(None).cast(stored.schema[c].dataType)).alias(c) for c in fields]),
+            newest
+        ).alias("_new")
+    )
     joined = stored.join(last, key, "full_outer")
-    return joined.select(key, *[(F.coalesce(F.col(c), F.col(f"_new.{c}")) if c == "ctime" else F.coalesce(F.col(f"_new.{c}"), F.col(c))).alias(c) for c in fields]).select(*stored.columns)
+    return joined.select(
+        key,
+        *[(F.coalesce(F.col(c), F.col(f"_new.{c}")) if c == "ctime" else F.coalesce(F.col(f"_new.{c}"), F.col(c))).alias(c) for c in fields]
+    ).select(*stored.columns)
 
 
 def join_pages(pages: DataFrame, key: str = "rid", page: str = "page", content: str = "content", others: Sequence[str] = ()) -> DataFrame:
@@ -64,7 +81,9 @@ def join_pages(pages: DataFrame, key: str = "rid", page: str = "page", content:
 
 def run_counters(pages: DataFrame, now: int) -> DataFrame:
     """Crawl log of each run from its pages (run, page, url, total, new_count): sums, repeats, pages, pages with nothing new, page -> url."""
-    by_page = pages.groupBy("run", "page").agg(F.sum("total").alias("total"), F.sum("new_count").alias("new_count"), F.min("url").alias("url"))
+    by_page = pages.groupBy("run", "page").agg(
+        F.sum("total").alias("total"), F.sum("new_count").alias("new_count"), F.min("url").alias("url")
+    )
     return by_page.groupBy("run").agg(
         F.sum("total").alias("total"), F.sum("new_count").alias("new_count"), F.sum(F.col("total") - F.col("new_count")).alias("repeat_count"), F.count("*").alias("page"),
         F.sum(F.when(F.col("new_count") == 0, 1).otherwise(0)).alias("repeat_page"),
@@ -74,7 +93,10 @@ def run_counters(pages: DataFrame, now: int) -> DataFrame:
 
 def error_rows(errors: DataFrame, now: int) -> DataFrame:
     """Error log rows from (lid, tid, mode, frequency, url, class, msg)."""
-    return errors.select("lid", "tid", "mode", "frequency", "url", F.concat(F.col("class"), F.lit(": "), F.coalesce("msg", F.lit(""))).alias("error"), "msg", "class", F.lit(now).cast("long").alias("create_at"))
+    return errors.select(
+        "lid", "tid", "mode", "frequency", "url", F.concat(F.col("class"), F.lit(": "), F.coalesce("msg", F.lit(""))).alias("error"), "msg",
+        "class", F.lit(now).cast("long").alias("create_at")
+    )
 
 
 def error_counts(errors: DataFrame) -> DataFrame:

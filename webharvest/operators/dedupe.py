@@ -22,13 +22,19 @@ def insert_if_absent(batch: DataFrame, seen: DataFrame | None, order: tuple[str,
     ranked = salted.withColumn("_k", F.row_number().over(Window.partitionBy("unid", "_salt").orderBy(*order)))
     by_order = Window.partitionBy("unid").orderBy("_o", "_salt")
     firsts = salted.groupBy("unid", "_salt").agg(F.min(F.struct(*order)).alias("_o"), F.min_by("ctime", F.struct(*order)).alias("_ctime"))
-    firsts = firsts.withColumn("_win", F.row_number().over(by_order) == 1).withColumn("_first", F.first("_ctime").over(by_order)).drop("_o", "_ctime")
+    firsts = firsts.withColumn(
+        "_win", F.row_number().over(by_order) == 1
+    ).withColumn("_first", F.first("_ctime").over(by_order)).drop("_o", "_ctime")
     stored = F.lit(None).cast(batch.schema["ctime"].dataType)
     if seen is not None:
         firsts = firsts.join(seen.select("unid", F.col("ctime").alias("_stored")), "unid", "left")
         stored = F.col("_stored")
-    firsts = firsts.select("unid", "_salt", (F.col("_win") & stored.isNull()).alias("_win"), F.coalesce(stored, "_first").alias("seen_ctime"))
-    marked = ranked.join(firsts.withColumnRenamed("unid", "_unid"), F.col("unid").eqNullSafe(F.col("_unid")) & (ranked["_salt"] == firsts["_salt"]))
+    firsts = firsts.select(
+        "unid", "_salt", (F.col("_win") & stored.isNull()).alias("_win"), F.coalesce(stored, "_first").alias("seen_ctime")
+    )
+    marked = ranked.join(
+        firsts.withColumnRenamed("unid", "_unid"), F.col("unid").eqNullSafe(F.col("_unid")) & (ranked["_salt"] == firsts["_salt"])
+    )
     return marked.select(*[ranked[f"`{c}`"] for c in batch.columns], (F.col("_win") & (F.col("_k") == 1)).alias("inserted"), "seen_ctime")
 
 
@@ -52,19 +58,25 @@ def bloom_bits(keys: DataFrame, column: str = "unid", bits: int = BLOOM_BITS, ha
 
 def bloom_check(keys: DataFrame, table: DataFrame, column: str = "unid", bits: int = BLOOM_BITS, hashes: int = BLOOM_SEEDS) -> DataFrame:
     """Distinct keys with is_new: True if any of their bits is not set."""
-    probes = keys.select(column).distinct().select(column, F.explode(F.array_distinct(bloom_offsets(F.col(column), bits, hashes))).alias("bit"))
+    probes = keys.select(column).distinct().select(
+        column, F.explode(F.array_distinct(bloom_offsets(F.col(column), bits, hashes))).alias("bit")
+    )
     hit = probes.join(table.withColumn("_set", F.lit(1)), "bit", "left")
     return hit.groupBy(column).agg((F.count("_set") < F.count("*")).alias("is_new"))
 
 
-def before_repeat(pages: DataFrame, run: str = "run", page: str = "page", content: str = "content_md5", url: str = "url", parsed: str = "parsed_md5") -> DataFrame:
+def before_repeat(
+    pages: DataFrame, run: str = "run", page: str = "page", content: str = "content_md5", url: str = "url", parsed: str = "parsed_md5"
+) -> DataFrame:
     """Pages of each run before the first one that repeats the page before it (content, url or parsed rows)."""
     order = Window.partitionBy(run).orderBy(page)
     same = F.lit(False)
     for c in (content, url, parsed):
         if c in pages.columns:
             same = same | F.coalesce(F.col(c) == F.lag(c).over(order), F.lit(False))
-    return pages.withColumn("_same", same.cast("int")).withColumn("_stop", F.max("_same").over(order.rowsBetween(Window.unboundedPreceding, 0))).where("_stop = 0").drop("_same", "_stop")
+    return pages.withColumn("_same", same.cast("int")).withColumn(
+        "_stop", F.max("_same").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ).where("_stop = 0").drop("_same", "_stop")
 
 
 def until_nothing_new(pages: DataFrame, run: str = "run", page: str = "page", new: str = "new_count", allowed: int = 1) -> DataFrame:

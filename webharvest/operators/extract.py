@@ -18,11 +18,21 @@ from ..functions.patterns import preg
 TITLE_SPLITTERS = ("|", "-", "»", ":")
 AUTHOR_MARKS = (("itemprop", "author", "text"), ("itemprop", "publisher", "text"), ("property", "article:author", "content"))
 AUTHOR_PATTERN = r"[>\x20]\x20*（?来源\x20*[：:]\x20*(?:<[^>]+>)?([^<>\s）&]+)）?"
-DATE_MARKS = (("property", "rnews:datePublished", "content"), ("property", "article:published_time", "content"), ("name", "OriginalPublicationDate", "content"), ("itemprop", "datePublished", "datetime"), ("name", "published_time_telegram", "content"))
+DATE_MARKS = (
+    ("property", "rnews:datePublished", "content"), ("property", "article:published_time", "content"),
+    ("name", "OriginalPublicationDate", "content"), ("itemprop", "datePublished", "datetime"),
+    ("name", "published_time_telegram", "content")
+)
 CONTAINERS = (("class", "short-story"), ("itemprop", "articleBody"), ("class", "post-content"), ("class", "g-content"))
-CONTAINERS_BY_DOMAIN = {"qq.com": ("class", "content-article"), "sina.com.cn": ("id", "article"), "ifeng.com": ("id", "yc_con_txt"), "163.com": ("class", "post_text")}
+CONTAINERS_BY_DOMAIN = {
+    "qq.com": ("class", "content-article"), "sina.com.cn": ("id", "article"), "ifeng.com": ("id", "yc_con_txt"),
+    "163.com": ("class", "post_text")
+}
 TITLE_SCRIPTS = {"mp.weixin.qq.com": r'var\s+msg_title\s*=\s*"([^"]+)";', "toutiao.com": r"title:\s+(?:'|\")([^'\"]+)(?:'|\").*"}
-AUTHOR_SCRIPTS = {"qq.com": r'"media"\s*:\s*"([^"]+)"', "mp.weixin.qq.com": r'var\s+nickname\s*=\s*"([^"]+)";', "toutiao.com": r"source:\s+(?:'|\")([^'\"]+)(?:'|\").*"}
+AUTHOR_SCRIPTS = {
+    "qq.com": r'"media"\s*:\s*"([^"]+)"', "mp.weixin.qq.com": r'var\s+nickname\s*=\s*"([^"]+)";',
+    "toutiao.com": r"source:\s+(?:'|\")([^'\"]+)(?:'|\").*"
+}
 TAG_LINKS = r"/tag/|/tags/|/topic/|\?keyword="
 #: Children of a content node that are never chaff.
 KEPT_CHILDREN = ("p", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6")
@@ -36,9 +46,13 @@ BAD_IMAGES = r"\.html|\.gif|\.ico|button|twitter\.jpg|facebook\.jpg|ap_buy_photo
 
 def page_links(pages: DataFrame, page: str = "page_id", url: str = "url", nodes: str = "nodes") -> DataFrame:
     """(page, page_url, pos, link, title): links of each page, resolved, the first of equal ones kept."""
-    anchors = F.filter(tags(F.col(nodes), "a"), lambda n: urls.usable_link(attr(n, "href")) & ~F.startswith(F.trim(attr(n, "href")), F.lit("#")))
+    anchors = F.filter(
+        tags(F.col(nodes), "a"), lambda n: urls.usable_link(attr(n, "href")) & ~F.startswith(F.trim(attr(n, "href")), F.lit("#"))
+    )
     raw = F.transform(anchors, lambda n: F.struct(n["order"].alias("pos"), F.trim(attr(n, "href")).alias("href"), n["text"].alias("title")))
-    each = pages.select(page, F.col(url).alias("page_url"), F.explode(raw).alias("a")).select(page, "page_url", "a.pos", "a.title", urls.urljoin(F.col("page_url"), F.col("a.href")).alias("link")).where("link is not null")
+    each = pages.select(page, F.col(url).alias("page_url"), F.explode(raw).alias("a")).select(
+        page, "page_url", "a.pos", "a.title", urls.urljoin(F.col("page_url"), F.col("a.href")).alias("link")
+    ).where("link is not null")
     first = each.groupBy(page, "page_url", "link").agg(F.min(F.struct("pos", "title")).alias("f"))
     return first.select(page, "page_url", F.col("f.pos").alias("pos"), "link", F.col("f.title").alias("title"))
 
@@ -61,15 +75,28 @@ def subdomain_sites(links: DataFrame, page: str = "page_id") -> DataFrame:
     rows = links.withColumns({"_host": same_host, "_domain": same_domain})
     label = F.regexp_extract(urls.subdomain(F.col("link")), r"([^.]+)$", 1)
     root = F.regexp_like("link", F.lit(r"^[^:]+://[^/?#]+/?$"))
-    others = rows.where("_domain and not _host").withColumn("_site", F.concat(F.regexp_extract("link", r"^([^:]+://)", 1), label, F.when(label != "", F.lit(".")).otherwise(F.lit("")), urls.domain(F.col("link"))))
-    rolled = others.groupBy(page, F.col("_site").alias("link")).agg(F.coalesce(F.max_by("title", F.when(root, F.col("pos"))), F.min_by("title", "pos")).alias("title"))
+    others = rows.where("_domain and not _host").withColumn(
+        "_site",
+        F.concat(
+            F.regexp_extract("link", r"^([^:]+://)", 1), label, F.when(label != "", F.lit(".")).otherwise(F.lit("")),
+            urls.domain(F.col("link"))
+        )
+    )
+    rolled = others.groupBy(page, F.col("_site").alias("link")).agg(
+        F.coalesce(F.max_by("title", F.when(root, F.col("pos"))), F.min_by("title", "pos")).alias("title")
+    )
     return rows.where("_host").select(page, "link", "title").unionByName(rolled)
 
 
 def list_links(nodes: Column, base: Column) -> Column:
     """Article links of a list page, array of struct(title, url): the first detail pattern that any link matches supplies all; else all plain links."""
     anchors = F.filter(tags(nodes, "a"), lambda n: attr(n, "href").isNotNull())
-    plain = F.filter(anchors, lambda n: ~F.regexp_like(attr(n, "href"), F.lit(r"^\s*javascript.*")) & ~F.contains(attr(n, "href"), F.lit("#")) & (F.trim(attr(n, "href")) != ""))
+    plain = F.filter(
+        anchors,
+        lambda n: ~F.regexp_like(
+            attr(n, "href"), F.lit(r"^\s*javascript.*")
+        ) & ~F.contains(attr(n, "href"), F.lit("#")) & (F.trim(attr(n, "href")) != "")
+    )
     out = plain
     for pattern in reversed(urls.DETAIL_PATTERNS):
         hits = by_attr(anchors, "href", pattern, "a")
@@ -93,7 +120,9 @@ def first_text(nodes: Column, *names: str) -> Column:
 def page_language(nodes: Column) -> Column:
     """Two letters of the language that a page names, lower case; NULL if it names none."""
     header = F.filter(tags(nodes, "meta"), lambda n: F.lower(attr(n, "http-equiv")) == "content-language")
-    named = F.coalesce(F.nullif(attr(F.get(tags(nodes, "html"), 0), "lang"), F.lit("")), attr(F.get(header, 0), "content"), meta_content(nodes, "lang"))
+    named = F.coalesce(
+        F.nullif(attr(F.get(tags(nodes, "html"), 0), "lang"), F.lit("")), attr(F.get(header, 0), "content"), meta_content(nodes, "lang")
+    )
     return F.lower(F.substring(named, 1, 2))
 
 
@@ -101,7 +130,18 @@ def metas(nodes: Column, url: Column) -> Column:
     """struct(description, keywords, lang, favicon, canonical, domain, encoding)."""
     favicon = attr(F.get(F.filter(tags(nodes, "link"), lambda n: F.regexp_like(attr(n, "rel"), F.lit("(?i)icon"))), 0), "href")
     canonical = attr(F.get(F.filter(tags(nodes, "link"), lambda n: F.lower(attr(n, "rel")) == "canonical"), 0), "href")
-    charset = F.coalesce(attr(F.get(F.filter(tags(nodes, "meta"), lambda n: attr(n, "charset").isNotNull()), 0), "charset"), F.nullif(F.regexp_extract(attr(F.get(F.filter(tags(nodes, "meta"), lambda n: F.regexp_like(attr(n, "content"), F.lit("(?i)charset="))), 0), "content"), r"(?i)charset=([\w-]+)", 1), F.lit("")))
+    charset = F.coalesce(
+        attr(F.get(F.filter(tags(nodes, "meta"), lambda n: attr(n, "charset").isNotNull()), 0), "charset"),
+        F.nullif(
+            F.regexp_extract(
+                attr(
+                    F.get(F.filter(tags(nodes, "meta"), lambda n: F.regexp_like(attr(n, "content"), F.lit("(?i)charset="))), 0), "content"
+                ),
+                r"(?i)charset=([\w-]+)", 1
+            ),
+            F.lit("")
+        )
+    )
     return F.struct(
         meta_content(nodes, "description").alias("description"), meta_content(nodes, "keywords").alias("keywords"), page_language(nodes).alias("lang"), favicon.alias("favicon"),
         F.coalesce(urls.urljoin(url, canonical), url).alias("canonical"), urls.host(url).alias("domain"), F.lower(charset).alias("encoding"),
@@ -111,15 +151,24 @@ def metas(nodes: Column, url: Column) -> Column:
 def open_graph(nodes: Column) -> Column:
     """map of og:* and of <type>:* for the first og:type; the last value of a repeated key."""
     kind = meta_content(nodes, "og:type", "property")
-    hits = F.filter(tags(nodes, "meta"), lambda n: F.coalesce(F.startswith(attr(n, "property"), F.lit("og:")) | F.startswith(attr(n, "property"), F.concat(kind, F.lit(":"))), F.lit(False)) & attr(n, "content").isNotNull())
-    entries = F.transform(hits, lambda n: F.struct(F.regexp_replace(attr(n, "property"), "^og:", "").alias("k"), attr(n, "content").alias("v")))
+    hits = F.filter(
+        tags(nodes, "meta"),
+        lambda n: F.coalesce(
+            F.startswith(attr(n, "property"), F.lit("og:")) | F.startswith(attr(n, "property"), F.concat(kind, F.lit(":"))), F.lit(False)
+        ) & attr(n, "content").isNotNull()
+    )
+    entries = F.transform(
+        hits, lambda n: F.struct(F.regexp_replace(attr(n, "property"), "^og:", "").alias("k"), attr(n, "content").alias("v"))
+    )
     last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["k"] == e["k"]))
     return F.map_from_entries(last)
 
 
 def json_ld(nodes: Column, kind: str = "ReportageNewsArticle") -> Column:
     """JSON text of the first ld+json script of the given @type; NULL if none or unreadable."""
-    scripts = F.filter(tags(nodes, "script"), lambda n: (attr(n, "type") == "application/ld+json") & (F.get_json_object(n["text"], "$.@type") == kind))
+    scripts = F.filter(
+        tags(nodes, "script"), lambda n: (attr(n, "type") == "application/ld+json") & (F.get_json_object(n["text"], "$.@type") == kind)
+    )
     return F.get(scripts, 0)["text"]
 
 
@@ -140,7 +189,10 @@ def raw_title(nodes: Column, url: Column, rule: Column | None = None) -> Column:
         n = F.size(tags(nodes, h))
         step = F.when(n > 1, F.lit(None).cast("string")).when(n == 1, first_text(nodes, h))
         singles = F.when(n > 0, step) if singles is None else singles.when(n > 0, step)
-    parts = [_script_match(nodes, url, TITLE_SCRIPTS), _og(nodes, "title"), F.get_json_object(json_ld(nodes), "$.headline"), meta_content(nodes, "headline"), singles, first_text(nodes, "title")]
+    parts = [
+        _script_match(nodes, url, TITLE_SCRIPTS), _og(nodes, "title"), F.get_json_object(json_ld(nodes), "$.headline"),
+        meta_content(nodes, "headline"), singles, first_text(nodes, "title")
+    ]
     return F.coalesce(*([F.nullif(rule, F.lit(""))] if rule is not None else []), *parts)
 
 
@@ -153,11 +205,21 @@ def _og(nodes: Column, key: str) -> Column:
 def clean_title(title: Column, nodes: Column, url: Column) -> Column:
     """Without site name, domain and splitters at the ends."""
     site = F.coalesce(_og(nodes, "site_name"), F.get_json_object(json_ld(nodes), "$.publisher.name"))
-    cut = urls.let(F.struct(title.alias("t"), site.alias("s")), lambda x: F.when(F.nullif(x["s"], F.lit("")).isNotNull(), F.replace(x["t"], x["s"])).otherwise(x["t"]))
-    bare = urls.let(cut, lambda t: F.coalesce(F.regexp_replace(t, F.concat(F.lit("(?i)\\Q"), urls.domain(url), F.lit("\\E")), F.lit("")), t))
+    cut = urls.let(
+        F.struct(title.alias("t"), site.alias("s")),
+        lambda x: F.when(F.nullif(x["s"], F.lit("")).isNotNull(), F.replace(x["t"], x["s"])).otherwise(x["t"])
+    )
+    bare = urls.let(
+        cut, lambda t: F.coalesce(F.regexp_replace(t, F.concat(F.lit("(?i)\\Q"), urls.domain(url), F.lit("\\E")), F.lit("")), t)
+    )
     words = F.filter(F.split(F.trim(bare), r"\s+"), lambda w: w != "")
     words = urls.let(words, lambda w: F.when(F.get(w, 0).isin(*TITLE_SPLITTERS), F.slice(w, 2, F.size(w))).otherwise(w))
-    words = urls.let(words, lambda w: F.when(F.try_element_at(w, F.lit(-1)).isin(*TITLE_SPLITTERS), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
+    words = urls.let(
+        words,
+        lambda w: F.when(
+            F.try_element_at(w, F.lit(-1)).isin(*TITLE_SPLITTERS), F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
+        ).otherwise(w)
+    )
     return F.array_join(words, " ")
 
 
@@ -167,7 +229,9 @@ def authors(nodes: Column, html: Column, url: Column, rule: Column | None = None
     found = F.array_distinct(F.regexp_extract_all(html, F.lit(AUTHOR_PATTERN), F.lit(1)))
     for name, value, take in reversed(AUTHOR_MARKS):
         hits = by_attr(nodes, name, "^" + value + "$")
-        texts = F.filter(F.transform(hits, lambda n: n["text"] if take == "text" else attr(n, take)), lambda x: F.coalesce(x, F.lit("")) != "")
+        texts = F.filter(
+            F.transform(hits, lambda n: n["text"] if take == "text" else attr(n, take)), lambda x: F.coalesce(x, F.lit("")) != ""
+        )
         found = F.when(F.size(texts) > 0, texts).otherwise(found)
     found = F.when(script.isNotNull(), F.array(script)).otherwise(found)
     return F.when(F.nullif(rule, F.lit("")).isNotNull(), F.array(rule)).otherwise(found) if rule is not None else found
@@ -178,7 +242,9 @@ def item_author(names: Column) -> Column:
     return F.array_min(F.transform(names, lambda x, i: F.struct(F.length(x).alias("n"), i.alias("i"), x.alias("x"))))["x"]
 
 
-def publish_time(nodes: Column, html: Column, url: Column, now: Column | int, rule: Column | None = None, around: Column | None = None) -> Column:
+def publish_time(
+    nodes: Column, html: Column, url: Column, now: Column | int, rule: Column | None = None, around: Column | None = None
+) -> Column:
     """Epoch seconds: by rule, og, JSON-LD, meta marks, a time tag, around the content, the page, the URL."""
     def read(text: Column) -> Column:
         return urls.let(text, lambda t: times.parse_date(F.coalesce(times.find_date(t), t), now))
@@ -270,7 +336,9 @@ def _content_scores(nodes: Column, language: Column, lists) -> Column:
             return urls.let(
                 F.filter(given, lambda g: g["to"] == to),
                 lambda own: F.struct(
-                    to.alias("order"), F.aggregate(own, F.lit(0), lambda s, g: s + g["score"]).alias("score"), F.array_min(F.transform(own, lambda g: g["source"])).alias("source")
+                    to.alias("order"), F.aggregate(
+                        own, F.lit(0), lambda s, g: s + g["score"]
+                    ).alias("score"), F.array_min(F.transform(own, lambda g: g["source"])).alias("source")
                 ),
             )
 
@@ -289,17 +357,24 @@ def best_node(scores: Column) -> Column:
     return urls.let(best, lambda b: F.struct(b["score"].alias("score"), (-b["o"]).alias("order")))
 
 
-def best_nodes(pages: DataFrame, page: str = "page_id", url: str = "url", nodes: str = "nodes", lang: Column | str = "en", lists=None) -> DataFrame:
+def best_nodes(
+    pages: DataFrame, page: str = "page_id", url: str = "url", nodes: str = "nodes", lang: Column | str = "en", lists=None
+) -> DataFrame:
     """(page, top_order, score): a known article container if there is one, else the node of the highest score, the first of equal ones."""
     known = known_container(F.col(nodes), F.col(url))
     best = best_node(content_scores(F.col(nodes), lang, lists))
-    return pages.select(page, known.alias("known"), best.alias("best")).select(page, F.coalesce("known", "best.order").alias("top_order"), F.col("best.score").alias("score"))
+    return pages.select(page, known.alias("known"), best.alias("best")).select(
+        page, F.coalesce("known", "best.order").alias("top_order"), F.col("best.score").alias("score")
+    )
 
 
 def known_container(nodes: Column, url: Column) -> Column:
     """Order of the first known article container; NULL if none."""
     clean = clean_nodes(nodes)
-    hits = [F.when(urls.from_any_domain(url, [d]), F.get(by_attr(clean, a, "^" + v + "$"), 0)["order"]) for d, (a, v) in CONTAINERS_BY_DOMAIN.items()]
+    hits = [
+        F.when(urls.from_any_domain(url, [d]), F.get(by_attr(clean, a, "^" + v + "$"), 0)["order"]) for d,
+        (a, v) in CONTAINERS_BY_DOMAIN.items()
+    ]
     hits += [F.get(by_attr(clean, a, "^" + v + "$"), 0)["order"] for a, v in CONTAINERS]
     return F.coalesce(*hits, F.get(tags(clean, "article"), 0)["order"])
 
@@ -340,11 +415,17 @@ def article_text(nodes: Column, top: Column, lang: Column | str = "en", scores:
 def _article_text(nodes: Column, top: Column, language: Column, scores: Column | None) -> Column:
     def written(kept: Column) -> Column:
         outer = F.filter(kept, lambda n: ~F.exists(kept, lambda m: (m["order"] < n["order"]) & (m["last"] >= n["order"])))
-        return F.array_join(F.transform(outer, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])), "\n\n")
+        return F.array_join(
+            F.transform(outer, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])), "\n\n"
+        )
 
     def kept(below: Column) -> Column:
-        wanted = F.filter(below, lambda n: n["tag"].isin("p", "pre", "li", "h2", "h3", "h4", "blockquote") & (n["text"] != "") & ~dense(n, language))
-        return F.transform(wanted, lambda n: F.struct(n["order"].alias("order"), n["last"].alias("last"), n["tag"].alias("tag"), n["text"].alias("text")))
+        wanted = F.filter(
+            below, lambda n: n["tag"].isin("p", "pre", "li", "h2", "h3", "h4", "blockquote") & (n["text"] != "") & ~dense(n, language)
+        )
+        return F.transform(
+            wanted, lambda n: F.struct(n["order"].alias("order"), n["last"].alias("last"), n["tag"].alias("tag"), n["text"].alias("text"))
+        )
 
     below = urls.let(inside(nodes, top), lambda b: _without_chaff(b, top, scores))
     return urls.let(urls.let(below, kept), written)
@@ -367,12 +448,18 @@ def _sibling_text(nodes: Column, top: Column, language: Column, share: float, li
     def base(ns: Column) -> Column:
         plain = F.filter(tags(inside(ns, top), "p"), lambda n: ~dense(n, language))
         own = F.filter(F.transform(plain, count), lambda k: k > 2)
-        return urls.let(own, lambda k: F.when(F.size(k) > 0, F.floor(F.aggregate(k, F.lit(0), lambda s, v: s + v) / F.size(k))).otherwise(100000))
+        return urls.let(
+            own, lambda k: F.when(F.size(k) > 0, F.floor(F.aggregate(k, F.lit(0), lambda s, v: s + v) / F.size(k))).otherwise(100000)
+        )
 
     def recovered(ns: Column) -> Column:
         parent = F.get(ns, top)["parent"]
-        earlier = F.filter(tags(clean_nodes(ns), "p"), lambda n: (n["order"] > parent) & (n["order"] < top) & (n["last"] < top) & (n["text"] != ""))
-        good = urls.let(base(ns), lambda m: F.filter(earlier, lambda n: (n["parent"] == parent) | (~dense(n, language) & (count(n) > m * share))))
+        earlier = F.filter(
+            tags(clean_nodes(ns), "p"), lambda n: (n["order"] > parent) & (n["order"] < top) & (n["last"] < top) & (n["text"] != "")
+        )
+        good = urls.let(
+            base(ns), lambda m: F.filter(earlier, lambda n: (n["parent"] == parent) | (~dense(n, language) & (count(n) > m * share)))
+        )
         return F.transform(good, lambda n: n["text"])
 
     return F.coalesce(urls.let(nodes, recovered), F.array().cast("array<string>"))
@@ -392,10 +479,18 @@ def content(nodes: Column, url: Column, lang: Column | str = "en", lists=None) -
     def text(x: Column) -> Column:
         own = _article_text(nodes, x["top"], x["lang"], x["scores"])
         before = F.when(x["scored"], _sibling_text(nodes, x["top"], x["lang"], 0.30, lists)).otherwise(F.array().cast("array<string>"))
-        return F.struct(x["top"].alias("top"), F.when(x["top"].isNotNull(), F.array_join(F.concat(before, F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))), "\n\n")).alias("text"))
+        return F.struct(
+            x["top"].alias("top"),
+            F.when(
+                x["top"].isNotNull(),
+                F.array_join(F.concat(before, F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))), "\n\n")
+            ).alias("text")
+        )
 
     def scored(language: Column) -> Column:
-        return F.struct(language.alias("lang"), known_container(nodes, url).alias("known"), _content_scores(nodes, language, lists).alias("scores"))
+        return F.struct(
+            language.alias("lang"), known_container(nodes, url).alias("known"), _content_scores(nodes, language, lists).alias("scores")
+        )
 
     return urls.let(urls.let(urls.let(_language(lang), scored), found), text)
 
@@ -421,11 +516,17 @@ def tweets(nodes: Column) -> Column:
 def videos(nodes: Column) -> Column:
     """struct(embed, provider, src, width, height) of embedded videos of known hosts."""
     pattern = "(" + "|".join(VIDEO_HOSTS) + ")"
-    frames = F.filter(tags(nodes, "iframe", "embed", "object", "video"), lambda n: F.regexp_like(F.coalesce(attr(n, "src"), attr(n, "data"), F.lit("")), F.lit(pattern)))
+    frames = F.filter(
+        tags(nodes, "iframe", "embed", "object", "video"),
+        lambda n: F.regexp_like(F.coalesce(attr(n, "src"), attr(n, "data"), F.lit("")), F.lit(pattern))
+    )
 
     def one(n: Column) -> Column:
         src = F.coalesce(attr(n, "src"), attr(n, "data"))
-        return F.struct(n["tag"].alias("embed"), F.regexp_extract(src, pattern, 1).alias("provider"), src.alias("src"), attr(n, "width").try_cast("int").alias("width"), attr(n, "height").try_cast("int").alias("height"))
+        return F.struct(
+            n["tag"].alias("embed"), F.regexp_extract(src, pattern, 1).alias("provider"), src.alias("src"),
+            attr(n, "width").try_cast("int").alias("width"), attr(n, "height").try_cast("int").alias("height")
+        )
 
     return F.transform(frames, one)
 
@@ -433,7 +534,9 @@ def videos(nodes: Column) -> Column:
 def image(nodes: Column) -> Column:
     """Image named by the page: link[rel=image_src], og:image, JSON-LD, else the first picture with a usable name."""
     named = attr(F.get(F.filter(tags(nodes, "link"), lambda n: attr(n, "rel") == "image_src"), 0), "href")
-    pictures = F.filter(F.transform(tags(nodes, "img"), lambda n: attr(n, "src")), lambda s: s.isNotNull() & ~F.regexp_like(s, F.lit(BAD_IMAGES)))
+    pictures = F.filter(
+        F.transform(tags(nodes, "img"), lambda n: attr(n, "src")), lambda s: s.isNotNull() & ~F.regexp_like(s, F.lit(BAD_IMAGES))
+    )
     return F.coalesce(F.nullif(named, F.lit("")), _og(nodes, "image"), F.get_json_object(json_ld(nodes), "$.image.url"), F.get(pictures, 0))
 
 
@@ -449,7 +552,10 @@ def attachments(pages: DataFrame, links: Column, pattern: str | None = ATTACHMEN
 
 def declared_charset(html: Column) -> Column:
     """Charset name of a meta or XML declaration, lower case; NULL if none."""
-    found = F.coalesce(F.nullif(F.regexp_extract(html, r"(?i)<meta[^>]*charset\s*=\s*[\"']?([\w-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(html, r"(?i)^\s*<\?xml[^>]*encoding\s*=\s*[\"']([\w-]+)", 1), F.lit("")))
+    found = F.coalesce(
+        F.nullif(F.regexp_extract(html, r"(?i)<meta[^>]*charset\s*=\s*[\"']?([\w-]+)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(html, r"(?i)^\s*<\?xml[^>]*encoding\s*=\s*[\"']([\w-]+)", 1), F.lit(""))
+    )
     return F.lower(found)
 
 

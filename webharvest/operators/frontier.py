@@ -53,17 +53,31 @@ def route_batches(counts: DataFrame, state: DataFrame | None, now: int, interval
         old = state.select("mode", "frequency", F.col("offset").alias("old_offset"), "ltime", "stime", F.col("total").alias("old_total"))
         joined = base.join(old, ["mode", "frequency"], "left")
     # a one-off frequency is paced at two a second of the interval; a finished cycle starts over and is counted anew
-    fresh = F.col("stime").isNull() | (F.col("stime") + F.when(F.col("seconds") == 0, interval * F.ceil(F.coalesce("old_total", "total") / (2 * interval))).otherwise(F.col("seconds")) <= now)
+    fresh = F.col("stime").isNull() | (
+        F.col("stime") + F.when(
+            F.col("seconds") == 0, interval * F.ceil(F.coalesce("old_total", "total") / (2 * interval))
+        ).otherwise(F.col("seconds")) <= now
+    )
     rows = joined.withColumn("fresh", fresh).withColumn("all", F.when(F.col("fresh"), F.col("total")).otherwise(F.col("old_total")))
     rows = rows.withColumn("offset", F.when(F.col("fresh"), 0).otherwise(F.col("old_offset")).cast("long"))
-    rows = rows.withColumn("cycle", F.when(F.col("seconds") == 0, interval * F.ceil(F.col("all") / (2 * interval))).otherwise(F.col("seconds")))
+    rows = rows.withColumn(
+        "cycle", F.when(F.col("seconds") == 0, interval * F.ceil(F.col("all") / (2 * interval))).otherwise(F.col("seconds"))
+    )
     average = F.ceil(F.col("all") / F.greatest(F.col("cycle") / interval, F.lit(1.0)))
     quota = F.when(F.col("ltime").isNull() | F.col("fresh"), average).otherwise(average * F.bround((now - F.col("ltime")) / interval, 0))
     rows = rows.withColumn("count", quota.cast("long"))
     room = F.least(F.col("count"), F.col("all") - F.col("offset"))
-    starts = F.when(room > 0, F.sequence(F.lit(0).cast("long"), room - 1, F.lit(SLICE).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    slices = rows.select("mode", "frequency", "offset", "count", F.explode(starts).alias("at")).select("mode", "frequency", (F.col("offset") + F.col("at")).alias("offset"), F.least(F.lit(SLICE), F.col("count") - F.col("at")).cast("long").alias("count"))
-    following = rows.select("mode", "frequency", (F.col("offset") + F.col("count")).alias("offset"), F.lit(now).cast("long").alias("ltime"), F.when(F.col("fresh"), F.lit(now)).otherwise(F.col("stime")).cast("long").alias("stime"), F.col("all").alias("total"))
+    starts = F.when(
+        room > 0, F.sequence(F.lit(0).cast("long"), room - 1, F.lit(SLICE).cast("long"))
+    ).otherwise(F.array().cast("array<bigint>"))
+    slices = rows.select("mode", "frequency", "offset", "count", F.explode(starts).alias("at")).select(
+        "mode", "frequency", (F.col("offset") + F.col("at")).alias("offset"),
+        F.least(F.lit(SLICE), F.col("count") - F.col("at")).cast("long").alias("count")
+    )
+    following = rows.select(
+        "mode", "frequency", (F.col("offset") + F.col("count")).alias("offset"), F.lit(now).cast("long").alias("ltime"),
+        F.when(F.col("fresh"), F.lit(now)).otherwise(F.col("stime")).cast("long").alias("stime"), F.col("all").alias("total")
+    )
     return slices, following
 
 
@@ -107,7 +121,9 @@ def message_key(df: DataFrame) -> DataFrame:
     keys = [k for k in ("pid", "sid", "rid", "tid", "kid", "uid") if k in df.columns]
     name, value = F.lit(None).cast("string"), F.lit(None).cast("long")
     for k in reversed(keys):
-        name, value = F.when(F.col(k).isNotNull(), F.lit(k)).otherwise(name), F.when(F.col(k).isNotNull(), F.col(k).cast("long")).otherwise(value)
+        name, value = F.when(F.col(k).isNotNull(), F.lit(k)).otherwise(name), F.when(
+            F.col(k).isNotNull(), F.col(k).cast("long")
+        ).otherwise(value)
     return df.withColumns({"key_name": name, "key_value": value})
 
 
@@ -132,14 +148,20 @@ def bulk_change(tasks: DataFrame, messages: DataFrame, field: str, now: int, ord
     best = F.array_max(F.array(*values))["v"]
     hit = F.coalesce(*stamps).isNotNull()
     if field == "frequency":
-        changes = {"frequency": F.when(hit, best).otherwise(F.col("frequency")), "plantime": F.when(hit, now + frequency_seconds(best)).otherwise(F.col("plantime"))}
+        changes = {
+            "frequency": F.when(hit, best).otherwise(F.col("frequency")),
+            "plantime": F.when(hit, now + frequency_seconds(best)).otherwise(F.col("plantime"))
+        }
     else:
         changes = {"expire": F.when(hit, F.when(best > 0, now + best).otherwise(0)).otherwise(F.col("expire")).cast("long")}
     return out.withColumns({**changes, "utime": F.when(hit, F.lit(now)).otherwise(F.col("utime")).cast("long")}).select(*tasks.columns)
 
 
 #: Tables that a status message by each key reaches.
-_REACH = {"pid": ("sites", "tasks", "urls", "spider_tasks"), "sid": ("tasks", "urls", "spider_tasks"), "tid": ("urls", "spider_tasks"), "uid": ("spider_tasks",), "kid": ("spider_tasks",)}
+_REACH = {
+    "pid": ("sites", "tasks", "urls", "spider_tasks"), "sid": ("tasks", "urls", "spider_tasks"), "tid": ("urls", "spider_tasks"),
+    "uid": ("spider_tasks",), "kid": ("spider_tasks",)
+}
 
 
 def status_cascade(tables: Mapping[str, DataFrame], messages: DataFrame, now: int, order: str = "seq") -> dict[str, DataFrame]:
@@ -149,7 +171,10 @@ def status_cascade(tables: Mapping[str, DataFrame], messages: DataFrame, now: in
     now); other messages do nothing.  Disabling or deleting by uid or kid clears `save`.
     """
     keyed = message_key(messages).where(F.col("status").isin(2, -1) | ((F.col("status") == 1) & F.col("key_name").isin("uid", "kid")))
-    own = {"sites": {"pid": "pid"}, "tasks": {"pid": "pid", "sid": "sid"}, "urls": {"pid": "pid", "sid": "sid", "tid": "tid"}, "spider_tasks": {k: k for k in _REACH}}
+    own = {
+        "sites": {"pid": "pid"}, "tasks": {"pid": "pid", "sid": "sid"}, "urls": {"pid": "pid", "sid": "sid", "tid": "tid"},
+        "spider_tasks": {k: k for k in _REACH}
+    }
     out = {}
     for name, df in tables.items():
         result, found = df, []
@@ -176,7 +201,9 @@ def status_cascade(tables: Mapping[str, DataFrame], messages: DataFrame, now: in
             changes["utime"] = F.when(hit, F.lit(now)).otherwise(F.col("utime")).cast("long")
         if name == "spider_tasks":
             if "plantime" in df.columns:
-                changes["plantime"] = F.when(hit & (last["status"] == 1) & (last["key"] == "uid"), F.lit(now)).otherwise(F.col("plantime")).cast("long")
+                changes["plantime"] = F.when(
+                    hit & (last["status"] == 1) & (last["key"] == "uid"), F.lit(now)
+                ).otherwise(F.col("plantime")).cast("long")
             if "save" in df.columns:
                 changes["save"] = F.when(hit & last["key"].isin("uid", "kid") & (last["status"] != 1), F.lit(None)).otherwise(F.col("save"))
         out[name] = result.withColumns(changes).select(*df.columns)
@@ -187,19 +214,28 @@ def new_list_tasks(urls: DataFrame, tasks: DataFrame, rules: DataFrame, mode: st
     """Tasks for urls that have none in this mode; frequency from the list rule, expiry relative to now."""
     missing = urls.join(tasks.where(F.col("mode") == mode).select(F.col("uid").alias("uuid")), "uuid", "left_anti")
     with_rule = missing.join(rules.select(F.col("uuid").alias("ruleId"), "frequency"), "ruleId", "left")
-    return with_rule.select(F.lit(mode).alias("mode"), "pid", "sid", "tid", F.col("uuid").alias("uid"), F.lit(0).cast("long").alias("kid"), F.col("ruleId").alias("rid"), "url", F.coalesce(F.col("frequency").cast("string"), F.lit(DEFAULT_FREQUENCY)).alias("frequency"), F.when(F.col("expire") > 0, now + F.col("expire")).otherwise(0).cast("long").alias("expire"))
+    return with_rule.select(
+        F.lit(mode).alias("mode"), "pid", "sid", "tid", F.col("uuid").alias("uid"), F.lit(0).cast("long").alias("kid"),
+        F.col("ruleId").alias("rid"), "url", F.coalesce(F.col("frequency").cast("string"), F.lit(DEFAULT_FREQUENCY)).alias("frequency"),
+        F.when(F.col("expire") > 0, now + F.col("expire")).otherwise(0).cast("long").alias("expire")
+    )
 
 
 def reconciled(url_frequency: Column, word_frequency: Column, url_expire: Column, word_expire: Column) -> tuple[Column, Column]:
     """(frequency, expire) of a search task: the smaller frequency if the keyword has one; the smaller expiry if both are set, else the one that is."""
-    frequency = F.least(F.coalesce(url_frequency.try_cast("int"), F.lit(int(DEFAULT_FREQUENCY))), F.nullif(word_frequency, F.lit("")).try_cast("int"))
+    frequency = F.least(
+        F.coalesce(url_frequency.try_cast("int"), F.lit(int(DEFAULT_FREQUENCY))), F.nullif(word_frequency, F.lit("")).try_cast("int")
+    )
     expire = F.coalesce(F.least(F.nullif(url_expire, F.lit(0)), F.nullif(word_expire, F.lit(0))), F.lit(0))
     return frequency.cast("string"), expire.cast("long")
 
 
 def _search_rows(pairs: DataFrame, mode: str, now: int) -> DataFrame:
     frequency, expire = reconciled(F.col("frequency"), F.col("word_frequency"), F.col("expire"), F.col("word_expire"))
-    return pairs.select(F.lit(mode).alias("mode"), "pid", "sid", "tid", "uid", "kid", F.col("ruleId").alias("rid"), "url", frequency.alias("frequency"), F.when(expire > 0, now + expire).otherwise(0).cast("long").alias("expire"))
+    return pairs.select(
+        F.lit(mode).alias("mode"), "pid", "sid", "tid", "uid", "kid", F.col("ruleId").alias("rid"), "url", frequency.alias("frequency"),
+        F.when(expire > 0, now + expire).otherwise(0).cast("long").alias("expire")
+    )
 
 
 def _with_frequency(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -221,15 +257,23 @@ def new_search_tasks_by_url(urls: DataFrame, keywords: DataFrame, tasks: DataFra
     each deal of the urls, so the pairs are made in as many tasks.
     """
     fresh = _with_frequency(urls, rules).join(tasks.where(F.col("mode") == mode).select("uid"), "uid", "left_anti")
-    words = keywords.select(F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"), F.col("expire").alias("word_expire"))
+    words = keywords.select(
+        F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"),
+        F.col("expire").alias("word_expire")
+    )
     own = fresh.join(words.where(F.coalesce("word_tid", F.lit(0)) != 0), F.col("tid") == F.col("word_tid"))
     shared = _with_each(fresh, words.where(F.coalesce("word_tid", F.lit(0)) == 0), "uid")
     return _search_rows(own.unionByName(shared, allowMissingColumns=True), mode, now)
 
 
-def new_search_tasks_by_keyword(keywords: DataFrame, task_types: DataFrame, urls: DataFrame, tasks: DataFrame, rules: DataFrame, mode: str, now: int) -> DataFrame:
+def new_search_tasks_by_keyword(
+    keywords: DataFrame, task_types: DataFrame, urls: DataFrame, tasks: DataFrame, rules: DataFrame, mode: str, now: int
+) -> DataFrame:
     """keyword x urls of the search tasks it belongs to (tid 0 or NULL: all of `task_types` (tid)), without the (uid, kid) that exist."""
-    words = keywords.select(F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"), F.col("expire").alias("word_expire"))
+    words = keywords.select(
+        F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"),
+        F.col("expire").alias("word_expire")
+    )
     known = task_types.select("tid").distinct()
     reached = words.where(F.coalesce("word_tid", F.lit(0)) != 0).withColumn("tid", F.col("word_tid")).join(known, "tid", "left_semi")
     reached = reached.unionByName(_with_each(known, words.where(F.coalesce("word_tid", F.lit(0)) == 0), "tid"))
@@ -241,19 +285,32 @@ def match_list_rule(tasks: DataFrame, urls: DataFrame, rules: DataFrame) -> Data
     """tasks with (action, reason, fetch_url, base_url): ok, delete, disable or error."""
     joined = tasks.join(_url_side(urls), "uid", "left").join(_rule_side(rules), "_ruleId", "left")
     action, reason = _judge()
-    return joined.select(*tasks.columns, action.alias("action"), reason.alias("reason"), F.coalesce(F.nullif("_jsonUrl", F.lit("")), "_url").alias("fetch_url"), F.col("_url").alias("base_url"))
+    return joined.select(
+        *tasks.columns, action.alias("action"), reason.alias("reason"),
+        F.coalesce(F.nullif("_jsonUrl", F.lit("")), "_url").alias("fetch_url"), F.col("_url").alias("base_url")
+    )
 
 
 def match_search_rule(tasks: DataFrame, keywords: DataFrame, urls: DataFrame, rules: DataFrame) -> DataFrame:
     """As match_list_rule, with the keyword first: a missing one deletes, an inactive one disables; adds the word."""
     words = keywords.select(F.col("uuid").alias("kid"), F.col("word").alias("_word"), F.col("status").alias("_word_status"))
     joined = tasks.join(words, "kid", "left").join(_url_side(urls), "uid", "left").join(_rule_side(rules), "_ruleId", "left")
-    action, reason = _judge(F.when(F.col("_word").isNull(), F.struct(F.lit("delete").alias("a"), F.lit("keyword missing").alias("r"))).when(F.col("_word_status") != 1, F.struct(F.lit("disable").alias("a"), F.lit("keyword inactive").alias("r"))))
-    return joined.select(*tasks.columns, action.alias("action"), reason.alias("reason"), F.col("_word").alias("word"), F.coalesce(F.nullif("_jsonUrl", F.lit("")), "_url").alias("fetch_url"), F.col("_url").alias("base_url"))
+    action, reason = _judge(
+        F.when(F.col("_word").isNull(), F.struct(F.lit("delete").alias("a"), F.lit("keyword missing").alias("r"))).when(
+            F.col("_word_status") != 1, F.struct(F.lit("disable").alias("a"), F.lit("keyword inactive").alias("r"))
+        )
+    )
+    return joined.select(
+        *tasks.columns, action.alias("action"), reason.alias("reason"), F.col("_word").alias("word"),
+        F.coalesce(F.nullif("_jsonUrl", F.lit("")), "_url").alias("fetch_url"), F.col("_url").alias("base_url")
+    )
 
 
 def _url_side(urls: DataFrame) -> DataFrame:
-    return urls.select(F.col("uuid").alias("uid"), F.lit(True).alias("_has_url"), F.col("url").alias("_url"), F.col("jsonUrl").alias("_jsonUrl"), F.col("status").alias("_url_status"), F.col("ruleStatus").alias("_rule_status"), F.col("ruleId").alias("_ruleId"))
+    return urls.select(
+        F.col("uuid").alias("uid"), F.lit(True).alias("_has_url"), F.col("url").alias("_url"), F.col("jsonUrl").alias("_jsonUrl"),
+        F.col("status").alias("_url_status"), F.col("ruleStatus").alias("_rule_status"), F.col("ruleId").alias("_ruleId")
+    )
 
 
 def _rule_side(rules: DataFrame) -> DataFrame:
@@ -276,7 +333,9 @@ def _judge(first: Column | None = None) -> tuple[Column, Column]:
     return chain["a"], chain["r"]
 
 
-def search_url(url: Column, word: Column, now: Column | int, key: str | None = None, mode: str = "format", post: bool = False, hour_offset: int = 36000) -> Column:
+def search_url(
+    url: Column, word: Column, now: Column | int, key: str | None = None, mode: str = "format", post: bool = False, hour_offset: int = 36000
+) -> Column:
     """URL with its slots filled: the keyword ({key}, or a query key in mode `get`; quoted unless posted) and {lastmonth}, {lastweek}, {yesterday}, {lasthour}, {now} as epoch seconds."""
     now = (now if isinstance(now, Column) else F.lit(now)).cast("long")
     out = url
@@ -317,18 +376,29 @@ def put_slot(url: Column, key: str, value: Column, mode: str = "get") -> Column:
 
 def close_runs(runs: DataFrame, tasks: DataFrame, now: int) -> DataFrame:
     """Tasks after their runs: the last RUNS_KEPT run ids, crawltime now; frequency 0 ends the task (status 0).  runs: (task uuid, run)."""
-    ranked = runs.select("uuid", "run").distinct().withColumn("_k", F.row_number().over(Window.partitionBy("uuid").orderBy(F.desc("run")))).where(F.col("_k") <= RUNS_KEPT)
+    ranked = runs.select("uuid", "run").distinct().withColumn(
+        "_k", F.row_number().over(Window.partitionBy("uuid").orderBy(F.desc("run")))
+    ).where(F.col("_k") <= RUNS_KEPT)
     kept = ranked.groupBy("uuid").agg(F.array_sort(F.collect_list("run")).alias("runs"))
     joined = tasks.drop("runs").join(kept, "uuid", "left")
     ran = F.col("runs").isNotNull()
-    return joined.withColumns({"crawltime": F.when(ran, F.lit(now)).otherwise(F.col("crawltime")).cast("long"), "status": F.when(ran & (F.col("frequency") == "0"), 0).otherwise(F.col("status"))})
+    return joined.withColumns(
+        {
+            "crawltime": F.when(ran, F.lit(now)).otherwise(F.col("crawltime")).cast("long"),
+            "status": F.when(ran & (F.col("frequency") == "0"), 0).otherwise(F.col("status"))
+        }
+    )
 
 
-def rebuild_items(articles: DataFrame, mode_by_media: Mapping[int, str] | None = None, default_mode: str = "item") -> tuple[DataFrame, DataFrame]:
+def rebuild_items(
+    articles: DataFrame, mode_by_media: Mapping[int, str] | None = None, default_mode: str = "item"
+) -> tuple[DataFrame, DataFrame]:
     """(updates, messages) of articles not yet fetched: script urls get status -1, others a message (mode by media type, rid)."""
     mode = F.lit(default_mode)
     for media, name in (mode_by_media or {}).items():
         mode = F.when(F.col("mediaType") == media, F.lit(name)).otherwise(mode)
     fresh = articles.where("status = 0")
     script = F.coalesce(F.startswith(F.lower("url"), F.lit("javascript")), F.lit(False))
-    return fresh.where(script).select("rid", F.lit(-1).alias("status")), fresh.where(~script).select(mode.alias("mode"), "rid", "mediaType", "acid")
+    return fresh.where(script).select("rid", F.lit(-1).alias("status")), fresh.where(~script).select(
+        mode.alias("mode"), "rid", "mediaType", "acid"
+    )

@@ -19,7 +19,9 @@ def _compare(field: str, op: str, value) -> Column:
         return found if op == "=" else ~found
     if op in ("IN", "NOT IN"):
         values = list(value)
-        found = F.coalesce(c.isin([v for v in values if v is not None]), F.lit(False)) if any(v is not None for v in values) else F.lit(False)
+        found = F.coalesce(
+            c.isin([v for v in values if v is not None]), F.lit(False)
+        ) if any(v is not None for v in values) else F.lit(False)
         found = found | c.isNull() if None in values else found
         return found if op == "IN" else ~found
     if op == "regex":
@@ -64,7 +66,10 @@ def _order(sort: Sequence[tuple[str, int]]) -> list[Column]:
     return [F.col(c).asc_nulls_first() if d >= 0 else F.col(c).desc_nulls_last() for c, d in sort]
 
 
-def find(df: DataFrame, spec=None, select: Sequence[str] | None = None, sort: Sequence[tuple[str, int]] = (), offset: int = 0, hits: int | None = 10) -> DataFrame:
+def find(
+    df: DataFrame, spec=None, select: Sequence[str] | None = None, sort: Sequence[tuple[str, int]] = (), offset: int = 0,
+    hits: int | None = 10
+) -> DataFrame:
     """Filter, project, sort, skip and limit; ten rows by default, all with hits=None."""
     out = df.where(where(spec))
     out = out.orderBy(*_order(sort)) if sort else out
@@ -92,7 +97,12 @@ def update(df: DataFrame, values: Mapping[str, Column | object], spec, *, now: i
         df = df.join(F.broadcast(first), F.lit(True), "left")  # one row
         hit = hit & F.coalesce(F.col(key) == F.col("_first"), F.lit(False))
     values = {**values, "utime": now}
-    out = df.withColumns({c: F.when(hit, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c) if c in df.columns else F.lit(None)) for c, v in values.items()})
+    out = df.withColumns(
+        {
+            c: F.when(hit, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c) if c in df.columns else F.lit(None)) for c,
+            v in values.items()
+        }
+    )
     return out.drop("_first")
 
 
@@ -144,4 +154,9 @@ def split_month_id(rid: Column) -> Column:
 def with_defaults(df: DataFrame, *, now: int) -> DataFrame:
     """Missing fields of new task rows: status 0, ctime now, utime, plantime, crawltime and expire 0."""
     defaults = {"status": 0, "ctime": now, "utime": 0, "plantime": 0, "crawltime": 0, "expire": 0}
-    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v).cast("int" if c == "status" else "long") for c, v in defaults.items()})
+    return df.withColumns(
+        {
+            c: F.coalesce(F.col(c), F.lit(v)) if c in df.columns else F.lit(v).cast("int" if c == "status" else "long") for c,
+            v in defaults.items()
+        }
+    )

@@ -105,15 +105,25 @@ def columns_to_rows(columns: Mapping[str, Column], extend: bool = False) -> Colu
     at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
 
     def row(i: Column) -> Column:
-        return F.struct(*[(F.when((i >= F.size(c)) & F.lit(extend), F.try_element_at(c, F.lit(-1))).otherwise(F.get(c, i))).alias(name) for name, c in columns.items()])
+        return F.struct(
+            *[
+                (F.when((i >= F.size(c)) & F.lit(extend), F.try_element_at(c, F.lit(-1))).otherwise(F.get(c, i))).alias(name) for name,
+                c in columns.items()
+            ]
+        )
 
     return F.transform(at, row)
 
 
-def custom_rules(pages: DataFrame, rules: Mapping[str, Mapping], html: str = "html", url: str = "url", items: bool = False, only_one: bool = False) -> DataFrame:
+def custom_rules(
+    pages: DataFrame, rules: Mapping[str, Mapping], html: str = "html", url: str = "url", items: bool = False, only_one: bool = False
+) -> DataFrame:
     """Free-form rule set {name: {filter, target, extract, patch, ...}}: one record a page, or rows with items=True.  A page is parsed once for all rules."""
     staged = pages.withColumn("_nodes", html_nodes(F.col(html)))
-    values = {name: _each(custom_match(rule["filter"], F.col(html), F.col(url), rule.get("target", "text"), F.col("_nodes")), rule) for name, rule in rules.items()}
+    values = {
+        name: _each(custom_match(rule["filter"], F.col(html), F.col(url), rule.get("target", "text"), F.col("_nodes")), rule) for name,
+        rule in rules.items()
+    }
     if not items:
         return staged.withColumns({name: F.get(v, 0) for name, v in values.items()}).drop("_nodes")
     staged = staged.withColumns({f"_{name}": v for name, v in values.items()})
@@ -134,18 +144,28 @@ def match_detail_rules(articles: DataFrame, rules: DataFrame, key: str = "rid")
     """
     info = urls.typeinfo(F.col("url"))
     rows = articles.select(key, "url", info["domain"].alias("_domain"), info["subdomain"].alias("_sub"))
-    live = rules.where("status = 1").select(F.col("uuid").alias("rule_id"), F.col("domain").alias("_domain"), F.nullif(F.col("subdomain"), F.lit("")).alias("_rule_sub"), "pattern")
+    live = rules.where("status = 1").select(
+        F.col("uuid").alias("rule_id"), F.col("domain").alias("_domain"), F.nullif(F.col("subdomain"), F.lit("")).alias("_rule_sub"),
+        "pattern"
+    )
     level = F.when(F.col("_rule_sub") == F.col("_sub"), 0).when(F.col("_rule_sub").isNull(), 1)
     hit = F.coalesce(F.regexp_like("url", F.col("pattern")), F.lit(False))
-    best = rows.join(live, "_domain").withColumn("_level", level).where("_level is not null").groupBy(key).agg(F.min(F.struct("_level", (~hit).alias("missed"), "rule_id")).alias("_best"))
+    best = rows.join(live, "_domain").withColumn("_level", level).where("_level is not null").groupBy(key).agg(
+        F.min(F.struct("_level", (~hit).alias("missed"), "rule_id")).alias("_best")
+    )
     return articles.join(best.select(key, F.col("_best.rule_id").alias("rule_id")), key, "left")
 
 
 def check_rule(articles: DataFrame, rules: DataFrame) -> DataFrame:
     """articles (url, rule_id) with rule_ok: domain equal, subdomain equal if set, pattern matches if set."""
     info = urls.typeinfo(F.col("url"))
-    side = rules.select(F.col("uuid").alias("rule_id"), F.col("domain").alias("_d"), F.nullif(F.col("subdomain"), F.lit("")).alias("_s"), F.col("pattern").alias("_p"))
-    ok = (F.col("_d") == info["domain"]) & F.coalesce(F.col("_s") == info["subdomain"], F.lit(True)) & F.coalesce(F.regexp_like("url", F.col("_p")), F.lit(True))
+    side = rules.select(
+        F.col("uuid").alias("rule_id"), F.col("domain").alias("_d"), F.nullif(F.col("subdomain"), F.lit("")).alias("_s"),
+        F.col("pattern").alias("_p")
+    )
+    ok = (F.col("_d") == info["domain"]) & F.coalesce(F.col("_s") == info["subdomain"], F.lit(True)) & F.coalesce(
+        F.regexp_like("url", F.col("_p")), F.lit(True)
+    )
     return articles.join(side, "rule_id", "left").withColumn("rule_ok", F.coalesce(ok, F.lit(False))).drop("_d", "_s", "_p")
 
 
@@ -155,10 +175,15 @@ def media_types(articles: DataFrame, types: DataFrame) -> DataFrame:
     own = types.where("coalesce(subdomain, '') <> ''").groupBy(F.col("subdomain").alias("_sub")).agg(F.min("mediaType").alias("_own"))
     general = types.where("coalesce(subdomain, '') = ''").groupBy(F.col("domain").alias("_domain")).agg(F.min("mediaType").alias("_general"))
     rows = articles.withColumns({"_sub": info["subdomain"], "_domain": info["domain"]})
-    return rows.join(own, "_sub", "left").join(general, "_domain", "left").withColumn("mediaType", F.coalesce("_own", "_general", F.lit(DEFAULT_MEDIA_TYPE))).drop("_sub", "_domain", "_own", "_general")
+    return rows.join(own, "_sub", "left").join(general, "_domain", "left").withColumn(
+        "mediaType", F.coalesce("_own", "_general", F.lit(DEFAULT_MEDIA_TYPE))
+    ).drop("_sub", "_domain", "_own", "_general")
 
 
-def parse_items(pages: DataFrame, now: int, rules: Mapping[str, Mapping] | None = None, page: str = "page_id", url: str = "url", html: str = "html", lang: Column | str | None = None, lists=None) -> DataFrame:
+def parse_items(
+    pages: DataFrame, now: int, rules: Mapping[str, Mapping] | None = None, page: str = "page_id", url: str = "url", html: str = "html",
+    lang: Column | str | None = None, lists=None
+) -> DataFrame:
     """Item parser: (page, url, title, author, pubtime, content, rule fields); title, author, pubtime and content are always there.
 
     A page is parsed once and all fields are read from its nodes inside its row.  Stopwords are those of the
@@ -167,9 +192,14 @@ def parse_items(pages: DataFrame, now: int, rules: Mapping[str, Mapping] | None
     rules = rules or {}
     n, at, source = F.col("_nodes"), F.col(url), F.col(html)
     staged = pages.select(page, url, html, html_nodes(source).alias("_nodes"))
-    given = {f"_r_{name}": F.get(_each(custom_match(rule["filter"], source, at, rule.get("target", "text"), n), rule), 0) for name, rule in rules.items()}
+    given = {
+        f"_r_{name}": F.get(_each(custom_match(rule["filter"], source, at, rule.get("target", "text"), n), rule), 0) for name,
+        rule in rules.items()
+    }
     found = extract.content(n, at, F.col("_lang"), lists)
-    staged = staged.withColumns({"_lang": extract.page_language(n) if lang is None else F.lit(lang) if isinstance(lang, str) else lang, **given})
+    staged = staged.withColumns(
+        {"_lang": extract.page_language(n) if lang is None else F.lit(lang) if isinstance(lang, str) else lang, **given}
+    )
     staged = staged.withColumn("_content", found)
 
     def rule(name: str) -> Column | None:
@@ -187,11 +217,17 @@ def parse_items(pages: DataFrame, now: int, rules: Mapping[str, Mapping] | None
     )
 
 
-def parse_lists(pages: DataFrame, rules: Mapping[str, Mapping] | None = None, page: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def parse_lists(
+    pages: DataFrame, rules: Mapping[str, Mapping] | None = None, page: str = "page_id", url: str = "url", html: str = "html"
+) -> DataFrame:
     """List parser: rows (page, pos, title, url, ...) by rules, else by detection; addresses resolved, unusable ones dropped."""
     if rules:
         source = pages.select(page, F.col(url).alias("_base"), F.col(html).alias("_html"))
         rows = custom_rules(source, rules, "_html", "_base", items=True).drop("_html")
         return rows.withColumn("url", urls.resolve(F.col("url"), F.col("_base"))).where("url is not null").drop("_base")
-    staged = pages.select(page, F.col(url).alias("_base"), F.posexplode(extract.list_links(html_nodes(F.col(html)), F.col(url))).alias("pos", "_l"))
-    return staged.select(page, "pos", F.col("_l.title").alias("title"), urls.resolve(F.col("_l.url"), F.col("_base")).alias("url")).where("url is not null")
+    staged = pages.select(
+        page, F.col(url).alias("_base"), F.posexplode(extract.list_links(html_nodes(F.col(html)), F.col(url))).alias("pos", "_l")
+    )
+    return staged.select(
+        page, "pos", F.col("_l.title").alias("title"), urls.resolve(F.col("_l.url"), F.col("_base")).alias("url")
+    ).where("url is not null")

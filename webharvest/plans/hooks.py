@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of the stages at which hooks run.
-STAGES = ("init", "process", "prepare", "precrawl", "crawl", "postcrawl", "preparse", "parse", "postparse", "result", "next", "continue", "repetition", "error", "finish")
+STAGES = (
+    "init", "process", "prepare", "precrawl", "crawl", "postcrawl", "preparse", "parse", "postparse", "result", "next", "continue",
+    "repetition", "error", "finish"
+)
 
 Hook = Callable[[DataFrame], DataFrame]
 

@@ -59,10 +59,15 @@ def order_of(tag: str) -> str:
     return f"len(regexp_extract_all(split_part(html, '<{tag}>', 1), '<[a-z][a-z0-9]*[ >]'))::INT"
 
 
-@query(r"""SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href='))::INT AS anchors, len(regexp_extract_all(html, '<li[ >]'))::INT AS items, len(regexp_extract_all(html, '<meta '))::INT AS metas FROM pages""")
+@query(
+    r"""SELECT page_id, len(regexp_extract_all(html, '<a [^>]*href='))::INT AS anchors, len(regexp_extract_all(html, '<li[ >]'))::INT AS items, len(regexp_extract_all(html, '<meta '))::INT AS metas FROM pages"""
+)
 def h1_nodes(spark, d):
     n = F.col("nodes")
-    return nodes(spark, d).select("page_id", F.size(F.filter(tags(n, "a"), lambda x: attr(x, "href").isNotNull())).alias("anchors"), F.size(tags(n, "li")).alias("items"), F.size(tags(n, "meta")).alias("metas"))
+    return nodes(spark, d).select(
+        "page_id", F.size(F.filter(tags(n, "a"), lambda x: attr(x, "href").isNotNull())).alias("anchors"),
+        F.size(tags(n, "li")).alias("items"), F.size(tags(n, "meta")).alias("metas")
+    )
 
 
 @query(f"""SELECT page_id, count(*) AS links, min(title) AS least_title FROM {PAGE_LINKS} GROUP BY page_id""")
@@ -82,10 +87,14 @@ FAR = f"""(SELECT page_id, url, link, title FROM {PAGE_LINKS} UNION ALL SELECT p
 UNION ALL SELECT page_id, url, regexp_extract(url, '^([a-z]+://)', 1) || 'shop.' || {DOMAIN} || '/y', 'Y' FROM pages UNION ALL SELECT page_id, url, regexp_extract(url, '^([a-z]+://)', 1) || 'shop.' || {DOMAIN} || '/', 'Root' FROM pages)"""
 
 
-@query(f"""SELECT page_id, link, NOT contains(link, '//elsewhere.test/') AND ({SUB} = '' OR NOT contains(link, '://shop.')) AS same_subdomain, NOT contains(link, '//elsewhere.test/') AS same_domain FROM {FAR}""")
+@query(
+    f"""SELECT page_id, link, NOT contains(link, '//elsewhere.test/') AND ({SUB} = '' OR NOT contains(link, '://shop.')) AS same_subdomain, NOT contains(link, '//elsewhere.test/') AS same_domain FROM {FAR}"""
+)
 def h3_link_class(spark, d):
     same_host, same_domain = H.link_class(F.col("link"), F.col("page_url"))
-    return H.page_links(with_far_links(spark, d)).select("page_id", "link", same_host.alias("same_subdomain"), same_domain.alias("same_domain"))
+    return H.page_links(with_far_links(spark, d)).select(
+        "page_id", "link", same_host.alias("same_subdomain"), same_domain.alias("same_domain")
+    )
 
 
 @query(f"""SELECT page_id, link, title FROM {FAR} WHERE NOT contains(link, '//elsewhere.test/') AND ({SUB} = '' OR NOT contains(link, '://shop.'))
@@ -105,19 +114,27 @@ def h5_list_links(spark, d):
     return rows.select("page_id", F.explode(H.list_links(F.col("nodes"), F.col("url"))).alias("l")).select("page_id", "l.title", "l.url")
 
 
-@query(r"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, lower(regexp_extract(html, '<meta charset="([^"]*)"', 1)) AS encoding, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS domain FROM pages""")
+@query(
+    r"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, lower(regexp_extract(html, '<meta charset="([^"]*)"', 1)) AS encoding, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS domain FROM pages"""
+)
 def h6_metas(spark, d):
-    return nodes(spark, d).select("page_id", H.metas(F.col("nodes"), F.col("url")).alias("m")).select("page_id", "m.lang", "m.encoding", "m.domain")
+    return nodes(spark, d).select(
+        "page_id", H.metas(F.col("nodes"), F.col("url")).alias("m")
+    ).select("page_id", "m.lang", "m.encoding", "m.domain")
 
 
-@query("""SELECT page_id, unnest(['title', 'type', 'article:tag']) AS key, unnest(['U' || page_id, 'article', 't' || page_id]) AS value FROM pages""")
+@query(
+    """SELECT page_id, unnest(['title', 'type', 'article:tag']) AS key, unnest(['U' || page_id, 'article', 't' || page_id]) AS value FROM pages"""
+)
 def h7_open_graph(spark, d):
     meta = '<meta property="og:title" content="T{}"><meta property="og:type" content="article"><meta property="article:tag" content="t{}"><meta property="video:tag" content="v"><meta property="og:title" content="U{}">'
     rows = marked(spark, d, F.concat(ident(meta), F.col("html")))
     return rows.select("page_id", F.explode_outer(H.open_graph(F.col("nodes"))).alias("key", "value"))
 
 
-@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{"@type":"ReportageNewsArticle","headline":"H' || page_id || '"}' END AS json FROM pages""")
+@query(
+    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{"@type":"ReportageNewsArticle","headline":"H' || page_id || '"}' END AS json FROM pages"""
+)
 def h8_json_ld(spark, d):
     kind = F.when(F.col("page_id") % 3 == 0, "ReportageNewsArticle").otherwise("WebPage")
     script = F.concat(F.lit('<script type="application/ld+json">{"@type":"'), kind, ident('","headline":"H{}"}</script>'))
@@ -140,30 +157,45 @@ def h9_title(spark, d):
 def h10_author(spark, d):
     small = F.concat(F.lit("A"), (F.col("page_id") % 1000).cast("string"))
     by_mark = F.concat(F.lit('<b itemprop="author">Jo Lindt</b><b itemprop="author">'), small, F.lit("</b>"))
-    mark = F.when(F.col("page_id") % 3 == 0, F.concat(by_mark, F.lit("<i> 来源：Other</i>"))).when(F.col("page_id") % 3 == 1, ident("<i> 来源：Src{}</i>")).otherwise("")
+    mark = F.when(
+        F.col("page_id") % 3 == 0, F.concat(by_mark, F.lit("<i> 来源：Other</i>"))
+    ).when(F.col("page_id") % 3 == 1, ident("<i> 来源：Src{}</i>")).otherwise("")
     rows = marked(spark, d, F.concat(F.col("html"), mark))
     return rows.select("page_id", H.item_author(H.authors(F.col("nodes"), F.col("html"), F.col("url"))).alias("author"))
 
 
 @query("SELECT page_id, 978307200 + 86400 * (page_id % 300) AS pubtime FROM pages")
 def h11_publish_time(spark, d):
-    stamped = F.concat(F.lit('<meta property="article:published_time" content="'), F.date_format(F.timestamp_seconds(978307200 + 86400 * (F.col("page_id") % 300)), "yyyy-MM-dd"), F.lit('">'), F.col("html"))
+    stamped = F.concat(
+        F.lit('<meta property="article:published_time" content="'),
+        F.date_format(F.timestamp_seconds(978307200 + 86400 * (F.col("page_id") % 300)), "yyyy-MM-dd"), F.lit('">'), F.col("html")
+    )
     rows = table(spark, d, "pages").withColumn("html", stamped).withColumn("nodes", html_nodes("html"))
     return rows.select("page_id", H.publish_time(F.col("nodes"), F.col("html"), F.col("url"), NOW).alias("pubtime"))
 
 
-@query("""SELECT page_id, 0 AS scripts, (page_id % 2)::INT AS navs, (page_id % 2 * len(regexp_extract_all(html, '<li>')))::INT AS items FROM pages""")
+@query(
+    """SELECT page_id, 0 AS scripts, (page_id % 2)::INT AS navs, (page_id % 2 * len(regexp_extract_all(html, '<li>')))::INT AS items FROM pages"""
+)
 def h12_clean(spark, d):
     kind = F.when(F.col("page_id") % 2 == 0, '<nav class="navbar">').otherwise('<nav class="main">')
     clean = H.clean_nodes(F.col("nodes"))
     rows = marked(spark, d, F.replace("html", F.lit("<nav>"), kind))
-    return rows.select("page_id", F.size(tags(clean, "script", "style")).alias("scripts"), F.size(tags(clean, "nav")).alias("navs"), F.size(tags(clean, "li")).alias("items"))
+    return rows.select(
+        "page_id", F.size(tags(clean, "script", "style")).alias("scripts"), F.size(tags(clean, "nav")).alias("navs"),
+        F.size(tags(clean, "li")).alias("items")
+    )
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN false WHEN l_quantity::INT % 10 = 0 THEN true ELSE (l_quantity::INT % 7)::DOUBLE / (l_quantity::INT % 10) * (l_linenumber - 1) >= 1.0 END AS dense FROM lineitem")
+@query(
+    "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN false WHEN l_quantity::INT % 10 = 0 THEN true ELSE (l_quantity::INT % 7)::DOUBLE / (l_quantity::INT % 10) * (l_linenumber - 1) >= 1.0 END AS dense FROM lineitem"
+)
 def h13_link_density(spark, d):
     q = F.col("l_quantity").cast("int")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", H.link_density((q % 10).cast("double"), (q % 7).cast("double"), F.col("l_linenumber") - 1).alias("dense"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber",
+        H.link_density((q % 10).cast("double"), (q % 7).cast("double"), F.col("l_linenumber") - 1).alias("dense")
+    )
 
 
 SCORES = f"""(WITH s AS (SELECT *, {STOPS} AS stops FROM {PARAGRAPHS}),
@@ -208,20 +240,26 @@ def h16_siblings(spark, d):
 def h17_article_text(spark, d):
     """A block of links and a table without paragraphs inside the article are no content."""
     chaff = '<article><div><p><a href="/q">more</a></p></div><table><tr><td>1</td></tr></table>'
-    rows = marked(spark, d, F.replace("html", F.lit("<article>"), F.lit(chaff))).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
+    rows = marked(
+        spark, d, F.replace("html", F.lit("<article>"), F.lit(chaff))
+    ).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
     return rows.select("page_id", F.nullif(H.article_text(F.col("nodes"), F.col("top")), F.lit("")).alias("content"))
 
 
 @query("SELECT page_id, (2 + (page_id % 3 > 0)::INT) AS n_tags FROM pages")
 def h18_tags(spark, d):
     more = F.when(F.col("page_id") % 3 == 0, '<a rel="tag" href="/w">two</a>').otherwise(ident('<a rel="tag" href="/w">t{}</a>'))
-    tagged = F.concat(F.col("html"), F.lit('<a rel="tag" href="/x">one</a><a rel="tag" href="/y">two</a><a rel="tag" href="/z">one</a>'), more)
+    tagged = F.concat(
+        F.col("html"), F.lit('<a rel="tag" href="/x">one</a><a rel="tag" href="/y">two</a><a rel="tag" href="/z">one</a>'), more
+    )
     return marked(spark, d, tagged).select("page_id", F.size(H.tag_texts(F.col("nodes"))).alias("n_tags"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/in/' || page_id ELSE '/in/' || page_id || ',/more' END AS links FROM pages")
 def h19_content_links(spark, d):
-    inner = F.concat(ident('<article><a href="/in/{}">x</a>'), F.when(F.col("page_id") % 2 == 1, '<p><a href="/more">y</a></p>').otherwise(""))
+    inner = F.concat(
+        ident('<article><a href="/in/{}">x</a>'), F.when(F.col("page_id") % 2 == 1, '<p><a href="/more">y</a></p>').otherwise("")
+    )
     rows = marked(spark, d, F.replace("html", F.lit("<article>"), inner)).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
     return rows.select("page_id", F.array_join(H.content_links(F.col("nodes"), F.col("top")), ",").alias("links"))
 
@@ -230,8 +268,13 @@ def h19_content_links(spark, d):
 'https://www.' || CASE WHEN page_id % 2 = 0 THEN 'youtube' ELSE 'vimeo' END || '.com/e/' || page_id AS src FROM pages""")
 def h20_embeds(spark, d):
     odd = F.col("page_id") % 2 == 1
-    tweet = F.when(odd, '<blockquote class="twitter-tweet">a</blockquote><blockquote class="twitter-tweet">b</blockquote>').otherwise('<blockquote class="twitter-tweet">hi</blockquote>')
-    frame = F.concat(F.lit('<iframe src="https://www.'), F.when(odd, "vimeo").otherwise("youtube"), ident('.com/e/{}" width="'), (300 + F.col("page_id") % 500).cast("string"), F.lit('" height="360"></iframe>'))
+    tweet = F.when(
+        odd, '<blockquote class="twitter-tweet">a</blockquote><blockquote class="twitter-tweet">b</blockquote>'
+    ).otherwise('<blockquote class="twitter-tweet">hi</blockquote>')
+    frame = F.concat(
+        F.lit('<iframe src="https://www.'), F.when(odd, "vimeo").otherwise("youtube"), ident('.com/e/{}" width="'),
+        (300 + F.col("page_id") % 500).cast("string"), F.lit('" height="360"></iframe>')
+    )
     rows = marked(spark, d, F.concat(F.col("html"), tweet, F.lit('<iframe src="https://x.test/"></iframe>'), frame))
     found = rows.select("page_id", F.size(H.tweets(F.col("nodes"))).alias("tweets"), F.get(H.videos(F.col("nodes")), 0).alias("v"))
     return found.select("page_id", "tweets", "v.provider", "v.width", F.col("v.height").cast("string").alias("height"), "v.src")
@@ -239,14 +282,19 @@ def h20_embeds(spark, d):
 
 @query("SELECT page_id, '/i/' || page_id || '.png' AS image FROM pages")
 def h21_image(spark, d):
-    marked = F.concat(F.lit('<img src="/ads/1.png"><img src="/i/'), F.col("page_id").cast("string"), F.lit('.png">'), F.regexp_replace("html", "<img[^>]*>", ""))
+    marked = F.concat(
+        F.lit('<img src="/ads/1.png"><img src="/i/'), F.col("page_id").cast("string"), F.lit('.png">'),
+        F.regexp_replace("html", "<img[^>]*>", "")
+    )
     return table(spark, d, "pages").select("page_id", H.image(html_nodes(marked)).alias("image"))
 
 
 @query(f"""SELECT page_id, {ORIGIN} || '/top/' || page_id || '.pdf' AS file FROM pages
 UNION ALL SELECT page_id, regexp_replace({ORIGIN} || {PATH}, '[^/]*$', '') || 'near/' || page_id || '.docx' FROM pages WHERE page_id % 2 = 0""")
 def h22_attachments(spark, d):
-    near = F.when(F.col("page_id") % 2 == 0, ident('<a class="att" href="near/{}.docx">n</a>')).otherwise('<a class="att" href="page.html">n</a>')
+    near = F.when(
+        F.col("page_id") % 2 == 0, ident('<a class="att" href="near/{}.docx">n</a>')
+    ).otherwise('<a class="att" href="page.html">n</a>')
     rows = marked(spark, d, F.concat(F.col("html"), ident('<a class="att" href="/top/{}.pdf">t</a><a href="/other.pdf">o</a>'), near))
     links = J.custom_match("@css:a.att", F.col("html"), F.col("url"), "href", F.col("nodes"))
     return H.attachments(rows, links).select("page_id", "file")
@@ -254,7 +302,9 @@ def h22_attachments(spark, d):
 
 @query("SELECT page_id, lower(regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1)) AS charset, md5(html) AS digest FROM pages")
 def h23_charset(spark, d):
-    return table(spark, d, "pages").select("page_id", H.declared_charset(F.col("html")).alias("charset"), F.md5(decode_page(F.encode("html", "utf-8"))).alias("digest"))
+    return table(spark, d, "pages").select(
+        "page_id", H.declared_charset(F.col("html")).alias("charset"), F.md5(decode_page(F.encode("html", "utf-8"))).alias("digest")
+    )
 
 
 @query("SELECT page_id, contains(url, '/en/') OR contains(html, 'class=\"ad\"') AS blocked FROM pages")
@@ -268,16 +318,23 @@ def j1_json_rule(spark, d):
     return J.json_rule(wrapped, "body", {"filter": "$.data", "item": {"k": "$.k"}}).select("event_id", "k")
 
 
-@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs FROM pages")
+@query(
+    "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<p>'))::INT AS paragraphs FROM pages"
+)
 def j2_regex_rule(spark, d):
     h = F.col("html")
-    return table(spark, d, "pages").select("page_id", J.regex_rule(h, "@reg:<title>[t]</title>").alias("title"), F.size(J.regex_rule(h, "@reg:<p>", many=True)).alias("paragraphs"))
+    return table(spark, d, "pages").select(
+        "page_id", J.regex_rule(h, "@reg:<title>[t]</title>").alias("title"),
+        F.size(J.regex_rule(h, "@reg:<p>", many=True)).alias("paragraphs")
+    )
 
 
 SECOND = f"{plain(TITLES + '[2]')}"
 
 
-@query(f"""SELECT page_id, len(regexp_extract_all(html, '<li><a href="[^"]*"'))::INT AS items, {SECOND} AS second, {LINKS}[-1] AS last, {plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS heading FROM pages""")
+@query(
+    f"""SELECT page_id, len(regexp_extract_all(html, '<li><a href="[^"]*"'))::INT AS items, {SECOND} AS second, {LINKS}[-1] AS last, {plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS heading FROM pages"""
+)
 def j3_xpath_rule(spark, d):
     def rule(path):
         return J.custom_match(path, F.col("html"), F.col("url"), nodes=F.col("nodes"))
@@ -294,26 +351,40 @@ def j4_css_rule(spark, d):
         return J.custom_match(path, F.col("html"), F.col("url"), target, F.col("nodes"))
 
     return nodes(spark, d).select(
-        "page_id", F.get(rule("@css:nav > ul > li:eq(0) a", "href"), 0).alias("first"), F.get(rule("@css:nav li:eq(1) > a"), 0).alias("second"),
+        "page_id", F.get(
+            rule("@css:nav > ul > li:eq(0) a", "href"), 0
+        ).alias("first"), F.get(rule("@css:nav li:eq(1) > a"), 0).alias("second"),
         F.get(rule("@css:ul a[href]:last", "href"), 0).alias("last"), F.size(rule("@css:div.ad, nav a")).alias("either"),
     )
 
 
 @query("SELECT page_id, 'news' AS channel, regexp_extract(url, 'example\\.([a-z]+)/', 1) AS top FROM pages")
 def j5_constant_and_url(spark, d):
-    return table(spark, d, "pages").select("page_id", F.get(J.custom_match("@value:news", F.col("html"), F.col("url")), 0).alias("channel"), F.get(J.custom_match("@url:example.[top]/", F.col("html"), F.col("url")), 0).alias("top"))
+    return table(spark, d, "pages").select(
+        "page_id", F.get(J.custom_match("@value:news", F.col("html"), F.col("url")), 0).alias("channel"),
+        F.get(J.custom_match("@url:example.[top]/", F.col("html"), F.col("url")), 0).alias("top")
+    )
 
 
-@query("SELECT c_custkey, 'id-' || regexp_extract(c_name, '#0*([0-9]+)', 1) || '!' AS patched FROM customer WHERE regexp_matches(c_name, '#0*[0-9]')")
+@query(
+    "SELECT c_custkey, 'id-' || regexp_extract(c_name, '#0*([0-9]+)', 1) || '!' AS patched FROM customer WHERE regexp_matches(c_name, '#0*[0-9]')"
+)
 def j6_post_process(spark, d):
-    return table(spark, d, "customer").where(F.regexp_like("c_name", F.lit("#0*[0-9]"))).select("c_custkey", J.post_process(F.col("c_name"), {"extract": "#[r=z]0*[/r][r=n][0-9]+[/r]", "patch": "[x]"}).alias("zeros"), J.post_process(F.regexp_extract("c_name", "#0*([0-9]+)", 1), {"patch": "id-[x]!"}).alias("patched")).drop("zeros")
+    return table(spark, d, "customer").where(F.regexp_like("c_name", F.lit("#0*[0-9]"))).select(
+        "c_custkey", J.post_process(F.col("c_name"), {"extract": "#[r=z]0*[/r][r=n][0-9]+[/r]", "patch": "[x]"}).alias("zeros"),
+        J.post_process(F.regexp_extract("c_name", "#0*([0-9]+)", 1), {"patch": "id-[x]!"}).alias("patched")
+    ).drop("zeros")
 
 
 @query("""WITH o AS (SELECT o_custkey, list(o_orderkey ORDER BY o_orderkey) AS a, list(o_orderstatus ORDER BY o_orderkey)[1:2] AS b FROM orders GROUP BY o_custkey)
 SELECT o_custkey, unnest(a) AS k, unnest(list_transform(range(1, len(a) + 1), lambda i: coalesce(b[i], b[-1]))) AS s FROM o""")
 def j7_columns_to_rows(spark, d):
-    grouped = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("x"))
-    rows = J.columns_to_rows({"k": F.transform("x", lambda v: v["o_orderkey"]), "s": F.slice(F.transform("x", lambda v: v["o_orderstatus"]), 1, 2)}, extend=True)
+    grouped = table(spark, d, "orders").groupBy("o_custkey").agg(
+        F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))).alias("x")
+    )
+    rows = J.columns_to_rows(
+        {"k": F.transform("x", lambda v: v["o_orderkey"]), "s": F.slice(F.transform("x", lambda v: v["o_orderstatus"]), 1, 2)}, extend=True
+    )
     return grouped.select("o_custkey", F.explode(rows).alias("r")).select("o_custkey", "r.k", "r.s")
 
 
@@ -327,25 +398,35 @@ RULES = "(VALUES (1, 'example.com', '', '/en/', 1), (2, 'example.com', '', '/de/
 
 
 def detail_rules(spark) -> DataFrame:
-    return spark.sql(f"SELECT CAST(uuid AS LONG) uuid, domain, subdomain, pattern, status FROM {RULES.removeprefix('(').replace(') r(', ' AS r(')}")
+    return spark.sql(
+        f"SELECT CAST(uuid AS LONG) uuid, domain, subdomain, pattern, status FROM {RULES.removeprefix('(').replace(') r(', ' AS r(')}"
+    )
 
 
 @query(f"""WITH u AS (SELECT page_id, url, {DOMAIN} AS d, CASE WHEN {SUB} = '' THEN 'www' ELSE {SUB} END || '.' || {DOMAIN} AS s FROM pages),
 c AS (SELECT page_id, uuid, row_number() OVER (PARTITION BY page_id ORDER BY CASE WHEN subdomain = s THEN 0 ELSE 1 END, NOT coalesce(regexp_matches(url, pattern), false), uuid) AS k FROM u JOIN {RULES} ON d = domain AND status = 1 AND (coalesce(subdomain, '') = '' OR subdomain = s))
 SELECT u.page_id, uuid::BIGINT AS rule_id FROM u LEFT JOIN c ON u.page_id = c.page_id AND k = 1""")
 def j9_match_detail_rule(spark, d):
-    return J.match_detail_rules(table(spark, d, "pages").select("page_id", "url"), detail_rules(spark), "page_id").select("page_id", "rule_id")
+    return J.match_detail_rules(
+        table(spark, d, "pages").select("page_id", "url"), detail_rules(spark), "page_id"
+    ).select("page_id", "rule_id")
 
 
-@query(f"""SELECT page_id, coalesce({DOMAIN} = domain AND coalesce(CASE WHEN {SUB} = '' THEN 'www' ELSE {SUB} END || '.' || {DOMAIN} = nullif(subdomain, ''), true) AND coalesce(regexp_matches(url, pattern), true), false) AS rule_ok FROM pages JOIN {RULES} ON uuid = 1 + page_id % 6""")
+@query(
+    f"""SELECT page_id, coalesce({DOMAIN} = domain AND coalesce(CASE WHEN {SUB} = '' THEN 'www' ELSE {SUB} END || '.' || {DOMAIN} = nullif(subdomain, ''), true) AND coalesce(regexp_matches(url, pattern), true), false) AS rule_ok FROM pages JOIN {RULES} ON uuid = 1 + page_id % 6"""
+)
 def j10_check_rule(spark, d):
     rows = table(spark, d, "pages").select("page_id", "url", (1 + F.col("page_id") % 6).alias("rule_id"))
     return J.check_rule(rows, detail_rules(spark)).select("page_id", "rule_ok")
 
 
-@query(f"""SELECT page_id, CASE WHEN CASE WHEN {SUB} = '' THEN 'www' ELSE {SUB} END || '.' || {DOMAIN} = 'www.ththen.example.com' THEN 7 WHEN {DOMAIN} = 'example.com' THEN 1 WHEN {DOMAIN} = 'example.net' THEN 2 ELSE 99 END AS "mediaType" FROM pages""")
+@query(
+    f"""SELECT page_id, CASE WHEN CASE WHEN {SUB} = '' THEN 'www' ELSE {SUB} END || '.' || {DOMAIN} = 'www.ththen.example.com' THEN 7 WHEN {DOMAIN} = 'example.com' THEN 1 WHEN {DOMAIN} = 'example.net' THEN 2 ELSE 99 END AS "mediaType" FROM pages"""
+)
 def j11_media_type(spark, d):
-    types = spark.sql("SELECT * FROM VALUES ('example.com', '', 1), ('example.net', NULL, 2), ('example.com', 'www.ththen.example.com', 7) AS t(domain, subdomain, mediaType)")
+    types = spark.sql(
+        "SELECT * FROM VALUES ('example.com', '', 1), ('example.net', NULL, 2), ('example.com', 'www.ththen.example.com', 7) AS t(domain, subdomain, mediaType)"
+    )
     return J.media_types(table(spark, d, "pages").select("page_id", "url"), types).select("page_id", "mediaType")
 
 
@@ -361,6 +442,8 @@ def j12_item_parser(spark, d):
     return J.parse_items(table(spark, d, "pages").withColumn("html", page), NOW)
 
 
-@query(f"""SELECT page_id, pos, title, url FROM (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT AS pos, href, {plain("raw")} AS title, {ORIGIN} || href AS url FROM {ANCHORS} WHERE href <> '' AND NOT contains(href, '#')) WHERE href <> '/'""")
+@query(
+    f"""SELECT page_id, pos, title, url FROM (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1)::INT AS pos, href, {plain("raw")} AS title, {ORIGIN} || href AS url FROM {ANCHORS} WHERE href <> '' AND NOT contains(href, '#')) WHERE href <> '/'"""
+)
 def j13_list_parser(spark, d):
     return J.parse_lists(table(spark, d, "pages"))

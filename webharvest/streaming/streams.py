@@ -31,7 +31,9 @@ def parse_messages(raw: DataFrame, schema: str = MESSAGE) -> DataFrame:
     return raw.withColumn("m", F.from_json("raw", schema)).select("m.*", "raw")
 
 
-def write_messages(df: DataFrame, checkpoint: str, fmt: str = "json", path: str | None = None, trigger: dict | None = None, **options) -> StreamingQuery:
+def write_messages(
+    df: DataFrame, checkpoint: str, fmt: str = "json", path: str | None = None, trigger: dict | None = None, **options
+) -> StreamingQuery:
     """Write messages (topic, value) to a sink: `kafka`, or files of JSON lines in a folder for each topic, which read_messages reads."""
     writer = df.select("topic", "value").writeStream.option("checkpointLocation", checkpoint).options(**options).outputMode("append")
     writer = writer.format("text").partitionBy("topic") if fmt == "json" else writer.format(fmt)
@@ -49,7 +51,9 @@ def run_available(df: DataFrame, mode: str = "append") -> DataFrame:
     def save(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
 
-    query = df.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = df.writeStream.foreachBatch(save).outputMode(mode).option(
+        "checkpointLocation", f"{folder}/state"
+    ).trigger(availableNow=True).start()
     query.awaitTermination()
     schema = df.schema.add("epoch", "long")
     return spark.read.schema(schema).parquet(f"{folder}/rows") if query.lastProgress else spark.createDataFrame([], schema)
@@ -70,7 +74,9 @@ def first_seen(stream: DataFrame, event_time: str | None = None, bound: str = "7
     return stream.dropDuplicates(["unid"])
 
 
-def first_seen_batch(read_seen: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], order: tuple[str, ...] = ("ctime",)) -> Callable[[DataFrame, int], None]:
+def first_seen_batch(
+    read_seen: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], order: tuple[str, ...] = ("ctime",)
+) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: exact first-seen against the whole history; new rows go to the sink."""
     def run(batch: DataFrame, epoch: int) -> None:
         marked = insert_if_absent(batch, read_seen(batch), order)
@@ -92,7 +98,9 @@ def run_history(runs: DataFrame, kept: int = RUNS_KEPT) -> DataFrame:
     return runs.groupBy("uuid").applyInPandasWithState(update, "uuid long, runs array<long>", "runs array<long>", "update", "NoTimeout")
 
 
-def retry_action(error_class: Column, attempt: Column, retries: int = RETRIES, retried: Sequence[str] = RETRIED, ignored: Sequence[str] = IGNORED) -> Column:
+def retry_action(
+    error_class: Column, attempt: Column, retries: int = RETRIES, retried: Sequence[str] = RETRIED, ignored: Sequence[str] = IGNORED
+) -> Column:
     """retry, ignore or log."""
     return F.when(error_class.isin(*ignored), "ignore").when(error_class.isin(*retried) & (attempt <= retries), "retry").otherwise("log")
 
@@ -106,7 +114,9 @@ def with_attempts(errors: DataFrame) -> DataFrame:
         state.update((n + len(seqs),))
         yield pd.DataFrame({"task": key[0], "class": key[1], "seq": seqs, "attempt": range(n + 1, n + 1 + len(seqs))})
 
-    return errors.select("task", "class", "seq").groupBy("task", "class").applyInPandasWithState(count, "task long, class string, seq long, attempt long", "n long", "append", "NoTimeout")
+    return errors.select("task", "class", "seq").groupBy("task", "class").applyInPandasWithState(
+        count, "task long, class string, seq long, attempt long", "n long", "append", "NoTimeout"
+    )
 
 
 def apply_messages(change: Callable[[DataFrame], None], order: str = "seq") -> Callable[[DataFrame, int], None]:
@@ -122,9 +132,13 @@ def detail_work(messages: DataFrame, stored: DataFrame) -> tuple[DataFrame, Data
     one = F.when(F.startswith(F.ltrim("rid"), F.lit("[")), F.from_json("rid", "array<string>")).otherwise(F.array("rid"))
     each = messages.select("mode", F.explode(one).alias("rid"))
     joined = each.join(stored.select("rid", "url", F.lit(True).alias("_has")), "rid", "left")
-    return joined.where("_has").select("mode", "rid", "url"), joined.where("_has is null").select("mode", "rid", F.lit("article missing").alias("error"))
+    return joined.where("_has").select("mode", "rid", "url"), joined.where("_has is null").select(
+        "mode", "rid", F.lit("article missing").alias("error")
+    )
 
 
 def daily_articles(stream: DataFrame, event_time: str, late: str = "2 days") -> DataFrame:
     """(day, articles) with late rows up to the bound."""
-    return stream.withWatermark(event_time, late).groupBy(F.window(event_time, "1 day")).agg(F.count("*").alias("articles")).select(F.to_date("window.start").alias("day"), "articles")
+    return stream.withWatermark(event_time, late).groupBy(F.window(event_time, "1 day")).agg(F.count("*").alias("articles")).select(
+        F.to_date("window.start").alias("day"), "articles"
+    )
