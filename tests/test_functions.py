@@ -217,3 +217,112 @@ def test_partitioned_tables(spark, tmp_path):
     seen = spark.createDataFrame([("aa", 1), ("b1", 2)], "unid string, ctime long")
     S.write_table(seen, str(tmp_path / "unique"), "unique")
     assert [tuple(r) for r in S.seen_of(spark, str(tmp_path / "unique"), seen.where("unid = 'b1'")).collect()] == [("b1", 2)]
+
+
+def test_reads_are_pruned(spark, tmp_path):
+    from webharvest.sources import tables as S
+
+    def scan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    rows = spark.createDataFrame([("a", NOW, "m0"), ("b", NOW + 40 * 86400, "m1")], "acid string, ctime long, mode string")
+    S.write_table(S.conform(rows, "articles"), str(tmp_path / "articles"), "articles")
+    plan = scan(S.read_months(spark, str(tmp_path / "articles"), "articles", NOW, NOW + 86400))
+    assert "PartitionFilters: [isnotnull(ym" in plan and "199601" in plan
+    S.write_table(S.conform(rows, "spider_task"), str(tmp_path / "tasks"), "spider_task")
+    assert S.read_modes(spark, str(tmp_path / "tasks"), "m1").count() == 1
+    assert "PartitionFilters: [isnotnull(mode" in scan(S.read_modes(spark, str(tmp_path / "tasks"), "m1"))
+
+
+def files(folder, *batches):
+    """JSON files, a micro-batch each, in the order of their times."""
+    import json
+    import os
+
+    folder.mkdir()
+    for k, rows in enumerate(batches):
+        path = folder / f"{k}.json"
+        path.write_text("\n".join(json.dumps(r) for r in rows))
+        os.utime(path, (1_600_000_000 + k, 1_600_000_000 + k))
+    return str(folder)
+
+
+def test_first_seen_over_batches_and_history(spark, tmp_path):
+    source = files(
+        tmp_path / "in", [{"unid": "a", "ctime": 5}, {"unid": "b", "ctime": 3}, {"unid": "a", "ctime": 4}],
+        [{"unid": "b", "ctime": 1}, {"unid": "c", "ctime": 9}, {"unid": "old", "ctime": 8}]
+    )
+    stream = spark.readStream.schema("unid string, ctime long").option("maxFilesPerTrigger", 1).json(source)
+    history = str(tmp_path / "history")
+    spark.createDataFrame([("old", 0)], "unid string, ctime long").write.parquet(history)
+    work = ST.first_seen_batch(lambda batch: spark.read.parquet(history), lambda new, epoch: new.write.mode("append").parquet(history))
+    stream.writeStream.foreachBatch(work).trigger(availableNow=True).option(
+        "checkpointLocation", str(tmp_path / "c1")
+    ).start().awaitTermination()
+    assert sorted(tuple(r) for r in spark.read.parquet(history).collect()) == [("a", 4), ("b", 3), ("c", 9), ("old", 0)]
+    assert sorted(r.unid for r in ST.run_available(ST.first_seen(stream)).collect()) == ["a", "b", "c", "old"]
+
+
+def test_attempts_and_runs_are_kept_over_batches(spark, tmp_path):
+    source = files(
+        tmp_path / "in", [{"task": "t", "class": "Timeout", "seq": 2}, {"task": "t", "class": "Timeout", "seq": 1}],
+        [{"task": "t", "class": "Timeout", "seq": 3}, {"task": "u", "class": "Timeout", "seq": 4}]
+    )
+    stream = spark.readStream.schema("task string, class string, seq long").option("maxFilesPerTrigger", 1).json(source)
+    rows = ST.run_available(ST.with_attempts(stream)).orderBy("seq").collect()
+    assert [(r.task, r.seq, r.attempt, r.epoch) for r in rows] == [("t", 1, 1, 0), ("t", 2, 2, 0), ("t", 3, 3, 1), ("u", 4, 1, 1)]
+    runs = stream.select(F.when(F.col("task") == "t", 1).otherwise(2).cast("long").alias("uuid"), (F.col("seq") * 10).alias("run"))
+    kept = {(r.uuid, r.epoch): r.runs for r in ST.run_available(ST.run_history(runs, kept=2), "update").collect()}
+    assert kept == {(1, 0): [10, 20], (1, 1): [20, 30], (2, 1): [40]}
+
+
+def test_daily_counts_with_late_rows(spark, tmp_path):
+    days = [
+        [{"ts": "1996-01-01T10:00:00"}], [{"ts": "1996-01-02T01:00:00"}, {"ts": "1996-01-01T23:00:00"}], [{"ts": "1996-01-09T00:00:00"}],
+        [{"ts": "1996-01-09T01:00:00"}], [{"ts": "1996-01-01T00:00:00"}]
+    ]
+    stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).json(files(tmp_path / "in", *days))
+    rows = ST.run_available(ST.daily_articles(stream, "ts"), "update")
+    last = {str(r.day): r.articles for r in rows.groupBy("day").agg(F.max_by("articles", "epoch").alias("articles")).collect()}
+    assert last == {"1996-01-01": 2, "1996-01-02": 1, "1996-01-09": 2}  # the last row comes after the bound
+
+
+def test_content_of_a_page_without_a_known_container(spark):
+    said = "the river is high and the town is wet with the rain of the night"
+    page = f"""<html lang="en"><body><nav><ul><li><a href="/x">x</a></li></ul></nav><div id="wrap"><div><p>{said} zero</p></div>
+<div><p><a href="/z">{said}</a></p></div><p>Lead</p><div id="main"><p>{said} one</p><p>{said} two</p><div><a href="/q">more</a></div>
+<table><tr><td>1</td></tr></table><ul><li>item</li></ul><p>{said} three</p></div></div></body></html>"""
+    rows = spark.createDataFrame(
+        [(1, page), (2, None), (3, "<p>short</p>")], "page_id long, html string"
+    ).withColumn("nodes", nodes.html_nodes("html"))
+    got = {
+        r.page_id: r.c for r in rows.select(
+            "page_id", H.content(F.col("nodes"), F.lit("http://e.com/"), H.page_language(F.col("nodes"))).alias("c")
+        ).collect()
+    }
+    assert got[1].text == "\n\n".join([f"{said} zero", "Lead", f"{said} one", f"{said} two", "• item", f"{said} three"])
+    assert (got[2].top, got[2].text, got[3].text) == (None, None, None)
+
+
+def test_stopword_tables(spark):
+    from webharvest.functions import text as T
+
+    table = spark.createDataFrame([("sv", "Och"), ("sv", "att"), ("sv", "att"), (None, "x"), ("nl", "")], "lang string, word string")
+    lists = T.stopword_lists(table)
+    assert lists == {"sv": ["att", "och"]}
+    assert one(spark, T.stopwords_by_language(F.lit("Och det, att vara"), F.lit("sv-SE"), lists)) == 2
+    with pytest.raises(ValueError):
+        T.stopword_lists(table, most=1)
+    texts = spark.createDataFrame([("a b", "en"), ("a c", "en"), ("a", "en"), (None, "en"), ("z", "de")], "text string, lang string")
+    assert {tuple(r) for r in T.frequent_words(texts, share=0.5).collect()} == {("en", "a"), ("de", "z")}
+
+
+def test_selectors_match_nested_and_indexed_steps(spark):
+    page = '<div class="a b" id="top"><ul><li>1</li><li class="x y">2</li></ul><ul><li>3</li><li>4</li><li>5</li></ul><p title="t-1">p</p></div>'
+    rows = spark.createDataFrame([(page,)], "html string").withColumn("n", nodes.html_nodes("html"))
+    cases = {
+        "@css:div.b > ul li": ["1", "2", "3", "4", "5"], "@css:ul:eq(1) li": ["3", "4", "5"], "@css:li:last": ["5"], "@css:#top li.y": ["2"], "@css:li:eq(-2)": ["4"], "@css:p[title^=t], li.x": ["2", "p"],
+        "@xpath://ul/li[1]": ["1", "3"], "//ul[2]/li[last()]/text()": ["5"], "/div/ul/li[3]": ["5"], "//*[@class='x y']": ["2"], "//p[contains(@title,'-1')]/@title": ["t-1"], "//nav": [],
+    }
+    got = rows.select(*[nodes.selector(rule, F.col("n")).alias(str(k)) for k, rule in enumerate(cases)]).first()
+    assert list(got) == list(cases.values())

@@ -222,7 +222,7 @@ def st3_run_history(spark, d):
 )
 def st4_retry(spark, d):
     errors = events(spark, d).select(
-        F.col("user_id").cast("string").alias("task"), F.col("event_type").alias("class"), F.col("event_id").alias("seq")
+        F.col("user_id").alias("task"), F.col("event_type").alias("class"), F.col("event_id").alias("seq")
     )
     counted = ST.run_available(ST.with_attempts(errors))
     action = ST.retry_action(F.col("class"), F.col("attempt"), retried=("view",), ignored=("click",))

@@ -115,7 +115,7 @@ def with_attempts(errors: DataFrame) -> DataFrame:
         yield pd.DataFrame({"task": key[0], "class": key[1], "seq": seqs, "attempt": range(n + 1, n + 1 + len(seqs))})
 
     return errors.select("task", "class", "seq").groupBy("task", "class").applyInPandasWithState(
-        count, "task long, class string, seq long, attempt long", "n long", "append", "NoTimeout"
+        count, f"task {errors.schema['task'].dataType.simpleString()}, class string, seq long, attempt long", "n long", "append", "NoTimeout"
     )
 
 
