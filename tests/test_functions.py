@@ -63,6 +63,10 @@ def test_html_repair():
     assert [n["tag"] for n in got] == ["ul", "li", "li", "p", "p", "script", "b"]
     assert [n["text"] for n in got if n["tag"] in ("li", "p")] == ["a", "b", "x", "yz"]
     assert nodes.parse(None) == [] and nodes.parse("") == []
+    odd = nodes.parse("<A HREF='x>y' title=\"q &amp; r\" title=2 hidden>t &lt; u</a> 3 < 4<title>a<b</title><!-- <p> --><i>z<!-- open <b>")
+    assert [(n["tag"], n["text"]) for n in odd] == [("a", "t < u"), ("title", "a<b"), ("i", "z")]
+    assert odd[0]["attrs"] == {"href": "x>y", "title": "q & r", "hidden": ""}
+    assert len(nodes.parse('<a b="' * 20_000)) == 0 and len(nodes.parse('<a b=">" ' * 20_000)) == 0
     with pytest.raises(ValueError):
         nodes.compile_css("a:hover")
     with pytest.raises(ValueError):

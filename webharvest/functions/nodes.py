@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark import SparkContext
@@ -55,14 +55,46 @@ JUNK = (
 SOCIAL = (r"^caption$", r" google ", r"^[^entry-]more.*$", r"[^-]facebook", r"facebook-broadcasting", r"[^-]twitter")
 
 
-class _Builder(HTMLParser):
+#: Comments, declarations, tags (end mark, name, attributes); anything else is text.  Possessive, and without tags of over 1000 parts, so
+#: that a page without end marks takes no more than that at each start mark.
+TOKEN = re.compile(
+    r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?|=){0,1000}+)>",
+    re.S,
+)
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?")
+#: Elements whose content is text up to their end tag; in the last two, character references count.
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea")}
+
+
+class _Builder:
     def __init__(self, junk: re.Pattern):
-        super().__init__(convert_charrefs=True)
         self.nodes: list[dict] = []
         self.open: list[int] = []
         self.junk = junk
         self.pieces: list[tuple[int, str]] = []  # (open node, text) in order
 
+    def feed(self, page: str) -> None:
+        at = 0
+        while m := TOKEN.search(page, at):
+            self.handle_data(unescape(page[at : m.start()]))
+            at = m.end()
+            if m[2] is None:
+                continue
+            tag = m[2].lower()
+            if m[1]:
+                self.handle_endtag(tag)
+                continue
+            self.handle_starttag(tag, [(k.lower(), unescape(a or b or c)) for k, a, b, c in ATTRIBUTE.findall(m[3])])
+            if m[3].endswith("/") and tag not in VOID:
+                self.handle_endtag(tag)
+            elif tag in RAW_END:
+                end = RAW_END[tag].search(page, at)
+                text = page[at : end.start() if end else len(page)]
+                self.handle_data(text if tag in ("script", "style") else unescape(text))
+                at += len(text)
+        self.handle_data(unescape(page[at:]))
+
     def _close_to(self, position: int) -> None:
         for k in self.open[position:]:
             self.nodes[k]["last"] = len(self.nodes) - 1
@@ -84,7 +116,7 @@ class _Builder(HTMLParser):
             if name in CLOSES.get(tag, ()):
                 self._close_to(i)
                 break
-        values = {k: v if v is not None else "" for k, v in reversed(attrs)}
+        values = dict(reversed(attrs))
         parent = self.open[-1] if self.open else -1
         up = self.nodes[parent] if parent >= 0 else None
         bad = bool(up and up["junk"]) or tag in ("script", "style", "noscript") or (
@@ -103,11 +135,6 @@ class _Builder(HTMLParser):
         elif tag == "br" and self.open:
             self.pieces.append((self.open[-1], "\n"))
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[i]]["tag"] == tag:
@@ -133,7 +160,6 @@ def parse(html: str | None, extra_junk: str = "") -> list[dict]:
     """
     builder = _Builder(_junk(extra_junk))
     builder.feed(html or "")
-    builder.close()
     builder._close_to(0)
     out = []
     raw = {n["order"] for n in builder.nodes if n["tag"] in ("script", "style")}
