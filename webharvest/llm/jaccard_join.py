@@ -86,6 +86,11 @@ def shingle_sets(docs: DataFrame, *, n: int = 5, tokens: int = 128, id_col: str
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(make, SETS)
 
 
+def _spread(groups: DataFrame) -> DataFrame:
+    """Groups over as many tasks as the session has shuffle partitions: they are small, but dear, so they are not joined by bytes."""
+    return groups.repartition(int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")), "group_id")
+
+
 def _star(adjacent: np.ndarray) -> np.ndarray:
     """The least member index of each row's component."""
     label = np.arange(len(adjacent))
@@ -145,7 +150,7 @@ def candidate_edges(
         far = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[far], "b": ids[label[far]]})
 
-    return groups.join(sketches, "doc_id").groupBy("group_id").applyInPandas(match, "a long, b long").distinct()
+    return _spread(groups.join(sketches, "doc_id")).groupBy("group_id").applyInPandas(match, "a long, b long").distinct()
 
 
 def verified(
@@ -210,7 +215,7 @@ def verified(
         label = _star(counted)
         return pd.DataFrame({"doc_id": ids, "least": ids[label], "links": links})
 
-    found = cut(groups.groupBy("group_id").applyInPandas(verify, "doc_id long, least long, links long"))
+    found = cut(_spread(groups).groupBy("group_id").applyInPandas(verify, "doc_id long, least long, links long"))
     return found.where("doc_id <> least").select(
         F.col("doc_id").alias("a"), F.col("least").alias("b")
     ), found.groupBy("doc_id").agg(F.sum("links").alias("links"))
