@@ -283,7 +283,7 @@ def new_search_tasks_by_keyword(
 
 def match_list_rule(tasks: DataFrame, urls: DataFrame, rules: DataFrame) -> DataFrame:
     """tasks with (action, reason, fetch_url, base_url): ok, delete, disable or error."""
-    joined = tasks.join(_url_side(urls), "uid", "left").join(_rule_side(rules), "_ruleId", "left")
+    joined = _with_rule(tasks.join(_url_side(urls), "uid", "left"), rules)
     action, reason = _judge()
     return joined.select(
         *tasks.columns, action.alias("action"), reason.alias("reason"),
@@ -294,7 +294,7 @@ def match_list_rule(tasks: DataFrame, urls: DataFrame, rules: DataFrame) -> Data
 def match_search_rule(tasks: DataFrame, keywords: DataFrame, urls: DataFrame, rules: DataFrame) -> DataFrame:
     """As match_list_rule, with the keyword first: a missing one deletes, an inactive one disables; adds the word."""
     words = keywords.select(F.col("uuid").alias("kid"), F.col("word").alias("_word"), F.col("status").alias("_word_status"))
-    joined = tasks.join(words, "kid", "left").join(_url_side(urls), "uid", "left").join(_rule_side(rules), "_ruleId", "left")
+    joined = _with_rule(tasks.join(words, "kid", "left").join(_url_side(urls), "uid", "left"), rules)
     action, reason = _judge(
         F.when(F.col("_word").isNull(), F.struct(F.lit("delete").alias("a"), F.lit("keyword missing").alias("r"))).when(
             F.col("_word_status") != 1, F.struct(F.lit("disable").alias("a"), F.lit("keyword inactive").alias("r"))
@@ -313,8 +313,11 @@ def _url_side(urls: DataFrame) -> DataFrame:
     )
 
 
-def _rule_side(rules: DataFrame) -> DataFrame:
-    return rules.select(F.col("uuid").alias("_ruleId"), F.lit(True).alias("_has_rule"), F.col("status").alias("_list_status"))
+def _with_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """Rows with the list rule of `_ruleId`; rows without a rule id are dealt by their url id, so that they do not meet in one task."""
+    none = -1 - F.pmod(F.xxhash64("uid"), F.lit(1024))
+    side = rules.select(F.col("uuid").alias("_key"), F.lit(True).alias("_has_rule"), F.col("status").alias("_list_status")).where("_key > 0")
+    return rows.withColumn("_key", F.coalesce(F.nullif("_ruleId", F.lit(0)), none)).join(side, "_key", "left").drop("_key")
 
 
 def _judge(first: Column | None = None) -> tuple[Column, Column]:
