@@ -56,6 +56,15 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def hash_strings(texts: pa.Array) -> np.ndarray:
+    """A 64-bit hash of the bytes of each string, the same in every process; a null counts as an empty one."""
+    raw, offs = text_buffers(texts)
+    power, inverse = _powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: len(raw)], out=sums[1:])
+    return mix((sums[offs[1:]] - sums[offs[:-1]]) * inverse[offs[:-1]])
+
+
 def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes each; a longer text gets a range of its own."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ._tables import cut
 from .chat_format import ORACLE as CHAT_SQL
 from .chat_format import format_chats, read_back
+from .collocations import ORACLE as COLLOCATION_SQL
+from .collocations import collocations
 from .decontaminate import contaminated
 from .fingerprints import edited_with_next, near_classes
 from .jaccard_join import jaccard_join
@@ -82,14 +84,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages")).drop("rate", "lower")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
             op1_decontaminate, op2_quality, op3_jaccard_join, op4_licenses, op5_fingerprints, op6_chat_format, op7_token_counts, op8_pii,
-            op9_mixing, op10_url_filters
+            op9_mixing, op10_url_filters, op11_collocations
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": license_sql(), "op6_chat_format": CHAT_SQL, "op10_url_filters": url_sql()}
+    return {"op4_licenses": license_sql(), "op6_chat_format": CHAT_SQL, "op10_url_filters": url_sql(), "op11_collocations": COLLOCATION_SQL}
