@@ -1,12 +1,16 @@
 """Collocations, embedding groups and ranked search against plain versions."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from webharvest.llm import vector_groups as vectors
 from webharvest.llm.collocations import collocations
+from webharvest.llm.vector_groups import vector_groups
 
 EDGES = [
     (1, None, "en"), (2, "", None), (3, " \t\n.;", "en"), (4, "One", ""), (5, "a b\vc d", None), (5, "a b\vc d", None), (6, "x" * 5000, "en"),
@@ -59,3 +63,87 @@ def test_collocations_brute_force(spark):
         got = {tuple(x) for x in collocations(docs, least=least, top=top).collect()}
         assert got == plain_collocations(rows, least, top)
     assert collocations(docs.limit(0)).count() == 0
+
+
+def plain_groups(rows, threshold=0.93):
+    """n_links and component of each id, and the links, by comparing all pairs."""
+    units = {}
+    for i, v, label in rows:
+        if label is not None and v and all(c is not None and math.isfinite(c) for c in v) and any(v):
+            x = np.array(v, np.float32).astype(np.float64)
+            units[i] = (label, x / np.linalg.norm(x))
+    links = {i: set() for i, _, _ in rows}
+    for i, (la, a) in units.items():
+        for j, (lb, b) in units.items():
+            if i < j and la == lb and len(a) == len(b) and a @ b >= threshold:
+                links[i].add(j)
+                links[j].add(i)
+    least = {}
+    for i in sorted(links):
+        todo = [] if i in least else [i]
+        while todo:
+            k = todo.pop()
+            if k not in least:
+                least[k] = i
+                todo += links[k]
+    return links, least
+
+
+def near(r, v, cosine):
+    """A vector at the given cosine of v."""
+    u, w = np.array(v) / np.linalg.norm(v), np.array([r.gauss(0, 1) for _ in v])
+    w -= (w @ u) * u
+    return [float(x) for x in cosine * u + math.sqrt(1 - cosine**2) * w / np.linalg.norm(w)]
+
+
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def test_vector_groups_brute_force(spark):
+    """Odd vectors, ties, copies, chains and a hot group in one list; equal to all pairs compared."""
+    r = random.Random(5)
+    some = [[r.gauss(0, 1) for _ in range(10)] for _ in range(60)]
+    rows = [(k, v, k % 3) for k, v in enumerate(some)]
+    rows += [(100 + k, near(r, some[k % 20], 0.9 + 0.001 * k), k % 20 % 3) for k in range(100)]
+    rows += [(300 + k, some[7], 1) for k in range(90)] + [(400 + k, near(r, some[8], 0.985), 2) for k in range(70)]
+    nan, inf = float("nan"), float("inf")
+    rows += [
+        (500 + k, v, label) for k, (v, label) in enumerate(
+            [
+                (None, 1), ([], 1), ([0.0] * 10, 1), ([nan] * 10, 1), ([inf] + some[0][1:], 1), ([None] + some[0][1:], 1), (some[7], None),
+                (some[7], 9), (some[7][:9], 1), ([x * 1e-30 for x in some[7]], 1), ([x * 1e30 for x in some[7]], 1), ([-x for x in some[7]], 1)
+            ]
+        )
+    ]
+    df = spark.createDataFrame(rows + rows[:5] + [(None, some[7], 1)], VECTORS).withColumn("id", F.lit("x")).repartition(5)
+    links, least = plain_groups(rows)
+    for options in ({}, {"block": 16}):
+        got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in vector_groups(df, **options).collect()}
+        assert got == {i: (len(links[i]), least[i], least[i] == i) for i in links}
+    assert vector_groups(df.limit(0)).count() == 0
+
+
+def test_vector_groups_recall(spark):
+    """Many lists and probes: nothing below the threshold is linked, and of the pairs at it and a little over nearly all are met."""
+    r = random.Random(6)
+    some = [[r.gauss(0, 1) for _ in range(32)] for _ in range(1200)]
+    rows = [(k, v, 0) for k, v in enumerate(some)] + [(2000 + k, near(r, some[k], r.uniform(0.931, 0.95)), 0) for k in range(1200)]
+    links, _ = plain_groups(rows)
+    got = {x.vec_id: x.n_links for x in vector_groups(spark.createDataFrame(rows, VECTORS), leaf=64, block=50).collect()}
+    assert all(got[i] <= len(links[i]) for i in links) and sum(map(len, links.values())) >= 2400
+    assert sum(got.values()) >= 0.97 * sum(map(len, links.values()))
+
+
+def test_quantiser_of_two_levels(monkeypatch):
+    """Lists of two levels hold every vector, and look-up distances are those of the coded vectors, off by the error kept at most."""
+    monkeypatch.setattr(vectors, "WIDTH", 4)
+    x = vectors._units(np.random.default_rng(1).normal(size=(500, 10)))
+    q = vectors.Quantiser(x, 16, 0.93, 0.99)
+    own = q.own(x)
+    assert len(np.unique(own)) > 8 and own.max() < 16 and (q.probes(x, 16)[:, 0] == own).mean() > 0.5
+    codes, error = q.encode(x, own)
+    for which in np.unique(own):
+        at = own == which
+        far = q.table_distances(x[:50], int(which), codes[at])
+        true = np.sqrt(((x[:50, None] - x[None, at]) ** 2).sum(-1))
+        assert (np.abs(np.sqrt(np.maximum(far, 0)) - true) <= error[at][None, :] + 1e-3).all()

@@ -23,6 +23,7 @@ from .quality import fit_classifier
 from .token_counts import token_counts
 from .url_filters import judge_urls
 from .url_filters import oracle as url_sql
+from .vector_groups import vector_groups
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,11 +89,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_groups(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
             op1_decontaminate, op2_quality, op3_jaccard_join, op4_licenses, op5_fingerprints, op6_chat_format, op7_token_counts, op8_pii,
-            op9_mixing, op10_url_filters, op11_collocations
+            op9_mixing, op10_url_filters, op11_collocations, op12_vector_groups
         )
     }
 
