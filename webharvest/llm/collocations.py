@@ -26,7 +26,7 @@ from ._words import hash_strings, mix, steps, text_buffers
 #: a bigram that it passes by chance costs a row, none is lost.
 FILTER_BITS = 27
 #: Bytes of text counted at once in a task.
-STEP_BYTES = 1 << 24
+STEP_BYTES = 1 << 22
 GRAMS = "lang string, phrase string, f long"
 _SPACE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 32]] = True
