@@ -8,8 +8,10 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+from webharvest.llm import lexical_search as lexical
 from webharvest.llm import vector_groups as vectors
 from webharvest.llm.collocations import collocations
+from webharvest.llm.lexical_search import ranked_search
 from webharvest.llm.vector_groups import vector_groups
 
 EDGES = [
@@ -147,3 +149,55 @@ def test_quantiser_of_two_levels(monkeypatch):
         far = q.table_distances(x[:50], int(which), codes[at])
         true = np.sqrt(((x[:50, None] - x[None, at]) ** 2).sum(-1))
         assert (np.abs(np.sqrt(np.maximum(far, 0)) - true) <= error[at][None, :] + 1e-3).all()
+
+
+def plain_search(rows, items, top):
+    def terms(text):
+        return re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+
+    docs = [(i, Counter(w)) for i, w in ((i, terms(t)) for i, t in rows) if w]
+    size, words = len(docs), sum(sum(c.values()) for _, c in docs)
+    df = Counter(t for _, c in docs for t in c)
+    out = set()
+    for item, text in items:
+        found = []
+        for i, c in docs:
+            m, score = 75 + 25 * sum(c.values()) * size // words, 0
+            for t in terms(text):
+                if c[t]:
+                    score += math.floor(1000 * math.log((2 * size + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 12 * m))
+            if score > 0:
+                found.append((-score, i is None, i or 0, i))
+        out |= {(item, k + 1, x[3], -x[0]) for k, x in enumerate(sorted(found)[:top])}
+    return out
+
+
+def test_ranked_search_brute_force(spark, monkeypatch):
+    """Odd texts, ties, repeated and missing ids, in one range and in many; equal to scoring every document."""
+    r = random.Random(9)
+    stock = [f"w{k}" for k in range(60)] + ["Über", "über", "x_y", "THE"]
+    rows = [(k, " ".join(r.choice(stock[: r.choice([5, 20, 64])]) for _ in range(r.randrange(1, 60)))) for k in range(600)]
+    rows += [(1000 + k, "w1 w2 w3 tied") for k in range(80)] + [(1000, "w1 w2 w3 tied"), (None, "w1 w2 w3 tied"), (2000, "tied w9 " * 20000)]
+    rows += [(3000, None), (3001, ""), (3002, " _!"), (3003, "é😀 é"), (7, rows[7][1])]
+    items = [(k, " ".join(r.choice(stock) for _ in range(r.randrange(1, 12)))) for k in range(30)]
+    items += [(50, "tied"), (51, "tied w1 W1"), (52, None), (53, ""), (54, "absent"), (55, "é😀 w3"), (56, " ".join(t for _, t in rows[:20]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1)).repartition(3)
+    asked = spark.createDataFrame(items + [(None, "w1"), (50, "tied w5")], "item_id long, text string").withColumn("rank", F.lit("x"))
+    for size in (4096, 37):
+        monkeypatch.setattr(lexical, "RANGE_DOCS", size)
+        got = {(x.item_id, x["rank"], x.doc_id, x.score) for x in ranked_search(docs, asked).collect()}
+        assert got == plain_search(rows, items, 20)
+    assert ranked_search(docs, asked.limit(0)).count() == 0 and ranked_search(docs.limit(0), asked).count() == 0
+
+
+def test_k2_treap_holds_every_entry():
+    random_ = np.random.default_rng(2)
+    entry = np.unique(random_.integers(0, 90 * 300, 900))
+    rows, columns, impacts = entry // 300, entry % 300, random_.integers(1, 10**6, len(entry))
+    tree = lexical.K2Treap.build(rows, columns, impacts)
+    assert tree.height == 9 and tree.maxima[0] == impacts.max() and len(tree.maxima) == 1 + lexical._COUNT[tree.masks].sum()
+    ids = np.arange(300) * 2
+    for row in (0, 17, rows[5], 89):
+        own = sorted((-int(i), int(c) * 2) for r, c, i in zip(rows, columns, impacts) if r == row)
+        assert tree.best(np.array([row]), np.array([1]), ids, [], 1000) == own
+        assert tree.best(np.array([row]), np.array([3]), ids, [], 2) == [(3 * s, i) for s, i in own[:2]]

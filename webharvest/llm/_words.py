@@ -17,6 +17,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), 95, *range(97, 123), *range(128, 256)]] = True
+_TERM = _WORD.copy()
+_TERM[95] = False
 _SOLID = np.ones(256, dtype=bool)
 _SOLID[[*range(9, 14), 32]] = False
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -81,15 +83,16 @@ def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]
 class Words:
     """The words of a string array: hash, row, byte range.
 
-    By default words of the lower-cased texts; with `spaced`, the tokens between white space as they stand.
+    By default words of the lower-cased texts; with `spaced`, the tokens between white space as they stand; with
+    `terms`, words without underscores of the texts lower-cased in A-Z only.
     """
 
-    def __init__(self, texts: pa.Array, spaced: bool = False):
+    def __init__(self, texts: pa.Array, spaced: bool = False, terms: bool = False):
         texts = pc.fill_null(texts, "")
-        raw, offs = text_buffers(texts if spaced else pc.utf8_lower(texts))
+        raw, offs = text_buffers(texts if spaced else pc.ascii_lower(texts) if terms else pc.utf8_lower(texts))
         n = len(raw)
         self.rows = len(offs) - 1
-        w = _SOLID[raw] if spaced else _WORD[raw]
+        w = (_SOLID if spaced else _TERM if terms else _WORD)[raw]
         first, last = w.copy(), w.copy()
         if n:
             first[1:] &= ~w[:-1]

@@ -15,6 +15,8 @@ from .collocations import collocations
 from .decontaminate import contaminated
 from .fingerprints import edited_with_next, near_classes
 from .jaccard_join import jaccard_join
+from .lexical_search import ORACLE as SEARCH_SQL
+from .lexical_search import ranked_search
 from .licenses import oracle as license_sql
 from .licenses import scan_licenses
 from .mixing import mix_sources
@@ -93,14 +95,22 @@ def op12_vector_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f for f in (
             op1_decontaminate, op2_quality, op3_jaccard_join, op4_licenses, op5_fingerprints, op6_chat_format, op7_token_counts, op8_pii,
-            op9_mixing, op10_url_filters, op11_collocations, op12_vector_groups
+            op9_mixing, op10_url_filters, op11_collocations, op12_vector_groups,
+            op13_ranked_search
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licenses": license_sql(), "op6_chat_format": CHAT_SQL, "op10_url_filters": url_sql(), "op11_collocations": COLLOCATION_SQL}
+    return {
+        "op4_licenses": license_sql(), "op6_chat_format": CHAT_SQL, "op10_url_filters": url_sql(), "op11_collocations": COLLOCATION_SQL,
+        "op13_ranked_search": SEARCH_SQL
+    }
