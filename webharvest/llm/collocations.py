@@ -24,7 +24,7 @@ from ._words import hash_strings, mix, steps, text_buffers
 
 #: The filter of frequent bigrams sent to the tasks is a bit table of this fixed size (16 MB), whatever their number;
 #: a bigram that it passes by chance costs a row, none is lost.
-FILTER_BITS = 27
+FILTER_BITS, PIECE_BITS = 27, 20
 #: Bytes of text counted at once in a task.
 STEP_BYTES = 1 << 22
 GRAMS = "lang string, phrase string, f long"
@@ -120,18 +120,26 @@ def _count(docs: DataFrame, lang_col: str, text_col: str, table=None) -> DataFra
 
 
 def _bigram_filter(bigrams: DataFrame) -> np.ndarray:
-    """The bit table of (lang, w1, w2): a fixed 2^FILTER_BITS bits, gathered as words of 64 of them."""
+    """The bit table of (lang, w1, w2): a fixed 2^FILTER_BITS bits, made in pieces of 2^PIECE_BITS by a task each."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = _bigram_hash(*(hash_strings(b.column(k)) for k in range(3))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
+    def piece(table: pa.Table) -> pa.Table:
+        word, bits = table.column("word").to_numpy(), table.column("bits").to_numpy()
+        made = np.zeros(1 << (PIECE_BITS - 6), np.int64)
+        made[word & (len(made) - 1)] = bits
+        return pa.table({"piece": [int(word[0]) >> (PIECE_BITS - 6)], "bits": [made.tobytes()]}, pa.schema([("piece", pa.int64()), ("bits", pa.binary())]))
+
     bits = bigrams.select("lang", "w1", "w2").mapInArrow(place, "at long")
     packed = bits.selectExpr("at >> 6 AS word", "shiftleft(1L, cast(at & 63 AS int)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    found, table = packed.toPandas(), np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return table.view(np.uint8)
+    pieces = packed.groupBy((F.col("word") / (1 << (PIECE_BITS - 6))).cast("long").alias("piece")).applyInArrow(piece, "piece long, bits binary")
+    table = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in pieces.toLocalIterator():
+        table[r.piece << (PIECE_BITS - 3) : r.piece + 1 << (PIECE_BITS - 3)] = np.frombuffer(r.bits, np.uint8)
+    return table
 
 
 def parts_of(stream: DataFrame, words: list[str]) -> DataFrame:
