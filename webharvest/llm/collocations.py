@@ -25,8 +25,8 @@ from ._words import hash_strings, mix, steps, text_buffers
 #: The filter of frequent bigrams sent to the tasks is a bit table of this fixed size (16 MB), whatever their number;
 #: a bigram that it passes by chance costs a row, none is lost.
 FILTER_BITS, PIECE_BITS = 27, 20
-#: Bytes of text counted at once in a task.
-STEP_BYTES = 1 << 22
+#: Bytes of text counted at once in a task; beside the filter, half as many.
+STEP_BYTES = 1 << 21
 GRAMS = "lang string, phrase string, f long"
 _SPACE, _BREAK = np.zeros(256, bool), np.zeros(256, bool)
 _SPACE[[9, 32]] = True
@@ -112,7 +112,7 @@ def _count(docs: DataFrame, lang_col: str, text_col: str, table=None) -> DataFra
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo, hi in steps(b.column(1), STEP_BYTES):
+            for lo, hi in steps(b.column(1), STEP_BYTES if table is None else STEP_BYTES // 2):
                 yield from batch(b.slice(lo, hi - lo))
 
     texts = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
