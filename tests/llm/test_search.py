@@ -199,5 +199,7 @@ def test_k2_treap_holds_every_entry():
     ids = np.arange(300) * 2
     for row in (0, 17, rows[5], 89):
         own = sorted((-int(i), int(c) * 2) for r, c, i in zip(rows, columns, impacts) if r == row)
-        assert tree.best(np.array([row]), np.array([1]), ids, [], 1000) == own
-        assert tree.best(np.array([row]), np.array([3]), ids, [], 2) == [(3 * s, i) for s, i in own[:2]]
+        if own:
+            at = np.array([row]), *tree.enter(np.array([row]), 300)
+            assert tree.best(*at, np.array([1]), ids, [], 1000) == own
+            assert tree.best(*at, np.array([3]), ids, [], 2) == [(3 * s, i) for s, i in own[:2]]

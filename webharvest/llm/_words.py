@@ -67,6 +67,19 @@ def hash_strings(texts: pa.Array) -> np.ndarray:
     return mix((sums[offs[1:]] - sums[offs[:-1]]) * inverse[offs[:-1]])
 
 
+def count_terms(texts: pa.Array) -> np.ndarray:
+    """Terms of each text, as Words finds them with `terms`."""
+    raw, offs = text_buffers(texts)
+    w = _TERM[raw | ((raw >= 65) & (raw <= 90)) * np.uint8(32)]
+    first = w.copy()
+    first[1:] &= ~w[:-1]
+    inner = offs[offs < len(raw)]
+    first[inner] = w[inner]
+    sums = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(first, out=sums[1:])
+    return sums[offs[1:]] - sums[offs[:-1]]
+
+
 def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes each; a longer text gets a range of its own."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)

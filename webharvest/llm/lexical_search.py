@@ -21,12 +21,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._tables import cut
-from ._words import Words, steps
+from ._words import Words, count_terms, steps
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 INDEX = "docs array<long>, terms array<long>, dfs array<int>, masks binary, maxima binary"
-#: Bytes of text and documents of a range at most (a longer text is a range of its own), stretches halved at once, items of a block.
-RANGE_BYTES, RANGE_DOCS, WAVE, ITEMS = 1 << 22, 4096, 48, 1024
+#: Documents and entries of a range at most (a longer text is a range of its own), stretches halved at once, items of a block.
+RANGE_DOCS, RANGE_ENTRIES, WAVE, ITEMS = 8192, 1 << 19, 128, 1024
 _NO_ID = np.iinfo(np.int64).max
 _COUNT = np.array([bin(k).count("1") for k in range(16)], np.int64)
 
@@ -44,9 +43,9 @@ class K2Treap:
 
     def __init__(self, masks: np.ndarray, maxima: np.ndarray, height: int):
         self.masks, self.maxima, self.height = masks, maxima, height
-        self.child = np.ones(len(maxima), np.int64)  # of each cell, its first child
+        self.child = np.ones(len(maxima), np.int32)  # of each cell, its first child
         self.child[1 : len(masks)] = 1 + np.cumsum(_COUNT[masks])[:-1]
-        self.mask = np.zeros(len(maxima), np.int64)
+        self.mask = np.zeros(len(maxima), np.uint8)
         self.mask[: len(masks)] = masks
 
     @classmethod
@@ -65,36 +64,53 @@ class K2Treap:
             code = upper[first]
         return cls(np.concatenate(masks[::-1]), np.concatenate(maxima[::-1]), height)
 
-    def best(self, rows: np.ndarray, weights: np.ndarray, ids: np.ndarray, best: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
-        """`best`, pairs (-score, id) in order, k at most, with what this grid adds; ids: of the columns, ascending."""
-        h = self.height
-        cells = np.zeros((1, len(rows)), np.int64)
-        level, prefix = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        bound = np.array([int(self.maxima[0]) * int(weights.sum())])
+    def enter(self, rows: np.ndarray, columns: int) -> tuple[np.ndarray, int]:
+        """(cells, level): of each row that has entries, the cell of its path at the deepest level where one cell spans all columns."""
+        level = self.height - max(0, columns - 1).bit_length()
+        cells = np.zeros(len(rows), np.int64)
+        for at in range(level):
+            quadrant = (rows >> (self.height - 1 - at) & 1) * 2
+            cells = self.child[cells] + _COUNT[self.mask[cells] & ((1 << quadrant) - 1)]
+        return cells, level
+
+    def best(
+        self, rows: np.ndarray, cells: np.ndarray, level: int, weights: np.ndarray, ids: np.ndarray, best: list[tuple[int, int]], k: int
+    ) -> list[tuple[int, int]]:
+        """`best`, pairs (-score, id) in order, k at most, with what this grid adds below the given cells; ids: of the columns, ascending."""
+        h, cells = self.height, cells[None, :]
+        bound = self.maxima[cells] @ weights
+        level, prefix = np.array([level]), np.zeros(1, np.int64)
         while len(bound):
+            begin = prefix << (h - level)
             if len(best) == k:  # what lies below the last of the best, or is equal and has later ids only, can't enter
                 score, last = -best[-1][0], best[-1][1]
-                begin = ids[np.minimum(prefix << (h - level), len(ids) - 1)]
-                open_ = (bound > score) | ((bound == score) & (begin < last))
-                cells, level, prefix, bound = cells[open_], level[open_], prefix[open_], bound[open_]
-            take = np.lexsort((prefix << (h - level), -bound))
+                open_ = np.flatnonzero((bound > score) | ((bound == score) & (ids[np.minimum(begin, len(ids) - 1)] < last)))
+                if not len(open_):
+                    break
+                cells, level, prefix, bound, begin = cells[open_], level[open_], prefix[open_], bound[open_], begin[open_]
+            take = np.lexsort((begin, -bound))
             take, rest = take[:WAVE], take[WAVE:]
             now, at, where = cells[take], level[take], prefix[take]
-            down = rows[None, :] >> (h - 1 - at)[:, None] & 1
-            mask, first, there = self.mask[now], self.child[now], now >= 0
+            if at.min() == h:  # single documents
+                best = sorted(best + list(zip((-bound[take]).tolist(), ids[where].tolist())))[:k]
+                cells, level, prefix, bound = cells[rest], level[rest], prefix[rest], bound[rest]
+                continue
+            leaf = at == h
+            if leaf.any():
+                best = sorted(best + list(zip((-bound[take][leaf]).tolist(), ids[where[leaf]].tolist())))[:k]
+                now, at, where = now[~leaf], at[~leaf], where[~leaf]
+            mask = np.where(now >= 0, self.mask[now], 0)
+            first, down = self.child[now], (rows[None, :] >> (h - 1 - at)[:, None] & 1) * 2
             made = []
             for side in (0, 1):
-                quadrant = down * 2 + side
-                hit = there & (mask >> quadrant & 1 > 0)
-                below = np.where(hit, first + _COUNT[mask & ((1 << quadrant) - 1)], -1)
-                made.append((below, at + 1, where * 2 + side, np.where(hit, self.maxima[below], 0) @ weights))
-            below, deep, place, sums = (np.concatenate(x) for x in zip(*made))
-            leaf = (deep == h) & (sums > 0)
-            if leaf.any():
-                best = sorted(best + list(zip((-sums[leaf]).tolist(), ids[place[leaf]].tolist())))[:k]
-            go = (deep < h) & (sums > 0)
+                bit = 1 << (down + side)
+                hit = (mask & bit) > 0
+                below = np.where(hit, first + _COUNT[mask & (bit - 1)], -1)
+                made.append((below, where * 2 + side, np.where(hit, self.maxima[below], 0) @ weights))
+            below, place, sums = (np.concatenate(x) for x in zip(*made))
+            go = np.flatnonzero(sums > 0)
             cells = np.concatenate([cells[rest], below[go]])
-            level, prefix = np.concatenate([level[rest], deep[go]]), np.concatenate([prefix[rest], place[go]])
+            level, prefix = np.concatenate([level[rest], np.tile(at + 1, 2)[go]]), np.concatenate([prefix[rest], place[go]])
             bound = np.concatenate([bound[rest], sums[go]])
         return best
 
@@ -108,9 +124,52 @@ def impact(tf: np.ndarray, length: np.ndarray, documents: int, words: int) -> np
 
 def collection_size(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """(documents with at least one term, all their terms)."""
-    n = F.regexp_count(F.col(text_col).cast("string"), F.lit(TERM))
-    size = docs.select(n.alias("n")).where("n > 0").agg(F.count("*").alias("documents"), F.sum("n").alias("words")).first()
-    return size.documents, size.words or 0
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, words = 0, 0
+        for batch in batches:
+            for lo, hi in steps(batch.column(0)):
+                n = count_terms(batch.column(0).slice(lo, hi - lo))
+                documents, words = documents + int((n > 0).sum()), words + int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([documents]), pa.array([words])], names=["documents", "words"])
+
+    size = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "documents long, words long").agg(F.sum("documents"), F.sum("words")).first()
+    return size[0] or 0, size[1] or 0
+
+
+def _entries(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    """(ids, lengths) of the documents with a term, (document, term, tf) of the entries of the grid."""
+    w = Words(part.column(1), terms=True)
+    some = np.flatnonzero(w.counts)
+    number = np.zeros(len(w.counts), np.int64)
+    number[some] = np.arange(len(some))
+    terms, term = np.unique(w.hash, return_inverse=True)
+    entry, tf = np.unique(term * max(1, len(some)) + number[w.row], return_counts=True)
+    ids = pc.fill_null(part.column(0), _NO_ID).to_numpy()[some]
+    return ids, w.counts[some], entry % max(1, len(some)), terms[entry // max(1, len(some))], tf
+
+
+def _range(held: list[tuple[np.ndarray, ...]], documents: int, words: int) -> pa.RecordBatch:
+    """A row of the index: the grid of some documents, in the order of their ids."""
+    base = np.cumsum([0] + [len(x[0]) for x in held])
+    ids, length, _, hashes, tf = (np.concatenate([x[k] for x in held]) for k in range(5))
+    document = np.concatenate([x[2] + b for x, b in zip(held, base)])
+    order = np.argsort(ids, kind="stable")
+    column = np.empty(len(ids), np.int64)
+    column[order] = np.arange(len(ids))
+    terms, term, df = np.unique(hashes, return_inverse=True, return_counts=True)
+    frequent = np.argsort(-df, kind="stable")  # rows: frequent terms together
+    row = np.empty(len(terms), np.int64)
+    row[frequent] = np.arange(len(terms))
+    tree = K2Treap.build(row[term], column[document], impact(tf, length[document], documents, words))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([ids[order]], pa.list_(pa.int64())), pa.array([terms[frequent].view(np.int64)], pa.list_(pa.int64())),
+            pa.array([df[frequent].astype(np.int32)], pa.list_(pa.int32())), pa.array([tree.masks.tobytes()], pa.binary()),
+            pa.array([tree.maxima.astype(np.int32).tobytes()], pa.binary())
+        ],
+        names=["docs", "terms", "dfs", "masks", "maxima"]
+    )
 
 
 def lexical_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int]:
@@ -118,34 +177,21 @@ def lexical_index(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     documents, words = collection_size(docs, text_col)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            for lo, hi in steps(batch.column(1), RANGE_BYTES):
+            for lo, hi in steps(batch.column(1)):
                 for at in range(lo, hi, RANGE_DOCS):
-                    part = batch.slice(at, min(RANGE_DOCS, hi - at))
-                    w = Words(part.column(1), terms=True)
-                    some = np.flatnonzero(w.counts)
-                    if not len(some):
-                        continue
-                    ids = pc.fill_null(part.column(0), _NO_ID).to_numpy()
-                    order = some[np.argsort(ids[some], kind="stable")]
-                    column = np.zeros(len(ids), np.int64)
-                    column[order] = np.arange(len(order))
-                    terms, term = np.unique(w.hash, return_inverse=True)
-                    entry, tf = np.unique(term * len(order) + column[w.row], return_counts=True)
-                    term, place = entry // len(order), entry % len(order)
-                    df = np.bincount(term)
-                    frequent = np.argsort(-df, kind="stable")  # rows: frequent terms together
-                    row = np.empty(len(terms), np.int64)
-                    row[frequent] = np.arange(len(terms))
-                    tree = K2Treap.build(row[term], place, impact(tf, w.counts[order][place], documents, words))
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([ids[order]], pa.list_(pa.int64())), pa.array([terms[frequent].view(np.int64)], pa.list_(pa.int64())),
-                            pa.array([df[frequent].astype(np.int32)], pa.list_(pa.int32())), pa.array([tree.masks.tobytes()], pa.binary()),
-                            pa.array([tree.maxima.astype(np.int32).tobytes()], pa.binary())
-                        ],
-                        names=["docs", "terms", "dfs", "masks", "maxima"]
-                    )
+                    entries = _entries(batch.slice(at, min(RANGE_DOCS, hi - at)))
+                    if held and (
+                        sum(len(x[0]) for x in held) + len(entries[0]) > RANGE_DOCS
+                        or sum(len(x[2]) for x in held) + len(entries[2]) > RANGE_ENTRIES
+                    ):
+                        yield _range(held, documents, words)
+                        held = []
+                    if len(entries[0]):
+                        held.append(entries)
+        if held:
+            yield _range(held, documents, words)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(make, INDEX), documents
@@ -195,7 +241,7 @@ def search(
             for r in range(batch.num_rows):
                 ids, terms = (batch.column(k)[r].values.to_numpy() for k in (0, 1))
                 masks = np.frombuffer(batch.column(2)[r].as_buffer(), np.uint8)
-                maxima = np.frombuffer(batch.column(3)[r].as_buffer(), np.int32).astype(np.int64)
+                maxima = np.frombuffer(batch.column(3)[r].as_buffer(), np.int32)
                 tree = K2Treap(masks, maxima, max(1, (max(len(ids), len(terms)) - 1).bit_length()))
                 order = np.argsort(terms)
                 number = batch.column(4)[r].as_py()
@@ -203,12 +249,16 @@ def search(
                     known[number] = [
                         (x["item_id"].as_py(), x["terms"].values.to_numpy(), x["weights"].values.to_numpy()) for x in batch.column(5)[r]
                     ]
-                for item, asked, weights in known[number]:
-                    at = np.searchsorted(terms, asked, sorter=order)
-                    rows = order[np.minimum(at, len(terms) - 1)]
-                    have = terms[rows] == asked
-                    if have.any():
-                        best[item] = tree.best(rows[have], weights[have], ids, best.get(item, []), top)
+                items = known[number]
+                asked = np.concatenate([x[1] for x in items])
+                rows = order[np.minimum(np.searchsorted(terms, asked, sorter=order), len(terms) - 1)]
+                have = terms[rows] == asked
+                cells, level = tree.enter(rows, len(ids))
+                at = 0
+                for item, own, weights in items:
+                    here = slice(at, at := at + len(own))
+                    if (good := have[here]).any():
+                        best[item] = tree.best(rows[here][good], cells[here][good], level, weights[good], ids, best.get(item, []), top)
         flat = [(item, None if d == _NO_ID else d, -s) for item, found in best.items() for s, d in found]
         columns = list(zip(*flat)) or [[]] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "doc_id", "score"])
