@@ -301,7 +301,7 @@ def test_content_of_a_page_without_a_known_container(spark):
     ).withColumn("nodes", nodes.html_nodes("html"))
     got = {
         r.page_id: r.c for r in rows.select(
-            "page_id", H.content(F.col("nodes"), F.lit("http://e.com/"), H.page_language(F.col("nodes"))).alias("c")
+            "page_id", H.content(F.col("nodes"), F.lit("http://e.com/")).alias("c")
         ).collect()
     }
     assert got[1].text == "\n\n".join([f"{said} zero", "Lead", f"{said} one", f"{said} two", "• item", f"{said} three"])
@@ -330,3 +330,43 @@ def test_selectors_match_nested_and_indexed_steps(spark):
     }
     got = rows.select(*[nodes.selector(rule, F.col("n")).alias(str(k)) for k, rule in enumerate(cases)]).first()
     assert list(got) == list(cases.values())
+
+
+def test_article_text_of_layouts(spark):
+    """Text comes out once and in order whatever elements hold it; what only chaff holds is not lost."""
+    said = "the river is high and the town is wet with the rain of the night"
+    cases = {
+        "<article>one<br>two <b>bold</b> and <a href='/x'>link</a> end<p>three</p>four</article>": ["one", "two bold and link end", "three", "four"],
+        "<article><div>text</div></article>": ["text"],
+        "<article><div>a<div>b</div>c</div></article>": ["a", "b", "c"],
+        f"<table><tr><td>{said}</td><td>{said} too</td></tr></table>": [said, f"{said} too"],
+        "<article><dl><dt>term</dt><dd>meaning</dd></dl></article>": ["term", "meaning"],
+        "<article><blockquote><p>said</p>cite</blockquote><ul><li>x<ul><li>y</li></ul></li></ul></article>": ["said", "cite", "• x", "• y"],
+        "<article><h1>Title</h1><h2>Head</h2><p>a<p>b<script>no</script><select><option>no</select></article>": ["Head", "a", "b"],
+        "<article><p><a href='/1'>all</a> <a href='/2'>links</a></p><p>kept</p><div><a href='/q'>more</a></div></article>": ["kept"],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "k int, html string").withColumn("n", nodes.html_nodes("html"))
+    got = {r.k: r.text for r in rows.select("k", H.content(F.col("n"), F.lit("http://e.com/"))["text"].alias("text")).collect()}
+    assert got == {k: "\n\n".join(want) for k, want in enumerate(cases.values())}
+
+
+def test_parsing_keeps_places_and_long_tags():
+    page = "<div id=a><p>x<p>y</div><ul><li>é<li>z</ul><br><b>open"
+    got = nodes.parse(page)
+    assert [page[n["start"] : n["end"]] for n in got] == [
+        "<div id=a><p>x<p>y</div>", "<p>x", "<p>y", "<ul><li>é<li>z</ul>", "<li>é", "<li>z", "<br>", "<b>open"
+    ]
+    wide = "<div " + " ".join(f"a{k}='{k} > {k}'" for k in range(3000)) + ">text</div>"
+    assert [(n["tag"], len(n["attrs"]), n["text"]) for n in nodes.parse(wide)] == [("div", 3000, "text")]
+    deep = nodes.parse("<a href=x>" * 3000 + "t")
+    assert deep[0]["links"] == 2999 and deep[0]["last"] == 2999
+
+
+def test_stopword_counters():
+    from webharvest.functions import content
+
+    zh = content.counter("zh", {"zh": ["的", "中央", "中", "我们", "们"]})
+    assert zh("中央的我们") == 5 and zh("中的中") == 2 and zh("") == 0
+    assert content.counter("en")("The river, and THE town!") == 3 == content.counter("xx")("The river, and THE town!")
+    assert content.language(nodes.parse("<html lang=DE-at>")) == "de" and content.language([]) == "en"
+    assert content.language(nodes.parse('<meta name=lang content="fr">')) == "fr"

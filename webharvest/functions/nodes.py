@@ -7,31 +7,34 @@ still open at the end is closed there.
 
 from __future__ import annotations
 
+import json
 import re
+from collections.abc import Mapping, Sequence
 from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
+from .content import add_content
 from .urls import let
 
-NODES = T.ArrayType(
-    T.StructType(
-        [T.StructField(n, T.IntegerType()) for n in ("order", "parent", "last", "depth")]
-        + [
-            T.StructField("tag", T.StringType()),
-            T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
-            T.StructField("text", T.StringType()),
-            T.StructField("junk", T.BooleanType()),
-        ]
-        + [T.StructField(n, T.IntegerType()) for n in ("links", "link_words", "link_chars")]
-        + [T.StructField("before", T.ArrayType(T.IntegerType()))]
-    )
+_INT, _TEXT, _FLAG = pa.int32(), pa.string(), pa.bool_()
+#: A stretch of text between two block boundaries: its place in the page, and whether it is mostly links.
+_BLOCK_ROW = pa.struct([("place", _INT), ("text", _TEXT), ("dense", _FLAG)])
+_NODE_ROW = pa.struct(
+    [(n, _INT) for n in ("order", "parent", "last", "depth", "start", "end")]
+    + [("tag", _TEXT), ("attrs", pa.map_(_TEXT, _TEXT)), ("text", _TEXT), ("junk", _FLAG), ("dense", _FLAG), ("told", _FLAG)]
+    + [(n, _INT) for n in ("links", "link_words", "link_chars", "stops", "score", "source")]
+    + [("blocks", pa.list_(_BLOCK_ROW))]
 )
+NODES = T.ArrayType(from_arrow_type(_NODE_ROW))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
@@ -44,8 +47,6 @@ STOPS = {
     "li": {"ul", "ol"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table", "tbody", "thead"}, "option": {"select"}, "dt": {"dl"},
     "dd": {"dl"}
 }
-#: Tags whose text can count for a content node.
-CANDIDATES = ("p", "pre", "td")
 # Ids, classes and names of page furniture, and of social and caption boxes.
 JUNK = (
     r"^side$|combx|retweet|mediaarticlerelated|menucontainer|navbar|storytopbar-bucket|utility-bar|inline-share-tools|comment|PopularQuestions|contact|foot|footer|Footer|footnote|cnn_strycaptiontxt|cnn_html_slideshow|cnn_strylftcntnt|^links$|meta$|shoutbox|sponsor"
@@ -55,11 +56,11 @@ JUNK = (
 SOCIAL = (r"^caption$", r" google ", r"^[^entry-]more.*$", r"[^-]facebook", r"facebook-broadcasting", r"[^-]twitter")
 
 
-#: Comments, declarations, tags (end mark, name, attributes); anything else is text.  Possessive, and without tags of over 1000 parts, so
-#: that a page without end marks takes no more than that at each start mark.
+#: Comments, declarations, tags (end mark, name, attributes); anything else is text.
+#: Possessive, so that a tag is read once; where one finds no end mark outside quotes, there is none behind it either.
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?|=){0,1000}+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\s++|/|[^\s/>=]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?)?|=)*+)(>|\Z)",
     re.S,
 )
 ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+))?)?")
@@ -67,26 +68,39 @@ ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style", "title", "textarea")}
 
 
+#: Elements at whose start and end a stretch of text ends, beside a br.
+BOUNDARY = BLOCK | frozenset(
+    "body button caption center dd details dt fieldset figcaption figure html iframe legend li object option select summary tbody td textarea tfoot th thead title tr"
+    .split()
+)
+
+
 class _Builder:
     def __init__(self, junk: re.Pattern):
         self.nodes: list[dict] = []
         self.open: list[int] = []
         self.junk = junk
         self.pieces: list[tuple[int, str]] = []  # (open node, text) in order
+        self.breaks: set[int] = {0}  # pieces before which a block begins or ends
+        self.begin = self.at = 0  # of the last tag
 
     def feed(self, page: str) -> None:
         at = 0
         while m := TOKEN.search(page, at):
+            if m[2] is not None and not m[4]:
+                break  # it never ends: it and all behind it is text
             self.handle_data(unescape(page[at : m.start()]))
             at = m.end()
             if m[2] is None:
                 continue
             tag = m[2].lower()
+            self.begin, self.at = m.start(), at
             if m[1]:
                 self.handle_endtag(tag)
                 continue
-            self.handle_starttag(tag, [(k.lower(), unescape(a or b or c)) for k, a, b, c in ATTRIBUTE.findall(m[3])])
+            self.handle_starttag(tag, [(k.lower(), unescape(a or b or c)) for k, a, b, c in ATTRIBUTE.findall(m[3])], m.start())
             if m[3].endswith("/") and tag not in VOID:
+                self.begin = at
                 self.handle_endtag(tag)
             elif tag in RAW_END:
                 end = RAW_END[tag].search(page, at)
@@ -94,18 +108,23 @@ class _Builder:
                 self.handle_data(text if tag in ("script", "style") else unescape(text))
                 at += len(text)
         self.handle_data(unescape(page[at:]))
+        self.at = len(page)
 
-    def _close_to(self, position: int) -> None:
+    def _close_to(self, position: int, end: int | None = None) -> None:
         for k in self.open[position:]:
-            self.nodes[k]["last"] = len(self.nodes) - 1
-            self.nodes[k]["stop"] = len(self.pieces)
+            node = self.nodes[k]
+            node["last"] = len(self.nodes) - 1
+            node["stop"] = len(self.pieces)
+            node["end"] = self.at if end is None else end
+            if node["tag"] in BOUNDARY:
+                self.breaks.add(len(self.pieces))
         del self.open[position:]
 
-    def handle_starttag(self, tag, attrs):
+    def handle_starttag(self, tag, attrs, start):
         if tag in BLOCK:
             for i in range(len(self.open) - 1, -1, -1):
                 if self.nodes[self.open[i]]["tag"] == "p":
-                    self._close_to(i)
+                    self._close_to(i, start)
                     break
                 if self.nodes[self.open[i]]["tag"] in ("td", "li", "div", "article", "section", "body"):
                     break
@@ -114,7 +133,7 @@ class _Builder:
             if name in STOPS.get(tag, ()):
                 break
             if name in CLOSES.get(tag, ()):
-                self._close_to(i)
+                self._close_to(i, start)
                 break
         values = dict(reversed(attrs))
         parent = self.open[-1] if self.open else -1
@@ -124,20 +143,24 @@ class _Builder:
                 self.junk.search(values.get(a, "")) for a in ("id", "class", "name") if values.get(a)
             )
         )
+        if tag in BOUNDARY:
+            self.breaks.add(len(self.pieces))
         self.nodes.append(
             {
                 "order": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open), "tag": tag, "attrs": values,
-                "junk": bad, "start": len(self.pieces), "stop": len(self.pieces)
+                "junk": bad, "first": len(self.pieces), "stop": len(self.pieces), "start": start, "end": self.at
             }
         )
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
         elif tag == "br" and self.open:
             self.pieces.append((self.open[-1], "\n"))
+            self.breaks.add(len(self.pieces))
 
     def handle_endtag(self, tag):
         for i in range(len(self.open) - 1, -1, -1):
             if self.nodes[self.open[i]]["tag"] == tag:
+                self._close_to(i + 1, self.begin)
                 self._close_to(i)
                 return
 
@@ -151,53 +174,97 @@ def _junk(extra: str) -> re.Pattern:
     return re.compile("|".join([JUNK, *SOCIAL, *([extra] if extra else [])]), re.I)
 
 
-def parse(html: str | None, extra_junk: str = "") -> list[dict]:
+def _texts(builder: _Builder) -> None:
+    """`text` of every node: its inner text with single spaces, scripts and styles left out but for their own."""
+    nodes, pieces = builder.nodes, builder.pieces
+    raw = {n["order"] for n in nodes if n["tag"] in ("script", "style")}
+    places, parts, size, spaced = [0], [], 0, True
+    for node, text in pieces:
+        if node not in raw:
+            words = text.split()
+            if not words:
+                text = "" if spaced or not text else " "
+            else:
+                text = ("" if spaced or not text[0].isspace() else " ") + " ".join(words) + (" " if text[-1].isspace() else "")
+            if text:
+                parts.append(text)
+                size += len(text)
+                spaced = text[-1] == " "
+        places.append(size)
+    whole = "".join(parts)
+    for n in nodes:
+        if n["order"] in raw:
+            n["text"] = " ".join("".join(t for _, t in pieces[n["first"] : n["stop"]]).split())
+        else:
+            n["text"] = whole[places[n["first"]] : places[n["stop"]]].strip()
+
+
+def parse(html: str | None, extra_junk: str = "", lang: str | None = None, lists: Mapping[str, Sequence[str]] | None = None) -> list[dict]:
     """Nodes in document order.
 
-    `order` is a node's place in the array, `last` the order of its last descendant, `text` its inner text with
-    single spaces; `links`, `link_words` and `link_chars` count the links below it and their text; `before` holds
-    the orders of the three nearest earlier sibling paragraphs of a p, pre or td, without page furniture.
+    `order` is a node's place in the array, `last` the order of its last descendant, `start` and `end` its place in
+    the page, `text` its inner text with single spaces; `links`, `link_words` and `link_chars` count the links below it
+    and their text; `blocks` are the stretches of text that it is the innermost block of.  `stops`, `dense`, `told`,
+    `score` and `source` are described in `content`; they go by `lang`, else by the page's own language, and by `lists`.
     """
     builder = _Builder(_junk(extra_junk))
     builder.feed(html or "")
     builder._close_to(0)
-    out = []
-    raw = {n["order"] for n in builder.nodes if n["tag"] in ("script", "style")}
-    paragraphs: dict[int, list[int]] = {}
-    for n in builder.nodes:
-        inside = builder.pieces[n.pop("start") : n.pop("stop")]
-        keep = inside if n["order"] in raw else [p for p in inside if p[0] not in raw]
-        earlier = paragraphs.setdefault(n["parent"], [])
-        before = earlier[-3:] if n["tag"] in CANDIDATES else []
-        if n["tag"] == "p" and not n["junk"]:
-            earlier.append(n["order"])
-        out.append(
-            {**n, "text": " ".join("".join(t for _, t in keep).split()), "links": 0, "link_words": 0, "link_chars": 0, "before": before}
-        )
-    for link in out:
-        if link["tag"] == "a":
-            words, chars, up = len(link["text"].split()), len(link["text"]), link["parent"]
-            while up >= 0:
-                out[up]["links"] += 1
-                out[up]["link_words"] += words
-                out[up]["link_chars"] += chars
-                up = out[up]["parent"]
+    _texts(builder)
+    out = builder.nodes
+    for n in out:
+        n["links"] = n["link_words"] = n["link_chars"] = 0
+    for n in reversed(out):  # what is below a node comes behind it
+        if n["parent"] >= 0:
+            up, link = out[n["parent"]], n["tag"] == "a"
+            up["links"] += n["links"] + link
+            up["link_words"] += n["link_words"] + (len(n["text"].split()) if link else 0)
+            up["link_chars"] += n["link_chars"] + (len(n["text"]) if link else 0)
+    add_content(out, builder.pieces, builder.breaks, BOUNDARY, lang, lists)
     return out
 
 
-def _nodes(html: pd.Series) -> pd.Series:
-    return pd.Series([parse(x) for x in html], dtype=object)
+_FIELDS = [(f.name, f.type) for f in _NODE_ROW if f.name not in ("attrs", "blocks")]
 
 
-@lru_cache(maxsize=1)
-def _parser(application: str):
-    """One function object per Spark application, so that Spark sees equal calls on a page as one and parses it once."""
-    return F.pandas_udf(_nodes, NODES)
+def _columns(pages: list[list[dict]]) -> pa.Array:
+    """The nodes of many pages as one Arrow array, made column by column."""
+    rows = [n for page in pages for n in page]
+    columns = {name: pa.array([n[name] for n in rows], kind) for name, kind in _FIELDS}
+    ends = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(n["attrs"]) for n in rows], out=ends[1:])
+    columns["attrs"] = pa.MapArray.from_arrays(
+        pa.array(ends), pa.array([k for n in rows for k in n["attrs"]], _TEXT), pa.array([v for n in rows for v in n["attrs"].values()], _TEXT)
+    )
+    blocks = [b for n in rows for b in n["blocks"]]
+    ends = np.zeros(len(rows) + 1, np.int32)
+    np.cumsum([len(n["blocks"]) for n in rows], out=ends[1:])
+    fields = [pa.array([b[k] for b in blocks], f.type) for k, f in enumerate(_BLOCK_ROW)]
+    columns["blocks"] = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(fields, fields=list(_BLOCK_ROW)))
+    ends = np.zeros(len(pages) + 1, np.int32)
+    np.cumsum([len(p) for p in pages], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([columns[f.name] for f in _NODE_ROW], fields=list(_NODE_ROW)))
+
+
+@lru_cache(maxsize=8)
+def _parser(application: str, lang: str | None, lists: str):
+    """One function object per Spark application and options, so that Spark sees equal calls on a page as one and parses it once."""
+    known = json.loads(lists)
+
+    @F.arrow_udf(NODES)
+    def parsed(html: pa.Array) -> pa.Array:
+        return _columns([parse(x, lang=lang, lists=known) for x in html.to_pylist()])
 
+    return parsed
 
-def html_nodes(html: Column | str) -> Column:
-    """The nodes of each page; a null page has none."""
-    return _parser(SparkContext.getOrCreate().applicationId)(html)
+
+def html_nodes(html: Column | str, lang: str | None = None, lists: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """The nodes of each page; a null page has none.
+
+    Content is scored with the stopwords of `lang`, else of the language that the page names, else of English;
+    `lists` (language to words) replace or extend the built-in stopwords.
+    """
+    return _parser(SparkContext.getOrCreate().applicationId, lang, json.dumps(lists))(html)
 
 
 def tags(nodes: Column, *names: str) -> Column:

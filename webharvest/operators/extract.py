@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..functions import times, urls
-from ..functions.nodes import CANDIDATES, attr, by_attr, tags
+from ..functions.nodes import attr, by_attr, tags
 from ..functions.patterns import preg
 
 # Title splitters, meta author marks, publish date marks, article containers, by-domain rules, tag links, bad image names.
@@ -36,6 +35,11 @@ AUTHOR_SCRIPTS = {
 TAG_LINKS = r"/tag/|/tags/|/topic/|\?keyword="
 #: Children of a content node that are never chaff.
 KEPT_CHILDREN = ("p", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6")
+#: Children that are part of the text around them, and elements whose own text is not written out.
+INLINE = tuple(
+    "a abbr b bdi bdo big br cite code del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
+)
+UNWRITTEN = tuple("button h1 head iframe object option script select style textarea title".split())
 ATTACHMENT = r"(?i)\.(?:pdf|docx?|xlsx?|pptx?|zip|rar|7z)(?:$|[?#])"
 VIDEO_HOSTS = ("youtube", "vimeo", "dailymotion", "kewego")
 BAD_IMAGES = r"\.html|\.gif|\.ico|button|twitter\.jpg|facebook\.jpg|ap_buy_photo|digg\.jpg|digg\.png|delicious\.png|facebook\.png|reddit\.jpg|doubleclick|diggthis|diggThis|adserver|/ads/|ec\.atdmt\.com|mediaplex\.com|adsatt|view\.atdmt"
@@ -270,99 +274,24 @@ def link_density(words: Column, link_words: Column, links: Column) -> Column:
     return F.when(links == 0, False).when(words == 0, True).otherwise(link_words / words * links >= 1.0)
 
 
-def dense(node: Column, lang: Column) -> Column:
-    """Whether a node's text is mostly links; words of zh are characters."""
-    words = F.when(node["text"] == "", 0).otherwise(F.size(F.split(node["text"], " ")))
-    return F.when(lang == "zh", link_density(F.length(node["text"]), node["link_chars"], node["links"])).otherwise(
-        link_density(words, node["link_words"], node["links"])
-    )
-
-
-def _language(lang: Column | str) -> Column:
-    return F.lower(F.substring(F.coalesce(F.lit(lang) if isinstance(lang, str) else lang, F.lit("en")), 1, 2))
-
-
-def _stopwords(nodes: Column, lang: Column, lists) -> Column:
-    """Stopwords of each node that can count for a content node, by order; 0 for the others."""
+def content_scores(nodes: Column) -> Column:
+    """Scores of content nodes, array of struct(order, score, source), as functions.content finds them; source: the first node that gave to it."""
     return F.transform(
-        nodes, lambda n: F.when(n["tag"].isin(*CANDIDATES) & ~n["junk"], T.stopwords_by_language(n["text"], lang, lists)).otherwise(0)
+        F.filter(nodes, lambda n: n["score"].isNotNull()),
+        lambda n: F.struct(n["order"].alias("order"), n["score"].alias("score"), n["source"].alias("source"))
     )
 
 
-def content_scores(nodes: Column, lang: Column | str = "en", lists=None) -> Column:
-    """Scores of content nodes, array of struct(order, score, source); source: the first node that gave to it.
-
-    Candidates (p, pre, td; not link-dense; more than two stopwords, of zh more than three characters) give their
-    stopwords and boost to the parent, half of it to the grandparent.  Boost: 50/k for the k-th candidate one of
-    whose three nearest earlier sibling paragraphs has over five stopwords; among over 15 candidates the last
-    quarter is lowered.  All of it happens inside the row of a page.
-    """
-    return urls.let(_language(lang), lambda language: _content_scores(nodes, language, lists))
-
-
-def _content_scores(nodes: Column, language: Column, lists) -> Column:
-    def candidates(ns: Column, stops: Column) -> Column:
-        def enough(n: Column) -> Column:
-            return F.when(language == "zh", F.length(n["text"]) > 3).otherwise(F.get(stops, n["order"]) > 2)
-
-        clean = clean_nodes(ns)
-        good = F.filter(F.concat(*(tags(clean, t) for t in CANDIDATES)), lambda n: enough(n) & ~dense(n, language))
-        return F.transform(
-            good,
-            lambda n: F.struct(
-                n["order"].alias("order"), n["parent"].alias("parent"), F.get(ns, n["parent"])["parent"].alias("grand"),
-                F.get(stops, n["order"]).alias("stops"), F.exists(n["before"], lambda b: F.get(stops, b) > 5).alias("boosted"),
-            ),
-        )
-
-    def gifts(x: Column) -> Column:
-        total = F.size(x["good"])
-        tail = 0.25 * total
-
-        def given(g: Column, i: Column) -> Column:
-            b = tail - (total - i)
-            early = F.when(g["boosted"], 50.0 / F.array_position(x["boosted"], g["order"])).otherwise(0.0)
-            late = F.when(b * b > 40, 5.0).otherwise(-b * b)
-            up = (g["stops"] + F.when((total > 15) & (total - i <= tail), late).otherwise(early)).cast("int")
-            return F.array(
-                F.struct(g["parent"].alias("to"), up.alias("score"), g["order"].alias("source")),
-                F.struct(g["grand"].alias("to"), (up / 2).cast("int").alias("score"), g["order"].alias("source")),
-            )
-
-        return F.filter(F.flatten(F.transform(x["good"], given)), lambda g: g["to"] >= 0)
-
-    def totals(given: Column) -> Column:
-        def one(to: Column) -> Column:
-            return urls.let(
-                F.filter(given, lambda g: g["to"] == to),
-                lambda own: F.struct(
-                    to.alias("order"), F.aggregate(
-                        own, F.lit(0), lambda s, g: s + g["score"]
-                    ).alias("score"), F.array_min(F.transform(own, lambda g: g["source"])).alias("source")
-                ),
-            )
-
-        return F.transform(F.array_distinct(F.transform(given, lambda g: g["to"])), one)
-
-    def with_boosted(good: Column) -> Column:
-        return F.struct(good.alias("good"), F.transform(F.filter(good, lambda g: g["boosted"]), lambda g: g["order"]).alias("boosted"))
-
-    found = urls.let(nodes, lambda ns: urls.let(_stopwords(ns, language, lists), lambda stops: candidates(ns, stops)))
-    return urls.let(urls.let(urls.let(found, with_boosted), gifts), totals)
-
-
 def best_node(scores: Column) -> Column:
     """struct(score, order) of the highest score, the one whose first giver comes first among equal ones; NULL without scores."""
     best = F.array_max(F.transform(scores, lambda x: F.struct(x["score"], (-x["source"]).alias("early"), (-x["order"]).alias("o"))))
     return urls.let(best, lambda b: F.struct(b["score"].alias("score"), (-b["o"]).alias("order")))
 
 
-def best_nodes(
-    pages: DataFrame, page: str = "page_id", url: str = "url", nodes: str = "nodes", lang: Column | str = "en", lists=None
-) -> DataFrame:
+def best_nodes(pages: DataFrame, page: str = "page_id", url: str = "url", nodes: str = "nodes") -> DataFrame:
     """(page, top_order, score): a known article container if there is one, else the node of the highest score, the first of equal ones."""
     known = known_container(F.col(nodes), F.col(url))
-    best = best_node(content_scores(F.col(nodes), lang, lists))
+    best = best_node(content_scores(F.col(nodes)))
     return pages.select(page, known.alias("known"), best.alias("best")).select(
         page, F.coalesce("known", "best.order").alias("top_order"), F.col("best.score").alias("score")
     )
@@ -387,112 +316,110 @@ def inside(nodes: Column, top: Column) -> Column:
     return urls.let(urls.let(top, lambda t: F.struct(t.alias("a"), F.get(nodes, t)["last"].alias("b"))), below)
 
 
-def _without_chaff(below: Column, top: Column, scores: Column | None) -> Column:
-    """The nodes below a content node without those of its children that are no content.
+def _without_chaff(below: Column, top: Column) -> Column:
+    """The nodes below a content node (`top`, its order) without those of its children that are no content.
 
-    Paragraphs, lists and headings stay; another child goes if it holds a link, or (but for td) if it holds no
-    paragraph with text or scores under 8 % of the content node.
+    Text of the content node itself, inline elements, paragraphs, lists and headings stay; another child goes if it
+    holds a link, or (but for td) if it holds no paragraph with text or scores under 8 % of the content node.
     """
 
-    def score(order: Column) -> Column:
-        return F.coalesce(F.get(F.filter(scores, lambda x: x["order"] == order), 0)["score"], F.lit(0))
+    def spans(least: Column) -> Column:
+        def chaff(n: Column) -> Column:
+            weak = ~n["told"] | (F.coalesce(n["score"], F.lit(0)) < least)
+            return (n["parent"] == top) & ~n["tag"].isin(*KEPT_CHILDREN, *INLINE) & ((n["links"] > 0) | ((n["tag"] != "td") & weak))
 
-    def chaff(n: Column) -> Column:
-        told = F.exists(below, lambda p: (p["tag"] == "p") & (p["order"] > n["order"]) & (p["order"] <= n["last"]) & (p["text"] != ""))
-        weak = ~told if scores is None else ~told | (score(n["order"]) < 0.08 * score(top))
-        return (n["parent"] == top) & ~n["tag"].isin(*KEPT_CHILDREN) & ((n["links"] > 0) | ((n["tag"] != "td") & weak))
+        return F.transform(F.filter(below, chaff), lambda n: F.struct(n["order"].alias("a"), n["last"].alias("b")))
 
-    spans = F.transform(F.filter(below, chaff), lambda n: F.struct(n["order"].alias("a"), n["last"].alias("b")))
-    return urls.let(spans, lambda out: F.filter(below, lambda n: ~F.exists(out, lambda s: (n["order"] >= s["a"]) & (n["order"] <= s["b"]))))
+    least = 0.08 * F.coalesce(F.get(below, 0)["score"], F.lit(0))
+    return urls.let(
+        urls.let(least, spans),
+        lambda out: F.when(F.size(out) == 0, below).otherwise(
+            F.filter(below, lambda n: ~F.exists(out, lambda s: (n["order"] >= s["a"]) & (n["order"] <= s["b"])))
+        )
+    )
 
 
-def article_text(nodes: Column, top: Column, lang: Column | str = "en", scores: Column | None = None) -> Column:
-    """Paragraphs and list items of the content node joined by blank lines; chaff, link-dense and empty ones dropped, list items with a bullet."""
-    start = F.struct(_language(lang).alias("lang"), top.alias("top"))
-    return urls.let(start, lambda x: _article_text(nodes, x["top"], x["lang"], scores))
+def _written(below: Column) -> Column:
+    """The stretches of text of some nodes in document order, those of list items with a bullet; link-dense ones, h1 and forms dropped."""
+    def bulleted(n: Column) -> Column:
+        return F.transform(
+            F.filter(n["blocks"], lambda b: ~b["dense"]), lambda b: F.struct(
+                b["place"].alias("place"), F.when(n["tag"] == "li", F.concat(F.lit("• "), b["text"])).otherwise(b["text"]).alias("text")
+            )
+        )
 
+    own = F.filter(below, lambda n: (F.size(n["blocks"]) > 0) & ~n["tag"].isin(*UNWRITTEN))
+    return F.array_join(F.transform(F.array_sort(F.flatten(F.transform(own, bulleted))), lambda b: b["text"]), "\n\n")
 
-def _article_text(nodes: Column, top: Column, language: Column, scores: Column | None) -> Column:
-    def written(kept: Column) -> Column:
-        outer = F.filter(kept, lambda n: ~F.exists(kept, lambda m: (m["order"] < n["order"]) & (m["last"] >= n["order"])))
-        return F.array_join(
-            F.transform(outer, lambda n: F.when(n["tag"] == "li", F.concat(F.lit("• "), n["text"])).otherwise(n["text"])), "\n\n"
-        )
 
-    def kept(below: Column) -> Column:
-        wanted = F.filter(
-            below, lambda n: n["tag"].isin("p", "pre", "li", "h2", "h3", "h4", "blockquote") & (n["text"] != "") & ~dense(n, language)
-        )
-        return F.transform(
-            wanted, lambda n: F.struct(n["order"].alias("order"), n["last"].alias("last"), n["tag"].alias("tag"), n["text"].alias("text"))
+def article_text(nodes: Column, top: Column) -> Column:
+    """The text of a content node in document order, its stretches between block boundaries joined by blank lines.
+
+    Every text counts once: of paragraphs, cells, plain blocks, and what stands in the content node itself, also between
+    line breaks.  Chaff, link-dense stretches and h1 are dropped, list items get a bullet.  Where nothing is left without the
+    chaff, the chaff is the text.
+    """
+
+    def text(below: Column) -> Column:
+        return urls.let(
+            _written(_without_chaff(below, F.get(below, 0)["order"])), lambda t: F.when(t == "", _written(below)).otherwise(t)
         )
 
-    below = urls.let(inside(nodes, top), lambda b: _without_chaff(b, top, scores))
-    return urls.let(urls.let(below, kept), written)
+    return urls.let(inside(nodes, top), text)
 
 
-def sibling_text(nodes: Column, top: Column, lang: Column | str = "en", share: float = 0.30, lists=None) -> Column:
+def sibling_text(nodes: Column, top: Column, share: float = 0.30) -> Column:
     """Texts before the content node that belong to it, array in document order.
 
     Of its earlier siblings, paragraphs with text; and, inside other siblings, paragraphs that are not link-dense
     and whose stopwords exceed `share` of the mean of the content node's own (of those with over two stopwords).
     """
-    start = F.struct(_language(lang).alias("lang"), top.alias("top"))
-    return urls.let(start, lambda x: _sibling_text(nodes, x["top"], x["lang"], share, lists))
 
-
-def _sibling_text(nodes: Column, top: Column, language: Column, share: float, lists) -> Column:
-    def count(n: Column) -> Column:
-        return T.stopwords_by_language(n["text"], language, lists)
-
-    def base(ns: Column) -> Column:
-        plain = F.filter(tags(inside(ns, top), "p"), lambda n: ~dense(n, language))
-        own = F.filter(F.transform(plain, count), lambda k: k > 2)
+    def base(own: Column) -> Column:
         return urls.let(
             own, lambda k: F.when(F.size(k) > 0, F.floor(F.aggregate(k, F.lit(0), lambda s, v: s + v) / F.size(k))).otherwise(100000)
         )
 
-    def recovered(ns: Column) -> Column:
-        parent = F.get(ns, top)["parent"]
-        earlier = F.filter(
-            tags(clean_nodes(ns), "p"), lambda n: (n["order"] > parent) & (n["order"] < top) & (n["last"] < top) & (n["text"] != "")
+    def recovered(x: Column) -> Column:
+        own = F.filter(
+            x["told"], lambda n: (n["order"] >= x["top"]) & (n["order"] <= x["last"]) & ~n["dense"] & (n["stops"] > 2)
         )
+        earlier = F.filter(x["told"], lambda n: (n["order"] > x["parent"]) & (n["last"] < x["top"]) & (n["text"] != ""))
         good = urls.let(
-            base(ns), lambda m: F.filter(earlier, lambda n: (n["parent"] == parent) | (~dense(n, language) & (count(n) > m * share)))
+            base(F.transform(own, lambda n: n["stops"])),
+            lambda m: F.filter(earlier, lambda n: (n["parent"] == x["parent"]) | (~n["dense"] & (n["stops"] > m * share)))
         )
         return F.transform(good, lambda n: n["text"])
 
-    return F.coalesce(urls.let(nodes, recovered), F.array().cast("array<string>"))
+    start = urls.let(
+        top, lambda t: F.struct(
+            t.alias("top"), F.get(nodes, t)["last"].alias("last"), F.get(nodes, t)["parent"].alias("parent"),
+            tags(clean_nodes(nodes), "p").alias("told")
+        )
+    )
+    return F.coalesce(urls.let(start, recovered), F.array().cast("array<string>"))
 
 
-def content(nodes: Column, url: Column, lang: Column | str = "en", lists=None) -> Column:
+def content(nodes: Column, url: Column) -> Column:
     """struct(top, text): the content node and the article text.
 
     A known container is taken as it is, without its chaff; else the node of the highest score, with the texts
     recovered before it.
     """
-
-    def found(x: Column) -> Column:
-        top = F.coalesce(x["known"], best_node(x["scores"])["order"])
-        return F.struct(top.alias("top"), x["known"].isNull().alias("scored"), x["scores"].alias("scores"), x["lang"].alias("lang"))
+    none = F.array().cast("array<string>")
 
     def text(x: Column) -> Column:
-        own = _article_text(nodes, x["top"], x["lang"], x["scores"])
-        before = F.when(x["scored"], _sibling_text(nodes, x["top"], x["lang"], 0.30, lists)).otherwise(F.array().cast("array<string>"))
-        return F.struct(
-            x["top"].alias("top"),
-            F.when(
-                x["top"].isNotNull(),
-                F.array_join(F.concat(before, F.when(own != "", F.array(own)).otherwise(F.array().cast("array<string>"))), "\n\n")
-            ).alias("text")
+        own = article_text(nodes, x["top"])
+        before = F.when(x["known"], none).otherwise(sibling_text(nodes, x["top"]))
+        joined = F.array_join(F.concat(before, urls.let(own, lambda t: F.when(t != "", F.array(t)).otherwise(none))), "\n\n")
+        return F.struct(x["top"].alias("top"), F.when(x["top"].isNotNull(), joined).alias("text"))
+
+    start = urls.let(
+        known_container(nodes, url), lambda known: F.struct(
+            F.coalesce(known, best_node(content_scores(nodes))["order"]).alias("top"), known.isNotNull().alias("known")
         )
-
-    def scored(language: Column) -> Column:
-        return F.struct(
-            language.alias("lang"), known_container(nodes, url).alias("known"), _content_scores(nodes, language, lists).alias("scores")
-        )
-
-    return urls.let(urls.let(urls.let(_language(lang), scored), found), text)
+    )
+    return urls.let(start, text)
 
 
 def tag_texts(nodes: Column) -> Column:

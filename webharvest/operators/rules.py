@@ -182,7 +182,7 @@ def media_types(articles: DataFrame, types: DataFrame) -> DataFrame:
 
 def parse_items(
     pages: DataFrame, now: int, rules: Mapping[str, Mapping] | None = None, page: str = "page_id", url: str = "url", html: str = "html",
-    lang: Column | str | None = None, lists=None
+    lang: str | None = None, lists=None
 ) -> DataFrame:
     """Item parser: (page, url, title, author, pubtime, content, rule fields); title, author, pubtime and content are always there.
 
@@ -191,16 +191,12 @@ def parse_items(
     """
     rules = rules or {}
     n, at, source = F.col("_nodes"), F.col(url), F.col(html)
-    staged = pages.select(page, url, html, html_nodes(source).alias("_nodes"))
+    staged = pages.select(page, url, html, html_nodes(source, lang, lists).alias("_nodes"))
     given = {
         f"_r_{name}": F.get(_each(custom_match(rule["filter"], source, at, rule.get("target", "text"), n), rule), 0) for name,
         rule in rules.items()
     }
-    found = extract.content(n, at, F.col("_lang"), lists)
-    staged = staged.withColumns(
-        {"_lang": extract.page_language(n) if lang is None else F.lit(lang) if isinstance(lang, str) else lang, **given}
-    )
-    staged = staged.withColumn("_content", found)
+    staged = staged.withColumns({"_content": extract.content(n, at), **given})
 
     def rule(name: str) -> Column | None:
         return F.col(f"_r_{name}") if name in rules else None

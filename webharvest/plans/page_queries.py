@@ -51,9 +51,37 @@ PAGE_LINKS = f"""(SELECT page_id, any_value(url) AS url, {ORIGIN} || href AS lin
 PARAGRAPHS = f"""(SELECT page_id, lang, i, {plain("raw")} AS text FROM (SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
 unnest(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:]) AS raw, unnest(range(len(string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')) - 1)) AS i FROM pages))"""
 STOPS = f"(CASE lang WHEN 'de' THEN {_counts('de')} WHEN 'fr' THEN {_counts('fr')} WHEN 'es' THEN {_counts('es')} ELSE {_counts('en')} END)::INT"
+#: Layouts of an article by page id modulo 7: paragraphs, plain blocks, cells, bare text between line breaks, paragraphs between
+#: bare text, list items, blocks in blocks; (name of the text's element, its end, what stands before the first and behind the last text).
+LAYOUTS = (
+    ("<p>", "</p>", "", ""), ("<div>", "</div>", "", ""), ("<td>", "</td>", "<table><tr>", "</table>"), ("<br>", "", "", ""),
+    ("<p>", "</p>", "Lead {}", "<hr>Tail {}"), ("<li>", "</li>", "<ul>", "</ul>"),
+    ("<section><div><span>", "</span></div></section>", "<div><div>", "</div></div>")
+)
+
+
+def laid_out(html: Column) -> Column:
+    """The page with its article in the layout of its id."""
+    out = html
+    for k, (start, end, before, behind) in enumerate(LAYOUTS):
+        article = F.replace(F.replace(html, F.lit("<p>"), F.lit(start)), F.lit("</p>"), F.lit(end))
+        article = F.replace(
+            F.replace(article, F.lit("</h1>"), F.concat(F.lit("</h1>"), ident(before))), F.lit("</article>"),
+            F.concat(ident(behind), F.lit("</article>"))
+        )
+        out = F.when(F.col("page_id") % len(LAYOUTS) == k, article).otherwise(out)
+    return out
+
+
 CONTENT = f"(SELECT page_id, string_agg(text, chr(10) || chr(10) ORDER BY i) AS content FROM {PARAGRAPHS} WHERE text <> '' GROUP BY page_id)"
 
 
+#: The content of the pages in their layouts: every text once, in order.
+LAID_OUT = """(SELECT page_id, nullif(concat_ws(chr(10) || chr(10), CASE WHEN page_id % 7 = 4 THEN 'Lead ' || page_id END,
+CASE WHEN page_id % 7 = 5 THEN '• ' || replace(content, chr(10) || chr(10), chr(10) || chr(10) || '• ') ELSE content END,
+CASE WHEN page_id % 7 = 4 THEN 'Tail ' || page_id END), '') AS content FROM pages LEFT JOIN """ + CONTENT + " USING (page_id))"
+
+
 def order_of(tag: str) -> str:
     """SQL of the order of the first node of a tag: the start tags before it."""
     return f"len(regexp_extract_all(split_part(html, '<{tag}>', 1), '<[a-z][a-z0-9]*[ >]'))::INT"
@@ -211,7 +239,7 @@ def h14_best_node(spark, d):
     """Every other page without its known container, whose node must then be found by its score."""
     bare = F.replace(F.replace("html", F.lit("<article>"), F.lit("<div>")), F.lit("</article>"), F.lit("</div>"))
     rows = marked(spark, d, F.when(F.col("page_id") % 2 == 0, bare).otherwise(F.col("html")))
-    return H.best_nodes(rows, lang=H.page_language(F.col("nodes")))
+    return H.best_nodes(rows)
 
 
 @query(f"""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN {order_of("article")} ELSE {order_of("body")} + 1 END AS container FROM pages""")
@@ -231,17 +259,18 @@ def h16_siblings(spark, d):
     """A block of a paragraph, one of a link and a paragraph before the article, which is made a plain block."""
     before = ident(f'<div><p>{SAID}</p></div><div><p><a href="/z">{SAID}</a></p></div><p>Lead {{}}</p><div id="main">')
     rows = marked(spark, d, F.replace("html", F.lit("<article>"), before))
-    n, lang = F.col("nodes"), H.page_language(F.col("nodes"))
+    n = F.col("nodes")
     top = F.get(F.filter(n, lambda x: attr(x, "id") == "main"), 0)["order"]
-    return rows.select("page_id", F.array_join(H.sibling_text(n, top, lang), "|").alias("recovered"))
+    return rows.select("page_id", F.array_join(H.sibling_text(n, top), "|").alias("recovered"))
 
 
-@query(f"SELECT page_id, content FROM pages LEFT JOIN {CONTENT} USING (page_id)")
+@query(f"SELECT page_id, content FROM {LAID_OUT}")
 def h17_article_text(spark, d):
-    """A block of links and a table without paragraphs inside the article are no content."""
+    """Seven layouts; a block of links and a table without paragraphs inside an article with other text are no content."""
     chaff = '<article><div><p><a href="/q">more</a></p></div><table><tr><td>1</td></tr></table>'
+    mixed = (F.col("page_id") % 7).isin(0, 3, 4, 5)
     rows = marked(
-        spark, d, F.replace("html", F.lit("<article>"), F.lit(chaff))
+        spark, d, F.replace(laid_out(F.col("html")), F.lit("<article>"), F.when(mixed, chaff).otherwise("<article>"))
     ).withColumn("top", H.known_container(F.col("nodes"), F.col("url")))
     return rows.select("page_id", F.nullif(H.article_text(F.col("nodes"), F.col("top")), F.lit("")).alias("content"))
 
@@ -432,14 +461,14 @@ def j11_media_type(spark, d):
 
 @query(f"""WITH t AS (SELECT page_id, url, {plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS h1 FROM pages),
 w AS (SELECT *, list_filter(string_split(h1, ' '), lambda x, i: NOT (i = 1 AND x IN ('|', '-', '»', ':'))) AS words FROM t)
-SELECT page_id, url, array_to_string(CASE WHEN words[-1] IN ('|', '-', '»', ':') THEN words[:-2] ELSE words END, ' ') AS title, 'A' || page_id AS author, 978307200 + 86400 * (page_id % 300) AS pubtime, content FROM w LEFT JOIN {CONTENT} USING (page_id)""")
+SELECT page_id, url, array_to_string(CASE WHEN words[-1] IN ('|', '-', '»', ':') THEN words[:-2] ELSE words END, ' ') AS title, 'A' || page_id AS author, 978307200 + 86400 * (page_id % 300) AS pubtime, content FROM w LEFT JOIN {LAID_OUT} USING (page_id)""")
 def j12_item_parser(spark, d):
-    """The date stands beside the content node, an earlier one elsewhere in the page."""
+    """Articles of seven layouts.  The date stands beside the content node, an earlier one elsewhere in the page."""
     day = F.date_format(F.timestamp_seconds(978307200 + 86400 * (F.col("page_id") % 300)), "yyyy-MM-dd")
     mark = F.concat(F.lit("<div><i>发布时间："), day, F.lit(" 00:00 </i>"), ident('<b itemprop="author">A{}</b><article>'))
-    page = F.replace(F.replace("html", F.lit("<article>"), mark), F.lit("</article>"), F.lit("</article></div>"))
+    page = F.replace(F.replace(laid_out(F.col("html")), F.lit("<article>"), mark), F.lit("</article>"), F.lit("</article></div>"))
     page = F.replace(page, F.lit("<nav>"), F.lit("<nav><i>发布时间：1999-01-02 00:00 </i>"))
-    return J.parse_items(table(spark, d, "pages").withColumn("html", page), NOW)
+    return J.parse_items(spread(table(spark, d, "pages")).withColumn("html", page), NOW)
 
 
 @query(
