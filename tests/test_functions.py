@@ -370,3 +370,26 @@ def test_stopword_counters():
     assert content.counter("en")("The river, and THE town!") == 3 == content.counter("xx")("The river, and THE town!")
     assert content.language(nodes.parse("<html lang=DE-at>")) == "de" and content.language([]) == "en"
     assert content.language(nodes.parse('<meta name=lang content="fr">')) == "fr"
+
+
+STORE = """{"shop":{"books":[{"title":"A","price":8.5,"tags":["x","y"]},{"title":"B","price":12,"isbn":"0-1"},{"title":"C","price":9,"isbn":"0-2"}],
+"cart":{"color":"red","price":20}},"odd key":[1,2,3,4,5],"html":["<b>x</b><i>1</i>","<b>y</b>"]}"""
+
+
+def test_json_paths(spark):
+    cases = {
+        "$.shop.books[*].title": '["A","B","C"]', "$..price": "[8.5,12,9,20]", "$..books[?(@.price>8.9)].title": '["B","C"]', "$.shop..isbn": '["0-1","0-2"]',
+        "$['odd key'][1:3]": "[2,3]", "$['odd key'][::2]": "[1,3,5]", "$['odd key'][-2:]": "[4,5]", "$['odd key'][0,-1]": "[1,5]", "$.shop.books[0]['title','price']": '["A",8.5]',
+        "$..books[?(@.isbn && @.price<10)].title": "C", "$..books[?(!(@.isbn) || @.title=='B')].title": '["A","B"]', "$..books[?(@.tags.length==2)].title": "A",
+        "$..books[(@.length-1)].title": "C", "shop.books[-1].title": "C", "$.shop.*.color": "red", "$..nothing": None, "$..tags[*]": '["x","y"]', "$.shop.books[?(@.price!=9)].price": "[8.5,12]",
+    }
+    row = spark.createDataFrame([(STORE,)], "s string")
+    got = row.select(*[J.json_path(F.col("s"), path).alias(str(k)) for k, path in enumerate(cases)]).first()
+    assert dict(zip(cases, got)) == cases
+    for bad in ("$.a[?(@.b ~ 1)]", "$.a[?(1)]", "$.a[", "$.a[::0]", "$.a.[b", "$.a[(@.x)]", "$..", "$.a b"):
+        with pytest.raises(ValueError):
+            J.json_path(F.col("s"), bad)
+    rows = J.json_rule(row, "s", {"filter": "$.html", "item": {"b": "@css:b", "i": "@xpath://i/text()", "r": "@reg:<b>[t]</b>"}})
+    assert [tuple(r) for r in rows.select("b", "i", "r").collect()] == [("x", "1", "x"), ("y", None, "y")]
+    odd = spark.createDataFrame([("no json",), (None,), ("[1,[2,{\"k\":[]}]]",)], "s string").select(J.json_path(F.col("s"), "$..k")).collect()
+    assert [r[0] for r in odd] == [None, None, "[]"]

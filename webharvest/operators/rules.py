@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.jsonpath import PLAIN, path_hits
 from ..functions.nodes import html_nodes, selector
 from ..functions.patterns import preg, rule_to_pattern
 from . import extract
@@ -23,7 +24,14 @@ def unwrap_jsonp(text: Column) -> Column:
 
 
 def json_path(text: Column, path: str) -> Column:
-    """JSON text at a path; `[-1]` and `.-1` take the last element of an array."""
+    """JSON text at a path; `[-1]` and `.-1` take the last element of an array.
+
+    Paths of names and indices are built-in expressions; wildcards, slices, unions, quoted names, recursive descent
+    and filters are followed by functions.jsonpath, where one hit stands for itself and several are an array.  A path
+    that is not supported raises when the plan is made.
+    """
+    if not PLAIN.match(path.strip()):
+        return path_hits(text, path)
     steps = re.sub(r"\.(-?\d+)(?=\.|$|\[)", r"[\1]", path.removeprefix("$").removeprefix("."))
     out, at = text, 0
     for m in re.finditer(r"\[-1\]", steps):
@@ -36,7 +44,7 @@ def json_path(text: Column, path: str) -> Column:
 
 
 def _dollar(path: str) -> str:
-    path = re.sub(r"\.\*", "[*]", path.strip("."))
+    path = path.strip(".")
     return "$" + path if path.startswith("[") else "$." + path
 
 
@@ -54,12 +62,22 @@ def json_rows(text: Column, filter_path: str | None = None) -> Column:
 
 
 def json_rule(df: DataFrame, column: str, rule: Mapping) -> DataFrame:
-    """Rows by a JSON rule set {filter, item: {name: path}}; without items one column `value` of the hits.  Other columns stay."""
+    """Rows by a JSON rule set {filter, item: {name: rule}}; without items one column `value` of the hits.  Other columns stay.
+
+    An item's rule is a path into the row; or, where the row is a text, `@css:`, `@xpath:` or `@reg:`, whose first hit counts.
+    """
     exploded = df.withColumn("_row", F.explode(json_rows(F.col(column), rule.get("filter"))))
     items = rule.get("item")
     if not items:
         return exploded.withColumnRenamed("_row", "value")
-    return exploded.withColumns({name: json_path(F.col("_row"), path) for name, path in items.items()}).drop("_row")
+    row = F.col("_row")
+
+    def value(rule: str) -> Column:
+        if rule.startswith(("@css:", "@xpath:", "@reg:")):
+            return F.get(custom_match(rule, row, F.lit(None).cast("string")), 0)
+        return json_path(row, rule.removeprefix("@json:"))
+
+    return exploded.withColumns({name: value(rule) for name, rule in items.items()}).drop("_row")
 
 
 def regex_rule(text: Column, rule: str, many: bool = False) -> Column:

@@ -341,10 +341,22 @@ def h24_blocked(spark, d):
     return nodes(spark, d).select("page_id", H.blocked(F.col("url"), F.col("nodes"), "/en/[*]", ("class", "^ad$")).alias("blocked"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+@query("""SELECT event_id, k, '[' || k || ',' || k || ']' AS deep, CASE WHEN k::INT >= 50 THEN k END AS big, '[' || (event_id + 1) || ',' || (event_id + 2) || ']' AS tail,
+'<' || k || '>' AS mark FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events)""")
 def j1_json_rule(spark, d):
-    wrapped = table(spark, d, "events").select("event_id", F.concat(F.lit('cb({"data":['), F.col("props"), F.lit("]})")).alias("body"))
-    return J.json_rule(wrapped, "body", {"filter": "$.data", "item": {"k": "$.k"}}).select("event_id", "k")
+    """A row rule, recursive descent, a filter, a slice, and a selector inside a value."""
+    k = F.get_json_object("props", "$.k")
+    body = F.concat(
+        F.lit('cb({"data":['), F.col("props"), F.lit('],"x":{"y":['), F.col("props"), F.lit(']},"n":['),
+        F.concat_ws(",", F.col("event_id"), F.col("event_id") + 1, F.col("event_id") + 2), F.lit('],"html":["<i>no</i><b class=k>&lt;'), k, F.lit('></b>"]})')
+    )
+    wrapped = table(spark, d, "events").select("event_id", body.alias("body"))
+    inner = J.unwrap_jsonp(F.col("body"))
+    paths = {"deep": "$..k", "big": "$.data[?(@.k>=50)].k", "tail": "$.n[1:]"}
+    rows = wrapped.withColumns({name: J.json_path(inner, path) for name, path in paths.items()})
+    marked_ = J.json_rule(wrapped, "body", {"filter": "$.html", "item": {"mark": "@css:b.k"}}).select("event_id", "mark")
+    keys = J.json_rule(rows, "body", {"filter": "$.data", "item": {"k": "$.k"}})
+    return keys.join(marked_, "event_id").select("event_id", "k", *paths, "mark")
 
 
 @query(
