@@ -5,7 +5,7 @@ from urllib.parse import urljoin as std_join
 import pytest
 from pyspark.sql import functions as F
 
-from webharvest.functions import nodes, patterns, times, urls
+from webharvest.functions import nodes, patterns, selectors, times, urls
 from webharvest.operators import articles as A
 from webharvest.operators import dedupe as D
 from webharvest.operators import extract as H
@@ -68,9 +68,9 @@ def test_html_repair():
     assert odd[0]["attrs"] == {"href": "x>y", "title": "q & r", "hidden": ""}
     assert len(nodes.parse('<a b="' * 20_000)) == 0 and len(nodes.parse('<a b=">" ' * 20_000)) == 0
     with pytest.raises(ValueError):
-        nodes.compile_css("a:hover")
+        selectors.compile_css("a:hover")
     with pytest.raises(ValueError):
-        nodes.compile_xpath("//a[position()<3]")
+        selectors.compile_xpath("//a[count(b)<3]")
 
 
 PAGE = """<html><head><title>River rises - Example</title><meta property="og:title" content="River rises - Example">
@@ -328,7 +328,7 @@ def test_selectors_match_nested_and_indexed_steps(spark):
         "@css:div.b > ul li": ["1", "2", "3", "4", "5"], "@css:ul:eq(1) li": ["3", "4", "5"], "@css:li:last": ["5"], "@css:#top li.y": ["2"], "@css:li:eq(-2)": ["4"], "@css:p[title^=t], li.x": ["2", "p"],
         "@xpath://ul/li[1]": ["1", "3"], "//ul[2]/li[last()]/text()": ["5"], "/div/ul/li[3]": ["5"], "//*[@class='x y']": ["2"], "//p[contains(@title,'-1')]/@title": ["t-1"], "//nav": [],
     }
-    got = rows.select(*[nodes.selector(rule, F.col("n")).alias(str(k)) for k, rule in enumerate(cases)]).first()
+    got = rows.select(*[selectors.selector(rule, F.col("n")).alias(str(k)) for k, rule in enumerate(cases)]).first()
     assert list(got) == list(cases.values())
 
 
@@ -393,3 +393,81 @@ def test_json_paths(spark):
     assert [tuple(r) for r in rows.select("b", "i", "r").collect()] == [("x", "1", "x"), ("y", None, "y")]
     odd = spark.createDataFrame([("no json",), (None,), ("[1,[2,{\"k\":[]}]]",)], "s string").select(J.json_path(F.col("s"), "$..k")).collect()
     assert [r[0] for r in odd] == [None, None, "[]"]
+
+
+SHELF = """<div id=main class="a b"><h2>One</h2><p lang=en-US>first <b>bold</b></p><p class="x">second, with comma</p><div class=box><p>third</p>
+<a href="/1" title="x, y">L1</a><a href="/2">L2</a> tail</div><h2>Two</h2><p>fourth<br>line</p><ul><li>1<li class=on>2<li>3<li>4<li>5</ul></div><p>outside</p>"""
+
+
+def test_selector_grammar(spark):
+    rows = spark.createDataFrame([(SHELF,)], "html string").withColumn("n", nodes.html_nodes("html"))
+    cases = {
+        "@css:h2 + p": ["first bold", "fourth line"], "@css:h2 ~ p.x": ["second, with comma"], "@css:a[title='x, y'], li.on": ["L1", "2"],
+        "@css:p:not(.x, [lang])": ["third", "fourth line", "outside"], "@css:li:nth-child(2n+1)": ["1", "3", "5"], "@css:li:nth-child(-n+2)": ["1", "2"],
+        "@css:li:nth-last-child(2)": ["4"], "@css:li:first-child, li:last-child": ["1", "5"], "@css:p:contains('third')": ["third"], "@css:li:gt(2)": ["4", "5"],
+        "@css:li:lt(-3)": ["1", "2"], "@css:[lang|=en]": ["first bold"], "@css:#main > div > p": ["third"], "@css:a[href!='/1']": ["L2"], "@css:li:odd": ["2", "4"],
+        "//a[@href='/1' or @href='/2']": ["L1", "L2"], "//a[@href and not(@title)]": ["L2"], "//p[text()='third']": ["third"], "//p[starts-with(text(),'sec')]": ["second, with comma"],
+        "//h2[.='Two']/following-sibling::p[1]": ["fourth line"], "//h2/following-sibling::p[1]": ["first bold", "fourth line"], "//b/..": ["first bold"], "//li[position()<=2]": ["1", "2"],
+        "//li[@class='on']/preceding-sibling::li[1]": ["1"], "//b/ancestor::div/h2[last()]": ["Two"], "//div[@class='box']/text()": ["tail"], "//li[last()-1]": ["4"],
+        "//a[contains(@title, ', y')]/@href": ["/1"], "//li[.>3]": ["4", "5"], "//p[normalize-space(text())='outside']": ["outside"], "//div/div//text()": ["tail", "third", "L1", "L2"],
+        "/div/p[@class='x' and (contains(.,'comma') or @no)]": ["second, with comma"], "//li[not(contains(.,'1') or .='2')][1]": ["3"],
+    }
+    got = rows.select(*[selectors.selector(rule, F.col("n")).alias(str(k)) for k, rule in enumerate(cases)]).first()
+    assert dict(zip(cases, got)) == cases
+    for bad in ("@css:p:hover", "@css:", "@css:p >", "@css:a[b", "@css:p:not(a b)", "//p[count(a)=1]", "//p[1][@x]", "//p[@a='x]", "//p/", "//child::p/attribute::x", "//p/text()/b"):
+        with pytest.raises(ValueError):
+            selectors.selector(bad, F.col("n"))
+    rules = {
+        "html": {"filter": "@css:p[lang]", "target": "html"}, "outer": {"filter": "@css:li.on", "target": "outer"},
+        "grep": {"filter": "@css:p", "grep": {"pattern": "^(third|four)"}}, "equal": {"filter": "//a", "target": "href", "grep": {"target": "title", "params": "x, y"}},
+        "left": {"filter": "@css:li", "not_": ".on, :first-child", "eq": -1}, "is": {"filter": "@css:p", "is_": ".x"}, "match": {"filter": "@css:a", "match": r'href="/(\d)"'},
+    }
+    one_row = rows.select(*[J.rule_values(r, F.col("html"), F.lit("http://e.com/"), F.col("n")).alias("_" + k) for k, r in rules.items()]).first()
+    assert {k[1:]: v for k, v in one_row.asDict().items()} == {
+        "html": ["first <b>bold</b>"], "outer": ["<li class=on>2"], "grep": ["third", "fourth line"], "equal": ["/1"], "left": ["5"], "is": ["second, with comma"],
+        "match": ["1", "2"],
+    }
+
+
+def test_selectors_against_a_plain_matcher(spark):
+    """Combinators and node tests on random trees, each node held to the definition."""
+    import random
+
+    r = random.Random(4)
+
+    def tree(depth):
+        tag = r.choice(["div", "span", "b", "i"])
+        inner = "".join(tree(depth - 1) for _ in range(r.randrange(4))) if depth else r.choice(["t", "u", ""])
+        return f"<{tag} class='{r.choice('xyz')} {r.choice('pq')}'>{inner}</{tag}>"
+
+    pages = ["".join(tree(3) for _ in range(3)) for _ in range(12)]
+
+    def plain(page, pairs, sign):
+        ns = nodes.parse(page)
+        up = lambda n: ns[n["parent"]] if n["parent"] >= 0 else None
+        kin = lambda n: [m for m in ns if m["parent"] == n["parent"]]
+
+        def reach(n):
+            if sign == ">":
+                return [up(n)] if up(n) else []
+            if sign == " ":
+                out = []
+                while n := up(n):
+                    out.append(n)
+                return out
+            before = [m for m in kin(n) if m["order"] < n["order"]]
+            return before[-1:] if sign == "+" else before
+
+        return [n["order"] for n in ns if pairs[1](n, kin(n)) and any(pairs[0](m, kin(m)) for m in reach(n))]
+
+    simple = {
+        "div": lambda n, k: n["tag"] == "div", ".x": lambda n, k: "x" in n["attrs"]["class"].split(), ":not(.p)": lambda n, k: "p" not in n["attrs"]["class"].split(),
+        "b:nth-child(2n)": lambda n, k: n["tag"] == "b" and (k.index(n) + 1) % 2 == 0, ":contains(t)": lambda n, k: "t" in n["text"], "*": lambda n, k: True,
+        "span:last-child": lambda n, k: n["tag"] == "span" and k[-1] is n, "[class^=z]": lambda n, k: n["attrs"]["class"].startswith("z"),
+    }
+    rows = spark.createDataFrame(list(enumerate(pages)), "k int, html string").withColumn("n", nodes.html_nodes("html"))
+    pairs = [(a, sign, b) for a in simple for b in simple for sign in "> +~" if r.random() < 0.15]
+    got = rows.select("k", *[selectors.elements(f"@css:{a}{s}{b}", F.col("n"))[0].alias(f"c{i}") for i, (a, s, b) in enumerate(pairs)]).collect()
+    for row in got:
+        for i, (a, sign, b) in enumerate(pairs):
+            assert row[f"c{i}"] == plain(pages[row.k], (simple[a], simple[b]), sign), (a, sign, b)

@@ -29,8 +29,8 @@ _INT, _TEXT, _FLAG = pa.int32(), pa.string(), pa.bool_()
 #: A stretch of text between two block boundaries: its place in the page, and whether it is mostly links.
 _BLOCK_ROW = pa.struct([("place", _INT), ("text", _TEXT), ("dense", _FLAG)])
 _NODE_ROW = pa.struct(
-    [(n, _INT) for n in ("order", "parent", "last", "depth", "start", "end")]
-    + [("tag", _TEXT), ("attrs", pa.map_(_TEXT, _TEXT)), ("text", _TEXT), ("junk", _FLAG), ("dense", _FLAG), ("told", _FLAG)]
+    [(n, _INT) for n in ("order", "parent", "last", "depth", "start", "inner", "inner_end", "end", "nth", "nth_last")]
+    + [("tag", _TEXT), ("attrs", pa.map_(_TEXT, _TEXT)), ("text", _TEXT), ("own", _TEXT), ("junk", _FLAG), ("dense", _FLAG), ("told", _FLAG)]
     + [(n, _INT) for n in ("links", "link_words", "link_chars", "stops", "score", "source")]
     + [("blocks", pa.list_(_BLOCK_ROW))]
 )
@@ -108,13 +108,14 @@ class _Builder:
                 self.handle_data(text if tag in ("script", "style") else unescape(text))
                 at += len(text)
         self.handle_data(unescape(page[at:]))
-        self.at = len(page)
+        self.begin = self.at = len(page)
 
     def _close_to(self, position: int, end: int | None = None) -> None:
         for k in self.open[position:]:
             node = self.nodes[k]
             node["last"] = len(self.nodes) - 1
             node["stop"] = len(self.pieces)
+            node["inner_end"] = self.begin if end is None else end
             node["end"] = self.at if end is None else end
             if node["tag"] in BOUNDARY:
                 self.breaks.add(len(self.pieces))
@@ -148,7 +149,8 @@ class _Builder:
         self.nodes.append(
             {
                 "order": len(self.nodes), "parent": parent, "last": len(self.nodes), "depth": len(self.open), "tag": tag, "attrs": values,
-                "junk": bad, "first": len(self.pieces), "stop": len(self.pieces), "start": start, "end": self.at
+                "junk": bad, "first": len(self.pieces), "stop": len(self.pieces), "start": start, "inner": self.at,
+                "inner_end": self.at, "end": self.at
             }
         )
         if tag not in VOID:
@@ -175,7 +177,8 @@ def _junk(extra: str) -> re.Pattern:
 
 
 def _texts(builder: _Builder) -> None:
-    """`text` of every node: its inner text with single spaces, scripts and styles left out but for their own."""
+    """`text` of every node, its inner text with single spaces, scripts and styles left out but for their own; `own`, the
+    text directly in it; `nth` and `nth_last`, its place among its siblings from either end."""
     nodes, pieces = builder.nodes, builder.pieces
     raw = {n["order"] for n in nodes if n["tag"] in ("script", "style")}
     places, parts, size, spaced = [0], [], 0, True
@@ -192,7 +195,17 @@ def _texts(builder: _Builder) -> None:
                 spaced = text[-1] == " "
         places.append(size)
     whole = "".join(parts)
+    own: dict[int, list[str]] = {}
+    for node, text in pieces:
+        own.setdefault(node, []).append(text)
+    children: dict[int, list[dict]] = {}
+    for n in nodes:
+        children.setdefault(n["parent"], []).append(n)
+    for siblings in children.values():
+        for k, n in enumerate(siblings):
+            n["nth"], n["nth_last"] = k + 1, len(siblings) - k
     for n in nodes:
+        n["own"] = " ".join("".join(own.get(n["order"], ())).split())
         if n["order"] in raw:
             n["text"] = " ".join("".join(t for _, t in pieces[n["first"] : n["stop"]]).split())
         else:
@@ -203,7 +216,7 @@ def parse(html: str | None, extra_junk: str = "", lang: str | None = None, lists
     """Nodes in document order.
 
     `order` is a node's place in the array, `last` the order of its last descendant, `start` and `end` its place in
-    the page, `text` its inner text with single spaces; `links`, `link_words` and `link_chars` count the links below it
+    the page, `inner` and `inner_end` that of its content, `text` its inner text with single spaces; `links`, `link_words` and `link_chars` count the links below it
     and their text; `blocks` are the stretches of text that it is the innermost block of.  `stops`, `dense`, `told`,
     `score` and `source` are described in `content`; they go by `lang`, else by the page's own language, and by `lists`.
     """
@@ -284,158 +297,6 @@ def attr(node: Column, name: str) -> Column:
     return F.try_element_at(node["attrs"], F.lit(name))
 
 
-# ---- selectors ---------------------------------------------------------------------------------------------
-
-_CSS_PART = re.compile(
-    r"(?P<tag>\*|[a-zA-Z][\w-]*)|#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)|\[(?P<attr>[\w-]+)(?:(?P<op>[*^$~]?=)\s*['\"]?(?P<val>[^'\"\]]*)['\"]?)?\]|:eq\((?P<eq>-?\d+)\)|:(?P<first>first|last)"
-)
-
-
-def compile_css(selector: str) -> list[list[tuple[str, list, int | None]]]:
-    """Alternatives, each a list of steps (axis, tests, index); anything outside the subset raises."""
-    out = []
-    for alternative in selector.split(","):
-        steps, axis = [], "descendant"
-        for token in re.findall(r">|[^\s>]+(?:\[[^\]]*\])?", alternative.strip()):
-            if token == ">":
-                axis = "child"
-                continue
-            tests, index, at = [], None, 0
-            while at < len(token):
-                m = _CSS_PART.match(token, at)
-                if not m:
-                    raise ValueError(f"selector not supported: {selector!r} at {token[at:]!r}")
-                at = m.end()
-                if m["tag"]:
-                    tests += [] if m["tag"] == "*" else [("tag", "=", m["tag"].lower())]
-                elif m["id"]:
-                    tests.append(("id", "=", m["id"]))
-                elif m["cls"]:
-                    tests.append(("class", "~=", m["cls"]))
-                elif m["attr"]:
-                    tests.append((m["attr"], m["op"] or "has", m["val"] or ""))
-                else:
-                    index = int(m["eq"]) if m["eq"] else 0 if m["first"] == "first" else -1
-            steps.append((axis, tests, index))
-            axis = "descendant"
-        if not steps:
-            raise ValueError(f"empty selector in {selector!r}")
-        out.append(steps)
-    return out
-
-
-_XPATH_STEP = re.compile(r"(//|/)(@[\w-]+|text\(\)|\*|[a-zA-Z][\w-]*)((?:\[[^\]]*\])*)")
-
-
-def compile_xpath(path: str) -> tuple[list[tuple[str, list, int | None]], str | None]:
-    """(steps, final @attribute or text()); /tbody steps are dropped; anything outside the subset raises."""
-    path = re.sub(r"/tbody(?=/|$)", "", path.strip())
-    path = path if path.startswith("/") else "//" + path
-    steps, final, at = [], None, 0
-    while at < len(path):
-        m = _XPATH_STEP.match(path, at)
-        if not m or final:
-            raise ValueError(f"path not supported: {path!r}")
-        at = m.end()
-        name = m[2]
-        if name.startswith("@") or name == "text()":
-            final = name
-            continue
-        tests, index = ([] if name == "*" else [("tag", "=", name.lower())]), None
-        for test in re.findall(r"\[([^\]]*)\]", m[3]):
-            t = test.strip()
-            if re.fullmatch(r"\d+", t):
-                index = int(t) - 1
-            elif t == "last()":
-                index = -1
-            elif e := re.fullmatch(r"@([\w-]+)\s*=\s*['\"](.*)['\"]", t):
-                tests.append((e[1], "=", e[2]))
-            elif e := re.fullmatch(r"contains\(@([\w-]+),\s*['\"](.*)['\"]\)", t):
-                tests.append((e[1], "*=", e[2]))
-            elif e := re.fullmatch(r"@([\w-]+)", t):
-                tests.append((e[1], "has", ""))
-            else:
-                raise ValueError(f"test not supported: {t!r}")
-        steps.append(("descendant" if m[1] == "//" else "child", tests, index))
-    return steps, final
-
-
-def _passes(node: Column, tests: list) -> Column:
-    """Whether a node passes all tests (name, operator, value) of a step."""
-    out = F.lit(True)
-    for name, op, value in tests:
-        have, want = node["tag"] if name == "tag" else attr(node, name), F.lit(value)
-        hit = {
-            "=": lambda h: h == want,
-            "*=": lambda h: F.contains(h, want),
-            "^=": lambda h: F.startswith(h, want),
-            "$=": lambda h: F.endswith(h, want),
-            "~=": lambda h: F.array_contains(F.split(h, r"\s+"), value),
-            "has": lambda h: h.isNotNull(),
-        }[op](have)
-        out = out & F.coalesce(hit, F.lit(False))
-    return out
-
-
-def select(nodes: Column, steps: list, per_parent: bool) -> Column:
-    """Orders of the nodes that the steps reach, in document order; per_parent: an index counts among the hits of one parent."""
-
-    def reached(start: Column | None, axis: str, tests: list) -> Column:
-        def test(n: Column) -> Column:
-            if start is None:
-                return (n["parent"] == -1 if axis == "child" else F.lit(True)) & _passes(n, tests)
-            if axis == "child":
-                return F.exists(start, lambda c: c["order"] == n["parent"]) & _passes(n, tests)
-            return F.exists(start, lambda c: (n["order"] > c["order"]) & (n["order"] <= c["last"])) & _passes(n, tests)
-
-        return F.transform(
-            F.filter(nodes, test), lambda n: F.struct(n["order"].alias("order"), n["last"].alias("last"), n["parent"].alias("parent"))
-        )
-
-    def among(hits: Column, index: int) -> Column:
-        if not per_parent:
-            at = F.lit(index) if index >= 0 else F.size(hits) + index
-            return F.filter(hits, lambda _, i: i == at)
-        if index >= 0:
-            return F.filter(
-                hits, lambda h: F.size(F.filter(hits, lambda o: (o["parent"] == h["parent"]) & (o["order"] < h["order"]))) == index
-            )
-        return F.filter(
-            hits, lambda h: F.size(F.filter(hits, lambda o: (o["parent"] == h["parent"]) & (o["order"] > h["order"]))) == -index - 1
-        )
-
-    def follow(start: Column | None, rest: list) -> Column:
-        if not rest:
-            return F.transform(start, lambda c: c["order"])
-        axis, tests, index = rest[0]
-        hits = reached(start, axis, tests)
-        picked = hits if index is None else let(hits, lambda h: among(h, index))
-        return let(picked, lambda now: follow(now, rest[1:]))
-
-    return follow(None, steps)
-
-
-def selector(rule: str, nodes: Column, target: str = "text") -> Column:
-    """Values of a rule `@css:...`, `@xpath:...` or a bare path over parsed nodes, array of strings; a page without nodes has none.
-
-    target: `text`, `html` (inner text with tags dropped is the same as text here), or an attribute name.
-    """
-    if rule.startswith("@css:"):
-        alternatives, final, xpath = compile_css(rule[5:]), None, False
-    else:
-        steps, final = compile_xpath(rule.removeprefix("@xpath:"))
-        alternatives, xpath = [steps], True
-    take = final[1:] if final and final.startswith("@") else "text" if final else target
-
-    def values(ns: Column) -> Column:
-        found = [select(ns, steps, xpath) for steps in alternatives]
-        orders = found[0] if len(found) == 1 else F.array_sort(F.array_distinct(F.concat(*found)))
-        each = F.transform(orders, lambda k: let(F.get(ns, k), lambda n: n["text"] if take in ("text", "html") else attr(n, take)))
-        return F.filter(each, lambda v: v.isNotNull())
-
-    return let(nodes, values)
-
-
 def decode_page(content: Column | str) -> Column:
     """Bytes of a page to text by its declared charset (gb2312 read as gbk), else UTF-8, else gbk, else with replacements."""
     return F.pandas_udf(_decode, T.StringType())(content)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.jsonpath import PLAIN, path_hits
-from ..functions.nodes import html_nodes, selector
+from ..functions.nodes import html_nodes
 from ..functions.patterns import preg, rule_to_pattern
+from ..functions.selectors import elements, selector, taken
 from . import extract
 
 DEFAULT_MEDIA_TYPE = 99
@@ -101,7 +102,55 @@ def custom_match(rule: str, html: Column, url: Column, target: str = "text", nod
         return F.filter(F.array(preg(url, rule[5:])), lambda x: x.isNotNull())
     if rule.startswith("@reg:"):
         return regex_rule(html, rule, many=True)
-    return selector(rule, html_nodes(html) if nodes is None else nodes, target)
+    return selector(rule, html_nodes(html) if nodes is None else nodes, target, html)
+
+
+def _among(orders: Column, fit: Column, inside: bool) -> Column:
+    return urls.let(
+        F.struct(orders.alias("o"), fit.alias("f")),
+        lambda x: F.filter(x["o"], lambda k: F.array_contains(x["f"], k) == F.lit(inside))
+    )
+
+
+def rule_values(rule: Mapping, html: Column, url: Column, nodes: Column) -> Column:
+    """Values of a rule {filter, target, ...} as an array.
+
+    For element rules (`@css:`, `@xpath:`) further: `is_` and `not_`, CSS that the elements have to fit or not; `grep`
+    {target, pattern or params}, which keeps elements whose value matches, equals, or is not empty; `eq`, a place among
+    what is left (negative from the end); `match`, a pattern of which the first group in the element's own source counts.
+    """
+    kept = {"is_", "not_", "grep", "eq", "match"} & {k for k, v in rule.items() if v is not None}
+    source = rule["filter"]
+    if not kept or source.startswith(("@value:", "@url:", "@reg:")):
+        return custom_match(source, html, url, rule.get("target", "text"), nodes)
+
+    def values(ns: Column) -> Column:
+        orders, final = elements(source, ns)
+        for name in ("is_", "not_"):
+            if rule.get(name):
+                orders = _among(orders, elements("@css:" + rule[name], ns)[0], name == "is_")
+        found = F.transform(orders, lambda k: F.get(ns, k))
+        if grep := rule.get("grep"):
+            def good(n: Column) -> Column:
+                value = taken(n, grep.get("target", "text"), html)
+                if grep.get("pattern"):
+                    return F.coalesce(F.regexp_like(value, F.lit(grep["pattern"])), F.lit(False))
+                return F.coalesce(value == grep["params"] if grep.get("params") is not None else value != "", F.lit(False))
+
+            found = F.filter(found, good)
+        if rule.get("eq") is not None:
+            at = int(rule["eq"])
+            found = urls.let(found, lambda f: F.filter(f, lambda _, i: i == (F.lit(at) if at >= 0 else F.size(f) + at)))
+        if rule.get("match"):
+            if re.compile(rule["match"]).groups < 1:
+                raise ValueError(f"a match needs a group: {rule['match']!r}")
+            read = lambda n: F.nullif(F.regexp_extract(taken(n, "outer", html), rule["match"], 1), F.lit(""))
+        else:
+            target = final[1:] if final and final.startswith("@") else rule.get("target", "text")
+            read = lambda n: taken(n, target, html)
+        return F.filter(F.transform(found, read), lambda v: v.isNotNull())
+
+    return urls.let(nodes, values)
 
 
 def post_process(value: Column, rule: Mapping, callback: Callable[[Column], Column] | None = None) -> Column:
@@ -139,7 +188,7 @@ def custom_rules(
     """Free-form rule set {name: {filter, target, extract, patch, ...}}: one record a page, or rows with items=True.  A page is parsed once for all rules."""
     staged = pages.withColumn("_nodes", html_nodes(F.col(html)))
     values = {
-        name: _each(custom_match(rule["filter"], F.col(html), F.col(url), rule.get("target", "text"), F.col("_nodes")), rule) for name,
+        name: _each(rule_values(rule, F.col(html), F.col(url), F.col("_nodes")), rule) for name,
         rule in rules.items()
     }
     if not items:
@@ -211,7 +260,7 @@ def parse_items(
     n, at, source = F.col("_nodes"), F.col(url), F.col(html)
     staged = pages.select(page, url, html, html_nodes(source, lang, lists).alias("_nodes"))
     given = {
-        f"_r_{name}": F.get(_each(custom_match(rule["filter"], source, at, rule.get("target", "text"), n), rule), 0) for name,
+        f"_r_{name}": F.get(_each(rule_values(rule, source, at, n), rule), 0) for name,
         rule in rules.items()
     }
     staged = staged.withColumns({"_content": extract.content(n, at), **given})

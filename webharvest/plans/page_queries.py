@@ -374,7 +374,8 @@ SECOND = f"{plain(TITLES + '[2]')}"
 
 
 @query(
-    f"""SELECT page_id, len(regexp_extract_all(html, '<li><a href="[^"]*"'))::INT AS items, {SECOND} AS second, {LINKS}[-1] AS last, {plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS heading FROM pages"""
+    f"""SELECT page_id, len(regexp_extract_all(html, '<li><a href="[^"]*"'))::INT AS items, {SECOND} AS second, {LINKS}[-1] AS last, {plain("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS heading, len(list_filter({LINKS}, lambda x: starts_with(x, '/') AND NOT (contains(x, 'a') OR x = '/the')))::INT AS some,
+coalesce({SECOND} <> '', false) AS has_next FROM pages"""
 )
 def j3_xpath_rule(spark, d):
     def rule(path):
@@ -383,10 +384,13 @@ def j3_xpath_rule(spark, d):
     return nodes(spark, d).select(
         "page_id", F.size(rule("@xpath://nav/ul/li/a/@href")).alias("items"), F.get(rule("//nav/ul/li[2]/a/text()"), 0).alias("second"),
         F.get(rule("/html/body/nav//li[last()]/a/@href"), 0).alias("last"), F.get(rule("//article/h1"), 0).alias("heading"),
+        F.size(rule("//a[starts-with(@href,'/') and not(contains(@href,'a') or @href='/the')]/@href")).alias("some"),
+        (F.size(rule("//li[1]/following-sibling::li[1]/a[.!='']")) > 0).alias("has_next"),
     )
 
 
-@query(f"""SELECT page_id, {LINKS}[1] AS first, {SECOND} AS second, {LINKS}[-1] AS last, 1 + len({LINKS})::INT AS either FROM pages""")
+@query(f"""SELECT page_id, {LINKS}[1] AS first, {SECOND} AS second, {LINKS}[-1] AS last, 1 + len({LINKS})::INT AS either,
+regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS source, greatest(len({LINKS}) - 2, 0)::INT AS later, CASE WHEN len({LINKS}) > 0 THEN {LINKS}[1] END AS matched FROM pages""")
 def j4_css_rule(spark, d):
     def rule(path, target="text"):
         return J.custom_match(path, F.col("html"), F.col("url"), target, F.col("nodes"))
@@ -396,6 +400,8 @@ def j4_css_rule(spark, d):
             rule("@css:nav > ul > li:eq(0) a", "href"), 0
         ).alias("first"), F.get(rule("@css:nav li:eq(1) > a"), 0).alias("second"),
         F.get(rule("@css:ul a[href]:last", "href"), 0).alias("last"), F.size(rule("@css:div.ad, nav a")).alias("either"),
+        F.get(rule("@css:article > h1:not(.x):first-child", "html"), 0).alias("source"), F.size(rule("@css:li:nth-child(n+2) + li > a")).alias("later"),
+        F.get(J.rule_values({"filter": "@css:li a", "eq": 0, "match": '<a href="([^"]*)"'}, F.col("html"), F.col("url"), F.col("nodes")), 0).alias("matched"),
     )
 
 
