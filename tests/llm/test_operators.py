@@ -599,3 +599,56 @@ def test_url_filters(spark):
     }
     noise = spark.createDataFrame(marked, "page_id long, url string, html string").select("page_id", noisy_page(F.col("html")).alias("bad"))
     assert {r.page_id: r.bad for r in noise.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
+def test_decontamination_recall_against_all_pairs(spark):
+    """Every text aligned whole with every item: substitutions, deletions and insertions, items of one word to sixty."""
+    import numpy as np
+
+    r = random.Random(23)
+    stock = [prose(1, k) for k in range(400)]
+    items = [" ".join(r.choice(stock) for _ in range(k)) for k in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 15, 18, 25, 40, 60)]
+    texts = []
+    for k in range(480):
+        copy, kind = items[k % len(items)].split(), k // len(items) % 3
+        for _ in range(r.randrange(0, max(1, round(0.3 * len(copy))) + 1)):
+            at = r.randrange(len(copy))
+            if kind == 0:
+                copy[at] = r.choice(stock)
+            elif kind == 1 and len(copy) > 1:
+                del copy[at]
+            else:
+                copy[at:at] = [r.choice(stock)]
+        texts.append(" ".join([r.choice(stock) for _ in range(30)] + copy + [r.choice(stock) for _ in range(30)]))
+    code = {w: np.uint64(k) for k, w in enumerate(sorted({w for t in texts + items for w in t.split()}))}
+    coded = [[np.array([code[w] for w in t.split()]) for t in x] for x in (texts, items)]
+    want = {}
+    for i, a in enumerate(coded[1]):
+        for d, b in enumerate(coded[0]):
+            score = align(a, b)[0] / (2 * len(a))
+            if score >= 0.6:
+                want[d, i] = round(score, 9)
+    docs, known = documents(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    for options in ({}, {"rare_items": 0}):
+        got = {(x.doc_id, x.item_id): round(x.score, 9) for x in contaminated(docs, known, **options).collect()}
+        assert all(want.get(k) == v for k, v in got.items()), options
+        missed = set(want) - set(got)
+        assert len(want) > 450 and len(missed) <= 0.01 * len(want), (len(want), missed)
+
+
+def test_decontamination_of_a_seed_in_every_text(spark):
+    """Rows joined follow the passages, not passages times items of a common seed; short items are found inside texts; a long one lengthens no passage of others."""
+    items = [(k, f"all share this start {prose(12, 700 + k)}") for k in range(60)] + [(900, "alpha beta gamma"), (901, prose(3000, 5))]
+    texts = [(k, f"{prose(20, k)} all share this start {prose(20, 9000 + k)}") for k in range(300)]
+    texts += [(1000 + k, f"{prose(5, k)} {items[k][1]} {prose(5, k + 50)}") for k in range(0, 60, 7)]
+    texts += [(2000, f"we saw alpha beta gamma in {prose(20, 1)}"), (2001, prose(3000, 5)), (2002, "alpha beta gamma")]
+    docs, known = documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in contaminated(docs, known).collect()}
+    assert got == {(1000 + k, k) for k in range(0, 60, 7)} | {(2000, 900), (2001, 901), (2002, 900)}
+
+
+def test_mixing_ranks_no_empty_texts(spark):
+    """Sources of null and empty texts alone meet no ranking window."""
+    rows = [(k, None if k % 2 else "", "en", "empty", 0, "x", 7) for k in range(50)] + [(100 + k, prose(k % 9 + 1, k), "en", "full", 0, "x", 7) for k in range(50)]
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 100 and sum(x.taken for x in got if x.doc_id < 100) == 0

@@ -1,13 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Word n-grams of the test items are the seeds.  One pass over the training texts keeps the passages around
-seed hits; a join on the seed then pairs the different passages with items.  Pairs of a rare seed, one that few
-items share and few passages hold, are scored by local alignment of words, which tolerates substituted, inserted
-and deleted words; pairs of common seeds alone only where the words that they share could reach the score at all.
+Word n-grams of the test items are the seeds: of three words, of two or one for items so short that an edited copy need
+not keep three in a row.  One pass over the training texts keeps the passages around seed hits.  A join on the rare
+seeds, those that few items share and few passages hold, pairs the different passages with items.  Passages with
+common seeds meet the items in blocks, where the words that a passage shares with each item bound what it can score;
+so no seed is dropped, and no table of the pairs of a common seed exists.  What remains is scored by local alignment of
+words, which tolerates substituted, inserted and deleted words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,49 +22,85 @@ from ._tables import cut
 from ._words import Words, steps
 
 MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
-#: The seed filter sent to the tasks is a bit table of this fixed size (2 MB), whatever the number of seeds.
-FILTER_BITS = 24
-PASSAGES = "doc_id long, first long, seeds array<long>, words binary"
+#: The seed filter sent to the tasks is a table of this fixed number of bytes (4 MB), whatever the number of seeds.
+FILTER_BITS = 22
+#: Items by their words: up to 16, 64, 256 ... words; a passage is as long as the items of its class need.
+CLASSES = tuple(4**k for k in range(2, 9))
+#: Items of a block, passages of a pack.
+ITEMS, PACK = 512, 256
+PASSAGES = "doc_id long, first long, class int, seeds array<long>, words binary"
+
+
+def seed_words(n_words: int, n: int = 3) -> int:
+    """Words of an item's seeds: a copy that scores 0.6 with words substituted or left out keeps so many in a row."""
+    return min(n, 1 if n_words == 1 else 2 if n_words <= 8 else 3)
+
+
+def item_class(n_words: int) -> int:
+    return int(np.searchsorted(CLASSES, n_words))
 
 
 def item_seeds(items: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(item_id, words, n_words, seeds) of the test items; null and wordless items have no seeds."""
+    """(item_id, words, n_words, class, size, seeds) of the test items, seeds of `size` words; null and wordless items have none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in steps(batch.column(1)):
                 part = batch.slice(lo, hi - lo)
                 w = Words(part.column(1))
-                g, row, _ = w.shingles(n)
-                ends = np.searchsorted(row, np.arange(hi - lo + 1))
+                size = [seed_words(int(k), n) for k in w.counts]
+                seeds: list[np.ndarray] = [np.zeros(0, np.int64)] * len(size)
+                for k in sorted(set(size)):
+                    g, row, _ = w.shingles(k)
+                    ends = np.searchsorted(row, np.arange(hi - lo + 1))
+                    for i in np.flatnonzero((np.array(size) == k) & (w.counts > 0)):
+                        seeds[i] = np.unique(g[ends[i] : ends[i + 1]]).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0), pa.array([w.hash[a:b].tobytes() for a, b in zip(w.first, w.first[1:])], pa.binary()),
-                        pa.array(w.counts.astype(np.int64)),
-                        pa.array([np.unique(g[a:b]).view(np.int64) for a, b in zip(ends, ends[1:])], pa.list_(pa.int64()))
+                        pa.array(w.counts.astype(np.int64)), pa.array([item_class(int(k)) for k in w.counts], pa.int32()),
+                        pa.array(size, pa.int32()), pa.array(seeds, pa.list_(pa.int64()))
                     ],
-                    names=["item_id", "words", "n_words", "seeds"],
+                    names=["item_id", "words", "n_words", "class", "size", "seeds"],
                 )
 
     rows = items.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")
     )
-    return rows.mapInArrow(make, "item_id long, words binary, n_words long, seeds array<long>").where("n_words > 0")
+    return rows.mapInArrow(make, "item_id long, words binary, n_words long, class int, size int, seeds array<long>").where("n_words > 0")
 
 
 def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """The bit table of all seeds: a fixed 2^FILTER_BITS bits, filled from at most so many distinct positions."""
+    """The classes of items that have a seed at each place, a bit each: a fixed 2^FILTER_BITS bytes."""
     rows = seeds.selectExpr(
-        f"cast(shiftrightunsigned(seed, {64 - FILTER_BITS + 3}) as int) byte",
-        f"shiftleft(1, cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) & 7 as int)) bit"
-    ).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    found, table = rows.toPandas(), np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    table[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+        f"cast(shiftrightunsigned(seed, {64 - FILTER_BITS}) as int) place", "shiftleft(1, class) bit"
+    ).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    found, table = rows.toPandas(), np.zeros(1 << FILTER_BITS, np.uint8)
+    table[found["place"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     return table
 
 
-def passages(docs: DataFrame, table, n: int, reach: int, id_col: str, text_col: str) -> DataFrame:
-    """The stretches of the texts around seed hits: `reach` words on either side, adjoining stretches merged up to 8 * reach words."""
+def passages(docs: DataFrame, table, sizes: list[int], reaches: dict[int, int], id_col: str, text_col: str) -> DataFrame:
+    """The stretches of the texts around the seed hits of each class: its reach of words on either side, adjoining stretches
+    merged up to 8 times that; the words of runs of `sizes` words are tried at every place."""
+
+    def stretches(w: Words, ids: np.ndarray, kind: int, reach: int, hits: list, out: tuple[list, ...]) -> None:
+        row, pos, seed, size = (np.concatenate(x) for x in zip(*hits))
+        order = np.lexsort((pos, row))
+        r, p, seed, size = row[order], pos[order], seed[order].view(np.int64), size[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (p[1:] - p[:-1] > reach)
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, np.append(starts[1:], len(r))):
+            while a < b:  # a long stretch goes on in the next one, which overlaps it by `reach` words on its left
+                c = a + max(1, int(np.searchsorted(p[a:b], p[a] + 6 * reach)))
+                base, count = w.first[r[a]], w.counts[r[a]]
+                s, e = max(0, p[a] - reach), min(count, int((p[a:c] + size[a:c]).max()) + reach)
+                for column, value in zip(
+                    out, (ids[r[a]], int(s), kind, np.unique(seed[a:c]), w.hash[base + s : base + e].tobytes()), strict=True
+                ):
+                    column.append(value)
+                a = c
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = table.value
@@ -70,34 +109,22 @@ def passages(docs: DataFrame, table, n: int, reach: int, id_col: str, text_col:
                 part = batch.slice(lo, hi - lo)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 w = Words(part.column(1))
-                g, row, pos = w.shingles(n)
-                top = (g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-                at = np.flatnonzero(bits[top >> 3] >> (top & 7).astype(np.uint8) & 1)
-                if not len(at):
-                    continue
-                r, p, seed = row[at], pos[at], g[at].view(np.int64)
-                new = np.ones(len(at), bool)
-                new[1:] = (r[1:] != r[:-1]) | (p[1:] - p[:-1] > reach)
-                starts = np.flatnonzero(new)
-                cuts = []
-                for a, b in zip(starts, np.append(starts[1:], len(at))):
-                    while a < b:  # a long stretch goes on in the next one, which overlaps it by `reach` words on its left
-                        c = a + int(np.searchsorted(p[a:b], p[a] + 6 * reach))
-                        cuts.append((a, c))
-                        a = c
-                out: tuple[list, list, list, list] = ([], [], [], [])
-                for a, b in cuts:
-                    base, count = w.first[r[a]], w.counts[r[a]]
-                    s, e = max(0, p[a] - reach), min(count, p[b - 1] + n + reach)
-                    for column, value in zip(out, (ids[r[a]], int(s), np.unique(seed[a:b]), w.hash[base + s : base + e].tobytes())):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())),
-                        pa.array(out[3], pa.binary())
-                    ],
-                    names=["doc_id", "first", "seeds", "words"]
-                )
+                hits: dict[int, list] = {}
+                for size in sizes:
+                    g, row, pos = w.shingles(size)
+                    mask = bits[(g >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
+                    for kind in reaches:
+                        at = np.flatnonzero(mask >> kind & 1)
+                        if len(at):
+                            hits.setdefault(kind, []).append((row[at], pos[at], g[at], np.full(len(at), size)))
+                out: tuple[list, ...] = ([], [], [], [], [])
+                for kind, found in hits.items():
+                    stretches(w, ids, kind, reaches[kind], found, out)
+                if out[0]:
+                    types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(out, types)], names=["doc_id", "first", "class", "seeds", "words"]
+                    )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
@@ -132,13 +159,85 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
     return best
 
 
-def reachable(item: np.ndarray, passage: np.ndarray) -> float:
-    """The most that a local alignment of an item with a passage can score: a match for each item word that the passage has."""
-    return MATCH * int(np.isin(item, passage).sum())
+class _Block:
+    """A block of items, and which of its words each item has how often."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+        self.ids, self.kinds = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        self.items = [r[2] for r in rows]
+        self.sizes = np.array([len(x) for x in self.items])
+        words = np.concatenate(self.items)
+        self.words, word = np.unique(words, return_inverse=True)
+        size = len(self.items)
+        pair, self.times = np.unique(word * size + np.repeat(np.arange(size), self.sizes), return_counts=True)
+        self.item = pair % size
+        self.first = np.searchsorted(pair // size, np.arange(len(self.words) + 1))
+
+    def reachable(self, passage: np.ndarray) -> np.ndarray:
+        """The most that a local alignment of each item with a passage can score: a match for each item word that the passage has."""
+        at = np.searchsorted(self.words, np.unique(passage))
+        at = at[at < len(self.words)]
+        at = at[np.isin(self.words[at], passage)]
+        counts = self.first[at + 1] - self.first[at]
+        spots = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else at
+        return MATCH * np.bincount(self.item[spots], self.times[spots], len(self.items))
+
+
+SCORED = "k1 long, k2 long, item_id long, score double, start long, stop long"
+
+
+def _scored(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+    columns = list(zip(*rows)) or [[]] * 6
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(columns, kinds)], names=["k1", "k2", "item_id", "score", "start", "stop"]
+    )
+
+
+def _in_blocks(different: DataFrame, known: DataFrame, min_score: float) -> DataFrame:
+    """Scores of passages against all items of their class, in packs of passages and blocks of items."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, PACK):
+                part = batch.slice(lo, PACK)
+                columns = [part.column(k).to_pylist() for k in range(4)]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([c], pa.list_(t)) for c, t in zip(columns, kinds)], names=["k1", "k2", "kinds", "passages"]
+                )
+
+    packs = different.select("k1", "k2", "class", "passage").mapInArrow(
+        pack, "k1 array<long>, k2 array<long>, kinds array<int>, passages array<binary>"
+    )
+    count = known.count()
+    number = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, math.ceil(count / ITEMS)))).alias("block")
+    blocks = known.groupBy(number).agg(F.collect_list(F.struct("item_id", "class", "words")).alias("items"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, _Block] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                number = batch.column(4)[r].as_py()
+                if number not in made:
+                    made[number] = _Block(
+                        [(x["item_id"], x["class"], np.frombuffer(x["words"], np.uint64)) for x in batch.column(5)[r].as_py()]
+                    )
+                block, rows = made[number], []
+                least = min_score * MATCH * block.sizes
+                for k1, k2, kind, words in zip(*(batch.column(k)[r].as_py() for k in range(4))):
+                    passage = np.frombuffer(words, np.uint64)
+                    for i in np.flatnonzero((block.reachable(passage) >= least) & (block.kinds == kind)):
+                        got, start, end = align(block.items[i], passage)
+                        if got >= least[i]:
+                            rows.append((k1, k2, int(block.ids[i]), got / (MATCH * int(block.sizes[i])), start, end))
+                yield _scored(rows)
+
+    return packs.crossJoin(blocks).mapInArrow(score, SCORED)
 
 
 def contaminated(
-    docs: DataFrame, items: DataFrame, *, n: int = 4, min_score: float = 0.6, rare_items: int = 4, rare_share: float = 0.0005,
+    docs: DataFrame, items: DataFrame, *, n: int = 3, min_score: float = 0.6, rare_items: int = 4, rare_share: float = 0.0005,
     id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word): texts that hold a test item, copied or edited.
@@ -146,51 +245,51 @@ def contaminated(
     score: alignment score over that of a perfect copy of the item, from min_score to 1; the best stretch of the
     text counts, ties by the earlier one.  Each different passage is scored once, however many texts hold it.  A seed
     is rare if at most `rare_items` items share it and at most a share `rare_share` of the passages (1000 at least)
-    hold it.  A passage and an item that meet through a rare seed are aligned; a pair that meets through common seeds
-    alone is first held to the most that it can score, which loses nothing.  Null and wordless texts and items match
+    hold it.  A passage and an item that meet through a rare seed are aligned; a passage with common seeds is aligned with
+    the items of its length class whose words it holds often enough to reach the score.  Seeds have up to `n` words, so
+    that at the default score a text that changes or drops an item's words keeps one; what inserts more words than
+    every second one may keep none.  Ids are integers (others are an error).  Null and wordless texts and items match
     nothing; repeated rows of an id count once; other columns are ignored.
     """
     spark = docs.sparkSession
     known = cut(item_seeds(items, n, item_id_col, item_text_col))
-    longest = known.agg(F.max("n_words")).first()[0]
-    if longest is None:
+    shapes = known.groupBy("class", "size").agg(F.max("n_words").alias("longest")).collect()
+    if not shapes:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, first_word long, end_word long")
-    seeds = known.select("item_id", F.explode("seeds").alias("seed"))
+    # an alignment spans the item and the words inserted into it, at most so many as the score can bear
+    reaches: dict[int, int] = {}
+    for r in shapes:
+        reaches[r["class"]] = max(reaches.get(r["class"], 0), math.ceil(r.longest * (1 + max(0.0, MATCH - MATCH * min_score))))
+    seeds = known.select("item_id", "class", F.explode("seeds").alias("seed"))
     table = spark.sparkContext.broadcast(seed_filter(seeds))
-    keys = [F.xxhash64("words", "seeds").alias("k1"), F.xxhash64(F.lit("second"), "words", "seeds").alias("k2")]
-    found = cut(passages(docs, table, n, int(longest), id_col, text_col).select("*", *keys))
+    keys = [F.xxhash64("words", "seeds", "class").alias("k1"), F.xxhash64(F.lit("second"), "class", "words", "seeds").alias("k2")]
+    found = cut(passages(docs, table, sorted({r["size"] for r in shapes}), reaches, id_col, text_col).select("*", *keys))
     places = found.select("k1", "k2", "doc_id", "first")
-    different = cut(found.groupBy("k1", "k2").agg(F.first("seeds").alias("seeds"), F.first("words").alias("passage")))
+    different = cut(
+        found.groupBy("k1", "k2").agg(F.first("class").alias("class"), F.first("seeds").alias("seeds"), F.first("words").alias("passage"))
+    )
     hits = different.select("k1", "k2", F.explode("seeds").alias("seed"))
     spread = seeds.groupBy("seed").agg(F.count_distinct("item_id").alias("items"))
     frequency = hits.join(spread, "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("hits"))
     limit = F.greatest(F.lit(1000.0), F.lit(rare_share * different.count()))
     rare = (F.col("items") <= rare_items) & (F.col("hits") <= limit)
-    rated = seeds.join(spread, "seed").join(frequency, "seed").select("seed", "item_id", rare.alias("rare"))
-    pairs = hits.join(rated, "seed").groupBy("k1", "k2", "item_id").agg(F.bool_or("rare").alias("rare"))
-    sides = pairs.join(different.drop("seeds"), ["k1", "k2"]).join(known.select("item_id", "words"), "item_id")
+    rated = cut(hits.join(spread.join(frequency, "seed").select("seed", rare.alias("rare")), "seed"))
+    pairs = rated.where("rare").join(seeds.select("seed", "item_id"), "seed").select("k1", "k2", "item_id").distinct()
+    sides = pairs.join(different.drop("seeds", "class"), ["k1", "k2"]).join(known.select("item_id", "words"), "item_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
         for batch in batches:
             rows = []
-            for k1, k2, item, sure, passage, words in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            for k1, k2, item, passage, words in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 a, b = np.frombuffer(words, np.uint64), np.frombuffer(passage, np.uint64)
-                least = min_score * MATCH * len(a)
-                if not sure and reachable(a, b) < least:
-                    continue
                 got, start, end = align(a, b)
-                if got >= least:
+                if got >= min_score * MATCH * len(a):
                     rows.append((k1, k2, item, got / (MATCH * len(a)), start, end))
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, kinds)], names=["k1", "k2", "item_id", "score", "start", "stop"]
-            )
+            yield _scored(rows)
 
-    scored = sides.select("k1", "k2", "item_id", "rare", "passage", "words").mapInArrow(
-        score, "k1 long, k2 long, item_id long, score double, start long, stop long"
-    )
-    placed = cut(scored).join(places, ["k1", "k2"])
+    scored = sides.select("k1", "k2", "item_id", "passage", "words").mapInArrow(score, SCORED)
+    common = different.join(rated.where("NOT rare").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+    placed = cut(scored.unionByName(_in_blocks(common, known, min_score))).join(places, ["k1", "k2"])
     best = F.min(
         F.struct(
             (-F.col("score")).alias("cost"), (F.col("first") + F.col("start")).alias("first_word"),

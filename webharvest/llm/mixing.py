@@ -165,13 +165,17 @@ def mix_sources(
     placed = rows.withColumn("key", _key()).join(copies, ["key", "size"], "left")
     bucket = F.pmod("draw", F.coalesce(F.ceil(F.col("n") / BUCKET_ROWS), F.lit(1)))
     placed = placed.withColumn("bucket", bucket.cast("long"))
-    counts = placed.where("extra > 0").groupBy("key", "size", "bucket").agg(F.count("*").alias("rows"))
+    # only sources and sizes that are taken once more in part are ranked
+    drawn = placed.where("extra > 0")
+    counts = drawn.groupBy("key", "size", "bucket").agg(F.count("*").alias("rows"))
     earlier = F.sum("rows").over(Window.partitionBy("key", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     before = counts.select("key", "size", "bucket", F.coalesce(earlier, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw", "doc_id"))
-    joined = placed.withColumn("rank", rank).join(before, ["key", "size", "bucket"], "left")
+    ranked = drawn.withColumn("rank", rank).join(before, ["key", "size", "bucket"], "left")
+    even = placed.where("extra IS NULL OR extra = 0").withColumns({"rank": F.lit(1), "before": F.lit(0).cast("long")})
+    joined = ranked.unionByName(even)
     joined = joined.join(targets.select(_key().alias("key"), "source_size", "target"), "key")
-    once_more = F.when(F.col("before") + F.col("rank") <= F.col("extra"), 1).otherwise(0)
+    once_more = F.when(F.col("before") + F.col("rank") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)
     taken = (F.coalesce("base", F.lit(0)) + once_more).cast("long")
     return joined.select(
         "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (taken * F.col("size")).alias("taken"),
