@@ -25,7 +25,7 @@ from ._words import Words, count_terms, steps
 
 INDEX = "docs array<long>, terms array<long>, dfs array<int>, masks binary, maxima binary"
 #: Documents and entries of a range at most (a longer text is a range of its own), stretches halved at once, items of a block.
-RANGE_DOCS, RANGE_ENTRIES, WAVE, ITEMS = 8192, 1 << 19, 128, 1024
+RANGE_DOCS, RANGE_ENTRIES, WAVE, ITEMS = 8192, 1 << 18, 128, 1024
 _NO_ID = np.iinfo(np.int64).max
 _COUNT = np.array([bin(k).count("1") for k in range(16)], np.int64)
 
