@@ -471,3 +471,64 @@ def test_selectors_against_a_plain_matcher(spark):
     for row in got:
         for i, (a, sign, b) in enumerate(pairs):
             assert row[f"c{i}"] == plain(pages[row.k], (simple[a], simple[b]), sign), (a, sign, b)
+
+
+def test_public_suffixes(spark):
+    """Cases of the published check, under rules of its form, and random hosts against the published steps."""
+    import random
+
+    from webharvest.functions.suffixes import SuffixRules, default_rules, suffix_rules
+
+    lines = """// list
+com
+biz
+uk.com
+cn
+com.cn
+公司.cn
+ac
+jp
+ac.jp
+kyoto.jp
+ide.kyoto.jp
+*.kobe.jp
+!city.kobe.jp
+*.ck
+!www.ck
+us
+k12.ak.us
+// ===BEGIN PRIVATE DOMAINS===
+blogspot.com
+*.compute.amazonaws.com""".split("\n")
+    rules = SuffixRules(lines)
+    cases = {
+        "com": None, "example.com": "example.com", "b.example.com": "example.com", "a.b.example.com": "example.com", "uk.com": None, "example.uk.com": "example.uk.com",
+        "a.b.example.uk.com": "example.uk.com", "example": None, "example.example": "example.example", "a.b.example.example": "example.example", "test.ac": "test.ac",
+        "jp": None, "test.jp": "test.jp", "www.test.jp": "test.jp", "ac.jp": None, "www.test.ac.jp": "test.ac.jp", "kyoto.jp": None, "b.ide.kyoto.jp": "b.ide.kyoto.jp",
+        "a.b.ide.kyoto.jp": "b.ide.kyoto.jp", "c.kobe.jp": None, "b.c.kobe.jp": "b.c.kobe.jp", "a.b.c.kobe.jp": "b.c.kobe.jp", "city.kobe.jp": "city.kobe.jp",
+        "www.city.kobe.jp": "city.kobe.jp", "ck": None, "test.ck": None, "b.test.ck": "b.test.ck", "www.ck": "www.ck", "www.www.ck": "www.ck", "test.us": "test.us",
+        "www.test.us": "test.us", "ak.us": "ak.us", "test.k12.ak.us": "test.k12.ak.us", "食狮.公司.cn": "食狮.公司.cn", "www.xn--85x722f.xn--55qx5d.cn": "xn--85x722f.xn--55qx5d.cn",
+        "公司.cn": None, "a.blogspot.com": "a.blogspot.com", "x.eu.compute.amazonaws.com": "x.eu.compute.amazonaws.com", "eu.compute.amazonaws.com": None, "amazonaws.com": "amazonaws.com",
+        "comx.com": "comx.com", "a.comx": "a.comx",
+    }
+    r, labels = random.Random(8), "com uk cn jp kobe city www ck us k12 ak a b example blogspot kyoto ide ac".split()
+    hosts = list(cases) + [".".join(r.choice(labels) for _ in range(r.randrange(1, 6))) for _ in range(600)]
+    df = spark.createDataFrame([(h,) for h in hosts], "h string")
+    more = default_rules()
+    got = df.select("h", rules.domain(F.col("h")).alias("d"), more.domain(F.col("h")).alias("e")).collect()
+    for row in got:
+        assert row.d == rules.plain_domain(row.h), row
+        assert row.e == more.plain_domain(row.h), row
+        if row.h in cases:
+            assert row.d == cases[row.h], row
+    assert SuffixRules(lines, private=False).plain_domain("a.blogspot.com") == "blogspot.com"
+    read = suffix_rules(spark.createDataFrame([("com",), ("*.ck",), (None,)], "rule string"))
+    assert read.plain_domain("a.b.ck") == "a.b.ck"
+    with pytest.raises(ValueError):
+        suffix_rules(df.withColumnRenamed("h", "rule"), most=5)
+    with pytest.raises(ValueError):
+        SuffixRules(["a.*.b"])
+    urls_ = {"http://a.shop.co.il/": "shop.co.il", "http://a.com.ar": "a.com.ar", "http://a.b.github.io/x": "b.github.io", "http://1.2.3.4/": None, "http://localhost/": None}
+    for url, want in urls_.items():
+        assert one(spark, urls.domain(F.lit(url))) == want, url
+    assert one(spark, urls.typeinfo(F.lit("http://shop.co.il/")))["subdomain"] == "www.shop.co.il"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .patterns import preg
-from .suffixes import TWO_LABELS
+from .suffixes import SuffixRules, default_rules
 
 # Query keys that vary at random, patterns of board pages and of article pages.
 RANDOM_KEYS = ("r", "_", "rm", "f", "callback")
@@ -49,28 +49,27 @@ def quote_plus(text: Column) -> Column:
     return F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
 
 
-def domain(url: Column) -> Column:
-    """Registered domain of a URL: public suffix and one label; NULL for IP addresses, single labels and no host."""
-    h = host(url)
-    double = "|".join(t.replace(".", r"\.") for t in TWO_LABELS)
-    found = F.regexp_extract(h, rf"([^.]+\.(?:{double}))$", 1)
-    plain = F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)
-    return F.when(
-        F.regexp_like(h, F.lit(r"^[0-9.]+$")) | F.regexp_like(h, F.lit(rf"^(?:{double})$")), F.lit(None)
-    ).when(found != "", found).when(plain != "", plain)
+def domain(url: Column, rules: SuffixRules | None = None) -> Column:
+    """Registered domain of a URL: public suffix and one label; NULL for IP addresses, single labels, suffixes and no host."""
+    return let(host(url), lambda h: F.when(~F.regexp_like(h, F.lit(r"^[0-9.]+$")), (rules or default_rules()).domain(h)))
 
 
-def subdomain(url: Column) -> Column:
+def subdomain(url: Column, rules: SuffixRules | None = None) -> Column:
     """Labels before the registered domain; empty if there are none, NULL without a registered domain."""
-    d = domain(url)
-    h = host(url)
-    return F.when(d.isNotNull(), F.regexp_replace(F.substring(h, F.lit(1), F.length(h) - F.length(d)), r"\.$", ""))
+    return let(
+        F.struct(host(url).alias("h"), domain(url, rules).alias("d")), lambda x: F.when(
+            x["d"].isNotNull(), F.regexp_replace(F.substring(x["h"], F.lit(1), F.length(x["h"]) - F.length(x["d"])), r"\.$", "")
+        )
+    )
 
 
-def typeinfo(url: Column) -> Column:
+def typeinfo(url: Column, rules: SuffixRules | None = None) -> Column:
     """struct(domain, subdomain): the full subdomain host, `www.` and the domain where there is none."""
-    d, s = domain(url), subdomain(url)
-    return F.struct(d.alias("domain"), F.concat(F.when(s == "", "www").otherwise(s), F.lit("."), d).alias("subdomain"))
+    return let(
+        F.struct(host(url).alias("h"), domain(url, rules).alias("d")), lambda x: F.struct(
+            x["d"].alias("domain"), F.when(x["h"] == x["d"], F.concat(F.lit("www."), x["d"])).when(x["d"].isNotNull(), x["h"]).alias("subdomain")
+        )
+    )
 
 
 def _pairs(query: Column) -> Column:
