@@ -652,3 +652,21 @@ def test_mixing_ranks_no_empty_texts(spark):
     rows = [(k, None if k % 2 else "", "en", "empty", 0, "x", 7) for k in range(50)] + [(100 + k, prose(k % 9 + 1, k), "en", "full", 0, "x", 7) for k in range(50)]
     got = mix_sources(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(got) == 100 and sum(x.taken for x in got if x.doc_id < 100) == 0
+
+
+def test_url_domains_in_sql(spark):
+    """Hosts under wildcard, exception, private and other rules, and hosts that are none, as in the SQL of the query."""
+    duckdb = pytest.importorskip("duckdb")
+    from webharvest.llm.url_filters import host_of, oracle
+
+    hosts = (
+        "a.shop.co.il b.shop.co.il:80 co.il a.b.github.io github.io x.www.ck www.ck a.b.ck b.ck ck a.city.kobe.jp city.kobe.jp q.c.kobe.jp com 1.2.3.4 [::1] a..com a.com. .com x.y.公司.cn w.xn--55qx5d.cn"
+    ).split()
+    rows = [(k, f"http://{h}/p", "noise *** " * (k % 3) + "text " * 50) for k, h in enumerate(hosts * 6)] + [(900, None, "x"), (901, "nothing", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(map(str, r)) for r in judge_urls(pages).select("page_id", "host", "path", "rule", "verdict").collect())
+    con = duckdb.connect()
+    frame = pages.toPandas()
+    con.register("pages", frame)
+    assert got == sorted(tuple(map(str, r)) for r in con.execute(oracle()).fetchall())
+    assert {r.h: r.d for r in pages.select(host_of(F.col("url")).alias("h"), domain_of(host_of(F.col("url"))).alias("d")).collect()}["a.shop.co.il"] == "shop.co.il"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.suffixes import TWO_LABELS
+from ..functions.suffixes import default_rules
 from ..functions.urls import let
 from ._tables import cut
 
@@ -21,8 +21,6 @@ RULES = (
     ("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"),
     ("block", "org", "/es/")
 )
-#: Suffixes of two labels under which domains are registered; any other suffix is the last label.
-DOUBLE = "|".join(s.replace(".", r"\.") for s in TWO_LABELS)
 #: Hosts without a registered domain: they are their own, under an empty suffix, so that no host shares their outcomes.
 ADDRESS = r"^(?:[0-9.]+|\[.*)$"
 #: Markup that is no text; and marks of noise in what remains, entities as they are written.
@@ -43,14 +41,8 @@ def path_of(url: Column) -> Column:
 
 
 def domain_of(host: Column) -> Column:
-    """Registered domain: the suffix and one label before it; the host itself if it has no more labels or is an address."""
-    double = rf"[^.]+\.(?:{DOUBLE})$"
-    return (
-        F.when(F.regexp_like(host, F.lit(ADDRESS)), host)
-        .when(F.regexp_like(host, F.lit(double)), F.regexp_extract(host, double, 0))
-        .when(F.instr(host, ".") > 0, F.regexp_extract(host, r"[^.]*\.[^.]*$", 0))
-        .otherwise(host)
-    )
+    """Registered domain: the public suffix and one label before it; the host itself if it has no more labels or is an address."""
+    return F.when(F.regexp_like(host, F.lit(ADDRESS)), host).otherwise(F.coalesce(default_rules().domain(host), host))
 
 
 def suffix_of(domain: Column) -> Column:
@@ -138,7 +130,9 @@ def judge_urls(
 
 def oracle(limit: float = 0.2) -> str:
     """DuckDB SQL of judge_urls(pages) with the default outcome and rules."""
-    double = DOUBLE
+    known = default_rules()
+    exact, wild, but = ("[" + ", ".join(f"'{x}'" for x in sorted(names)) + "]" for names in (known.exact, known.wild, known.exceptions))
+    tail, rest = (f"array_to_string(l[len(l) - k + {k}:], '.')" for k in (1, 2))
     rules = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN {{0}}".replace("{0}", f"'{a}|{h}{p}'") for a, h,
         p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
@@ -153,7 +147,10 @@ def oracle(limit: float = 0.2) -> str:
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest, CASE WHEN html IS NOT NULL THEN regexp_replace(html, '{MARKUP}', '', 'g') END AS text FROM pages),
 u AS (SELECT page_id, (len(regexp_extract_all(text, '{NOISE}'))::DOUBLE > length(text) * 0.002::DOUBLE)::BIGINT AS bad, coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM r),
 h0 AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS b, regexp_replace(host, ':[0-9]*$', '') AS bare FROM u GROUP BY host),
-h1 AS (SELECT *, CASE WHEN regexp_matches(bare, '{ADDRESS}') THEN bare WHEN regexp_matches(bare, '[^.]+\.(?:{double})$') THEN regexp_extract(bare, '[^.]+\.(?:{double})$', 0) WHEN contains(bare, '.') THEN regexp_extract(bare, '[^.]*\.[^.]*$', 0) ELSE bare END AS domain FROM h0),
+l0 AS (SELECT *, string_split(bare, '.') AS l FROM h0),
+l1 AS (SELECT *, list_filter(range(1, len(l) + 1), lambda k: list_contains({but}, {tail})) AS but, list_max(list_transform(range(1, len(l) + 1), lambda k: CASE WHEN k = 1 OR list_contains({exact}, {tail}) OR list_contains({wild}, {rest}) THEN k ELSE 0 END)) AS longest FROM l0),
+l2 AS (SELECT *, CASE WHEN len(but) > 0 THEN but[1] - 1 ELSE longest END AS size FROM l1),
+h1 AS (SELECT host, n, b, bare, CASE WHEN regexp_matches(bare, '{ADDRESS}') OR len(l) <= size OR list_contains(l[len(l) - size:], '') THEN bare ELSE array_to_string(l[len(l) - size:], '.') END AS domain FROM l2),
 h AS (SELECT *, CASE WHEN contains(domain, '.') AND NOT regexp_matches(domain, '{ADDRESS}') THEN regexp_extract(domain, '^[^.]*\.(.*)$', 1) ELSE '' END AS suffix FROM h1),
 d AS (SELECT suffix, domain, sum(n) AS dn, sum(b) AS db FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(dn) AS sn, sum(db) AS sb FROM d GROUP BY ALL),
