@@ -173,14 +173,18 @@ class _Block:
         self.item = pair % size
         self.first = np.searchsorted(pair // size, np.arange(len(self.words) + 1))
 
-    def reachable(self, passage: np.ndarray) -> np.ndarray:
-        """The most that a local alignment of each item with a passage can score: a match for each item word that the passage has."""
-        at = np.searchsorted(self.words, np.unique(passage))
-        at = at[at < len(self.words)]
-        at = at[np.isin(self.words[at], passage)]
+    def reachable(self, passages: list[np.ndarray]) -> np.ndarray:
+        """The most that local alignments of each passage (rows) with each item can score: a match for each item word that the passage has."""
+        words = np.concatenate(passages)
+        row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        have = self.words[at] == words
+        key = np.unique(row[have] * len(self.words) + at[have])
+        row, at = key // len(self.words), key % len(self.words)
         counts = self.first[at + 1] - self.first[at]
-        spots = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else at
-        return MATCH * np.bincount(self.item[spots], self.times[spots], len(self.items))
+        spots = np.repeat(self.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        size = len(self.items)
+        return MATCH * np.bincount(np.repeat(row, counts) * size + self.item[spots], self.times[spots], len(passages) * size).reshape(-1, size)
 
 
 SCORED = "k1 long, k2 long, item_id long, score double, start long, stop long"
@@ -225,12 +229,13 @@ def _in_blocks(different: DataFrame, known: DataFrame, min_score: float) -> Data
                     )
                 block, rows = made[number], []
                 least = min_score * MATCH * block.sizes
-                for k1, k2, kind, words in zip(*(batch.column(k)[r].as_py() for k in range(4))):
-                    passage = np.frombuffer(words, np.uint64)
-                    for i in np.flatnonzero((block.reachable(passage) >= least) & (block.kinds == kind)):
-                        got, start, end = align(block.items[i], passage)
-                        if got >= least[i]:
-                            rows.append((k1, k2, int(block.ids[i]), got / (MATCH * int(block.sizes[i])), start, end))
+                k1, k2, kinds, words = (batch.column(k)[r].as_py() for k in range(4))
+                passages = [np.frombuffer(x, np.uint64) for x in words]
+                able = (block.reachable(passages) >= least) & (np.array(kinds)[:, None] == block.kinds[None, :])
+                for p, i in zip(*np.nonzero(able)):
+                    got, start, end = align(block.items[i], passages[p])
+                    if got >= least[i]:
+                        rows.append((k1[p], k2[p], int(block.ids[i]), got / (MATCH * int(block.sizes[i])), start, end))
                 yield _scored(rows)
 
     return packs.crossJoin(blocks).mapInArrow(score, SCORED)
