@@ -75,7 +75,7 @@ def test_html_repair():
 
 PAGE = """<html><head><title>River rises - Example</title><meta property="og:title" content="River rises - Example">
 <meta property="og:site_name" content="Example"><meta property="og:type" content="article"><meta property="article:section" content="News">
-<script type="application/ld+json">{"@type":"ReportageNewsArticle","headline":"Other"}</script></head>
+<script type="application/ld+json">{"@context":"http://schema.org","@type":"ReportageNewsArticle","headline":"Other"}</script></head>
 <body><a href="/list">All</a><a href="/list">Again</a><a href="http://blog.example.com/">Blog</a><a href="http://other.org/x">Out</a><a href="#top">Top</a>
 <article><p>The river is high and the town is wet.</p><ul><li>one thing</li></ul><p><a href="/a">only</a> <a href="/b">links</a></p></article></body></html>"""
 
@@ -532,3 +532,31 @@ blogspot.com
     for url, want in urls_.items():
         assert one(spark, urls.domain(F.lit(url))) == want, url
     assert one(spark, urls.typeinfo(F.lit("http://shop.co.il/")))["subdomain"] == "www.shop.co.il"
+
+
+def test_several_details_of_an_article(spark):
+    old = spark.createDataFrame([("a", "", "x", "c", 0, None, 0, 0), ("b", "t", "x", "c", 5, None, 0, 0)],
+                                "rid string, title string, author string, channel string, pubtime long, content string, status int, utime long")
+    new = spark.createDataFrame(
+        [("a", "first", "", None, 10, "early"), ("a", "", "late", None, 20, ""), ("a", "second", None, None, 0, "none"), ("a", "first", "", None, 10, "early")],
+        "rid string, title string, author string, channel string, pubtime long, content string"
+    )
+    got = {r.rid: (r.title, r.author, r.channel, r.pubtime, r.content, r.status) for r in A.merge_detail(old, new, 99).collect()}
+    assert got == {"a": ("first", "late", "c", 20, "early", 2), "b": ("t", "x", "c", 5, None, 0)}
+
+
+def test_bad_rule_patterns_are_named_and_left_out(spark):
+    rules = spark.createDataFrame(
+        [(1, "e.com", "", "[a-", 1), (2, "e.com", "", r"/x/\d+", 1), (3, "e.com", "", None, 1), (4, "e.com", "", "(?P<n>x)", 1)],
+        "uuid int, domain string, subdomain string, pattern string, status int"
+    )
+    assert {r.uuid for r in J.bad_patterns(rules).collect()} == {1, 4}
+    articles = spark.createDataFrame([("r", "http://www.e.com/x/12"), ("s", "http://www.e.com/y")], "rid string, url string")
+    assert {r.rid: r.rule_id for r in J.match_detail_rules(articles, rules).collect()} == {"r": 2, "s": 2}
+    checked = articles.withColumn("rule_id", F.when(F.col("rid") == "r", 2).otherwise(1))
+    assert {r.rid: r.rule_ok for r in J.check_rule(checked, rules).collect()} == {"r": True, "s": False}
+
+
+def test_dates_with_words_before_the_time(spark):
+    page = "<p>发布时间：2021-03-04 (updated today at) 10:20</p>"
+    assert one(spark, times.find_date(F.lit(page))) == "2021-03-04 (updated today at) 10:20"

@@ -15,17 +15,21 @@ from pyspark.sql import functions as F
 from .urls import let
 
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
-_YEAR = r"(?:(?:20)?[012]\d|(?:19)?[89]\d)"
 _TIME = r"\d{1,2}:\d{2}(?::\d{2})?"
-_DATE = rf"(?:{_YEAR}年\d{{1,2}}月\d{{1,2}}日?(?:\D{{0,8}}{_TIME})?|{_YEAR}-\d{{1,2}}-\d{{1,2}}(?:\D{{0,8}}{_TIME})?|{_YEAR}/\d{{1,2}}/\d{{1,2}}(?:\D{{0,8}}{_TIME})?)"
-_EXACT = rf"(?:{_YEAR}年\d{{1,2}}月\d{{1,2}}日\D?{_TIME}|{_YEAR}-\d{{1,2}}-\d{{1,2}} {_TIME}|{_YEAR}/\d{{1,2}}/\d{{1,2}} {_TIME})"
-#: Places of a publish date, best first: after a label, before the word for "published", date with time, date between tags, date before blanks and a tag.
+# Patterns of a publish date, best first: after a label, before the word for "published", date with time, date between
+# tags, date before blanks and a tag.
+_DATE = (
+    r"((?:(?:(?:(?:20)?[012]\d)|(?:19)?[98]\d)年\d{1,2}月\d{1,2}日?(?:\D*\d{2}:\d{2}(?::\d{2})?)?)|(?:(?:(?:(?:20)?[012]\d)|(?:19)?[9]\d)-\d{1,2}-\d{1,2}(?:\D*\d{1,2}:\d{2}(?::\d{2})?)?)|"
+    r"(?:(?:(?:(?:20)?[012]\d)|(?:19)?[9]\d)\/\d{1,2}\/\d{1,2}(?:\D*\d{1,2}:\d{2}(?::\d{2})?)?))"
+)
 DATE_RULES = (
-    rf"[>\s;](?:(?:本文)?发布于|发表于|发布(?:时间|日期)|日期|时间)\s*(?::|：)?\s*({_DATE})",
-    rf"({_DATE})\s*发布",
-    rf"({_EXACT})",
-    rf">\s*({_DATE})[\s&<]",
-    rf"[\s>;]({_DATE})(?: |&nbsp;)+<",
+    r"[\>\s;](?:(?:本文)?发布于|发表于|发布(?:时间|日期)|日期|时间)\s*(?:\:|：)?\s*" + _DATE,
+    _DATE + r"\s*发布",
+    r"((?:(?:(?:(?:20)?[012]\d)|(?:19)?[98]\d)年\d{1,2}月\d{1,2}日\D?\d{2}:\d{2}(?::\d{2})?)|(?:(?:(?:(?:20)?[012]\d)|(?:19)?[9]\d)-\d{1,2}-\d{1,2} \d{1,2}:\d{2}(?::\d{2})?)|"
+    r"(?:(?:(?:(?:20)?[012]\d)|(?:19)?[9]\d)\/\d{1,2}\/\d{1,2} \d{1,2}:\d{2}(?::\d{2})?))",
+    r"\>\s*" + _DATE + r"[\s&\<]",
+    r"[\s\>;]((?:(?:(?:(?:20)?[012]\d)|(?:19)?[9]\d)-\d{1,2}-\d{1,2}(?:\D*\d{1,2}:\d{2}(?::\d{2})?)?)|(?:(?:(?:(?:20)?[012]\d)|(?:19)?[9]\d)\/\d{1,2}\/\d{1,2}(?:\D*\d{1,2}:\d{2}(?::\d{2})?)?))"
+    r"(?:\040|&nbsp;)+\<",
 )
 
 

@@ -38,10 +38,13 @@ def merge_detail(articles: DataFrame, details: DataFrame, now: int) -> DataFrame
     """articles (rid, title, author, channel, pubtime, content, status, utime) after details of the same rid.
 
     The title keeps the old one; author, channel and pubtime prefer the new one; pubtime falls back to the old
-    one, then now.  Status 2 if title, author, content and pubtime were all given, else 1; rows without detail stay.
+    one, then now.  Several details of a rid are one, each field from the latest that gives it (by pubtime, then by the
+    other fields).  Status 2 if title, author, content and pubtime were all given, else 1; rows without detail stay.
     """
     names = ("title", "author", "channel", "pubtime", "content")
-    joined = articles.join(details.select("rid", F.lit(True).alias("_has"), *[F.col(c).alias(f"_{c}") for c in names]), "rid", "left")
+    latest = F.struct(F.coalesce("pubtime", F.lit(0)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    folded = details.groupBy("rid").agg(*[F.max_by(c, F.when(F.col(c) != (0 if c == "pubtime" else ""), latest)).alias(f"_{c}") for c in names])
+    joined = articles.join(folded.withColumn("_has", F.lit(True)), "rid", "left")
     title, author, content = F.coalesce(_filled("title"), _filled("_title")), F.coalesce(_filled("_author"), _filled("author")), F.coalesce(
         _filled("_content"), _filled("content")
     )

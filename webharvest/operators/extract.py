@@ -169,11 +169,22 @@ def open_graph(nodes: Column) -> Column:
 
 
 def json_ld(nodes: Column, kind: str = "ReportageNewsArticle") -> Column:
-    """JSON text of the first ld+json script of the given @type; NULL if none or unreadable."""
-    scripts = F.filter(
-        tags(nodes, "script"), lambda n: (attr(n, "type") == "application/ld+json") & (F.get_json_object(n["text"], "$.@type") == kind)
+    """JSON text of the first ld+json object of the given @type in schema.org's @context; NULL if none or unreadable.  A script may hold one or an array of them."""
+    scripts = F.transform(F.filter(tags(nodes, "script"), lambda n: attr(n, "type") == "application/ld+json"), lambda n: n["text"])
+    objects = F.flatten(
+        F.transform(
+            scripts, lambda text: F.when(
+                F.startswith(text, F.lit("[")),
+                F.coalesce(F.transform(F.from_json(text, "array<variant>"), lambda v: F.to_json(v)), F.array().cast("array<string>"))
+            ).otherwise(F.array(text))
+        )
+    )
+    return F.get(
+        F.filter(
+            objects, lambda o: (F.get_json_object(o, "$.@type") == kind) &
+            F.regexp_like(F.get_json_object(o, "$.@context"), F.lit(r"^https?://schema\.org/?$"))
+        ), 0
     )
-    return F.get(scripts, 0)["text"]
 
 
 # ---- title, author, date -----------------------------------------------------------------------------------

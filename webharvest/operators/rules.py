@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -203,12 +204,32 @@ def _each(found: Column, rule: Mapping) -> Column:
     return F.transform(found, lambda x: post_process(x, rule))
 
 
+def bad_patterns(rules: DataFrame, key: str = "uuid", pattern: str = "pattern") -> DataFrame:
+    """(uuid, pattern, error) of the rules whose pattern is no regular expression; the others can be run."""
+    @F.arrow_udf("string")
+    def error(patterns: pa.Array) -> pa.Array:
+        out = []
+        for text in patterns.to_pylist():
+            try:
+                if text is not None:
+                    re.compile(text)
+                # written in no dialect but Python's
+                out.append("not supported: (?P or (?(" if text and re.search(r"\(\?(?:P|\()", text) else None)
+            except (re.error, RecursionError, OverflowError) as e:
+                out.append(str(e))
+        return pa.array(out, pa.string())
+
+    return rules.select(key, pattern, error(F.col(pattern)).alias("error")).where("error IS NOT NULL")
+
+
 def match_detail_rules(articles: DataFrame, rules: DataFrame, key: str = "rid") -> DataFrame:
     """articles with rule_id, the detail rule of each.
 
     rules: (uuid, domain, subdomain, pattern as a Java regex or NULL, status).  Active rules of the subdomain come
     first, the first that matches by uuid, else the first; the domain's (blank subdomain) only if the subdomain has none.
+    Rules with a bad pattern are left out; bad_patterns() names them.
     """
+    rules = rules.join(bad_patterns(rules).select("uuid"), "uuid", "left_anti")
     info = urls.typeinfo(F.col("url"))
     rows = articles.select(key, "url", info["domain"].alias("_domain"), info["subdomain"].alias("_sub"))
     live = rules.where("status = 1").select(
@@ -224,7 +245,8 @@ def match_detail_rules(articles: DataFrame, rules: DataFrame, key: str = "rid")
 
 
 def check_rule(articles: DataFrame, rules: DataFrame) -> DataFrame:
-    """articles (url, rule_id) with rule_ok: domain equal, subdomain equal if set, pattern matches if set."""
+    """articles (url, rule_id) with rule_ok: domain equal, subdomain equal if set, pattern matches if set; a rule with a bad pattern fits nothing."""
+    rules = rules.join(bad_patterns(rules).select("uuid"), "uuid", "left_anti")
     info = urls.typeinfo(F.col("url"))
     side = rules.select(
         F.col("uuid").alias("rule_id"), F.col("domain").alias("_d"), F.nullif(F.col("subdomain"), F.lit("")).alias("_s"),

@@ -160,12 +160,15 @@ def h7_open_graph(spark, d):
     return rows.select("page_id", F.explode_outer(H.open_graph(F.col("nodes"))).alias("key", "value"))
 
 
-@query(
-    """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{"@type":"ReportageNewsArticle","headline":"H' || page_id || '"}' END AS json FROM pages"""
-)
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '{"@context":"http://schema.org","@type":"ReportageNewsArticle","headline":"H' || page_id || '"}' END AS json FROM pages""")
 def h8_json_ld(spark, d):
-    kind = F.when(F.col("page_id") % 3 == 0, "ReportageNewsArticle").otherwise("WebPage")
-    script = F.concat(F.lit('<script type="application/ld+json">{"@type":"'), kind, ident('","headline":"H{}"}</script>'))
+    """Objects of another type, another context and in arrays; every other page has its object behind others in an array."""
+    one = '{"@context":"http://schema.org","@type":"%s","headline":"%s"}'
+    kind = F.when(F.col("page_id") % 3 == 0, ident(one % ("ReportageNewsArticle", "H{}"))).otherwise(one % ("WebPage", "W"))
+    other = one.replace("schema.org", "other.org") % ("ReportageNewsArticle", "no")
+    listed = F.concat(F.lit(f'[{one % ("WebPage", "x")},{other},'), kind, F.lit("]"))
+    mark = '<script type="application/ld+json">'
+    script = F.concat(F.lit(f"{mark}{other}</script>{mark}"), F.when(F.col("page_id") % 2 == 0, listed).otherwise(kind), F.lit("</script>"))
     return marked(spark, d, F.concat(script, F.col("html"))).select("page_id", H.json_ld(F.col("nodes")).alias("json"))
 
 
