@@ -560,3 +560,69 @@ def test_bad_rule_patterns_are_named_and_left_out(spark):
 def test_dates_with_words_before_the_time(spark):
     page = "<p>发布时间：2021-03-04 (updated today at) 10:20</p>"
     assert one(spark, times.find_date(F.lit(page))) == "2021-03-04 (updated today at) 10:20"
+
+
+def test_seen_set_is_joined_where_it_lies(spark, tmp_path):
+    """No exchange stands between the history's files and the join; a replayed epoch gives the same rows and adds nothing."""
+    from webharvest.sources.seen import SeenSet
+
+    seen = SeenSet(spark, "seen_by_test", f"file://{tmp_path}/seen", buckets=8)
+    batch = [(f"k{k % 40}" if k % 7 else None, k) for k in range(200)]
+    rows = spark.createDataFrame(batch, "unid string, ctime long")
+    seen.add(spark.createDataFrame([(f"k{k}", 1000 + k) for k in range(10)], "unid string, ctime long"))
+    for key, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(key, value)
+    try:
+        plan = seen.mark(rows)._jdf.queryExecution().executedPlan().treeString().split("\n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*0123456789()"))
+    at = next(k for k, line in enumerate(plan) if "FileScan parquet" in line and "seen_by_test" in line)
+    above, width = [], depth(plan[at])
+    for line in reversed(plan[:at]):
+        if depth(line) < width:
+            above.append(line)
+            width = depth(line)
+        if "Join" in line and above and above[-1] == line:
+            break
+    assert "Join" in above[-1] and not any("Exchange" in line for line in above), above
+    first = {}
+    for unid, ctime in batch:
+        if unid and (unid not in first or ctime < first[unid]):
+            first[unid] = ctime
+    known = {f"k{k}": 1000 + k for k in range(10)}
+    for _ in range(2):  # the second run is a replay
+        got = seen.insert(rows, 5).collect()
+        assert {(r.unid, r.ctime) for r in got if r.inserted and r.unid} == {(u, t) for u, t in first.items() if u not in known}
+        assert all(r.seen_ctime == known.get(r.unid, first.get(r.unid)) for r in got if r.unid)
+        assert seen.rows().count() == 40 and seen.rows().where("epoch = 5").count() == 30
+    assert not any(r.inserted for r in seen.insert(rows.where("unid is not null"), 6).collect()) and seen.rows().count() == 40
+    write = seen.sink(f"file://{tmp_path}/out")
+    for _ in range(2):
+        write(spark.createDataFrame([("new", 1), ("new", 2), ("k1", 3)], "unid string, ctime long"), 7)
+        assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/out").select("unid", "ctime", "epoch").collect()] == [("new", 1, 7)]
+    assert seen.rows().count() == 41
+    seen.drop()
+
+
+def test_bitmap_answers_as_the_bits_do(spark):
+    known, asked = [f"k{k}" for k in range(300)] + [None, ""], [f"k{k}" for k in range(250, 700)] + ["é😀", "", None, "k1", "k1"]
+    df = lambda keys: spark.createDataFrame([(k,) for k in keys], "unid string")
+
+    def offsets(key, bits, hashes):
+        out = []
+        for seed in range(hashes):
+            h = 0
+            for c in key:
+                h = (h * (1 + seed) + ord(c)) % bits
+            out.append(h)
+        return out
+
+    for bits, hashes in ((1 << 22, 6), (5000, 3)):
+        table = D.bloom_bits(df(known), bits=bits, hashes=hashes)
+        got = {r.unid: r.is_new for r in D.bloom_check(df(asked), table, bits=bits, hashes=hashes).collect()}
+        on = {b for k in known if k is not None for b in offsets(k, bits, hashes)}
+        assert got == {k: any(b not in on for b in offsets(k, bits, hashes)) for k in asked if k is not None}
+    with pytest.raises(ValueError):
+        D.bloom_check(df(asked), table, bits=1 << 40)

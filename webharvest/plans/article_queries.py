@@ -9,6 +9,8 @@ from ..operators import articles as A
 from ..operators import dedupe as D
 from ..operators.frontier import bulk_change
 from ..sources.scratch import new_path
+from ..sources.scratch import new_path
+from ..sources.seen import SeenSet
 from ..streaming import streams as ST
 from .hooks import Hooks, detail_mode
 from .registry import NOW, query, stream, table
@@ -33,8 +35,10 @@ def d1_insert_if_absent(spark, d):
     rows = table(spark, d, "pages").select(
         "page_id", F.md5(F.regexp_extract("url", "^([^?#]*)", 1)).alias("unid"), F.col("page_id").alias("ctime")
     )
-    seen = rows.where("page_id % 3 = 0").groupBy("unid").agg(F.min("ctime").alias("ctime"))
-    return D.insert_if_absent(rows.where("page_id % 3 <> 0"), seen).select("page_id", "inserted", "seen_ctime")
+    path = new_path(spark)
+    seen = SeenSet(spark, f"seen_{path.rpartition('/')[2]}", path)
+    seen.add(rows.where("page_id % 3 = 0").groupBy("unid").agg(F.min("ctime").alias("ctime")))
+    return seen.mark(rows.where("page_id % 3 <> 0")).select("page_id", "inserted", "seen_ctime")
 
 
 @query("SELECT DISTINCT url AS unid, url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) AS is_new FROM pages")
