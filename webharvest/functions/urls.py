@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -153,6 +154,30 @@ def _urljoin(base: pd.Series, link: pd.Series) -> pd.Series:
     return pd.Series([one(b, u) for b, u in zip(base, link)], dtype=object)
 
 
+def first_links(base: Column | str, links: Column | str) -> Column:
+    """The links of an array resolved against one address, NULL for those that cannot be and for repeats of an earlier one."""
+    return F.arrow_udf(_first_links, "array<string>")(base, links)
+
+
+def _first_links(base: pa.Array, links: pa.Array) -> pa.Array:
+    from urllib.parse import urljoin as join
+
+    out = []
+    for b, some in zip(base.to_pylist(), links.to_pylist()):
+        met: set[str] = set()
+        row: list[str | None] = []
+        for u in some or ():
+            try:
+                found = join(b, u) if b is not None and u is not None else None
+            except ValueError:
+                found = None
+            row.append(None if found in met else found)
+            if found is not None:
+                met.add(found)
+        out.append(None if some is None else row)
+    return pa.array(out, pa.list_(pa.string()))
+
+
 def usable_link(link: Column) -> Column:
     """Whether a parsed link is worth resolving: not empty, not javascript, not `/`."""
     t = F.trim(link)

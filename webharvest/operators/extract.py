@@ -49,16 +49,19 @@ BAD_IMAGES = r"\.html|\.gif|\.ico|button|twitter\.jpg|facebook\.jpg|ap_buy_photo
 
 
 def page_links(pages: DataFrame, page: str = "page_id", url: str = "url", nodes: str = "nodes") -> DataFrame:
-    """(page, page_url, pos, link, title): links of each page, resolved, the first of equal ones kept."""
+    """(page, page_url, pos, link, title): links of each page, resolved, the first of equal ones kept; found inside the page's row."""
     anchors = F.filter(
         tags(F.col(nodes), "a"), lambda n: urls.usable_link(attr(n, "href")) & ~F.startswith(F.trim(attr(n, "href")), F.lit("#"))
     )
     raw = F.transform(anchors, lambda n: F.struct(n["order"].alias("pos"), F.trim(attr(n, "href")).alias("href"), n["text"].alias("title")))
-    each = pages.select(page, F.col(url).alias("page_url"), F.explode(raw).alias("a")).select(
-        page, "page_url", "a.pos", "a.title", urls.urljoin(F.col("page_url"), F.col("a.href")).alias("link")
-    ).where("link is not null")
-    first = each.groupBy(page, "page_url", "link").agg(F.min(F.struct("pos", "title")).alias("f"))
-    return first.select(page, "page_url", F.col("f.pos").alias("pos"), "link", F.col("f.title").alias("title"))
+    rows = pages.select(page, F.col(url).alias("page_url"), raw.alias("_raw"))
+    rows = rows.withColumn("_links", urls.first_links(F.col("page_url"), F.col("_raw.href")))
+    each = F.filter(
+        F.zip_with(
+            "_raw", "_links", lambda a, link: F.struct(a["pos"].alias("pos"), link.alias("link"), a["title"].alias("title"))
+        ), lambda x: x["link"].isNotNull()
+    )
+    return rows.select(page, "page_url", F.inline(each))
 
 
 def link_class(link: Column, page_url: Column) -> tuple[Column, Column]:

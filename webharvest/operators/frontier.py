@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import build_query, filter_query, quote_plus
 from .query import where
-from .ranges import ROWS, range_bounds, range_of
+from .ranges import ROWS, numbered
 
 # Seconds of each frequency code.
 FREQUENCIES = {"0": 0, "1": 300, "2": 600, "3": 1800, "4": 7200, "5": 28800, "6": 86400}
@@ -84,22 +84,17 @@ def route_batches(counts: DataFrame, state: DataFrame | None, now: int, interval
 def batch_slices(tasks: DataFrame, slices: DataFrame, now: int, rows: int = ROWS) -> DataFrame:
     """Tasks of the given slices, in uuid order inside (mode, frequency), with their new plantime.
 
-    The few groups are large, so rows are numbered in ranges of uuid, about `rows` to a range, whose counts give
-    offsets; slices join on an equality of (mode, frequency, slice number).
+    The few groups are large, so rows are numbered in ranges of (mode, frequency, uuid), about `rows` to a range, whose
+    counts give offsets; slices join on an equality of (mode, frequency, slice number).
     """
-    live = active(tasks, now)
-    ranged = live.withColumn("_part", range_of(F.col("uuid"), range_bounds(live, "uuid", rows)))
     keys = ["mode", "frequency"]
-    sizes = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    before = sizes.select(*keys, "_part", F.coalesce(earlier, F.lit(0)).alias("_before"))  # a row for each group and range
-    numbering = Window.partitionBy(*keys, "_part").orderBy("uuid")
-    ranked = ranged.withColumn("_rank", F.row_number().over(numbering)).join(F.broadcast(before), [*keys, "_part"])
-    numbered = ranked.withColumn("_at", F.col("_before") + F.col("_rank") - 1)
+    live = numbered(active(tasks, now), [*keys, "uuid"], rows, "_place")
+    begins = live.groupBy(*keys).agg(F.min("_place").alias("_begin"))  # a row for each group
+    places = live.join(F.broadcast(begins), keys).withColumn("_at", F.col("_place") - F.col("_begin"))
     first = slices.groupBy(*keys).agg(F.min("offset").alias("_first"))
     number = F.floor((F.col("offset") - F.col("_first")) / SLICE)
     cut = slices.join(first, keys).select(*keys, number.alias("_slice"), F.col("offset").alias("_offset"), F.col("count").alias("_count"))
-    placed = numbered.join(F.broadcast(first), keys).withColumn("_slice", F.floor((F.col("_at") - F.col("_first")) / SLICE))
+    placed = places.join(F.broadcast(first), keys).withColumn("_slice", F.floor((F.col("_at") - F.col("_first")) / SLICE))
     inside = (F.col("_at") >= F.col("_offset")) & (F.col("_at") < F.col("_offset") + F.col("_count"))
     chosen = placed.join(cut, [*keys, "_slice"]).where(inside)
     return chosen.withColumn("plantime", now + frequency_seconds(F.col("frequency"))).select(*tasks.columns)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranges import ROWS, range_bounds, range_of
+from .ranges import ROWS, numbered
 
 _OPS = {"=": "eq", "<>": "ne", ">": "gt", ">=": "ge", "<": "lt", "<=": "le", "IN": "in", "NOT IN": "nin", "regex": "re"}
 
@@ -126,18 +126,9 @@ def max_id(df: DataFrame, column: str = "uuid", spec=None) -> DataFrame:
 def assign_ids(df: DataFrame, order: Sequence[str], start: int = 0, column: str = "uuid", rows: int = ROWS) -> DataFrame:
     """Increasing ids start+1, start+2, ... in the order of columns that tell rows apart, of any orderable type; NULLs come first.
 
-    Rows are ranged by the first order column, about `rows` to a range; counts of the ranges give offsets, and each
-    range numbers its own rows, so no window spans the table.
+    Rows are numbered in ranges of the order, about `rows` to a range, whose counts give offsets.
     """
-    lead = F.col(order[0])
-    bounds = range_bounds(df, order[0], rows)
-    ranged = df.withColumn("_part", F.when(lead.isNull(), -1).otherwise(range_of(lead, bounds)))
-    numbered = ranged.withColumn("_rank", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
-    before = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
-    joined = numbered.join(F.broadcast(before), "_part")
-    return joined.withColumn(column, (F.col("_before") + F.col("_rank") + start).cast("long")).drop("_part", "_before", "_rank")
+    return numbered(df, order, rows).withColumn(column, (F.col("_at") + start + 1).cast("long")).drop("_at")
 
 
 def build_month_id(ctime: Column, id_: Column) -> Column:

@@ -1,36 +1,35 @@
-"""Ranges of an orderable column, for numbering rows without a window over the whole table."""
+"""Numbering the rows of a table in an order, without a window over the table."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_path
+
 #: Rows that one range holds, about.
 ROWS = 1_000_000
-#: Sampled values for each range; bounds are every so many-th of them.
-SAMPLES = 20
 
 
-def range_bounds(df: DataFrame, column: str, rows: int = ROWS) -> list:
-    """Inner bounds of ranges of about `rows` rows each, from a sample of the values by their hash; of any orderable type.
+def numbered(df: DataFrame, order: Sequence[str], rows: int = ROWS, column: str = "_at") -> DataFrame:
+    """`df` with its place, from 0, in the order of columns that tell rows apart; NULLs come first.
 
-    The number of ranges follows the number of rows; bounds and sample are a few values a range.
+    Rows are dealt into sorted ranges by all order columns, about `rows` to a range, so that no value is too frequent for
+    one, and written to the shared folder with their place in the range; the ranges' counts give offsets.  What is done for
+    a row does not depend on the number of ranges.
     """
-    values = df.select(column).where(F.col(column).isNotNull())
-    count = values.count()
-    ranges = math.ceil(count / rows)
-    if ranges <= 1:
-        return []
-    step = max(1, count // (ranges * SAMPLES))
-    sample = sorted(r[0] for r in values.where(F.pmod(F.xxhash64(column), F.lit(step)) == 0).collect())
-    size = max(1, len(sample) // ranges)
-    return sorted(set(sample[size::size]))
-
-
-def range_of(column: Column, bounds: list) -> Column:
-    """The number of bounds at or below a value; 0 without bounds or for NULL."""
-    if not bounds:
-        return F.lit(0)
-    return F.coalesce(F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= column)), F.lit(0))
+    spark = df.sparkSession
+    ranges = max(1, math.ceil(df.count() / rows))
+    path = new_path(spark)
+    placed = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("_ranked", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    kept = spark.read.schema(placed.schema).parquet(path)
+    part, rank = F.shiftright("_ranked", 33), F.col("_ranked").bitwiseAND((1 << 33) - 1)  # of the range, and in it
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    before = sizes.select("_part", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    joined = kept.withColumns({"_part": part, "_rank": rank}).join(before, "_part")
+    return joined.withColumn(column, F.col("_before") + F.col("_rank")).drop("_part", "_rank", "_before", "_ranked")

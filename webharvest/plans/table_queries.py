@@ -78,7 +78,9 @@ def some_tasks(spark, d) -> DataFrame:
 @query("SELECT o_orderkey AS uuid, o_orderpriority AS name FROM orders")
 def s1_schema_table(spark, d):
     rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("uuid"), F.col("o_orderpriority").alias("name"))
-    return S.conform(rows, "sites").select("uuid", "name")
+    path = new_path(spark)
+    S.write_table(S.conform(rows, "sites"), path, "sites")
+    return S.read_table(spark, path, "sites").select("uuid", "name")
 
 
 @query(
