@@ -626,3 +626,23 @@ def test_bitmap_answers_as_the_bits_do(spark):
         assert got == {k: any(b not in on for b in offsets(k, bits, hashes)) for k in asked if k is not None}
     with pytest.raises(ValueError):
         D.bloom_check(df(asked), table, bits=1 << 40)
+
+
+def test_upsert_rewrites_only_the_months_it_touches(spark, tmp_path):
+    from webharvest.sources import tables as S
+
+    path, day = f"file://{tmp_path}/articles", 86400
+    rows = [(f"a{k}", f"t{k}", (k % 3) * 31 * day, 1) for k in range(30)]  # months 197001 to 197003
+    kind = "acid string, title string, ctime long, utime long"
+    S.write_table(S.conform(spark.createDataFrame(rows, kind), "articles"), path, "articles")
+    files = lambda: {p.name: p.parent.name for p in tmp_path.rglob("*.parquet")}
+    before = files()
+    incoming = spark.createDataFrame([("a1", "new", 999 * day, 5), ("a1", "older", 999 * day, 4), ("a4", None, 999 * day, 5), ("n", "first", 100 * day, 5)], kind)
+    for _ in range(2):
+        assert S.upsert_months(spark, path, incoming) == ["197002", "197004"]
+    after = files()
+    assert {n for n, ym in before.items() if ym != "ym=197002"} <= set(after) and not {n for n, ym in before.items() if ym == "ym=197002"} & set(after)
+    got = {r.acid: (r.title, r.ctime, r.ym) for r in S.read_table(spark, path, "articles").collect()}
+    assert len(got) == 31 and got["a1"] == ("new", 31 * day, "197002") and got["a4"] == ("t4", 31 * day, "197002")
+    assert got["n"] == ("first", 100 * day, "197004") and got["a0"] == ("t0", 0, "197001")
+    assert S.upsert_months(spark, path, incoming.limit(0)) == []

@@ -8,7 +8,9 @@ from ..functions import urls
 from ..operators import articles as A
 from ..operators import dedupe as D
 from ..operators.frontier import bulk_change
+from ..sources import tables as S
 from ..sources.scratch import new_path
+from ..sources import tables as S
 from ..sources.scratch import new_path
 from ..sources.seen import SeenSet
 from ..streaming import streams as ST
@@ -114,16 +116,17 @@ def a2_merge_detail(spark, d):
 def a3_upsert(spark, d):
     k = F.col("c_custkey")
     c = table(spark, d, "customer").select(k.cast("long").alias("acid"), k)
-    stored = c.where("c_custkey % 2 = 0").select(
-        "acid", F.lit("old").alias("title"), F.lit(1).cast("long").alias("ctime"), F.lit(1).cast("long").alias("utime")
-    )
-    incoming = c.where("c_custkey % 3 = 0 or c_custkey % 5 = 0").select(
-        "acid", F.lit("new").alias("title"), F.lit(2).cast("long").alias("ctime"), F.lit(2).cast("long").alias("utime")
-    )
-    stale = c.where("c_custkey % 3 = 0").select(
-        "acid", F.lit("stale").alias("title"), F.lit(2).cast("long").alias("ctime"), F.lit(1).cast("long").alias("utime")
-    )
-    return A.upsert(stored, incoming.unionByName(stale)).select("acid", "title", "ctime")
+    def rows(title: str, ctime: int, utime: int) -> list:
+        times = [F.lit(v).cast("long").alias(name) for name, v in (("ctime", ctime), ("utime", utime))]
+        return [F.col("acid").cast("string").alias("acid"), F.lit(title).alias("title"), *times]
+
+    path = new_path(spark)
+    S.write_table(S.conform(c.where("c_custkey % 2 = 0").select(*rows("old", 1, 1)), "articles"), path, "articles")
+    incoming = c.where("c_custkey % 3 = 0 or c_custkey % 5 = 0").select(*rows("new", 3_000_000, 2))
+    stale = c.where("c_custkey % 3 = 0").select(*rows("stale", 3_000_000, 1))
+    S.upsert_months(spark, path, incoming.unionByName(stale))
+    month = F.when(F.col("ym") == "197001", 1).otherwise(2).cast("long")
+    return S.read_table(spark, path, "articles").select(F.col("acid").cast("long").alias("acid"), "title", month.alias("ctime"))
 
 
 @query(

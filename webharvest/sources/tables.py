@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.articles import upsert
 from .schemas import TABLES
 
 #: table -> (partition column, expression)
@@ -67,3 +68,27 @@ def seen_of(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
 def fan_out(results: DataFrame, queues: list[str]) -> DataFrame:
     """(topic, value): each result id (mode, rid) as a JSON message for every named queue."""
     return results.select(F.explode(F.array(*[F.lit(q) for q in queues])).alias("topic"), F.to_json(F.struct("mode", "rid")).alias("value"))
+
+
+def upsert_months(spark: SparkSession, path: str, incoming: DataFrame, table: str = "articles", key: str = "acid", newest: str = "utime") -> list[str]:
+    """Upserts rows into a table written by month (see articles.upsert) and returns the months that were rewritten.
+
+    Stored rows keep their ctime, and so their month; new ones go to the month of theirs.  Only the keys of the table are
+    read to find the months in question, and only those months are joined and overwritten; the files of others stay as
+    they are.  A failed run leaves the table as it was, a repeated one changes nothing more.
+    """
+    name, expression = PARTITIONS[table]
+    stored = read_table(spark, path, table)
+    keys = incoming.select(key).distinct()
+    held = stored.select(key, name).join(keys, key, "left_semi")
+    last = conform(incoming, table)
+    fresh = last.groupBy(key).agg(F.max_by("ctime", newest).alias("ctime")).join(held.select(key), key, "left_anti")
+    months = sorted(
+        r[0] for r in held.select(name).union(fresh.select(F.expr(expression).alias(name))).where(F.col(name).isNotNull()).distinct().collect()
+    )
+    if months:
+        merged = upsert(stored.where(F.col(name).isin(months)).drop(name), last, key, newest)
+        dated = merged.withColumn(name, F.expr(expression)).hint("rebalance", name)
+        dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(name).parquet(path)
+        spark.catalog.refreshByPath(path)
+    return months
