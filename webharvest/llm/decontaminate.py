@@ -1,11 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Word n-grams of the test items are the seeds: of three words, of two or one for items so short that an edited copy need
-not keep three in a row.  One pass over the training texts keeps the passages around seed hits.  A join on the rare
-seeds, those that few items share and few passages hold, pairs the different passages with items.  Passages with
-common seeds meet the items in blocks, where the words that a passage shares with each item bound what it can score;
-so no seed is dropped, and no table of the pairs of a common seed exists.  What remains is scored by local alignment of
-words, which tolerates substituted, inserted and deleted words.
+not keep three in a row.  One pass over the training texts keeps the passages around seed hits.  Passages then meet the items in packs and blocks, where they stand: rare seeds, those that few items share
+and few passages hold, are joined to their items there; with a common seed, the words that a passage shares with each item
+bound what it can score.  So no seed is dropped, no table of the pairs of a common seed exists, and passages are not
+moved.  What remains is scored by local alignment of words, which tolerates substituted, inserted and deleted words.
 """
 
 from __future__ import annotations
@@ -160,11 +159,11 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int, int]:
 
 
 class _Block:
-    """A block of items, and which of its words each item has how often."""
+    """A block of items: which of its words each item has how often, and the items of each rare seed."""
 
-    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
-        self.ids, self.kinds = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-        self.items = [r[2] for r in rows]
+    def __init__(self, rows: list[dict]):
+        self.ids, self.kinds = np.array([r["item_id"] for r in rows]), np.array([r["class"] for r in rows])
+        self.items = [np.frombuffer(r["words"], np.uint64) for r in rows]
         self.sizes = np.array([len(x) for x in self.items])
         words = np.concatenate(self.items)
         self.words, word = np.unique(words, return_inverse=True)
@@ -172,6 +171,19 @@ class _Block:
         pair, self.times = np.unique(word * size + np.repeat(np.arange(size), self.sizes), return_counts=True)
         self.item = pair % size
         self.first = np.searchsorted(pair // size, np.arange(len(self.words) + 1))
+        seeds = np.array([s for r in rows for s in r["rare"]], np.int64)
+        order = np.argsort(seeds, kind="stable")
+        self.seeds, self.owner = seeds[order], np.repeat(np.arange(size), [len(r["rare"]) for r in rows])[order]
+
+    def joined(self, seeds: list[np.ndarray], common: list[bool]) -> np.ndarray:
+        """Which items each passage (rows) can hold: all with a common seed, else those of its rare seeds."""
+        out = np.repeat(np.array(common)[:, None], len(self.items), 1)
+        row = np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+        flat = np.concatenate(seeds)
+        lo, hi = np.searchsorted(self.seeds, flat), np.searchsorted(self.seeds, flat, "right")
+        n = hi - lo
+        out[np.repeat(row, n), self.owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]] = True
+        return out
 
     def reachable(self, passages: list[np.ndarray]) -> np.ndarray:
         """The most that local alignments of each passage (rows) with each item can score: a match for each item word that the passage has."""
@@ -187,58 +199,66 @@ class _Block:
         return MATCH * np.bincount(np.repeat(row, counts) * size + self.item[spots], self.times[spots], len(passages) * size).reshape(-1, size)
 
 
-SCORED = "k1 long, k2 long, item_id long, score double, start long, stop long"
+SCORED = "doc_id long, item_id long, cost double, first_word long, end_word long"
 
 
-def _scored(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-    columns = list(zip(*rows)) or [[]] * 6
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, t) for c, t in zip(columns, kinds)], names=["k1", "k2", "item_id", "score", "start", "stop"]
-    )
-
-
-def _in_blocks(different: DataFrame, known: DataFrame, min_score: float) -> DataFrame:
-    """Scores of passages against all items of their class, in packs of passages and blocks of items."""
+def _scores(found: DataFrame, known: DataFrame, common: DataFrame, min_score: float) -> DataFrame:
+    """Scores of passages against the items of their class, in packs of passages and blocks of items."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
         for batch in batches:
             for lo in range(0, batch.num_rows, PACK):
                 part = batch.slice(lo, PACK)
-                columns = [part.column(k).to_pylist() for k in range(4)]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c], pa.list_(t)) for c, t in zip(columns, kinds)], names=["k1", "k2", "kinds", "passages"]
+                    [pa.array([part.column(k).to_pylist()], pa.list_(t)) for k, t in enumerate(kinds)], names=["ids", "firsts", "kinds", "seeds", "words"]
                 )
 
-    packs = different.select("k1", "k2", "class", "passage").mapInArrow(
-        pack, "k1 array<long>, k2 array<long>, kinds array<int>, passages array<binary>"
+    packs = found.select("doc_id", "first", "class", "seeds", "words").mapInArrow(
+        pack, "ids array<long>, firsts array<long>, kinds array<int>, seeds array<array<long>>, words array<binary>"
+    )
+    shared = common.select("seed", F.lit(True).alias("common"))
+    rare = known.select("item_id", "words", F.explode("seeds").alias("seed")).join(shared, "seed", "left").groupBy("item_id", "words").agg(
+        F.collect_list(F.when(F.col("common").isNull(), F.col("seed"))).alias("rare"),
+        F.collect_list(F.when(F.col("common"), F.col("seed"))).alias("often")
+    )
+    number = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, math.ceil(known.count() / ITEMS)))).alias("block")
+    blocks = known.select("item_id", "class", "words").join(rare, ["item_id", "words"]).groupBy(number).agg(
+        F.collect_list(F.struct("item_id", "class", "words", "rare")).alias("items"), F.array_distinct(F.flatten(F.collect_list("often"))).alias("often")
     )
-    count = known.count()
-    number = F.pmod(F.xxhash64("item_id", "words"), F.lit(max(1, math.ceil(count / ITEMS)))).alias("block")
-    blocks = known.groupBy(number).agg(F.collect_list(F.struct("item_id", "class", "words")).alias("items"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, _Block] = {}
+        made: dict[int, tuple[_Block, np.ndarray]] = {}
         for batch in batches:
             for r in range(batch.num_rows):
-                number = batch.column(4)[r].as_py()
+                number = batch.column(5)[r].as_py()
                 if number not in made:
-                    made[number] = _Block(
-                        [(x["item_id"], x["class"], np.frombuffer(x["words"], np.uint64)) for x in batch.column(5)[r].as_py()]
-                    )
-                block, rows = made[number], []
+                    made[number] = _Block(batch.column(6)[r].as_py()), np.array(batch.column(7)[r].as_py(), np.int64)
+                (block, often), rows = made[number], []
+                ids, firsts, kinds, seeds, words = (batch.column(k)[r].as_py() for k in range(5))
+                # equal passages of a pack are scored once
+                different: dict[tuple, int] = {}
+                same = [different.setdefault((kinds[k], words[k], tuple(seeds[k])), len(different)) for k in range(len(ids))]
+                passages = [np.frombuffer(x[1], np.uint64) for x in different]
+                hits = [np.array(x[2], np.int64) for x in different]
+                able = block.joined(hits, [bool(np.isin(x, often).any()) for x in hits])
+                able &= np.array([x[0] for x in different])[:, None] == block.kinds[None, :]
                 least = min_score * MATCH * block.sizes
-                k1, k2, kinds, words = (batch.column(k)[r].as_py() for k in range(4))
-                passages = [np.frombuffer(x, np.uint64) for x in words]
-                able = (block.reachable(passages) >= least) & (np.array(kinds)[:, None] == block.kinds[None, :])
+                able &= block.reachable(passages) >= least
+                scored: dict[int, list[tuple]] = {}
                 for p, i in zip(*np.nonzero(able)):
                     got, start, end = align(block.items[i], passages[p])
                     if got >= least[i]:
-                        rows.append((k1[p], k2[p], int(block.ids[i]), got / (MATCH * int(block.sizes[i])), start, end))
-                yield _scored(rows)
+                        scored.setdefault(p, []).append((int(block.ids[i]), -got / (MATCH * int(block.sizes[i])), start, end))
+                for doc, first, p in zip(ids, firsts, same):
+                    rows += [(doc, item, cost, first + start, first + end) for item, cost, start, end in scored.get(p, ())]
+                columns = list(zip(*rows)) or [[]] * 5
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "cost", "first_word", "end_word"]
+                )
 
-    return packs.crossJoin(blocks).mapInArrow(score, SCORED)
+    return packs.crossJoin(blocks).select(*packs.columns, "block", "items", "often").mapInArrow(score, SCORED)
 
 
 def contaminated(
@@ -248,10 +268,10 @@ def contaminated(
     """(doc_id, item_id, score, first_word, end_word): texts that hold a test item, copied or edited.
 
     score: alignment score over that of a perfect copy of the item, from min_score to 1; the best stretch of the
-    text counts, ties by the earlier one.  Each different passage is scored once, however many texts hold it.  A seed
+    text counts, ties by the earlier one.  A seed
     is rare if at most `rare_items` items share it and at most a share `rare_share` of the passages (1000 at least)
-    hold it.  A passage and an item that meet through a rare seed are aligned; a passage with common seeds is aligned with
-    the items of its length class whose words it holds often enough to reach the score.  Seeds have up to `n` words, so
+    hold it.  A passage with rare seeds alone is held against their items, one with a common seed against all of its length
+    class; it is aligned with those whose words it holds often enough to reach the score.  Seeds have up to `n` words, so
     that at the default score a text that changes or drops an item's words keeps one; what inserts more words than
     every second one may keep none.  Ids are integers (others are an error).  Null and wordless texts and items match
     nothing; repeated rows of an id count once; other columns are ignored.
@@ -267,41 +287,15 @@ def contaminated(
         reaches[r["class"]] = max(reaches.get(r["class"], 0), math.ceil(r.longest * (1 + max(0.0, MATCH - MATCH * min_score))))
     seeds = known.select("item_id", "class", F.explode("seeds").alias("seed"))
     table = spark.sparkContext.broadcast(seed_filter(seeds))
-    keys = [F.xxhash64("words", "seeds", "class").alias("k1"), F.xxhash64(F.lit("second"), "class", "words", "seeds").alias("k2")]
-    found = cut(passages(docs, table, sorted({r["size"] for r in shapes}), reaches, id_col, text_col).select("*", *keys))
-    places = found.select("k1", "k2", "doc_id", "first")
-    different = cut(
-        found.groupBy("k1", "k2").agg(F.first("class").alias("class"), F.first("seeds").alias("seeds"), F.first("words").alias("passage"))
-    )
-    hits = different.select("k1", "k2", F.explode("seeds").alias("seed"))
+    found = cut(passages(docs, table, sorted({r["size"] for r in shapes}), reaches, id_col, text_col))
     spread = seeds.groupBy("seed").agg(F.count_distinct("item_id").alias("items"))
-    frequency = hits.join(spread, "seed", "left_semi").groupBy("seed").agg(F.count("*").alias("hits"))
-    limit = F.greatest(F.lit(1000.0), F.lit(rare_share * different.count()))
-    rare = (F.col("items") <= rare_items) & (F.col("hits") <= limit)
-    rated = cut(hits.join(spread.join(frequency, "seed").select("seed", rare.alias("rare")), "seed"))
-    pairs = rated.where("rare").join(seeds.select("seed", "item_id"), "seed").select("k1", "k2", "item_id").distinct()
-    sides = pairs.join(different.drop("seeds", "class"), ["k1", "k2"]).join(known.select("item_id", "words"), "item_id")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for k1, k2, item, passage, words in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                a, b = np.frombuffer(words, np.uint64), np.frombuffer(passage, np.uint64)
-                got, start, end = align(a, b)
-                if got >= min_score * MATCH * len(a):
-                    rows.append((k1, k2, item, got / (MATCH * len(a)), start, end))
-            yield _scored(rows)
-
-    scored = sides.select("k1", "k2", "item_id", "passage", "words").mapInArrow(score, SCORED)
-    common = different.join(rated.where("NOT rare").select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
-    placed = cut(scored.unionByName(_in_blocks(common, known, min_score))).join(places, ["k1", "k2"])
-    best = F.min(
-        F.struct(
-            (-F.col("score")).alias("cost"), (F.col("first") + F.col("start")).alias("first_word"),
-            (F.col("first") + F.col("stop")).alias("end_word")
-        )
+    hits = found.select(F.explode("seeds").alias("seed")).groupBy("seed").agg(F.count("*").alias("hits"))
+    limit = F.greatest(F.lit(1000.0), F.lit(rare_share * found.count()))
+    common = cut(
+        spread.join(hits, "seed", "left").where((F.col("items") > rare_items) | (F.coalesce("hits", F.lit(0)) > limit)).select("seed")
     )
-    top = placed.groupBy("doc_id", "item_id").agg(best.alias("best"))
+    best = F.min(F.struct("cost", "first_word", "end_word"))
+    top = _scores(found, known, common, min_score).groupBy("doc_id", "item_id").agg(best.alias("best"))
     return top.select("doc_id", "item_id", (-F.col("best.cost")).alias("score"), "best.first_word", "best.end_word")
 
 
