@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._tables import cut
@@ -25,7 +26,7 @@ from ._words import Words, count_terms, steps
 
 INDEX = "docs array<long>, terms array<long>, dfs array<int>, masks binary, maxima binary"
 #: Documents and entries of a range at most (a longer text is a range of its own), stretches halved at once, items of a block.
-RANGE_DOCS, RANGE_ENTRIES, WAVE, ITEMS = 8192, 1 << 18, 128, 1024
+RANGE_DOCS, RANGE_ENTRIES, WAVE, ITEMS = 8192, 1 << 19, 128, 1024
 _NO_ID = np.iinfo(np.int64).max
 _COUNT = np.array([bin(k).count("1") for k in range(16)], np.int64)
 
@@ -217,6 +218,20 @@ def weight(documents: int, df: Column) -> Column:
     return F.floor(1000 * F.log((2.0 * documents + 2) / (2 * df + 1)))
 
 
+@contextmanager
+def _single_rows(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside read and send rows one at a time: a range is some megabytes, a batch of them would be a task's memory."""
+    settings = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "1"}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
 def search(
     index: DataFrame, documents: int, items: DataFrame, *, top: int = 20, item_id_col: str = "item_id", item_text_col: str = "text"
 ) -> DataFrame:
@@ -264,7 +279,9 @@ def search(
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["item_id", "doc_id", "score"])
 
     ranges = index.select("docs", "terms", "masks", "maxima")
-    found = ranges.crossJoin(blocks).select(*ranges.columns, "block", "items").mapInArrow(rank, "item_id long, doc_id long, score long")
+    met = ranges.crossJoin(blocks).select(*ranges.columns, "block", "items").mapInArrow(rank, "item_id long, doc_id long, score long")
+    with _single_rows(index.sparkSession):
+        found = cut(met)
     order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("item_id", "rank", "doc_id", "score")
 
