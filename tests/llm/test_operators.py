@@ -253,7 +253,7 @@ def test_fingerprints_do_not_depend_on_the_batch():
 
 
 def test_likeness_and_classes_of_few_texts_brute_force(spark):
-    """A plain walk, written over characters, gives the same digits; classes are those of all pairs."""
+    """Likeness written out plainly; classes are those of all pairs."""
     r, texts = random.Random(8), []
     for k in range(30):
         words = prose(r.randrange(20, 120), k).split()
@@ -280,6 +280,56 @@ def test_likeness_and_classes_of_few_texts_brute_force(spark):
     assert got == dict(enumerate(want)) | {200: 200, 201: 200}
 
 
+def test_walk_and_likeness_columns_brute_force(spark):
+    """A walk over characters, one text at a time in plain Python, gives the same fingerprints; and so the same near_ columns."""
+    full = (1 << 64) - 1
+
+    def mixed(x):
+        x ^= x >> 30
+        x = x * 0xBF58476D1CE4E5B9 & full
+        x ^= x >> 27
+        x = x * 0x94D049BB133111EB & full
+        return x ^ x >> 31
+
+    def code(char):
+        value = 0
+        for byte in char.encode():
+            value = value * 64 + byte
+        return (value if len(char.encode()) == 1 else 128 + (mixed(value) >> 57)) or 1
+
+    def sampled(step):
+        if step < PER_OCTAVE:
+            return True
+        lo = PER_OCTAVE
+        while lo * 2 <= step:
+            lo *= 2
+        cell = lo // PER_OCTAVE
+        return step == lo + (step - lo) // cell * cell + mixed((step - lo) // cell + lo) % cell
+
+    def walk(text):
+        codes, at, step, out = [code(c) for c in text or ""], 0, 0, ""
+        while at < len(codes):
+            char = codes[at]
+            if sampled(step):
+                out += "0123456789abcdef"[mixed((char * 0x9E3779B97F4A7C15 + step) & full) >> 60]
+            word = mixed((step * 4 + char // 64 + 0x5EED) & full)
+            byte = word >> 8 * (char % 64 // 8) & 255
+            at += byte >> (7 - char % 8) & 1
+            step += 1
+        return out
+
+    texts = [prose(n, n) for n in (1, 3, 30, 200)] + ["é😀ñ 中文 " * 40, "", None, "x", "a\0b" * 20, prose(30, 30) + "!"]
+    assert fingerprints(pa.array(texts)) == [walk(t) for t in texts]
+    got = {r.doc_id: r for r in edited_with_next(documents(spark, list(enumerate(texts)))).collect()}
+    for k, text in enumerate(texts):
+        text, other = text or "", texts[(k + 1) % len(texts)] or ""
+        cut = len(text) // 2
+        edited = text[: len(text) - cut] + other[:cut] if cut else text
+        assert got[k].fingerprint == walk(text) and got[k].edited_fingerprint == walk(edited), k
+        assert abs(got[k].near_edited - likeness(walk(text), walk(edited))) < 1e-9 and abs(got[k].near_next - likeness(walk(text), walk(other))) < 1e-9
+        assert got[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+
+
 def test_near_copies_behind_a_shared_header(spark):
     header = prose(190, 1)[:1100]
     texts = [header + prose(100, 2)[:550]]
