@@ -646,3 +646,23 @@ def test_upsert_rewrites_only_the_months_it_touches(spark, tmp_path):
     assert len(got) == 31 and got["a1"] == ("new", 31 * day, "197002") and got["a4"] == ("t4", 31 * day, "197002")
     assert got["n"] == ("first", 100 * day, "197004") and got["a0"] == ("t0", 0, "197001")
     assert S.upsert_months(spark, path, incoming.limit(0)) == []
+
+
+def test_charsets_of_undeclared_pages(spark):
+    """Texts of seven encodings, whole and in parts of 30 characters: all whole ones and over 0.95 of the parts are told apart."""
+    texts = {
+        "gb18030": "我们在这里说的是一个国家的发展，人们对生活有了新的要求。他说，这个时候大家都会来到这里，看看自己的工作是不是可以做得更好。中国的经济在过去的几年里发展得很快。",
+        "big5": "我們在這裡說的是一個國家的發展，人們對生活有了新的要求。他說，這個時候大家都會來到這裡，看看自己的工作是不是可以做得更好。台灣的經濟在過去的幾年裡發展得很快。",
+        "shift_jis": "これは日本語の文章です。東京の天気は今日も晴れていて、多くの人が公園に出かけました。新しいニュースが毎日インターネットで読まれています。",
+        "euc_jp": "政府は来年の予算について話し合いを始めました。会議では、教育と医療のための費用を増やすことが決まりました。",
+        "euc_kr": "오늘 서울의 날씨는 맑고 기온은 어제보다 조금 높을 것으로 보입니다. 정부는 새로운 경제 정책을 발표하고 시장의 반응을 기다리고 있다고 말했다.",
+        "windows-1251": "Сегодня в Москве прошла встреча министров, на которой обсуждали новый закон о связи. По словам участников, решение будет принято до конца года.",
+        "koi8-r": "Учёные рассказали о результатах исследования, которое продолжалось несколько лет и охватило многие города страны.",
+    }
+    pages = [(name, t.encode(name), t) for name, t in texts.items()]
+    pages += [(name, t[k : k + 30].encode(name), t[k : k + 30]) for name, t in texts.items() for k in range(0, len(t) - 30, 5)]
+    pages += [("utf-8", "é ß 中".encode(), "é ß 中"), ("declared", b'<meta charset="gb2312">' + "镕".encode("gb18030"), '<meta charset="gb2312">镕'), ("none", None, None)]
+    rows = spark.createDataFrame([(k, p[1]) for k, p in enumerate(pages)], "k int, b binary")
+    got = {r.k: r.t for r in rows.select("k", nodes.decode_page("b").alias("t")).collect()}
+    right = [got[k] == text for k, (_, _, text) in enumerate(pages)]
+    assert all(right[: len(texts)]) and all(right[-3:]) and sum(right) > 0.95 * len(right), [p for p, ok in zip(pages, right) if not ok]

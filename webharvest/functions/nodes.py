@@ -14,7 +14,6 @@ from functools import lru_cache
 from html import unescape
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column
@@ -297,22 +296,51 @@ def attr(node: Column, name: str) -> Column:
     return F.try_element_at(node["attrs"], F.lit(name))
 
 
+#: Encodings of pages that declare none, each with characters that are frequent in its texts and about their share there.
+FREQUENT = {
+    "gb18030": ("的一是不了在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于着下自之年过发后作里", 0.25),
+    "big5": ("的一是不了在人有我他這個們中來上大為和國地到以說時要就出會可也你對生能而子那得於著下自之年過發後作裡", 0.25),
+    "shift_jis": ("のにはをたがでてとしれさいるなもこまらりかくっよスンルトラドイアクリー、。", 0.5),
+    "euc_jp": ("のにはをたがでてとしれさいるなもこまらりかくっよスンルトラドイアクリー、。", 0.5),
+    "euc_kr": ("이다는을가에의로고하지은를한서도기사자리있어나그대시인정수해것들", 0.45),
+    "windows-1251": ("оеаинтсрвлкмдпуяыьгзбчйхжш", 0.85),
+    "koi8-r": ("оеаинтсрвлкмдпуяыьгзбчйхжш", 0.85),
+}
+_FREQUENT = {name: (frozenset(chars), share) for name, (chars, share) in FREQUENT.items()}
+
+
+def likely_charset(content: bytes) -> str | None:
+    """The encoding whose frequent characters a text has most of, among those that can decode it whole; NULL if none has a third of its usual share."""
+    best = (0.33, None)
+    for name, (chars, share) in _FREQUENT.items():
+        try:
+            text = content.decode(name)
+        except UnicodeDecodeError:
+            continue
+        odd = [c for c in text if c > "\x7f"]
+        if odd:
+            best = max(best, (sum(c in chars for c in odd) / len(odd) / share, name), key=lambda x: x[0])
+    return best[1]
+
+
 def decode_page(content: Column | str) -> Column:
-    """Bytes of a page to text by its declared charset (gb2312 read as gbk), else UTF-8, else gbk, else with replacements."""
-    return F.pandas_udf(_decode, T.StringType())(content)
+    """Bytes of a page to text by its declared charset (gb2312 read as gb18030), else UTF-8, else by likely_charset, else gbk, else with replacements."""
+    return F.arrow_udf(_decode, T.StringType())(content)
 
 
-def _decode(content: pd.Series) -> pd.Series:
-    def one(b):
+def _decode(content: pa.Array) -> pa.Array:
+    def one(b: bytes | None) -> str | None:
         if b is None:
             return None
-        m = re.search(rb"(?:charset|encoding)\s*=\s*[\"']?([\w-]+)", bytes(b[:4096]), re.I)
-        names = ([m[1].decode("ascii", "ignore").lower()] if m else []) + ["utf-8", "gbk"]
-        for name in names:
+        m = re.search(rb"(?:charset|encoding)\s*=\s*[\"']?([\w-]+)", b[:4096], re.I)
+        declared = m[1].decode("ascii", "ignore").lower() if m else ""
+        for name in (declared, "utf-8", None, "gbk"):
             try:
-                return bytes(b).decode("gbk" if name == "gb2312" else name)
+                name = likely_charset(b) if name is None else "gb18030" if name in ("gb2312", "gbk") else name
+                if name:
+                    return b.decode(name)
             except (LookupError, UnicodeDecodeError):
                 continue
-        return bytes(b).decode("utf-8", "replace")
+        return b.decode("utf-8", "replace")
 
-    return pd.Series([one(b) for b in content], dtype=object)
+    return pa.array([one(b) for b in content.to_pylist()], pa.string())
