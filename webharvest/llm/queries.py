@@ -25,6 +25,7 @@ from .quality import fit_classifier
 from .token_counts import token_counts
 from .url_filters import judge_urls
 from .url_filters import oracle as url_sql
+from .vector_groups import ORACLE as VECTOR_SQL
 from .vector_groups import vector_groups
 
 
@@ -112,5 +113,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_licenses": license_sql(), "op6_chat_format": CHAT_SQL, "op10_url_filters": url_sql(), "op11_collocations": COLLOCATION_SQL,
-        "op13_ranked_search": SEARCH_SQL
+        "op12_vector_groups": VECTOR_SQL, "op13_ranked_search": SEARCH_SQL
     }

@@ -322,3 +322,20 @@ def _compare(spark, reps: DataFrame, threshold: float, recall: float, leaf: int,
     groups = sides[0].unionByName(sides[1])
     groups = groups.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "group_id")
     return groups.groupBy("group_id").applyInArrow(match, "id long, least long, links long")
+
+
+#: All pairs of a label compared; for tables small enough for that.
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(lowest, vec_id)) AS component_id, vec_id <= coalesce(lowest, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x) USING (vec_id)
+LEFT JOIN (SELECT x AS vec_id, min(y) AS lowest FROM reach GROUP BY x) USING (vec_id)
+"""
