@@ -651,6 +651,30 @@ def test_url_filters(spark):
     assert {r.page_id: r.bad for r in noise.collect()} == {1: 1, 2: 0, 3: 0, 4: 0}
 
 
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Every rule of op10's contract on its host and a subdomain, in the query and in its SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    from webharvest.llm import queries as Q
+
+    want = {
+        1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: ("net/de/", "allow"), 4: ("example.net/de/8", "block"),
+        5: ("org/es/", "block")
+    }
+    rows = [
+        (k + 10 * deep, f"http://{'a.' * deep}{rule}x", "ok") for k, (rule, _) in want.items() for deep in (0, 1)
+    ]
+    # a bad host's page under an allow rule stays allowed
+    rows += [(100 + k, "http://bad.net/p", "!! " * 50) for k in range(30)] + [(93, "http://bad.net/de/1", "!! " * 50)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: (r.rule, r.verdict) for r in Q.op10_url_filters(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    said = {r[0]: (r[3] or None, r[4]) for r in db.execute(Q.oracle_sql()["op10_url_filters"]).fetchall()}
+    for k, x in want.items():
+        assert got[k] == got[k + 10] == said[k] == said[k + 10] == x
+    assert got[93] == said[93] == ("net/de/", "allow") and got[100] == said[100] == (None, "block")
+
+
 def test_decontamination_recall_against_all_pairs(spark):
     """Every text aligned whole with every item: substitutions, deletions and insertions, items of one word to sixty."""
     import numpy as np
