@@ -69,3 +69,26 @@ def cut_references(spark, tmp_path_factory):
 def test_title_with_cut_references(spark, cut_references):
     got, want = both(spark, "h9_title", cut_references)
     assert got == want and any("'Said by&&&'" in x for x in got) and any("'By a.b@mail. too'" in x for x in got)
+
+
+def test_bloom_filter_with_colliding_keys(spark, tmp_path):
+    """A key whose bits are all set by another one is not new; also an empty key, a null and characters of several bytes."""
+    from webharvest.operators.dedupe import BLOOM_BITS, BLOOM_SEEDS
+
+    def bits(key):
+        out = []
+        for seed in range(BLOOM_SEEDS):
+            h = 0
+            for c in key:
+                h = (h * (1 + seed) + ord(c)) % BLOOM_BITS
+            out.append(h)
+        return out
+
+    probe = "k"  # a single character has one bit, its code point, which other keys of that sum can set
+    keys = {0: "5", 1: probe, 2: "\x01j", 3: "", 4: "ä中😀", 5: "ä中😀", 7: "new", 9: None, 10: "é", 11: "é"}
+    # the bits of "k": 107 for every seed; "\x01j" sets 107 by seed 0
+    assert set(bits(probe)) == {107} and bits(keys[2])[0] == 107
+    rows = [(k, u, "") for k, u in keys.items()]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got, want = both(spark, "d2_bloom_filter", tmp_path)
+    assert got == want and "{'is_new': False, 'unid': 'k'}" in got and "{'is_new': True, 'unid': 'new'}" in got and len(got) == 7

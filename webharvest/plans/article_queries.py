@@ -43,8 +43,15 @@ def d1_insert_if_absent(spark, d):
     return seen.mark(rows.where("page_id % 3 <> 0")).select("page_id", "inserted", "seen_ctime")
 
 
-@query("SELECT DISTINCT url AS unid, url NOT IN (SELECT url FROM pages WHERE page_id % 2 = 0) AS is_new FROM pages")
+#: The bits of each key: h = h * (1 + seed) + code point over its characters, modulo 2^30, for the seeds 0 to 5.
+KEY_BITS = """SELECT unid, old, list_reduce(list_prepend(0::BIGINT, list_transform(list_filter(string_split(unid, ''), lambda c: c <> ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (h * (1 + seed) + c) % 1073741824) AS bit
+FROM (SELECT url AS unid, bool_or(page_id % 2 = 0) AS old FROM pages WHERE url IS NOT NULL GROUP BY url), (SELECT unnest(range(0, 6)) AS seed)"""
+
+
+@query(f"""WITH k AS ({KEY_BITS}), s AS (SELECT DISTINCT bit FROM k WHERE old)
+SELECT unid, bool_or(s.bit IS NULL) AS is_new FROM k LEFT JOIN s USING (bit) GROUP BY unid""")
 def d2_bloom_filter(spark, d):
+    """Keys of the other pages are new unless all their bits are set, be it by different keys."""
     keys = table(spark, d, "pages").select("page_id", F.md5("url").alias("digest"), F.col("url").alias("unid"))
     bits = D.bloom_bits(keys.where("page_id % 2 = 0"))
     return D.bloom_check(keys, bits)
