@@ -76,6 +76,11 @@ def test_items_with_cut_references(spark, cut_references):
     assert got == want and any("Said by&&& of the and" in x for x in got) and any("'title': 'By a.b@mail. too'" in x for x in got)
 
 
+def test_rule_values_with_cut_references(spark, cut_references):
+    got, want = both(spark, "j3_xpath_rule", cut_references)
+    assert got == want and any("'heading': 'Said by&&&'" in x for x in got)
+
+
 def test_bloom_filter_with_colliding_keys(spark, tmp_path):
     """A key whose bits are all set by another one is not new; also an empty key, a null and characters of several bytes."""
     from webharvest.operators.dedupe import BLOOM_BITS, BLOOM_SEEDS
