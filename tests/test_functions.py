@@ -666,3 +666,24 @@ def test_charsets_of_undeclared_pages(spark):
     got = {r.k: r.t for r in rows.select("k", nodes.decode_page("b").alias("t")).collect()}
     right = [got[k] == text for k, (_, _, text) in enumerate(pages)]
     assert all(right[: len(texts)]) and all(right[-3:]) and sum(right) > 0.95 * len(right), [p for p, ok in zip(pages, right) if not ok]
+
+
+def test_pages_are_parsed_in_slices(spark):
+    """A task holds the nodes of some pages at once, whatever the size of the batch that it is sent; nulls and large pages among them."""
+    import pyarrow as pa
+    from webharvest.functions.nodes import SLICE_BYTES, _columns, _parser, _slices, html_nodes, parse
+
+    pages = [None if k % 7 == 3 else f"<div id='d{k}'><p>text {k}</p></div>" * (1 + k % 5 * 40) for k in range(300)]
+    pages[10] = "<p>" + "x" * SLICE_BYTES + "</p>"
+    cut = list(_slices(pa.array(pages, pa.string())))
+    assert [x for c in cut for x in c.to_pylist()] == pages and not list(_slices(pa.array([], pa.string())))
+    assert all(sum(len(x or "") for x in c.to_pylist()) <= SLICE_BYTES for c in cut if len(c) > 1) and len(cut) > 2
+    parsed = list(_parser(spark.sparkContext.applicationId, None, "null").func(iter([pa.array(pages, pa.string())])))
+    assert len(parsed) == len(cut)
+    some = [*range(0, 20), *range(280, 300)]
+    want = _columns([parse(pages[k]) for k in some]).to_pylist()
+    assert [x for c in parsed for x in c.to_pylist()][:20] == want[:20]
+    rows = spark.createDataFrame(list(enumerate(pages)), "k long, html string").coalesce(1)
+    got = {r.k: (r.n, r.t) for r in rows.select("k", html_nodes("html").alias("x")).selectExpr("k", "size(x) n", "try_element_at(x, -1).text t").collect()}
+    assert len(got) == 300 and got[3] == (0, None)
+    assert all(got[k] == (len(parse(pages[k])), f"text {k}") for k in some if pages[k] and k != 10)
