@@ -687,3 +687,44 @@ def test_pages_are_parsed_in_slices(spark):
     got = {r.k: (r.n, r.t) for r in rows.select("k", html_nodes("html").alias("x")).selectExpr("k", "size(x) n", "try_element_at(x, -1).text t").collect()}
     assert len(got) == 300 and got[3] == (0, None)
     assert all(got[k] == (len(parse(pages[k])), f"text {k}") for k in some if pages[k] and k != 10)
+
+
+def _frontier(spark, n=200, w=90):
+    urls_ = spark.range(1, n + 1).selectExpr(
+        "id uuid", "1L pid", "1L sid", "id % 4 tid", "concat('u', id) url", "id % 3 ruleId", "if(id % 2 = 0, 60L, 0L) expire"
+    )
+    words = spark.range(1, w + 1).selectExpr(
+        "id uuid", "case when id % 9 = 0 then null else id % 6 end tid", "if(id % 3 = 0, '2', '') frequency", "if(id % 5 = 0, 30L, 0L) expire"
+    )
+    rules = spark.sql("SELECT id uuid, if(id = 1, '4', '1') frequency FROM range(1, 3)")
+    tasks = spark.range(1, n + 1).where("id % 3 = 0").selectExpr("'m' mode", "id uid", "explode(array(1L, 5L, 6L, 9L)) kid")
+    return urls_, words, tasks, rules
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_search_tasks_by_keyword_never_move_the_pairs(spark):
+    u, w, t, r = _frontier(spark)
+    kinds = spark.sql("SELECT id tid FROM range(0, 3)")
+    df = P.new_search_tasks_by_keyword(w, kinds, u, t, r, "m", 1000)
+    words = [(x.uuid, x.tid or 0) for x in w.collect()]
+    have = {(x.uid, x.kid) for x in t.collect()}
+    want = {(x.uuid, k) for x in u.collect() for k, tid in words if x.tid < 3 and tid in (0, x.tid)} - have
+    rows = df.collect()
+    assert {(x.uid, x.kid) for x in rows} == want and len(rows) == len(want)
+    # the only join that leaves rows out looks at no pairs
+    assert "LeftAnti" not in _plan(df)
+
+
+def test_pairs_are_made_in_many_tasks(spark):
+    """Few urls in one partition and few keywords: the pairs are dealt before they are made, whatever join Spark takes."""
+    u, w, t, r = _frontier(spark)
+    df = P.reconciled_tasks(u.coalesce(1), w, r, "m", 1000)
+    words = {(x.uuid, x.tid): x for x in w.where("tid > 0").collect()}
+    want = {(x.uuid, k) for x in u.collect() for k, tid in words if tid == x.tid}
+    rows = df.collect()
+    assert {(x.uid, x.kid) for x in rows} == want and len(rows) == len(want)
+    assert df.where("uid > 0").select(F.spark_partition_id().alias("p")).distinct().count() > 8
+    assert {x.frequency for x in rows if x.uid % 3 == 1 and x.kid % 3 == 0} == {"2"}

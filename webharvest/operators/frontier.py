@@ -216,64 +216,85 @@ def new_list_tasks(urls: DataFrame, tasks: DataFrame, rules: DataFrame, mode: st
     )
 
 
+def _url_number(frequency: Column) -> Column:
+    return F.coalesce(frequency.try_cast("int"), F.lit(int(DEFAULT_FREQUENCY)))
+
+
+def _word_number(frequency: Column) -> Column:
+    return F.nullif(frequency.cast("string"), F.lit("")).try_cast("int")
+
+
 def reconciled(url_frequency: Column, word_frequency: Column, url_expire: Column, word_expire: Column) -> tuple[Column, Column]:
     """(frequency, expire) of a search task: the smaller frequency if the keyword has one; the smaller expiry if both are set, else the one that is."""
-    frequency = F.least(
-        F.coalesce(url_frequency.try_cast("int"), F.lit(int(DEFAULT_FREQUENCY))), F.nullif(word_frequency, F.lit("")).try_cast("int")
-    )
+    frequency = F.least(_url_number(url_frequency), _word_number(word_frequency))
     expire = F.coalesce(F.least(F.nullif(url_expire, F.lit(0)), F.nullif(word_expire, F.lit(0))), F.lit(0))
     return frequency.cast("string"), expire.cast("long")
 
 
 def _search_rows(pairs: DataFrame, mode: str, now: int) -> DataFrame:
-    frequency, expire = reconciled(F.col("frequency"), F.col("word_frequency"), F.col("expire"), F.col("word_expire"))
+    """Search tasks of pairs of _url_side_of_pairs and _word_side: as `reconciled`, but what one side alone decides is read before the pairs are made."""
+    expire = F.coalesce(F.least("_ue", "_we"), F.lit(0))
     return pairs.select(
-        F.lit(mode).alias("mode"), "pid", "sid", "tid", "uid", "kid", F.col("ruleId").alias("rid"), "url", frequency.alias("frequency"),
-        F.when(expire > 0, now + expire).otherwise(0).cast("long").alias("expire")
+        F.lit(mode).alias("mode"), "pid", "sid", "tid", "uid", "kid", F.col("ruleId").alias("rid"), "url",
+        F.least("_uf", "_wf").cast("string").alias("frequency"), F.when(expire > 0, now + expire).otherwise(0).cast("long").alias("expire")
     )
 
 
-def _with_frequency(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    return urls.withColumnRenamed("uuid", "uid").join(rules.select(F.col("uuid").alias("ruleId"), "frequency"), "ruleId", "left")
+def _url_side_of_pairs(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    found = urls.withColumnRenamed("uuid", "uid").join(rules.select(F.col("uuid").alias("ruleId"), "frequency"), "ruleId", "left")
+    return found.withColumns({"_uf": _url_number(F.col("frequency")), "_ue": F.nullif("expire", F.lit(0))}).drop("frequency", "expire")
+
+
+def _word_side(keywords: DataFrame) -> DataFrame:
+    return keywords.select(
+        F.col("uuid").alias("kid"), F.coalesce("tid", F.lit(0)).alias("_word_tid"), _word_number(F.col("frequency")).alias("_wf"),
+        F.nullif("expire", F.lit(0)).alias("_we")
+    )
 
 
-def _with_each(rows: DataFrame, others: DataFrame, key: str) -> DataFrame:
-    """Every row with every one of the others, which are repeated for each deal of the rows; deals follow the number of rows."""
+def _with_each(rows: DataFrame, others: DataFrame, key: str, *on: str) -> DataFrame:
+    """Every row with every one of the others (of equal columns `on`), which are repeated for each deal of the rows; deals follow the number of rows."""
     deals = max(SPREAD, math.ceil(rows.count() / DEAL_ROWS))
-    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(deals)).cast("int"))
+    # dealt before the join too: where the others are few Spark joins the rows as they lie, be it in one task
+    dealt = rows.withColumn("_deal", F.pmod(F.xxhash64(key), F.lit(deals)).cast("int")).repartition(deals, key)
     repeated = others.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
-    return dealt.join(repeated, "_deal").drop("_deal")
+    return dealt.join(repeated, [*on, "_deal"]).drop("_deal")
+
+
+def reconciled_tasks(urls: DataFrame, keywords: DataFrame, rules: DataFrame, mode: str, now: int) -> DataFrame:
+    """Search tasks of the urls with the keywords of their own task; global keywords are left out."""
+    words = _word_side(keywords).where("_word_tid <> 0").withColumnRenamed("_word_tid", "tid")
+    return _search_rows(_with_each(_url_side_of_pairs(urls, rules), words, "uid", "tid"), mode, now)
 
 
 def new_search_tasks_by_url(urls: DataFrame, keywords: DataFrame, tasks: DataFrame, rules: DataFrame, mode: str, now: int) -> DataFrame:
     """url x its keywords (those of its task and the global ones, tid 0 or NULL) for urls without any task in this mode.
 
-    The keywords of a task are an equality join; the global keywords, which every url needs, are repeated for
-    each deal of the urls, so the pairs are made in as many tasks.
+    The keywords of a task, and the global ones, which every url needs, are repeated for each deal of the urls, so
+    that the pairs are made in as many tasks.
     """
-    fresh = _with_frequency(urls, rules).join(tasks.where(F.col("mode") == mode).select("uid"), "uid", "left_anti")
-    words = keywords.select(
-        F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"),
-        F.col("expire").alias("word_expire")
-    )
-    own = fresh.join(words.where(F.coalesce("word_tid", F.lit(0)) != 0), F.col("tid") == F.col("word_tid"))
-    shared = _with_each(fresh, words.where(F.coalesce("word_tid", F.lit(0)) == 0), "uid")
-    return _search_rows(own.unionByName(shared, allowMissingColumns=True), mode, now)
+    fresh = _url_side_of_pairs(urls, rules).join(tasks.where(F.col("mode") == mode).select("uid"), "uid", "left_anti")
+    words = _word_side(keywords)
+    own = _with_each(fresh, words.where("_word_tid <> 0").withColumnRenamed("_word_tid", "tid"), "uid", "tid")
+    shared = _with_each(fresh, words.where("_word_tid = 0").drop("_word_tid"), "uid")
+    return _search_rows(own.unionByName(shared), mode, now)
 
 
 def new_search_tasks_by_keyword(
     keywords: DataFrame, task_types: DataFrame, urls: DataFrame, tasks: DataFrame, rules: DataFrame, mode: str, now: int
 ) -> DataFrame:
-    """keyword x urls of the search tasks it belongs to (tid 0 or NULL: all of `task_types` (tid)), without the (uid, kid) that exist."""
-    words = keywords.select(
-        F.col("uuid").alias("kid"), F.col("tid").alias("word_tid"), F.col("frequency").cast("string").alias("word_frequency"),
-        F.col("expire").alias("word_expire")
-    )
+    """keyword x urls of the search tasks it belongs to (tid 0 or NULL: all of `task_types` (tid)), without the (uid, kid) that exist.
+
+    The keywords that a url has are an array in its row, so the pairs are told from them where they are made and never move.
+    """
+    words = _word_side(keywords)
     known = task_types.select("tid").distinct()
-    reached = words.where(F.coalesce("word_tid", F.lit(0)) != 0).withColumn("tid", F.col("word_tid")).join(known, "tid", "left_semi")
-    reached = reached.unionByName(_with_each(known, words.where(F.coalesce("word_tid", F.lit(0)) == 0), "tid"))
-    pairs = _with_frequency(urls, rules).join(reached, "tid")
-    return _search_rows(pairs.join(tasks.where(F.col("mode") == mode).select("uid", "kid"), ["uid", "kid"], "left_anti"), mode, now)
+    reached = words.where("_word_tid <> 0").withColumnRenamed("_word_tid", "tid").join(known, "tid", "left_semi")
+    reached = reached.unionByName(_with_each(known, words.where("_word_tid = 0").drop("_word_tid"), "tid"))
+    have = tasks.where(F.col("mode") == mode).groupBy("uid").agg(F.collect_set("kid").alias("_have"))
+    wanted = _url_side_of_pairs(urls, rules).join(known, "tid", "left_semi").join(have, "uid", "left")
+    pairs = _with_each(wanted, reached, "uid", "tid").where(~F.coalesce(F.array_contains("_have", F.col("kid")), F.lit(False)))
+    return _search_rows(pairs, mode, now)
 
 
 def match_list_rule(tasks: DataFrame, urls: DataFrame, rules: DataFrame) -> DataFrame:
