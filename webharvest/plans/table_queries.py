@@ -338,16 +338,7 @@ def p12_search_tasks_by_keyword(spark, d):
     f"SELECT w.uuid AS kid, u.uuid AS uid, {RECONCILED} FROM {URLS} u JOIN {WORDS} w ON w.tid = u.tid AND w.tid <> 0 LEFT JOIN {RULES} r ON ruleId = r.uuid"
 )
 def p13_reconcile(spark, d):
-    pairs = urls(spark, d).withColumnRenamed("uuid", "uid").join(
-        words(spark, d).where("tid <> 0").select(
-            F.col("uuid").alias("kid"), "tid", F.col("frequency").alias("wf"), F.col("expire").alias("we")
-        ),
-        "tid"
-    ).join(rules(spark, d).select(F.col("uuid").alias("ruleId"), "frequency"), "ruleId", "left")
-    frequency, expire = P.reconciled(F.col("frequency"), F.col("wf"), F.col("expire"), F.col("we"))
-    return pairs.select(
-        "kid", "uid", frequency.alias("frequency"), F.when(expire > 0, NOW + expire).otherwise(0).cast("long").alias("expire")
-    )
+    return P.reconciled_tasks(urls(spark, d), words(spark, d), rules(spark, d), "m0", NOW).select("kid", "uid", "frequency", "expire")
 
 
 JUDGE = "CASE WHEN u.uuid IS NULL THEN 'delete' WHEN u.status <> 1 OR u.ruleStatus <> 1 THEN 'disable' WHEN coalesce(u.ruleId, 0) = 0 THEN 'error' WHEN r.uuid IS NULL THEN 'delete' WHEN r.status <> 1 THEN 'error' ELSE 'ok' END"
