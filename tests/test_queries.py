@@ -81,6 +81,27 @@ def test_rule_values_with_cut_references(spark, cut_references):
     assert got == want and any("'heading': 'Said by&&&'" in x for x in got)
 
 
+@pytest.fixture(scope="module")
+def blanks(spark, tmp_path_factory):
+    """Pages with a blank heading, with a title or without one, with an article without text, and with a blank link."""
+    html = (
+        '<html lang="en"><head><title>{1}</title></head><body><nav><ul><li><a href="/a">one</a></li><li><a href="/b">{0}</a></li></ul></nav>'
+        "<article><h1>{0}</h1><p>{2}</p></article></body></html>"
+    )
+    texts = (("", "", "of the and"), (" \n", "Title of", "of the and"), ("Head", "Title", ""), ("", "", " "))
+    rows = [(k, f"http://www.example.com/en/{k}", html.format(*texts[k % 4])) for k in range(84)]  # each in every layout and with each title
+    folder = tmp_path_factory.mktemp("blanks")
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(folder / "pages.parquet"))
+    return folder
+
+
+def test_items_of_blank_pages(spark, blanks):
+    got, want = both(spark, "j12_item_parser", blanks)
+    assert got == want and any("'title': None" in x for x in got) and any("'title': 'Title of'" in x for x in got) and any("'content': ''" in x for x in got)
+    got, want = both(spark, "h9_title", blanks)
+    assert got == want and any("'title': None" in x for x in got) and any("'title': 'Title of'" in x for x in got)
+
+
 def test_bloom_filter_with_colliding_keys(spark, tmp_path):
     """A key whose bits are all set by another one is not new; also an empty key, a null and characters of several bytes."""
     from webharvest.operators.dedupe import BLOOM_BITS, BLOOM_SEEDS
