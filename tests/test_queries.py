@@ -102,6 +102,11 @@ def test_items_of_blank_pages(spark, blanks):
     assert got == want and any("'title': None" in x for x in got) and any("'title': 'Title of'" in x for x in got)
 
 
+def test_rule_values_of_blank_links(spark, blanks):
+    got, want = both(spark, "j3_xpath_rule", blanks)
+    assert got == want and sum("'second': None" in x for x in got) == 63 and any("'second': 'Head'" in x for x in got)
+
+
 def test_bloom_filter_with_colliding_keys(spark, tmp_path):
     """A key whose bits are all set by another one is not new; also an empty key, a null and characters of several bytes."""
     from webharvest.operators.dedupe import BLOOM_BITS, BLOOM_SEEDS
