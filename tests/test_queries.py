@@ -1,6 +1,7 @@
 """Every registered query against its SQL in DuckDB on the smallest tables."""
 
 import os
+import re
 from pathlib import Path
 
 import pytest
@@ -9,6 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 from webharvest import plans  # noqa: E402
+from webharvest.operators import extract  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -107,6 +109,28 @@ def test_rule_values_of_blank_links(spark, blanks):
     assert got == want and sum("'second': None" in x for x in got) == 63 and any("'second': 'Head'" in x for x in got)
 
 
+def python_steps(df):
+    """The names of the Python functions of a plan, one for each step."""
+    return sorted(re.findall(r"ArrowEvalPython \[(\w+)\(", df._jdf.queryExecution().optimizedPlan().toString()))
+
+
+def test_subdomain_sites_read_links_once(spark):
+    """A page is parsed once for its own subdomain and for the others; rows of equal links stay, with their titles or none."""
+    assert python_steps(plans.queries()["h4_subdomain_sites"](spark, str(DATA))) == ["_first_links", "parsed"]
+    at = "http://www.e.com/p"
+    links = [
+        (1, at, 1, "http://www.e.com/a", "A"), (1, at, 2, "http://www.e.com/a", None), (1, at, 3, "http://www.e.com/a", "A"),
+        (1, at, 4, "http://b.e.com/x", "X"), (1, at, 5, "http://b.e.com/", "B"), (1, at, 6, "http://c.e.com/1", None),
+        (1, at, 7, "http://other.org/", "O"), (1, at, 8, None, "N"), (None, at, 1, "http://www.e.com/a", "A"), (2, None, 1, "http://www.e.com/a", "A"),
+    ]
+    rows = spark.createDataFrame(links, "page_id long, page_url string, pos int, link string, title string")
+    got = sorted(((r.page_id, r.link, r.title) for r in extract.subdomain_sites(rows).collect()), key=str)
+    assert got == sorted(
+        [(1, "http://www.e.com/a", "A"), (1, "http://www.e.com/a", None), (1, "http://www.e.com/a", "A"), (1, "http://b.e.com", "B"),
+         (1, "http://c.e.com", None), (None, "http://www.e.com/a", "A")], key=str
+    )
+
+
 def test_bloom_filter_with_colliding_keys(spark, tmp_path):
     """A key whose bits are all set by another one is not new; also an empty key, a null and characters of several bytes."""
     from webharvest.operators.dedupe import BLOOM_BITS, BLOOM_SEEDS
