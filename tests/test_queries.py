@@ -10,7 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 DATA = Path(os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001"))
 
 from webharvest import plans  # noqa: E402
-from webharvest.operators import extract  # noqa: E402
+from webharvest.operators import extract, rules  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -131,6 +131,17 @@ def test_subdomain_sites_read_links_once(spark):
     )
 
 
+def test_lists_are_resolved_once(spark):
+    """Links are resolved in one step; unusable ones leave their places free, repeats stay, pages without html or address have no rows."""
+    assert python_steps(plans.queries()["j13_list_parser"](spark, str(DATA))) == ["_all_links", "parsed"]
+    html = '<a href=" a ">A</a><a href="/">no</a><a href="//[x">no</a><a href=" ">no</a><a>no</a><a href="/b">B</a><a href="a"></a>'
+    rows = spark.createDataFrame([(1, "http://e.com/d/p", html), (2, None, html), (3, "http://e.com/", None), (4, "http://e.com/", "")], "page_id long, url string, html string")
+    df = rules.parse_lists(rows)
+    assert df.columns == ["page_id", "pos", "title", "url"] and df.schema["pos"].dataType.simpleString() == "int"
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == [(1, 0, "A", "http://e.com/d/a"), (1, 3, "B", "http://e.com/b"), (1, 4, "", "http://e.com/d/a")]
+
+
 def test_bloom_filter_with_colliding_keys(spark, tmp_path):
     """A key whose bits are all set by another one is not new; also an empty key, a null and characters of several bytes."""
     from webharvest.operators.dedupe import BLOOM_BITS, BLOOM_SEEDS
