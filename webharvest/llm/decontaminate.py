@@ -25,8 +25,8 @@ MATCH, MISMATCH, GAP = 2.0, -1.0, -1.0
 FILTER_BITS = 22
 #: Items by their words: up to 16, 64, 256 ... words; a passage is as long as the items of its class need.
 CLASSES = tuple(4**k for k in range(2, 9))
-#: Items of a block, passages of a pack.
-ITEMS, PACK = 512, 256
+#: Items of a block, passages of a pack; places of words in items that a pack's passages are counted at a time.
+ITEMS, PACK, SPOTS = 512, 256, 1 << 18
 PASSAGES = "doc_id long, first long, class int, seeds array<long>, words binary"
 
 
@@ -194,9 +194,19 @@ class _Block:
         key = np.unique(row[have] * len(self.words) + at[have])
         row, at = key // len(self.words), key % len(self.words)
         counts = self.first[at + 1] - self.first[at]
-        spots = np.repeat(self.first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        size = len(self.items)
-        return MATCH * np.bincount(np.repeat(row, counts) * size + self.item[spots], self.times[spots], len(passages) * size).reshape(-1, size)
+        size, out = len(self.items), np.zeros((len(passages), len(self.items)))
+        before = np.concatenate([[0], np.cumsum(counts)])
+        ends = np.searchsorted(row, np.arange(len(passages) + 1))  # of the passages' different words
+        lo = 0
+        while lo < len(passages):
+            hi = max(lo + 1, int(np.searchsorted(before[ends], before[ends[lo]] + SPOTS, "right")) - 1)
+            a, b = ends[lo], ends[hi]
+            n = counts[a:b]
+            spots = np.repeat(self.first[at[a:b]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            keys = np.repeat(row[a:b] - lo, n) * size + self.item[spots]
+            out[lo:hi] = np.bincount(keys, self.times[spots], (hi - lo) * size).reshape(-1, size)
+            lo = hi
+        return MATCH * out
 
 
 SCORED = "doc_id long, item_id long, cost double, first_word long, end_word long"

@@ -28,6 +28,8 @@ from ._tables import components, cut
 from ._words import Words, mix, steps
 
 SETS = "doc_id long, k1 long, k2 long, n_shingles long, sketch array<int>"
+#: Rows of a matrix of pairs that are worked on at a time, and shingles that are.
+ROWS, WIDTH = 128, 512
 
 
 def run_recall(threshold: float, depth: int, branches: int) -> float:
@@ -95,7 +97,7 @@ def _star(adjacent: np.ndarray) -> np.ndarray:
     """The least member index of each row's component."""
     label = np.arange(len(adjacent))
     while True:
-        least = np.where(adjacent, label[None, :], len(label)).min(1)
+        least = np.concatenate([np.where(adjacent[k : k + ROWS], label[None, :], len(label)).min(1) for k in range(0, len(label), ROWS)])
         new = np.minimum(label, least)
         new = new[new]
         if (new == label).all():
@@ -193,25 +195,31 @@ def verified(
         sets_ = [np.frombuffer(x, np.uint64) for x in pdf["packed"]]
         size = np.array([len(x) for x in sets_], np.float32)
         where = np.repeat(np.arange(len(ids), dtype=np.int32), size.astype(np.int64))
-        _, column, freq = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
-        keep = freq[column] > 1
-        where, column = where[keep], np.unique(column[keep], return_inverse=True)[1]
-        order = np.argsort(column, kind="stable")
-        where, column = where[order], column[order]
+        values = np.concatenate(sets_)
+        order = np.argsort(values)
+        where, values = where[order], values[order]
+        new, last = np.ones((2, len(values)), bool)
+        new[1:] = values[1:] != values[:-1]
+        last[:-1] = new[1:]
+        keep = ~(new & last)  # shingles of one row alone link nothing
+        where, column = where[keep], np.cumsum(new[keep], dtype=np.int32) - 1
+        del values, order
         common = np.zeros((len(ids), len(ids)), np.float32)
-        width = 2048
-        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-            a, b = np.searchsorted(column, [lo, lo + width])
-            part = np.zeros((len(ids), width), np.float32)
+        for lo in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+            a, b = np.searchsorted(column, [lo, lo + WIDTH])
+            part = np.zeros((len(ids), WIDTH), np.float32)
             part[where[a:b], column[a:b] - lo] = 1
             common += part @ part.T
-        near = common >= np.float32(threshold) * (size[:, None] + size[None, :] - common) - np.float32(1e-3)
+        near = np.zeros(common.shape, bool)
+        for k in range(0, len(ids), ROWS):
+            both = common[k : k + ROWS]
+            near[k : k + ROWS] = both >= np.float32(threshold) * (size[k : k + ROWS, None] + size[None, :] - both) - np.float32(1e-3)
         np.fill_diagonal(near, False)
         if pdf["within"].iloc[0]:
             counted = near
         else:
             counted = near & (own[:, None] != own[None, :])
-        links = (counted * copies[None, :]).sum(1)
+        links = np.concatenate([(counted[k : k + ROWS] * copies[None, :]).sum(1) for k in range(0, len(ids), ROWS)])
         label = _star(counted)
         return pd.DataFrame({"doc_id": ids, "least": ids[label], "links": links})
 

@@ -232,18 +232,22 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, labellers: int, rounds
     return bad, prior, table
 
 
-def _fit(rows: list[np.ndarray], target: np.ndarray, dims: int, mean: bool, epochs: int, rate: float, width: int = 64) -> np.ndarray:
-    """Logistic regression by Adagrad over small batches; rows: feature indices of each example; the last weight is the bias."""
+def _fit(
+    features: np.ndarray, counts: np.ndarray, target: np.ndarray, dims: int, mean: bool, epochs: int, rate: float, width: int = 64
+) -> np.ndarray:
+    """Logistic regression by Adagrad over small batches; features: indices of all examples, one after the other, `counts` of them
+    each; the last weight is the bias."""
+    first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
     weights, seen = np.zeros(dims + 1), np.full(dims + 1, 1e-2)
     share = np.clip(target.mean(), 1e-3, 1 - 1e-3) if len(target) else 0.5
     importance = 1 + target * (min(10.0, 0.5 / share) - 1)
-    epochs = int(np.clip(200_000 // max(len(rows), 1), epochs, 8 * epochs))
-    order = np.random.default_rng(7).permutation(len(rows))
+    epochs = int(np.clip(200_000 // max(len(counts), 1), epochs, 8 * epochs))
+    order = np.random.default_rng(7).permutation(len(counts))
     for _ in range(epochs):
         for lo in range(0, len(order), width):
             part = order[lo : lo + width]
-            sizes = np.array([len(rows[k]) for k in part])
-            index = np.concatenate([rows[k] for k in part])
+            sizes = first[part + 1] - first[part]
+            index = np.concatenate([features[first[k] : first[k + 1]] for k in part])
             of = np.repeat(np.arange(len(part)), sizes)
             scale = 1 / np.maximum(sizes, 1) if mean else np.ones(len(part))
             score = np.bincount(of, weights[index], len(part)) * scale + weights[-1]
@@ -262,11 +266,12 @@ def train(docs: DataFrame, posteriors: DataFrame, lexicon: tuple[np.ndarray, np.
         import pandas as pd
 
         pdf = pdf.sort_values("doc_id")
-        form_rows, word_rows, word_target = [], [], []
+        forms, words, form_counts, word_counts, word_target = [], [], [], [], []
         for lo, hi in steps(pa.array(pdf["text"], pa.string())):
             texts = pa.array(pdf["text"].iloc[lo:hi], pa.string())
             row, index, _, _ = _forms(texts)
-            form_rows += np.split(index, np.searchsorted(row, np.arange(1, hi - lo)))
+            forms.append(index.astype(np.int16))
+            form_counts.append(np.bincount(row, minlength=hi - lo))
             w = Words(texts)
             feats = _word_features(w)
             hit, _ = _abuse(w, feats, lexicon)
@@ -275,12 +280,19 @@ def train(docs: DataFrame, posteriors: DataFrame, lexicon: tuple[np.ndarray, np.
                 np.append(True, (w.row[1:] != w.row[:-1]) | (segment[1:] != segment[:-1]))
             ) if len(w.row) else np.zeros(0, int)
             p = pdf["p_toxic"].to_numpy()[lo:hi]
+            some = []
             for a, b in zip(begin, np.append(begin[1:], len(w.row))):
                 f = feats[:, a:b].ravel()
-                word_rows.append((np.unique(f[f != 0]) >> _U(64 - WORD_BITS)).astype(np.int64))
+                some.append((np.unique(f[f != 0]) >> _U(64 - WORD_BITS)).astype(np.int32))
                 word_target.append(p[w.row[a]] if hit[a:b].any() else 0.0)
-        form = _fit(form_rows, pdf["p_low"].to_numpy(), FORM_DIMS, True, 4, 0.5)
-        word = _fit(word_rows, np.array(word_target), WORD_DIMS, False, 3, 0.3)
+            word_counts += [len(x) for x in some]
+            words.append(np.concatenate([np.zeros(0, np.int32), *some]))
+        form = _fit(
+            np.concatenate([np.zeros(0, np.int16), *forms]), np.concatenate([np.zeros(0, np.int64), *form_counts]), pdf["p_low"].to_numpy(),
+            FORM_DIMS, True, 4, 0.5
+        )
+        forms.clear()
+        word = _fit(np.concatenate([np.zeros(0, np.int32), *words]), np.array(word_counts, np.int64), np.array(word_target), WORD_DIMS, False, 3, 0.3)
         return pd.DataFrame(
             {
                 "form": [form.astype(np.float32).tobytes()], "at": [np.flatnonzero(word).astype(np.int32).tobytes()],
