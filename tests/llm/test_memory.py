@@ -28,7 +28,7 @@ def test_steps_of_texts():
     whole = run([(0, len(texts))])
     out, most = peak(lambda: run(steps(texts)))
     assert (out == whole).all()
-    assert most < 25  # 39 with steps of a megabyte
+    assert most < 15  # 23 with steps of a megabyte
 
 
 def test_words_that_all_items_share():
